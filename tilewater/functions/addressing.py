@@ -138,24 +138,17 @@ def compact_degree_id(lat: Column, lon: Column) -> Column:
     )
 
 
-# Spellings of a degree-tile name.
-LONG_ID_PATTERN = r"(?i)^([ns])(\d{1,2})_([ew])(\d{3})_1arc_v\d+"
-COMPACT_ID_PATTERN = r"(?i)^([ns])(\d{2})([ew])(\d{3})$"
+# The long and the compact spelling of a degree-tile name.
+DEGREE_ID_PATTERN = (r"^([ns])(\d{1,2})_([ew])(\d{3})_1arc_v\d+.*$"
+                     r"|^([ns])(\d{2})([ew])(\d{3})$")
 
 
 def parse_degree_tile_id(name: Column) -> Column:
     """struct<lat,lon>, NULL fields when the name is neither spelling."""
-
-    def part(group: int) -> Column:
-        long = F.regexp_extract(name, LONG_ID_PATTERN, group)
-        return F.when(long != "", long).otherwise(F.regexp_extract(name, COMPACT_ID_PATTERN, group))
-
-    def signed(hemisphere: int, digits: int, negative: str) -> Column:
-        d = part(digits)
-        sign = F.when(F.lower(part(hemisphere)) == negative, -1).otherwise(1)
-        return F.when(d != "", d.try_cast("int") * sign)
-
-    return F.struct(signed(1, 2, "s").alias("lat"), signed(3, 4, "w").alias("lon"))
+    parts = F.split(F.regexp_replace(F.lower(name), DEGREE_ID_PATTERN, "$1$5\u0001$2$6\u0001$3$7\u0001$4$8"), "\u0001")
+    sign = lambda i, negative: F.when(F.get(parts, F.lit(i)) == negative, -1).otherwise(1)
+    value = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    return F.struct((value(1) * sign(0, "s")).alias("lat"), (value(3) * sign(2, "w")).alias("lon"))
 
 
 # ---- tile families and validity ---------------------------------------------------------------

@@ -73,8 +73,9 @@ def pair_tag(a: Column, b: Column, buffer_km: Column) -> Column:
 
 
 def coverage_label(count: Column, only_id: Column) -> Column:
-    """Title-cased id for a single region, else `n regions`."""
-    return F.when(count == 1, F.initcap(F.replace(only_id, F.lit("-"), F.lit(" ")))) \
+    """Title-cased id for a single region, else `n regions`. Every run of letters is capitalised (`v0p21` -> `V0P21`)."""
+    runs = F.regexp_extract_all(F.lower(F.replace(only_id, F.lit("-"), F.lit(" "))), F.lit("[a-z]+|[^a-z]+"), F.lit(0))
+    return F.when(count == 1, F.array_join(F.transform(runs, F.initcap), "")) \
         .otherwise(F.concat(count.cast("string"), F.lit(" regions")))
 
 

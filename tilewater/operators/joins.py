@@ -7,14 +7,20 @@ splits hot cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
+from tilewater.functions.geodesy import haversine_km_atan
 
 C = F.col
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global aggregate to every row; an aggregate without keys is exactly one row."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def sample_points(points: DataFrame, cells: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
     """Value of the tile pixel under each point.
 
@@ -107,7 +113,7 @@ def nearest_on_axis(df: DataFrame, value: str, axis: DataFrame, idx: str, coord:
     b = lambda c: F.floor(c / bucket).cast("int")
     own = own.withColumn("_k", F.explode(F.sequence(b(F.coalesce("_lo", "_c")), b(F.coalesce("_hi", "_c")))))
     ends = axis.agg(F.min(coord).alias("_min"), F.max(coord).alias("_max"))  # one row
-    keyed = df.crossJoin(ends).withColumn("_v", F.greatest("_min", F.least("_max", C(value)))).withColumn("_k", b(C("_v")))
+    keyed = with_row(df, ends).withColumn("_v", F.greatest("_min", F.least("_max", C(value)))).withColumn("_k", b(C("_v")))
     inside = (C("_lo").isNull() | (C("_v") > C("_lo"))) & (C("_hi").isNull() | (C("_v") <= C("_hi")))
     return keyed.join(own, "_k").where(inside).drop("_k", "_v", "_lo", "_hi", "_c", "_min", "_max")
 
@@ -153,9 +159,99 @@ def raster_pair(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v") -
     return a.select(*keys, C(value).alias("a")).join(b.select(*keys, C(value).alias("b")), keys, "full")
 
 
-def far_pairs(places: DataFrame, distance: Column, top: int, key: str = "id") -> DataFrame:
-    """The `top` most distant ordered pairs. `places` is a catalogue table (its own size bounds the pair count)."""
-    a = places.select(*[C(c).alias(f"{c}_a") for c in places.columns])
-    b = places.select(*[C(c).alias(f"{c}_b") for c in places.columns])
-    pairs = a.join(b, C(f"{key}_a") != C(f"{key}_b")).withColumn("km", distance)
-    return pairs.orderBy(F.desc("km"), f"{key}_a", f"{key}_b").limit(top)
+def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float, ...] = (15.0, 3.0, 0.5)) -> DataFrame:
+    """The `top` most distant ordered pairs of places (key, lon, lat), without forming all pairs.
+
+    Places are counted per grid cell. For two cells the distance of any two members lies within centre distance
+    plus or minus both cell radii, so the cell pairs that surely hold `top` pairs give a floor and every cell pair whose
+    ceiling is under that floor is dropped. Survivors are split into finer cells; only the last survivors are
+    matched place by place. Exact: nothing is dropped that could reach the answer.
+    """
+    cells_per_row = lambda size: int(360 // size) + 2
+
+    def cell(size: float) -> Column:
+        row = F.floor((C("lat") + 90.0) / size).cast("bigint")
+        return row * cells_per_row(size) + F.floor((C("lon") + 180.0) / size).cast("bigint")
+
+    def center(c: Column, size: float) -> tuple[Column, Column]:
+        return ((c % cells_per_row(size)) + 0.5) * size - 180.0, (F.floor(c / cells_per_row(size)) + 0.5) * size - 90.0
+
+    named = places.select(C(key).alias("_id"), "lon", "lat",
+                          *[cell(s).alias(f"_c{i}") for i, s in enumerate(levels)])
+    side = lambda df, tag: df.select(*[C(c).alias(c + tag) for c in df.columns])
+    survivors = None
+    for i, size in enumerate(levels):
+        counts = named.groupBy(*[f"_c{k}" for k in range(max(0, i - 1), i + 1)]).agg(F.count("*").alias("_n"))
+        if survivors is None:
+            # the first grid has a fixed number of cells, whatever the table size
+            n_cells = cells_per_row(size) * (int(180 // size) + 1)
+            left = side(counts, "a").withColumn("_c0b", F.explode(F.sequence(F.lit(0), F.lit(n_cells)).cast("array<bigint>")))
+            pairs = left.join(side(counts, "b"), "_c0b")
+        else:
+            pairs = survivors.join(side(counts, "a"), f"_c{i - 1}a").join(side(counts, "b"), f"_c{i - 1}b")
+        (lon_a, lat_a), (lon_b, lat_b) = center(C(f"_c{i}a"), size), center(C(f"_c{i}b"), size)
+        reach = 2.0 * 0.7072 * size * 111.2  # both cell radii in km, rounded up
+        pairs = pairs.withColumn("_km", haversine_km_atan(lon_a, lat_a, lon_b, lat_b)) \
+            .withColumn("_m", F.when(C(f"_c{i}a") == C(f"_c{i}b"), C("_na") * (C("_na") - 1)).otherwise(C("_na") * C("_nb")))
+        # floor: the largest distance step that `top` pairs surely reach; steps of 1 km keep the ladder short
+        ladder = pairs.where("_m > 0").groupBy(F.floor(C("_km") - reach).alias("_step")).agg(F.sum("_m").alias("_m"))
+        down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
+        floor_km = ladder.withColumn("_cum", F.sum("_m").over(down)).where(C("_cum") >= top).agg(F.max("_step").alias("_floor"))
+        kept = with_row(pairs, floor_km).where(C("_floor").isNull() | (C("_km") + reach >= C("_floor")))
+        survivors = kept.select(f"_c{i}a", f"_c{i}b")
+    last = len(levels) - 1
+    a, b = side(named, "a"), side(named, "b")
+    exact = survivors.join(a, f"_c{last}a").join(b, f"_c{last}b").where(C("_ida") != C("_idb"))
+    km = haversine_km_atan(C("lona"), C("lata"), C("lonb"), C("latb"))
+    return exact.select(C("_ida").alias("from_id"), C("_idb").alias("to_id"), km.alias("km")) \
+        .orderBy(F.desc("km"), "from_id", "to_id").limit(top)
+
+
+def named_pairs(pairs: DataFrame, places: DataFrame, key: str = "id") -> DataFrame:
+    """Distances of requested (from_id, to_id) pairs; `known` is false when either id is not in the catalogue."""
+    end = lambda tag: places.select(C(key).alias(f"{tag}_id"), C("lon").alias(f"{tag}_lon"), C("lat").alias(f"{tag}_lat"))
+    j = pairs.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left")
+    km = haversine_km_atan(C("from_lon"), C("from_lat"), C("to_lon"), C("to_lat"))
+    return j.select("from_id", "to_id", km.alias("km"), (C("from_lon").isNotNull() & C("to_lon").isNotNull()).alias("known"))
+
+
+def catalog_lookup(requests: DataFrame, catalog: DataFrame, on: list[str]) -> DataFrame:
+    """Case-insensitive key lookup."""
+    low = lambda df: df.select("*", *[F.lower(c).alias(f"_k_{c}") for c in on])
+    return low(requests).drop(*on).join(low(catalog), [f"_k_{c}" for c in on]).drop(*[f"_k_{c}" for c in on])
+
+
+def related_places(catalog: DataFrame, key: str, related: str, columns: list[str]) -> DataFrame:
+    """Existing related entries of every entry, in list order (column `rank`); unknown keys drop out."""
+    listed = catalog.select(C(key), F.posexplode(related).alias("rank", "_other")).withColumn("_o", F.lower("_other"))
+    other = catalog.select(F.lower(key).alias("_o"), *[C(c).alias(f"related_{c}") for c in columns])
+    return listed.join(other, "_o").drop("_o", "_other")
+
+
+def select_flowlines(lines: DataFrame, min_order: int) -> DataFrame:
+    """Named or high-order lines inside the network; the network rule is dropped when nothing would remain."""
+    named = C("name").isNotNull() | (F.coalesce("stream_order", F.lit(0)) >= min_order)
+    network = F.coalesce("in_network", F.lit(0)) == 1
+    chosen = lines.where(named).withColumn("_net", network)
+    any_net = chosen.agg(F.coalesce(F.bool_or("_net"), F.lit(False)).alias("_any"))
+    return with_row(chosen, any_net).where(C("_net") | ~C("_any")).drop("_net", "_any") \
+        .withColumn("label", F.coalesce("name", "ftype", F.lit("Mapped drainage")))
+
+
+def neighbor_any(cells: DataFrame, mask: str, out: str = "near") -> DataFrame:
+    """Does any of the 8 neighbours have the mask set? Only the set cells are fanned out."""
+    d = F.sequence(F.lit(-1), F.lit(1))
+    halo = cells.where(C(mask)).select(C("row").alias("_r"), C("col").alias("_c")) \
+        .withColumn("_dr", F.explode(d)).withColumn("_dc", F.explode(d)).where("_dr <> 0 OR _dc <> 0") \
+        .groupBy((C("_r") + C("_dr")).alias("row"), (C("_c") + C("_dc")).alias("col")).agg(F.lit(True).alias(out))
+    return cells.join(halo, ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def tile_edge_alignment(cells: DataFrame, last_col: int, tolerance: int = 5) -> DataFrame:
+    """Share of valid cell pairs within tolerance across each vertical tile border."""
+    right_edge = cells.where(C("col") == last_col).select("z", "y", "row", C("x"), C("v").alias("_a"))
+    left_edge = cells.where(C("col") == 0).select("z", "y", "row", (C("x") - 1).alias("x"), C("v").alias("_b"))
+    pairs = right_edge.join(left_edge, ["z", "x", "y", "row"]).where("_a IS NOT NULL AND _b IS NOT NULL")
+    near = F.count_if(F.abs(C("_a") - C("_b")) <= tolerance)
+    return pairs.groupBy("z", "x", "y").agg(F.count("*").alias("pairs"), (near / F.count("*")).alias("aligned")) \
+        .withColumn("passed", C("aligned") >= 0.9)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewater.operators.joins import with_row
 from tilewater.operators.ordered import Ordered
 
 METHODS = ("linear", "nearest", "floor", "index", "exclusive")
@@ -52,7 +53,7 @@ def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[st
     else:
         ranked = Ordered(counts, keys, ["_v"]).running_total("_c", "_cum").result()
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)  # totals is one row
+    ranked = ranked.join(totals, keys) if keys else with_row(ranked, totals)
     lo_edge, hi_edge, n = F.col("_cum") - F.col("_c"), F.col("_cum"), F.col("_n")
     picks, outs = [], []
     for i, (name, q) in enumerate(wanted.items()):

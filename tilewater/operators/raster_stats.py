@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewater.functions import values as V
+from tilewater.operators.joins import with_row
 
 C = F.col
 
@@ -84,7 +85,7 @@ def histogram_summary(hist: DataFrame, total_cells: DataFrame) -> DataFrame:
     for ft in V.REPORT_FEET:
         code = V.threshold_code(F.lit(float(ft)), "round")
         aggs.append(F.coalesce(F.sum(F.when(C("code") <= code, C("cells"))), F.lit(0)).alias(f"below_{ft}ft"))
-    s = ranked.agg(*aggs).crossJoin(total_cells)  # both sides are one row
+    s = with_row(ranked.agg(*aggs), total_cells)
     frac = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return s.select(
         "total_cells", "valid_cells", (C("total_cells") - C("valid_cells")).alias("nodata_cells"),

@@ -38,12 +38,12 @@ def _(t):
 
 @query("decode_elevation", "fx_grid", """
     WITH c AS (SELECT row, col, CASE WHEN v IS NULL THEN 65535 ELSE (v * 13) % 65535 END AS code FROM fx_grid)
-    SELECT row, col, CASE WHEN code <> 65535 THEN round(code / 65534e0 * 9500e0 - 500e0, 1) END AS metres FROM c""")
+    SELECT row, col, CASE WHEN code <> 65535 THEN round(cast(cast(code AS float) / cast(65534 AS float) * cast(9500 AS float)
+        - cast(500 AS float) AS double), 3) END AS metres FROM c""")
 def _(t):
     code = F.when(C("v").isNull(), 65535).otherwise((C("v") * 13) % 65535)
-    # single precision keeps about 3 decimals here; the twin works in double, so both report one decimal away from ties
     return t.grid().select("row", "col", code.alias("code")).select(
-        "row", "col", F.round(V.decode_elevation(C("code")).cast("double"), 1).alias("metres"))
+        "row", "col", F.round(V.decode_elevation(C("code")).cast("double"), 3).alias("metres"))
 
 
 @query("encode_hand", "fx_grid", """
