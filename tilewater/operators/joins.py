@@ -238,13 +238,21 @@ def select_flowlines(lines: DataFrame, min_order: int) -> DataFrame:
         .withColumn("label", F.coalesce("name", "ftype", F.lit("Mapped drainage")))
 
 
-def neighbor_any(cells: DataFrame, mask: str, out: str = "near") -> DataFrame:
-    """Does any of the 8 neighbours have the mask set? Only the set cells are fanned out."""
+def neighbor_any(cells: DataFrame, masks: dict[str, Column]) -> DataFrame:
+    """For each mask: is it set in any of the 8 neighbours? Outside the grid counts as not set.
+
+    Only cells with some mask set are fanned out, and the flags of all masks travel in one shuffle.
+    """
     d = F.sequence(F.lit(-1), F.lit(1))
-    halo = cells.where(C(mask)).select(C("row").alias("_r"), C("col").alias("_c")) \
-        .withColumn("_dr", F.explode(d)).withColumn("_dc", F.explode(d)).where("_dr <> 0 OR _dc <> 0") \
-        .groupBy((C("_r") + C("_dr")).alias("row"), (C("_c") + C("_dc")).alias("col")).agg(F.lit(True).alias(out))
-    return cells.join(halo, ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    flags = cells.select("row", "col", *[F.coalesce(m, F.lit(False)).alias(n) for n, m in masks.items()])
+    some = None
+    for n in masks:
+        some = C(n) if some is None else some | C(n)
+    halo = flags.where(some).withColumn("_dr", F.explode(d)).withColumn("_dc", F.explode(d)).where("_dr <> 0 OR _dc <> 0") \
+        .groupBy((C("row") + C("_dr")).alias("row"), (C("col") + C("_dc")).alias("col")) \
+        .agg(*[F.bool_or(n).alias(n) for n in masks])
+    j = cells.join(halo, ["row", "col"], "left")
+    return j.withColumns({n: F.coalesce(n, F.lit(False)) for n in masks})
 
 
 def tile_edge_alignment(cells: DataFrame, last_col: int, tolerance: int = 5) -> DataFrame:

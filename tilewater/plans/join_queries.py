@@ -157,13 +157,11 @@ def _(t):
 
 
 @query("neighbor_any", "fx_grid", """
-    SELECT g.row, g.col, EXISTS (SELECT 1 FROM fx_grid n WHERE n.stream_mask AND n.row BETWEEN g.row - 1 AND g.row + 1
-        AND n.col BETWEEN g.col - 1 AND g.col + 1 AND (n.row <> g.row OR n.col <> g.col)) AS near
-    FROM fx_grid g""".replace("EXISTS (SELECT 1 FROM fx_grid n WHERE n.stream_mask AND n.row BETWEEN g.row - 1 AND g.row + 1\n        AND n.col BETWEEN g.col - 1 AND g.col + 1 AND (n.row <> g.row OR n.col <> g.col))",
-    "h.row IS NOT NULL").replace("FROM fx_grid g", """FROM fx_grid g LEFT JOIN (SELECT DISTINCT row + dr AS row, col + dc AS col FROM fx_grid,
-        (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE stream_mask AND (dr <> 0 OR dc <> 0)) h ON h.row = g.row AND h.col = g.col"""))
+    WITH h AS (SELECT DISTINCT row + dr AS row, col + dc AS col FROM fx_grid, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)
+               WHERE stream_mask AND (dr <> 0 OR dc <> 0))
+    SELECT g.row, g.col, h.row IS NOT NULL AS near FROM fx_grid g LEFT JOIN h ON h.row = g.row AND h.col = g.col""")
 def _(t):
-    return J.neighbor_any(t.grid().select("row", "col", "stream_mask"), "stream_mask").select("row", "col", "near")
+    return J.neighbor_any(t.grid().select("row", "col", "stream_mask"), {"near": C("stream_mask")}).select("row", "col", "near")
 
 
 @query("tile_edge_alignment", "fx_tile_cells", """
