@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewater.operators.neighborhood import with_neighbors
+
 C = F.col
 
 
@@ -59,7 +61,7 @@ def overview_pyramid(cells: DataFrame, levels: int) -> DataFrame:
     A cell at (row, col) appears in every level up to the number of times 2 divides both indices.
     """
     level = F.explode(F.sequence(F.lit(1), F.lit(levels)))
-    step = F.shiftleft(F.lit(1), C("level"))
+    step = F.pow(F.lit(2), C("level")).cast("int")
     return cells.where("row % 2 = 0 AND col % 2 = 0").withColumn("level", level).withColumn("_s", step) \
         .where((C("row") % C("_s") == 0) & (C("col") % C("_s") == 0)) \
         .withColumn("row", F.floor(C("row") / C("_s")).cast("int")).withColumn("col", F.floor(C("col") / C("_s")).cast("int")).drop("_s")
@@ -77,28 +79,22 @@ def relief_height(elevation: Column, low: Column, span: Column, exaggeration: fl
     return (t - 0.42) * 0.58 * exaggeration
 
 
-def surface_gradient(cells: DataFrame, n_rows: Column, n_cols: Column, flat: float) -> DataFrame:
-    """Unit normal and downhill direction from the four neighbours, edges clamped.
+def surface_gradient(cells: DataFrame, flat: float) -> DataFrame:
+    """Unit normal (nx, ny, nz) and downhill direction (fx, fy) from the four neighbours.
 
-    `cells` has row, col, v (height, may be NULL). Columns: nx, ny, nz, fx, fy.
+    A side outside the grid takes the cell's own height; a NODATA side adds nothing to the downhill direction.
     """
-    me = cells.select("row", "col", "v", n_rows.alias("_nr"), n_cols.alias("_nc"))
-    side = lambda dr, dc, tag: cells.select((C("row") - dr).alias("row"), (C("col") - dc).alias("col"), C("v").alias(tag))
-    j = me.join(side(0, -1, "_l"), ["row", "col"], "left").join(side(0, 1, "_r"), ["row", "col"], "left") \
-          .join(side(-1, 0, "_u"), ["row", "col"], "left").join(side(1, 0, "_d"), ["row", "col"], "left")
-    edge = lambda cond, tag: F.when(cond, C("v")).otherwise(C(tag))
-    l, r = edge(C("col") == 0, "_l"), edge(C("col") == C("_nc") - 1, "_r")
-    u, d = edge(C("row") == 0, "_u"), edge(C("row") == C("_nr") - 1, "_d")
-    j = j.select("row", "col", l.alias("l"), r.alias("r"), u.alias("u"), d.alias("d"))
-    # normal: (l - r, flat, u - d) scaled to length one
-    len3 = F.sqrt((C("l") - C("r")) ** 2 + F.lit(flat) ** 2 + (C("u") - C("d")) ** 2)
-    gx = -F.coalesce(C("r") - C("l"), F.lit(0.0))
-    gy = -F.coalesce(C("d") - C("u"), F.lit(0.0))
-    len2 = F.sqrt(gx * gx + gy * gy)
-    still = len2 < 0.0001
-    return j.select("row", "col", ((C("l") - C("r")) / len3).alias("nx"), (F.lit(flat) / len3).alias("ny"),
-                    ((C("u") - C("d")) / len3).alias("nz"),
-                    F.when(still, 0.72).otherwise(gx / len2).alias("fx"), F.when(still, 0.36).otherwise(gy / len2).alias("fy"))
+    n = with_neighbors(cells.select("row", "col", "v"), "v")
+    side = lambda name: F.when(C(name).isNull(), C("v")).otherwise(C(f"{name}.v"))
+    j = n.select("row", "col", side("n_w").alias("l"), side("n_e").alias("r"), side("n_n").alias("u"), side("n_s").alias("d"))
+    j = j.withColumn("_gx", F.coalesce(C("l") - C("r"), F.lit(0.0))).withColumn("_gy", F.coalesce(C("u") - C("d"), F.lit(0.0))) \
+        .withColumn("_len3", F.sqrt((C("l") - C("r")) ** 2 + F.lit(flat) ** 2 + (C("u") - C("d")) ** 2)) \
+        .withColumn("_len2", F.sqrt(C("_gx") ** 2 + C("_gy") ** 2))
+    still = C("_len2") < 0.0001
+    return j.select("row", "col", ((C("l") - C("r")) / C("_len3")).alias("nx"), (F.lit(flat) / C("_len3")).alias("ny"),
+                    ((C("u") - C("d")) / C("_len3")).alias("nz"),
+                    F.when(still, 0.72).otherwise(C("_gx") / C("_len2")).alias("fx"),
+                    F.when(still, 0.36).otherwise(C("_gy") / C("_len2")).alias("fy"))
 
 
 def banded_blocks(cells: DataFrame, band_rows: int, overlap: int) -> DataFrame:
