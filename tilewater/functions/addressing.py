@@ -171,7 +171,7 @@ def tile_key(z: Column, x: Column, y: Column, sep: str = "/") -> Column:
 
 
 def tile_valid(z: Column, x: Column, y: Column, zmin: int, zmax: int) -> Column:
-    n = F.pow(F.lit(2.0), F.greatest(F.least(z, F.lit(30)), F.lit(0)))
+    n = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.least(z, F.lit(30)), F.lit(0)))
     return z.between(zmin, zmax) & (x >= 0) & (x < n) & (y >= 0) & (y < n)
 
 

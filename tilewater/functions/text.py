@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fixed1(v: Column) -> Column:
-    """One-decimal text of a double exactly as C printf gives it.
+def tenths(v: Column) -> Column:
+    """Ten times the value as a whole double, rounded as C printf rounds one decimal (binary value, half to even).
 
-    `format_string` rounds the shortest decimal form half up (0.25 -> 0.3); printf rounds the binary value half to even
-    (0.25 -> 0.2, 1.45 -> 1.4). The error of the product 10v is recovered exactly as (8v - p) + 2v and settles apparent
-    ties, so no Python function is needed.
+    The error of the product 10v is recovered exactly as (8v - p) + 2v and settles apparent ties.
     """
     p = v * 10.0
     err = (v * 8.0 - p) + v * 2.0
     tie = (p - F.floor(p) == 0.5) & (err != 0)
-    tenths = F.when(tie, F.floor(p) + (err > 0).cast("double")).otherwise(F.rint(p))
-    return F.format_string("%.1f", tenths / 10.0)
+    return F.when(tie, F.floor(p) + (err > 0).cast("double")).otherwise(F.rint(p))
+
+
+def fixed1(v: Column) -> Column:
+    """One-decimal text of a double exactly as C printf gives it.
+
+    `format_string` alone rounds the shortest decimal form half up: 0.25 -> 0.3 and 1.45 -> 1.5 where printf has 0.2 and 1.4.
+    """
+    return F.format_string("%.1f", tenths(v) / 10.0)
 
 
 # ---- sizes ------------------------------------------------------------------------------------
@@ -227,6 +232,23 @@ LOW_ZOOM_MAX = 8
 LOW_ZOOM_LAYERS = {"water": ["class"], "waterway": ["class"], "transportation": []}
 
 
+def _json_length(props: Column) -> Column:
+    """Length of a flat text map written as JSON: quotes, colons and commas add six per entry."""
+    texts = F.length(F.concat_ws("", F.map_keys(props), F.map_values(props)))
+    return F.when(F.size(props) == 0, 2).otherwise(texts + F.size(props) * 6 + 1)
+
+
+def _allowed(props: Column, layer: Column) -> Column:
+    """The entries of `props` that the allow-list of the layer names."""
+    empty = F.create_map().cast("map<string,string>")
+    maps = []
+    for key in sorted({k for keys in LOW_ZOOM_LAYERS.values() for k in keys}):
+        layers = [name for name, keys in LOW_ZOOM_LAYERS.items() if key in keys]
+        has = layer.isin(*layers) & F.map_contains_key(props, key)
+        maps.append(F.when(has, F.create_map(F.lit(key), F.try_element_at(props, F.lit(key)))).otherwise(empty))
+    return maps[0] if len(maps) == 1 else F.map_concat(*maps)
+
+
 def feature_prune(features: DataFrame) -> DataFrame:
     """Low-zoom features keep three layers and an allow-list of properties; other zooms pass unchanged.
 
@@ -237,9 +259,8 @@ def feature_prune(features: DataFrame) -> DataFrame:
     tile = ["z", "x", "y"]
     low = C("z") <= LOW_ZOOM_MAX
     kept = C("layer").isin(*LOW_ZOOM_LAYERS) & C("geometry").isNotNull()
-    props = F.map_filter("props", lambda k, v: (k == "class") & C("layer").isin("water", "waterway"))
-    cost = lambda p: F.length(F.to_json(p)) + F.length(F.coalesce("geometry", F.lit("")))
-    sized = features.withColumn("_kept", kept).withColumn("_props", props)
+    cost = lambda p: _json_length(p) + F.length(F.coalesce("geometry", F.lit("")))
+    sized = features.withColumn("_kept", kept).withColumn("_props", _allowed(C("props"), C("layer")))
     use = sized.groupBy(*tile).agg(
         F.sum(F.when(C("_kept"), cost(C("_props")))).alias("_small"), F.sum(cost(C("props"))).alias("_full"))
     j = sized.join(use, tile).withColumn("_use", low & C("_small").isNotNull() & (C("_small") < C("_full")))

@@ -28,12 +28,11 @@ NO_FLOW = 0
 def flow_direction_d8(cells: DataFrame, value: str = "v") -> DataFrame:
     """Steepest downhill neighbour as a direction code; the lowest code wins ties, 0 where nothing is lower."""
     n = with_neighbors(cells, value)
-    options = []
-    for name, (_, _, dist, code) in NEIGHBORS.items():
-        drop = (C(value) - C(f"{name}.v")) / dist
-        options.append(F.when(drop > 0, F.struct(drop.alias("s"), F.lit(-code).alias("d"))))
-    best = F.greatest(*options)  # steepest first, then the lowest code because it is negated
-    return n.select(*cells.columns, F.when(C(value).isNotNull(), F.coalesce(-best["d"], F.lit(NO_FLOW))).alias("dir"))
+    slopes = {f"_s{code}": (C(value) - C(name)) / dist for name, (_, _, dist, code) in NEIGHBORS.items()}
+    n = n.withColumns(slopes).withColumn("_best", F.greatest(*slopes))
+    steepest = F.coalesce(*[F.when(C(f"_s{code}") == C("_best"), code) for code in sorted(STEPS)])
+    best = F.when(C("_best") > 0, steepest).otherwise(NO_FLOW)
+    return n.select(*cells.columns, F.when(C(value).isNotNull(), best).alias("dir"))
 
 
 # ---- inside a block ---------------------------------------------------------------------------
@@ -232,7 +231,7 @@ def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0, max_
     n = with_neighbors(cells.select("row", "col", C("v").cast("double").alias("v")), "v")
     open_side = F.lit(False)
     for name in NEIGHBORS:
-        open_side = open_side | C(f"{name}.v").isNull()
+        open_side = open_side | C(name).isNull()
     inf = F.lit(float("inf"))
     state = cut(n.where("v IS NOT NULL").select("row", "col", "v", F.when(open_side, C("v")).otherwise(inf).alias("w")))
     d = F.sequence(F.lit(-1), F.lit(1))

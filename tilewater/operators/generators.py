@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
 from tilewater.functions import geodesy as G
-from tilewater.functions.text import fixed1
 
 C = F.col
 
@@ -90,38 +89,26 @@ LEVEL_STEPS = (0.5, -0.5, 1.0, -1.0)
 LEVEL_RANGE = (-10.0, 50.0)
 
 
-def predict_tiles(requests: DataFrame, key: str, extra: Column | None = None) -> DataFrame:
-    """Prefetch list per request: ring of 8, 4 children, parent, 4 water levels, then `extra`; first 20 distinct.
+def predict_tiles(requests: DataFrame, key: str, pan: Column | None = None) -> DataFrame:
+    """Prefetch list per request: ring of 8, 4 children, parent, 4 water levels, then `pan` (struct<x,y>, may be NULL).
 
-    A request fans out to at most 18 rows, all built inside the row; de-duplication and the cut are per request,
-    done on the row's own array, so no shuffle is needed.
+    The first 17 differ from each other and from the request by construction (other tile, or a level half a metre away),
+    so only the pan tile can repeat: it does when it is the request itself or in the ring. The list never exceeds
+    20 entries and is built inside the row, so nothing is shuffled.
     """
     z, x, y, w = C("z"), C("x"), C("y"), C("water_level_m")
-
-    def cand(cz: Column, cx: Column, cy: Column, cw: Column, ok: Column) -> Column:
-        valid = ok & A.tile_valid(cz, cx, cy, *PRELOAD_ZOOMS)
-        return F.when(valid, F.struct(cz.cast("int").alias("pz"), cx.cast("int").alias("px"), cy.cast("int").alias("py"),
-                                      cw.alias("pw"), fixed1(cw).alias("pw1")))
-
-    yes = F.lit(True)
-    items = [cand(z, x + dx, y + dy, w, yes) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    items += [cand(z + 1, x * 2 + dx, y * 2 + dy, w, z < PRELOAD_ZOOMS[1]) for dx in (0, 1) for dy in (0, 1)]
-    items += [cand(z - 1, A.ancestor(x, 1), A.ancestor(y, 1), w, z > PRELOAD_ZOOMS[0])]
+    item = lambda cz, cx, cy, cw: F.struct(cz.cast("int").alias("pz"), cx.cast("int").alias("px"), cy.cast("int").alias("py"), cw.alias("pw"))
+    tile = lambda cz, cx, cy, ok=F.lit(True): F.when(ok & A.tile_valid(cz, cx, cy, *PRELOAD_ZOOMS), item(cz, cx, cy, w))
+    items = [tile(z, x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    items += [tile(z + 1, x * 2 + dx, y * 2 + dy, z < PRELOAD_ZOOMS[1]) for dx in (0, 1) for dy in (0, 1)]
+    items += [tile(z - 1, A.ancestor(x, 1), A.ancestor(y, 1), z > PRELOAD_ZOOMS[0])]
     # water-level variants keep the tile as requested, valid zoom or not
-    items += [F.when((w + s).between(*LEVEL_RANGE), F.struct(z.alias("pz"), x.alias("px"), y.alias("py"), (w + s).alias("pw"),
-                                                             fixed1(w + s).alias("pw1")))
-              for s in LEVEL_STEPS]
-    if extra is not None:
-        items.append(extra)
-    all_items = F.filter(F.array(*items), lambda i: i.isNotNull())
-    same = lambda a, b: (a["pz"] == b["pz"]) & (a["px"] == b["px"]) & (a["py"] == b["py"]) & (a["pw1"] == b["pw1"])
-    me = F.struct(z.alias("pz"), x.alias("px"), y.alias("py"), fixed1(w).alias("pw1"))
-    distinct = F.filter(
-        C("_all"),
-        lambda i, n: ~same(i, C("_me")) & ~F.exists(F.slice(C("_all"), F.lit(1), n), lambda j: same(i, j)))
-    return requests.withColumn("_all", all_items).withColumn("_me", me) \
-        .select(key, F.posexplode(F.slice(distinct, 1, PRELOAD_LIMIT)).alias("rank", "p")) \
-        .select(key, "rank", "p.pz", "p.px", "p.py", "p.pw")
+    items += [F.when((w + s).between(*LEVEL_RANGE), item(z, x, y, w + s)) for s in LEVEL_STEPS]
+    if pan is not None:
+        far = F.greatest(F.abs(pan["x"] - x), F.abs(pan["y"] - y)) > 1
+        items.append(tile(z, pan["x"], pan["y"], pan.isNotNull() & far))
+    return requests.select(key, F.posexplode(F.array_compact(F.array(*items))).alias("rank", "p")) \
+        .where(C("rank") < PRELOAD_LIMIT).select(key, "rank", "p.pz", "p.px", "p.py", "p.pw")
 
 
 # Viewport prefetch rules.

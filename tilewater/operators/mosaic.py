@@ -27,12 +27,15 @@ def lanczos_weights(src: int, dst: int, lobes: int = 3) -> np.ndarray:
 
 
 def resize_masked(values: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Resize with NaN as missing: value times mask and mask are resized apart and divided, so gaps do not bleed."""
+    """Resize with NaN as missing: value times mask and mask are resized apart and divided, so gaps do not bleed.
+
+    The quotient is rounded to single precision, so that a constant stays that constant when it is truncated later.
+    """
     mask = np.isfinite(values).astype(np.float32)
     ky, kx = lanczos_weights(values.shape[0], height), lanczos_weights(values.shape[1], width)
     num, den = ky @ (np.nan_to_num(values) * mask) @ kx.T, ky @ mask @ kx.T
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(den > 1e-6, num / den, np.nan)
+        return np.where(den > 1e-6, num / den, np.nan).astype(np.float32)
 
 
 def _window(low: float, high: float, a: float, b: float, n: int) -> tuple[int, int]:

@@ -14,23 +14,30 @@ NEIGHBORS = {
 }
 
 
-def with_neighbors(cells: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Add n_e .. n_ne: struct<v> of each neighbour, NULL struct outside the grid.
+def with_neighbors(cells: DataFrame, value: str, keys: list[str] | None = None, sides: bool = False) -> DataFrame:
+    """Add n_e .. n_ne: the neighbours' values, NULL for NODATA and outside the grid.
 
+    `sides` also adds has_w, has_e, has_n, has_s: is there a cell at all on that side?
     The grid must be dense (NODATA as NULL values, not as missing rows). Left and right come from a window along the
-    row; the triple (left, self, right) of the rows above and below comes from a window along the column. A
-    window group is one raster row or column, so its size is bounded by the raster's width or height.
+    row; the same three values of the rows above and below come from a window along the column. A window
+    group is one raster row or column, so its size is bounded by the raster's width or height.
     """
     keys = list(keys or [])
     along_row = Window.partitionBy(*keys, "row").orderBy("col")
     along_col = Window.partitionBy(*keys, "col").orderBy("row")
-    me = F.struct(C(value).alias("v"))
 
-    def step(fn, index: str, by: int, what: Column, w) -> Column:
+    def step(fn, index: str, by: int, what: str, w) -> Column:
         return F.when(fn(index).over(w) == C(index) + by, fn(what).over(w))
 
-    one = cells.withColumn("n_w", step(F.lag, "col", -1, me, along_row)).withColumn("n_e", step(F.lead, "col", 1, me, along_row))
-    trip = F.struct(C("n_w").alias("a"), me.alias("b"), C("n_e").alias("c"))
-    two = one.withColumn("_up", step(F.lag, "row", -1, trip, along_col)).withColumn("_dn", step(F.lead, "row", 1, trip, along_col))
-    return two.withColumns({"n_nw": C("_up.a"), "n_n": C("_up.b"), "n_ne": C("_up.c"),
-                            "n_sw": C("_dn.a"), "n_s": C("_dn.b"), "n_se": C("_dn.c")}).drop("_up", "_dn")
+    out = cells.withColumns({"n_w": step(F.lag, "col", -1, value, along_row), "n_e": step(F.lead, "col", 1, value, along_row)})
+    extra = {}
+    if sides:
+        out = out.withColumns({"has_w": F.coalesce(F.lag("col").over(along_row) == C("col") - 1, F.lit(False)),
+                               "has_e": F.coalesce(F.lead("col").over(along_row) == C("col") + 1, F.lit(False))})
+        extra = {"has_n": F.coalesce(F.lag("row").over(along_col) == C("row") - 1, F.lit(False)),
+                 "has_s": F.coalesce(F.lead("row").over(along_col) == C("row") + 1, F.lit(False))}
+    vertical = {}
+    for tag, fn, by in (("n", F.lag, -1), ("s", F.lead, 1)):
+        for name, source in ((f"n_{tag}w", "n_w"), (f"n_{tag}", value), (f"n_{tag}e", "n_e")):
+            vertical[name] = step(fn, "row", by, source, along_col)
+    return out.withColumns({**vertical, **extra})

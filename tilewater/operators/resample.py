@@ -84,9 +84,9 @@ def surface_gradient(cells: DataFrame, flat: float) -> DataFrame:
 
     A side outside the grid takes the cell's own height; a NODATA side adds nothing to the downhill direction.
     """
-    n = with_neighbors(cells.select("row", "col", "v"), "v")
-    side = lambda name: F.when(C(name).isNull(), C("v")).otherwise(C(f"{name}.v"))
-    j = n.select("row", "col", side("n_w").alias("l"), side("n_e").alias("r"), side("n_n").alias("u"), side("n_s").alias("d"))
+    n = with_neighbors(cells.select("row", "col", "v"), "v", sides=True)
+    side = lambda d: F.when(C(f"has_{d}"), C(f"n_{d}")).otherwise(C("v"))
+    j = n.select("row", "col", side("w").alias("l"), side("e").alias("r"), side("n").alias("u"), side("s").alias("d"))
     j = j.withColumn("_gx", F.coalesce(C("l") - C("r"), F.lit(0.0))).withColumn("_gy", F.coalesce(C("u") - C("d"), F.lit(0.0))) \
         .withColumn("_len3", F.sqrt((C("l") - C("r")) ** 2 + F.lit(flat) ** 2 + (C("u") - C("d")) ** 2)) \
         .withColumn("_len2", F.sqrt(C("_gx") ** 2 + C("_gy") ** 2))

@@ -13,7 +13,7 @@ from tilewater.plans.raster_queries import _round
 from tilewater.plans.registry import query
 
 C = F.col
-BLOCK = 32
+BLOCK = 64
 _M = "20037508.342789244e0"
 _SPAN = f"(2e0 * {_M} / pow(2e0, z))"
 

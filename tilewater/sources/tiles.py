@@ -81,7 +81,7 @@ def decode_dem(tiles: DataFrame, keep: list[str], as_bytes: bool = False) -> Dat
 def read_dem_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """Folder of `.zst` rasters with `.json` sidecars of the same stem."""
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(folder).select(_stem(C("path")).alias("tile_id"), "content")
-    notes = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder) \
+    notes = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json") \
         .select(_stem(F.input_file_name()).alias("tile_id"), C("value").alias("sidecar"))
     return decode_dem(blobs.join(notes, "tile_id"), ["tile_id"])
 
