@@ -1,28 +1,32 @@
-"""Drainage on cell tables: depression filling, D8 directions, upstream area, height above nearest drainage.
+"""Drainage: depression filling, D8 directions, upstream area, height above nearest drainage.
 
-A raster is cut into square blocks. Inside a block the flow is followed with NumPy (one grouped-map call per block, size
-bounded by the block). Between blocks only border cells matter: each exit cell points to the exit its water takes next,
-and that small graph is contracted by pointer doubling with joins, log2(longest chain) rounds. Drainage
-therefore crosses any number of blocks without an overlap guess, and no full-raster join is iterated.
-Every round is checkpointed, so lost executors repeat at most one round.
+A raster is cut into square blocks and each block travels as one row with its layers as bytes, so a step moves compact
+arrays instead of one row per cell. Inside a block the flow is followed with NumPy. Between blocks only border cells
+matter: each exit cell points to the exit its water takes next, and that small graph is contracted by pointer doubling
+with joins, log2(longest chain) rounds. Drainage therefore crosses any number of blocks without an overlap
+guess, and no join over all cells is ever repeated. Every round is checkpointed, so lost executors repeat one round.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewater.operators.joins import with_row
 from tilewater.operators.neighborhood import NEIGHBORS, with_neighbors
 from tilewater.session import cut
 
 C = F.col
 
 STEPS = {code: (dr, dc) for dr, dc, _, code in NEIGHBORS.values()}
+DISTANCE = {code: dist for _, _, dist, code in NEIGHBORS.values()}
 NO_FLOW = 0
+MAX_ROUNDS = 64  # chains of up to 2^64 exits
 
 
 def flow_direction_d8(cells: DataFrame, value: str = "v") -> DataFrame:
@@ -35,35 +39,126 @@ def flow_direction_d8(cells: DataFrame, value: str = "v") -> DataFrame:
     return n.select(*cells.columns, F.when(C(value).isNotNull(), best).alias("dir"))
 
 
+# ---- block layout -----------------------------------------------------------------------------
+
+#: layer kind -> (numpy type, value of an absent cell, Spark type)
+KINDS = {"real": ("<f8", np.nan, "double"), "code": ("<i2", -1, "int"), "flag": ("|b1", False, "boolean")}
+
+
+def to_blocks(cells: DataFrame, size: int, layers: dict[str, str]) -> DataFrame:
+    """Cells -> one row per block (br, bc) with each layer (name -> kind) as bytes, row by row."""
+    blank = {"code": F.lit(-1), "flag": F.lit(False)}
+    cols = [C(n).cast(KINDS[k][2]) if k == "real" else F.coalesce(C(n).cast(KINDS[k][2]), blank[k]) for n, k in layers.items()]
+    keyed = cells.select(F.floor(C("row") / size).cast("int").alias("br"), F.floor(C("col") / size).cast("int").alias("bc"),
+                         (F.pmod(C("row"), F.lit(size)) * size + F.pmod(C("col"), F.lit(size))).cast("int").alias("slot"),
+                         *[c.alias(n) for c, n in zip(cols, layers)])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"br": [pdf["br"].iloc[0]], "bc": [pdf["bc"].iloc[0]]}
+        for n, k in layers.items():
+            a = np.full(size * size, KINDS[k][1], dtype=KINDS[k][0])
+            a[pdf["slot"].to_numpy()] = pdf[n].to_numpy()
+            out[n] = [a.tobytes()]
+        return pd.DataFrame(out)
+
+    return keyed.groupBy("br", "bc").applyInPandas(pack, "br int, bc int, " + ", ".join(f"{n} binary" for n in layers))
+
+
+def each_block(blocks: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply `fn` to one block row at a time, without a shuffle. Spark bounds an Arrow batch by bytes, so a task holds few blocks."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i in range(len(pdf)):
+                yield fn(pdf.iloc[i])
+
+    return blocks.mapInPandas(run, schema)
+
+
+def to_cells(blocks: DataFrame, size: int, layers: dict[str, str], where: str) -> DataFrame:
+    """Block layers -> cells; only cells whose `where` layer (kind real) is present."""
+    def unpack(b: pd.Series) -> pd.DataFrame:
+        data = {n: np.frombuffer(b[n], dtype=KINDS[k][0]) for n, k in layers.items()}
+        at = np.flatnonzero(np.isfinite(data[where]))
+        return pd.DataFrame({"row": at // size + b["br"] * size, "col": at % size + b["bc"] * size, **{n: a[at] for n, a in data.items()}})
+
+    schema = "row int, col int, " + ", ".join(f"{n} {KINDS[k][2]}" for n, k in layers.items())
+    c = each_block(blocks.select("br", "bc", *layers), unpack, schema)
+    return c.withColumns({n: F.when(~F.isnan(n), C(n)) for n, k in layers.items() if k == "real"})
+
+
+def _add(blocks: DataFrame, fn: Callable[[pd.Series], dict[str, bytes]], new: list[str]) -> DataFrame:
+    """Blocks with the layers `new` computed by `fn`, replacing layers of the same name; list columns are used up."""
+    kept = [n for n, t in blocks.dtypes if t == "binary" and n not in new]
+
+    def run(b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"br": [b["br"]], "bc": [b["bc"]], **{n: [b[n]] for n in kept}, **{n: [v] for n, v in fn(b).items()}})
+
+    return each_block(blocks, run, "br int, bc int, " + ", ".join(f"{n} binary" for n in [*kept, *new]))
+
+
+def _by_block(rows: DataFrame, size: int, value: str, name: str) -> DataFrame:
+    """Values of border cells (row, col, value) as one list per block; a block has at most 4 * size border cells."""
+    slot = F.pmod(C("row"), F.lit(size)) * size + F.pmod(C("col"), F.lit(size))
+    return rows.groupBy(F.floor(C("row") / size).cast("int").alias("br"), F.floor(C("col") / size).cast("int").alias("bc")) \
+        .agg(F.collect_list(F.struct(slot.cast("int").alias("slot"), C(value).alias("value"))).alias(name))
+
+
+def _with_ring(blocks: DataFrame, size: int, layer: str) -> DataFrame:
+    """Add `ring`: (row, col, value) of the finite cells that touch the block from outside."""
+    edge = np.zeros((size, size), dtype=bool)
+    edge[[0, -1], :] = edge[:, [0, -1]] = True
+    edge = np.flatnonzero(edge)
+
+    def border(b: pd.Series) -> pd.DataFrame:
+        v = np.frombuffer(b[layer], dtype="<f8")
+        at = edge[np.isfinite(v[edge])]
+        return pd.DataFrame({"row": at // size + b["br"] * size, "col": at % size + b["bc"] * size, "value": v[at]})
+
+    cells = each_block(blocks.select("br", "bc", layer), border, "row int, col int, value double")
+    d = F.sequence(F.lit(-1), F.lit(1))
+    near = lambda c: F.array_distinct(F.transform(d, lambda s: F.floor((C(c) + s) / size).cast("int")))
+    outside = cells.withColumn("br", F.explode(near("row"))).withColumn("bc", F.explode(near("col"))) \
+        .where((C("br") != F.floor(C("row") / size)) | (C("bc") != F.floor(C("col") / size)))
+    ring = outside.groupBy("br", "bc").agg(F.collect_list(F.struct("row", "col", "value")).alias("ring"))
+    return blocks.join(ring, ["br", "bc"], "left")
+
+
+def _padded(b: pd.Series, layer: str, size: int, fill: float) -> np.ndarray:
+    """Block layer with a frame of one cell, ring values filled in."""
+    out = np.full((size + 2, size + 2), fill)
+    out[1:-1, 1:-1] = np.frombuffer(b[layer], dtype="<f8").reshape(size, size)
+    if b["ring"] is not None:
+        for p in b["ring"]:
+            out[p["row"] - b["br"] * size + 1, p["col"] - b["bc"] * size + 1] = p["value"]
+    return out
+
+
 # ---- inside a block ---------------------------------------------------------------------------
 
-class _Block:
+class _Flow:
     """Flow graph of one block: local index of the next cell, -1 where the path leaves the block or ends."""
 
-    def __init__(self, pdf: pd.DataFrame, size: int) -> None:
-        self.row, self.col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        self.r0, self.c0 = self.row.min() // size * size, self.col.min() // size * size
-        slot = (self.row - self.r0) * size + (self.col - self.c0)
-        where = np.full(size * size, -1, dtype=np.int64)
-        where[slot] = np.arange(len(pdf))
-        d = pdf["dir"].fillna(NO_FLOW).to_numpy().astype(np.int64)
+    def __init__(self, b: pd.Series, size: int) -> None:
+        code = np.frombuffer(b["dir"], dtype="<i2").astype(np.int64)
+        self.here = code >= 0
         table = np.zeros((129, 2), dtype=np.int64)
-        for code, step in STEPS.items():
-            table[code] = step
-        self.to_row, self.to_col = self.row + table[d, 0], self.col + table[d, 1]
-        lr, lc = self.to_row - self.r0, self.to_col - self.c0
-        inside = (d != NO_FLOW) & (lr >= 0) & (lr < size) & (lc >= 0) & (lc < size)
-        self.next = np.full(len(pdf), -1, dtype=np.int64)
-        self.next[inside] = where[(lr * size + lc)[inside]]
-        self.leaves = (d != NO_FLOW) & ~inside
-        rr, cc = self.row - self.r0, self.col - self.c0
-        self.border = (rr == 0) | (rr == size - 1) | (cc == 0) | (cc == size - 1)
+        for k, step in STEPS.items():
+            table[k] = step
+        flow = np.where(code > 0, code, 0)
+        r, c = np.divmod(np.arange(size * size), size)
+        tr, tc = r + table[flow, 0], c + table[flow, 1]
+        inside = (flow > 0) & (tr >= 0) & (tr < size) & (tc >= 0) & (tc < size)
+        self.next = np.where(inside, tr * size + tc, -1)
+        self.leaves = (flow > 0) & ~inside
+        self.border = self.here & ((r == 0) | (r == size - 1) | (c == 0) | (c == size - 1))
+        self.row, self.col = r + b["br"] * size, c + b["bc"] * size
+        self.to_row, self.to_col = tr + b["br"] * size, tc + b["bc"] * size
 
     def accumulate(self, weight: np.ndarray) -> np.ndarray:
         """Weight of each cell plus everything upstream inside the block, peeled from the ridges down."""
-        total = weight.astype(np.float64).copy()
+        total = np.where(self.here, weight, 0.0)
         waiting = np.bincount(self.next[self.next >= 0], minlength=len(total))
-        front = np.flatnonzero(waiting == 0)
+        front = np.flatnonzero((waiting == 0) & self.here)
         while front.size:
             src = front[self.next[front] >= 0]
             dst = self.next[src]
@@ -82,194 +177,226 @@ class _Block:
                 return p
             p = q
 
+    def border_rows(self, end: np.ndarray, onward: np.ndarray, name: str, value: np.ndarray) -> pd.DataFrame:
+        """Border cells with where their water leaves next (`nrow`, `ncol`, -1 when it does not leave)."""
+        k = self.border
+        return pd.DataFrame({
+            "row": self.row[k], "col": self.col[k], "leaves": self.leaves[k], "to_row": self.to_row[k], "to_col": self.to_col[k],
+            "nrow": np.where(onward, self.row[end], -1)[k], "ncol": np.where(onward, self.col[end], -1)[k], name: value[k]})
 
-def _blocks(cells: DataFrame, size: int) -> DataFrame:
-    return cells.withColumn("_br", F.floor(C("row") / size).cast("int")).withColumn("_bc", F.floor(C("col") / size).cast("int"))
-
-
-# ---- between blocks ---------------------------------------------------------------------------
 
-def _still_linked(exits: DataFrame) -> bool:
-    return not exits.where("nrow IS NOT NULL").isEmpty()
+_BORDER = "row int, col int, leaves boolean, to_row int, to_col int, nrow int, ncol int, "
 
 
-def _double(exits: DataFrame, carry) -> DataFrame:
-    """One round of pointer doubling on (row, col, nrow, ncol, ...). `carry(exits, next_of)` joins the payload."""
-    nxt = exits.select(C("row").alias("nrow"), C("col").alias("ncol"), *[C(c).alias(f"_2{c}") for c in exits.columns if c not in ("row", "col")])
-    return cut(carry(exits, nxt))
+# ---- between blocks ---------------------------------------------------------------------------
 
+def _exit_links(border: DataFrame, own: list[str], taken: list[str]) -> DataFrame:
+    """Exit cells with the next exit of their water: what the entry cell in the next block points to.
 
-MAX_ROUNDS = 64  # chains of up to 2^64 exits
-
+    `own` columns come from the exit cell, `taken` columns from the entry cell.
+    """
+    real = lambda c: F.when(C(c) >= 0, C(c)).alias(c)
+    entry = border.select(C("row").alias("to_row"), C("col").alias("to_col"), real("nrow"), real("ncol"), *taken)
+    return cut(border.where("leaves").select("row", "col", "to_row", "to_col", *own).join(entry, ["to_row", "to_col"], "left"))
+
+
+def _contract(exits: DataFrame, carry: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Pointer doubling until no exit points on; `carry(exits, hop)` moves the payload one doubled step."""
+    for _ in range(MAX_ROUNDS):
+        if exits.where("nrow IS NOT NULL").isEmpty():
+            return exits
+        names = [c for c in exits.columns if c not in ("row", "col", "to_row", "to_col")]
+        hop = exits.select(C("row").alias("nrow"), C("col").alias("ncol"), *[C(c).alias(f"hop_{c}") for c in names])
+        exits = cut(carry(exits, hop))
+    raise RuntimeError("flow directions form a cycle between blocks")
+
+
+def d8_blocks(blocks: DataFrame, size: int, layer: str) -> DataFrame:
+    """Add the layer `dir`; same rule as `flow_direction_d8`."""
+    def run(b: pd.Series) -> dict[str, bytes]:
+        z = _padded(b, layer, size, np.nan)
+        me = z[1:-1, 1:-1]
+        best, code = np.zeros(me.shape), np.where(np.isfinite(me), NO_FLOW, -1)
+        for k in sorted(STEPS):
+            dr, dc = STEPS[k]
+            drop = (me - z[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc]) / DISTANCE[k]
+            better = drop > best
+            best, code = np.where(better, drop, best), np.where(better, k, code)
+        return {"dir": code.astype("<i2").tobytes()}
+
+    return _add(_with_ring(blocks, size, layer), run, ["dir"])
+
+
+def area_blocks(blocks: DataFrame, size: int, cell_area: float) -> DataFrame:
+    """Add the layer `area`: accumulated area, own cell included."""
+    def leaving(b: pd.Series) -> pd.DataFrame:
+        g = _Flow(b, size)
+        end = g.ends(np.zeros(size * size, dtype=bool))
+        return g.border_rows(end, g.leaves[end], "area", g.accumulate(np.full(size * size, cell_area)))
+
+    border = cut(each_block(blocks.select("br", "bc", "dir"), leaving, _BORDER + "area double"))
+
+    def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
+        add = e.where("nrow IS NOT NULL").groupBy(C("nrow").alias("row"), C("ncol").alias("col")).agg(F.sum("area").alias("_in"))
+        return e.join(add, ["row", "col"], "left").join(hop.select("nrow", "ncol", "hop_nrow", "hop_ncol"), ["nrow", "ncol"], "left").select(
+            "row", "col", "to_row", "to_col", C("hop_nrow").alias("nrow"), C("hop_ncol").alias("ncol"), (C("area") + F.coalesce("_in", F.lit(0.0))).alias("area"))
 
-def upstream_area(cells: DataFrame, cell_area: float = 1.0, block: int = 256) -> DataFrame:
-    """Accumulated area per cell (own cell included). `cells`: row, col, dir."""
-    b = _blocks(cells.where("dir IS NOT NULL").select("row", "col", C("dir").cast("int").alias("dir")), block)
-
-    def exits_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _Block(pdf, block)
-        end = g.ends(np.zeros(len(pdf), dtype=bool))
-        acc = g.accumulate(np.full(len(pdf), cell_area))
-        pick = g.border
-        onward = g.leaves[end]
-        return pd.DataFrame({
-            "row": g.row[pick], "col": g.col[pick], "leaves": g.leaves[pick], "to_row": g.to_row[pick], "to_col": g.to_col[pick],
-            "area": acc[pick], "end_row": np.where(onward, g.row[end], -1)[pick], "end_col": np.where(onward, g.col[end], -1)[pick]})
+    exits = _contract(_exit_links(border, ["area"], []), carry)
+    inflow = exits.groupBy(C("to_row").alias("row"), C("to_col").alias("col")).agg(F.sum("area").alias("area"))
 
-    border = cut(b.groupBy("_br", "_bc").applyInPandas(
-        exits_of, "row int, col int, leaves boolean, to_row int, to_col int, area double, end_row int, end_col int"))
-    entries = border.where("end_row >= 0").select(C("row").alias("to_row"), C("col").alias("to_col"), C("end_row").alias("nrow"), C("end_col").alias("ncol"))
-    first = border.where("leaves").select("row", "col", "to_row", "to_col", "area")
-    exits = cut(first.join(entries, ["to_row", "to_col"], "left").select("row", "col", "nrow", "ncol", "area"))
+    def totals(b: pd.Series) -> dict[str, bytes]:
+        w = np.full(size * size, cell_area)
+        if b["inflow"] is not None:
+            for p in b["inflow"]:
+                w[p["slot"]] += p["value"]
+        g = _Flow(b, size)
+        return {"area": np.where(g.here, g.accumulate(w), np.nan).astype("<f8").tobytes()}
 
-    def carry(e: DataFrame, nxt: DataFrame) -> DataFrame:
-        add = e.where("nrow IS NOT NULL").groupBy(C("nrow").alias("row"), C("ncol").alias("col")).agg(F.sum("area").alias("_in"))
-        hop = nxt.select("nrow", "ncol", C("_2nrow").alias("_hr"), C("_2ncol").alias("_hc"))
-        return e.join(add, ["row", "col"], "left").join(hop, ["nrow", "ncol"], "left").select(
-            "row", "col", C("_hr").alias("nrow"), C("_hc").alias("ncol"), (C("area") + F.coalesce("_in", F.lit(0.0))).alias("area"))
+    return _add(blocks.join(_by_block(inflow, size, "area", "inflow"), ["br", "bc"], "left"), totals, ["area"])
 
-    rounds = 0
-    while _still_linked(exits):
-        exits = _double(exits, carry)
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("flow directions form a cycle between blocks")
-    inflow = first.drop("area").join(exits.select("row", "col", "area"), ["row", "col"]) \
-        .groupBy(C("to_row").alias("row"), C("to_col").alias("col")).agg(F.sum("area").alias("inflow"))
 
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _Block(pdf, block)
-        return pd.DataFrame({"row": g.row, "col": g.col, "area": g.accumulate(cell_area + pdf["inflow"].fillna(0.0).to_numpy())})
+def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """Add the layer `hand` from the layers v, dir, drain: height above the first drainage cell downstream, NaN without
+    one or below it."""
+    def local(b: pd.Series):
+        g = _Flow(b, size)
+        drain, v = np.frombuffer(b["drain"], dtype="|b1"), np.frombuffer(b["v"], dtype="<f8")
+        end = g.ends(drain)
+        return g, v, end, np.where(drain[end], v[end], np.nan), g.leaves[end] & ~drain[end]
+
+    def leaving(b: pd.Series) -> pd.DataFrame:
+        g, _, end, found, onward = local(b)
+        rows = g.border_rows(end, onward, "drain_v", found)
+        # an exit that is itself drainage keeps its water
+        rows["leaves"] &= ~np.frombuffer(b["drain"], dtype="|b1")[g.border]
+        return rows
+
+    border = cut(each_block(blocks.select("br", "bc", "v", "dir", "drain"), leaving, _BORDER + "drain_v double")
+                 .withColumn("drain_v", F.when(~F.isnan("drain_v"), C("drain_v"))))
+
+    def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
+        return e.join(hop, ["nrow", "ncol"], "left").select(
+            "row", "col", C("hop_nrow").alias("nrow"), C("hop_ncol").alias("ncol"), F.coalesce("drain_v", "hop_drain_v").alias("drain_v"))
+
+    exits = _contract(_exit_links(border, [], ["drain_v"]).drop("to_row", "to_col"), carry)
+
+    def heights(b: pd.Series) -> dict[str, bytes]:
+        g, v, end, found, onward = local(b)
+        far = np.full(size * size, np.nan)
+        if b["far"] is not None:
+            for p in b["far"]:
+                far[p["slot"]] = p["value"]
+        h = v - np.where(onward, far[end], found)
+        return {"hand": np.where(g.here & (h >= 0), h, np.nan).astype("<f8").tobytes()}
+
+    known = exits.where("drain_v IS NOT NULL")
+    return _add(blocks.join(_by_block(known, size, "drain_v", "far"), ["br", "bc"], "left"), heights, ["hand"])
+
+
+def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0, max_rounds: int = 500) -> DataFrame:
+    """Replace `layer` by its depression-free form (see `fill_depressions`)."""
+    def start(b: pd.Series) -> dict[str, bytes]:
+        z = _padded(b, layer, size, np.nan)
+        here = np.isfinite(z)
+        shut = np.ones((size, size), dtype=bool)
+        for dr, dc in STEPS.values():
+            shut &= here[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc]
+        me = z[1:-1, 1:-1]
+        return {"_w": np.where(np.isfinite(me), np.where(shut, np.inf, me), np.nan).astype("<f8").tobytes(), "_moved": b"\x01"}
+
+    def flood(b: pd.Series) -> dict[str, bytes]:
+        """Lower each water level to the best path through this block, from its open cells and the ring around it."""
+        ground = np.frombuffer(b[layer], dtype="<f8").reshape(size, size)
+        before = np.frombuffer(b["_w"], dtype="<f8").reshape(size, size)
+        level = _padded(b, "_w", size, np.nan)
+        rows, cols = np.nonzero(np.isfinite(level))
+        heap = [(level[r, c], r, c) for r, c in zip(rows.tolist(), cols.tolist())]
+        heapq.heapify(heap)
+        while heap:
+            w, r, c = heapq.heappop(heap)
+            if w > level[r, c]:
+                continue
+            for dr, dc in STEPS.values():
+                a, e = r + dr, c + dc
+                if 1 <= a <= size and 1 <= e <= size:
+                    new = max(ground[a - 1, e - 1], w + step)
+                    if new < level[a, e]:
+                        level[a, e] = new
+                        heapq.heappush(heap, (new, a, e))
+        after = level[1:-1, 1:-1]
+        return {"_w": after.astype("<f8").tobytes(), "_moved": b"\x01" if (after < before).any() else b"\x00"}
+
+    kept = [n for n in blocks.columns]
+    state = cut(_add(_with_ring(blocks, size, layer), start, ["_w", "_moved"]))
+    for _ in range(max_rounds):
+        state = cut(_add(_with_ring(state, size, "_w"), flood, ["_w", "_moved"]))
+        if state.where(C("_moved") == F.lit(b"\x01")).isEmpty():
+            # levels that stayed infinite belong to cells without any way out
+            return _add(state, lambda b: {layer: np.where(np.isfinite(w := np.frombuffer(b["_w"], dtype="<f8")), w, np.nan).tobytes()}, [layer]) \
+                .select("br", "bc", *[n for n in kept if n not in ("br", "bc")])
+    raise RuntimeError(f"depressions not settled after {max_rounds} rounds")
 
-    return b.join(inflow, ["row", "col"], "left").groupBy("_br", "_bc").applyInPandas(totals, "row int, col int, area double")
 
+# ---- the same on cells ------------------------------------------------------------------------
 
-def drain_mask(stream: str, area: str, threshold: float, value: str):
-    """Drainage cells: mapped streams or enough upstream area, on valid terrain."""
-    return (F.coalesce(C(stream), F.lit(False)) | (F.coalesce(C(area), F.lit(0.0)) >= threshold)) & C(value).isNotNull()
+def upstream_area(cells: DataFrame, cell_area: float = 1.0, block: int = 256) -> DataFrame:
+    """Accumulated area per cell (own cell included). `cells`: row, col, dir."""
+    b = cut(to_blocks(cells.where("dir IS NOT NULL"), block, {"dir": "code"}))
+    return to_cells(area_blocks(b, block, cell_area), block, {"area": "real"}, where="area")
 
 
 def hand(cells: DataFrame, block: int = 256) -> DataFrame:
     """Height above the first drainage cell downstream. `cells`: row, col, v, dir, drain. NULL without drainage or below it."""
     valid = cells.where("v IS NOT NULL AND dir IS NOT NULL")
-    b = _blocks(valid.select("row", "col", C("v").cast("double").alias("v"), C("dir").cast("int").alias("dir"), "drain"), block)
+    b = cut(to_blocks(valid, block, {"v": "real", "dir": "code", "drain": "flag"}))
+    return to_cells(hand_blocks(b, block), block, {"v": "real", "hand": "real"}, where="v").select("row", "col", "hand")
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _Block(pdf, block)
-        drain = pdf["drain"].fillna(False).to_numpy().astype(bool)
-        end = g.ends(drain)
-        v = pdf["v"].to_numpy()
-        hit, onward = drain[end], g.leaves[end] & ~drain[end]
-        return pd.DataFrame({
-            "row": g.row, "col": g.col, "v": v, "drain_v": np.where(hit, v[end], np.nan), "nrow": np.where(onward, g.row[end], -1),
-            "ncol": np.where(onward, g.col[end], -1), "to_row": np.where(onward, g.to_row[end], -1), "to_col": np.where(onward, g.to_col[end], -1)})
-
-    local = b.groupBy("_br", "_bc").applyInPandas(
-        resolve, "row int, col int, v double, drain_v double, nrow int, ncol int, to_row int, to_col int")
-    local = cut(local.withColumn("drain_v", F.when(~F.isnan("drain_v"), C("drain_v"))))
-    # an exit cell ends its own path; it takes over what its entry cell in the next block found
-    leaving = local.where("nrow = row AND ncol = col").select("row", "col", "to_row", "to_col")
-    found = local.select(C("row").alias("to_row"), C("col").alias("to_col"), "drain_v",
-                         F.when(C("nrow") >= 0, C("nrow")).alias("nrow"), F.when(C("ncol") >= 0, C("ncol")).alias("ncol"))
-    exits = cut(leaving.join(found, ["to_row", "to_col"], "left").select("row", "col", "nrow", "ncol", "drain_v"))
-
-    def carry(e: DataFrame, nxt: DataFrame) -> DataFrame:
-        return e.join(nxt, ["nrow", "ncol"], "left").select(
-            "row", "col", C("_2nrow").alias("nrow"), C("_2ncol").alias("ncol"), F.coalesce("drain_v", "_2drain_v").alias("drain_v"))
-
-    rounds = 0
-    while _still_linked(exits):
-        exits = _double(exits, carry)
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("flow directions form a cycle between blocks")
-    far = exits.select(C("row").alias("nrow"), C("col").alias("ncol"), C("drain_v").alias("_far"))
-    height = C("v") - F.coalesce("drain_v", "_far")
-    return local.join(far, ["nrow", "ncol"], "left").select("row", "col", F.when(height >= 0, height).alias("hand"))
-
-
-# ---- depressions ------------------------------------------------------------------------------
-
-def _flood(pdf: pd.DataFrame, size: int, step: float) -> pd.DataFrame:
-    """Lower each cell's water level to the best path through this block, starting from outlets and the ring around it."""
-    own = pdf[pdf["own"]]
-    r0, c0 = int(own["_br"].iloc[0]) * size - 1, int(own["_bc"].iloc[0]) * size - 1
-    side = size + 2
-    ground, level = np.full((side, side), np.nan), np.full((side, side), np.inf)
-    rr, cc = pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0
-    ground[rr, cc] = pdf["v"].to_numpy()
-    level[rr, cc] = pdf["w"].to_numpy()
-    heap = [(level[r, c], r, c) for r, c in zip(rr, cc) if np.isfinite(level[r, c])]
-    heapq.heapify(heap)
-    mine = np.zeros((side, side), dtype=bool)
-    ro, co = own["row"].to_numpy() - r0, own["col"].to_numpy() - c0
-    mine[ro, co] = True
-    while heap:
-        w, r, c = heapq.heappop(heap)
-        if w > level[r, c]:
-            continue
-        for dr, dc in STEPS.values():
-            a, b = r + dr, c + dc
-            if 0 <= a < side and 0 <= b < side and mine[a, b]:
-                new = max(ground[a, b], w + step)
-                if new < level[a, b]:
-                    level[a, b] = new
-                    heapq.heappush(heap, (new, a, b))
-    out = own[["row", "col", "v"]].copy()
-    out["w"] = level[ro, co]
-    out["moved"] = out["w"].to_numpy() < own["w"].to_numpy()
-    return out
+
+def drain_mask(stream: str, area: str, threshold: float, value: str) -> Column:
+    """Drainage cells: mapped streams or enough upstream area, on valid terrain."""
+    return (F.coalesce(C(stream), F.lit(False)) | (F.coalesce(C(area), F.lit(0.0)) >= threshold)) & C(value).isNotNull()
 
 
 def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0, max_rounds: int = 500) -> DataFrame:
-    """Raise every cell to the lowest level at which water can leave; `step` > 0 leaves a gentle slope on flats.
+    """Raise every cell (row, col, v) to the lowest level at which water can leave; `step` > 0 leaves a gentle slope on flats.
 
-    Water leaves at the edge of the grid and next to NODATA. A round floods every block from its outlets and from the
-    levels of the ring of cells around it; rounds repeat until no level moves. Levels only fall, so the end
-    state is the exact minimax level. Stops with an error, never with a half-filled raster.
+    Water leaves at the edge of the grid and next to NODATA. A round floods every block from its open cells and from
+    the levels of the ring of cells around it; rounds repeat until no level moves. Levels only fall, so the
+    end state is the exact minimax level. Stops with an error, never with a half-filled raster.
     """
-    n = with_neighbors(cells.select("row", "col", C("v").cast("double").alias("v")), "v")
-    open_side = F.lit(False)
-    for name in NEIGHBORS:
-        open_side = open_side | C(name).isNull()
-    inf = F.lit(float("inf"))
-    state = cut(n.where("v IS NOT NULL").select("row", "col", "v", F.when(open_side, C("v")).otherwise(inf).alias("w")))
-    d = F.sequence(F.lit(-1), F.lit(1))
-    schema = "row int, col int, v double, w double, moved boolean"
-    for _ in range(max_rounds):
-        own = _blocks(state, block).withColumn("own", F.lit(True))
-        edge = ((C("row") % block).isin(0, block - 1) | (C("col") % block).isin(0, block - 1)) & (C("w") < inf)
-        # a border cell shows up in the ring of every block one step away
-        near = lambda c, k: F.array_distinct(F.transform(d, lambda s: F.floor((C(c) + s) / block).cast("int")))
-        ring = state.where(edge).withColumn("_br", F.explode(near("row", "_br"))).withColumn("_bc", F.explode(near("col", "_bc"))) \
-            .where((C("_br") != F.floor(C("row") / block)) | (C("_bc") != F.floor(C("col") / block))).withColumn("own", F.lit(False))
-        cols = ["row", "col", "v", "w", "_br", "_bc", "own"]
-        both = own.select(*cols).unionByName(ring.select(*cols))
-        flooded = both.groupBy("_br", "_bc").applyInPandas(lambda pdf: _flood(pdf, block, step) if pdf["own"].any() else pd.DataFrame(
-            {"row": [], "col": [], "v": [], "w": [], "moved": []}).astype({"row": "int32", "col": "int32", "moved": bool}), schema)
-        state = cut(flooded)
-        if state.where("moved").isEmpty():
-            return state.select("row", "col", "v", F.when(C("w") < inf, C("w")).alias("filled"))
-        state = state.drop("moved")
-    raise RuntimeError(f"depressions not settled after {max_rounds} rounds")
+    valid = cells.where("v IS NOT NULL").select("row", "col", "v", C("v").alias("filled"))
+    b = cut(to_blocks(valid, block, {"v": "real", "filled": "real"}))
+    return to_cells(fill_blocks(b, block, "filled", step, max_rounds), block, {"v": "real", "filled": "real"}, where="v")
 
 
-# ---- sensitivity ------------------------------------------------------------------------------
+# ---- one derivation and its sensitivity ---------------------------------------------------------
 
-def hand_variant(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None) -> DataFrame:
-    """One HAND derivation: burn, optionally fill, route, accumulate, mask, measure. Adds area, drain, hand to `cells`.
+def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None,
+                    keep: list[str] | None = None) -> DataFrame:
+    """Burn, optionally fill, route, accumulate, mask, measure, all in block layout.
 
-    `cells`: row, col, v, stream_mask; the result keeps all of its columns.
+    `cells`: row, col, v, stream_mask and the boolean columns `keep`. Layers: v, dir, area, drain, hand, keep...
     """
-    burned = cells.select("row", "col", F.when(C("stream_mask"), C("v") - burn).otherwise(C("v")).alias("v"))
+    keep = list(keep or [])
+    routed = F.when(C("stream_mask"), C("v") - burn).otherwise(C("v"))
+    valid = cells.where("v IS NOT NULL").select("row", "col", "v", "stream_mask", routed.alias("z"), *keep)
+    b = cut(to_blocks(valid, block, {"v": "real", "z": "real", "stream_mask": "flag", **{k: "flag" for k in keep}}))
     if fill_step is not None:
-        f = fill_depressions(burned, block, fill_step)
-        burned = burned.select("row", "col").join(f.select("row", "col", C("filled").alias("v")), ["row", "col"], "left")
-    directed = cut(flow_direction_d8(burned).select("row", "col", "dir"))
-    area = upstream_area(directed, cell_area, block)
-    j = cells.join(directed, ["row", "col"]).join(area, ["row", "col"], "left")
-    marked = cut(j.withColumn("drain", drain_mask("stream_mask", "area", threshold, "v")))
-    return marked.join(hand(marked, block), ["row", "col"], "left")
+        b = fill_blocks(b, block, "z", fill_step)
+    b = cut(d8_blocks(b, block, "z").drop("z"))
+    b = area_blocks(b, block, cell_area)
+
+    def mask(p: pd.Series) -> dict[str, bytes]:
+        big = np.nan_to_num(np.frombuffer(p["area"], dtype="<f8")) >= threshold
+        return {"drain": (np.frombuffer(p["stream_mask"], dtype="|b1") | big).tobytes()}
+
+    return hand_blocks(cut(_add(b, mask, ["drain"])), block)
+
+
+def hand_variant(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None) -> DataFrame:
+    """One derivation as cells (row, col, v, dir, area, drain, hand); valid terrain only."""
+    b = drainage_blocks(cells, burn, threshold, cell_area, block, fill_step)
+    return to_cells(b, block, {"v": "real", "dir": "code", "area": "real", "drain": "flag", "hand": "real"}, where="v")
 
 
 def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet, reference: str, cell_area: float = 1.0,
@@ -278,18 +405,19 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
     from tilewater.functions.values import NODATA_U16, encode_hand
     from tilewater.operators.validation import confusion_counts, confusion_metrics, mask_jaccard
 
+    layers = {"v": "real", "drain": "flag", "hand": "real", "base_hand": "real", reference: "flag"}
+    coded = lambda c: F.nullif(encode_hand(C(c)), F.lit(NODATA_U16))
     base, out = None, None
-    for i, (burn, threshold) in enumerate(variants):
-        v = hand_variant(cells, burn, threshold, cell_area, block, fill_step)
-        code = F.nullif(encode_hand(C("hand")), F.lit(NODATA_U16))
-        coded = cut(v.select("row", "col", code.alias("code"), "drain", C(reference).alias("ref_mask")))
-        base = coded if base is None else base
-        counts = confusion_metrics(confusion_counts(coded, "code", C("ref_mask"), feet))
-        pair = coded.join(base.select("row", "col", C("code").alias("base_code")), ["row", "col"])
-        overlap = mask_jaccard(pair, "code", "base_code", feet).select("threshold_ft", "jaccard")
-        drains = coded.agg(F.count_if("drain").alias("drain_cells"))
-        from tilewater.operators.joins import with_row
-
-        part = with_row(counts.join(overlap, "threshold_ft"), drains).withColumn("burn_m", F.lit(float(burn))).withColumn("min_area", F.lit(float(threshold)))
+    for burn, threshold in variants:
+        b = cut(drainage_blocks(cells, burn, threshold, cell_area, block, fill_step, [reference]))
+        base = b.select("br", "bc", C("hand").alias("base_hand")) if base is None else base
+        # the first variant is compared block by block, so no cell is joined with another
+        both = to_cells(b.join(base, ["br", "bc"]), block, layers, where="v") \
+            .select("drain", C(reference), coded("hand").alias("code"), coded("base_hand").alias("base_code"))
+        counts = confusion_metrics(confusion_counts(both, "code", C(reference), feet))
+        overlap = mask_jaccard(both, "code", "base_code", feet).select("threshold_ft", "jaccard")
+        drains = both.agg(F.count_if("drain").alias("drain_cells"))
+        part = with_row(counts.join(overlap, "threshold_ft"), drains) \
+            .withColumn("burn_m", F.lit(float(burn))).withColumn("min_area", F.lit(float(threshold)))
         out = part if out is None else out.unionByName(part)
     return out

@@ -117,37 +117,42 @@ STAGE_ZOOM = 7
 FAR_KM, NEAR_KM, ZOOM_DELTA, REFINE_DELTA = 250.0, 75.0, 2.25, 0.35
 
 
-def viewport_tiles(views: DataFrame, width: int, height: int, padding: int = 0) -> DataFrame:
-    """All tiles a viewport touches, with `distance` from its centre in tiles. `views` carries lon, lat, zoom (double)."""
-    z = F.greatest(F.lit(0), F.floor(C("zoom")).cast("int"))
+def _viewport_array(width: int, height: int, padding: int) -> Column:
+    """Sorted array<struct<distance,y,x,z>> of the tiles a viewport touches. Needs columns z and _w (world pixel).
+
+    A view touches a bounded number of tiles, so the list is built and sorted inside its row: no explode, no shuffle.
+    """
     w, h = max(256, width), max(256, height)
-    p = views.withColumn("z", z).withColumn("_w", G.world_pixel(C("lon"), C("lat"), C("z")))
     edge = lambda c, off: F.floor((C(f"_w.{c}") + off) / 256.0).cast("int")
     xs = F.sequence(edge("wx", -w / 2.0) - padding, edge("wx", w / 2.0 - 1.0) + padding)
     ys = F.sequence(edge("wy", -h / 2.0) - padding, edge("wy", h / 2.0 - 1.0) + padding)
     n = A.scale_of(C("z")).cast("int")
-    return p.withColumn("_ty", F.explode(ys)).where((C("_ty") >= 0) & (C("_ty") < n)).withColumn("_tx", F.explode(xs)) \
-        .withColumn("x", A.wrap_x(C("_tx"), C("z"))).withColumn("y", C("_ty")) \
-        .withColumn("distance", F.hypot(C("_tx") - C("_w.wx") / 256.0, C("_ty") - C("_w.wy") / 256.0)) \
-        .drop("_w", "_tx", "_ty")
+    tile = lambda tx, ty: F.struct(F.hypot(tx - C("_w.wx") / 256.0, ty - C("_w.wy") / 256.0).alias("distance"), ty.alias("y"),
+                                   F.pmod(tx, n).alias("x"), C("z").alias("z"))
+    rows = F.filter(ys, lambda ty: (ty >= 0) & (ty < n))
+    return F.array_sort(F.flatten(F.transform(rows, lambda ty: F.transform(xs, lambda tx: tile(tx, ty)))))
 
 
-def nearest_tiles(tiles: DataFrame, key: str, limit: int) -> DataFrame:
-    """`limit` nearest viewport tiles per view, in (distance, y, x) order, numbered from 0.
+def _located(views: DataFrame) -> DataFrame:
+    return views.withColumn("z", F.greatest(F.lit(0), F.floor(C("zoom")).cast("int"))) \
+        .withColumn("_w", G.world_pixel(C("lon"), C("lat"), C("z")))
 
-    A view has a bounded number of tiles, so sorting its own array is safe.
-    """
-    item = F.struct("distance", "y", "x", "z")
-    ranked = F.slice(F.array_sort(F.collect_list(item)), 1, limit)
-    return tiles.groupBy(key).agg(ranked.alias("_l")).select(key, F.posexplode("_l").alias("rank", "t")).select(
-        key, "rank", "t.z", "t.x", "t.y", "t.distance")
+
+def _listed(df: DataFrame, key: str, tiles: Column) -> DataFrame:
+    return df.select(key, F.posexplode(tiles).alias("rank", "t")).select(key, "rank", "t.z", "t.x", "t.y", "t.distance")
+
+
+def viewport_tiles(views: DataFrame, key: str, width: int, height: int, padding: int = 0, limit: int = MAX_PREFETCH) -> DataFrame:
+    """The `limit` nearest tiles a viewport touches in (distance, y, x) order. `views` carries lon, lat, zoom (double)."""
+    return _listed(_located(views), key, F.slice(_viewport_array(width, height, padding), 1, max(1, limit)))
 
 
 def viewport_ring(views: DataFrame, key: str, width: int, height: int, limit: int = MAX_PREFETCH) -> DataFrame:
     """Tiles of the viewport grown by one that are not visible, nearest first."""
-    visible = nearest_tiles(viewport_tiles(views, width, height), key, limit * 3).select(key, "z", "x", "y")
-    padded = nearest_tiles(viewport_tiles(views, width, height, padding=1), key, limit * 4)
-    return nearest_tiles(padded.join(visible, [key, "z", "x", "y"], "left_anti"), key, limit)
+    d = _located(views).withColumn("_seen", F.slice(_viewport_array(width, height, 0), 1, limit * 3)) \
+        .withColumn("_more", F.slice(_viewport_array(width, height, 1), 1, limit * 4))
+    ring = F.filter("_more", lambda t: ~F.exists("_seen", lambda s: (s["x"] == t["x"]) & (s["y"] == t["y"])))
+    return _listed(d, key, F.slice(ring, 1, limit))
 
 
 def jump_decision(df: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def jump_plan(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
     """Prefetch list at the stage zoom for every jump that is staged."""
     staged = jump_decision(df).where("staged").select(
         key, C("to_lon").alias("lon"), C("to_lat").alias("lat"), C("stage_zoom").cast("double").alias("zoom"))
-    return nearest_tiles(viewport_tiles(staged, width, height), key, MAX_PREFETCH)
+    return viewport_tiles(staged, key, width, height)
 
 
 def cells_from_tile(tiles: DataFrame, values: str, width: int) -> DataFrame:

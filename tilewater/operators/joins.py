@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
 from tilewater.functions.geodesy import haversine_km_atan
+from tilewater.operators.ordered import Ordered
+from tilewater.session import cut
 
 C = F.col
 
@@ -159,13 +161,14 @@ def raster_pair(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v") -
     return a.select(*keys, C(value).alias("a")).join(b.select(*keys, C(value).alias("b")), keys, "full")
 
 
-def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float, ...] = (15.0, 3.0, 0.5)) -> DataFrame:
+def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float, ...] = (15.0, 3.0, 0.5, 0.05)) -> DataFrame:
     """The `top` most distant ordered pairs of places (key, lon, lat), without forming all pairs.
 
     Places are counted per grid cell. For two cells the distance of any two members lies within centre distance
     plus or minus both cell radii, so the cell pairs that surely hold `top` pairs give a floor and every cell pair whose
     ceiling is under that floor is dropped. Survivors are split into finer cells; only the last survivors are
-    matched place by place. Exact: nothing is dropped that could reach the answer.
+    matched place by place. Of places at one and the same spot only the first `top` keys can appear in the answer, so
+    copies beyond that are left out first. Exact: nothing is dropped that could reach the answer.
     """
     cells_per_row = lambda size: int(360 // size) + 2
 
@@ -176,8 +179,8 @@ def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float,
     def center(c: Column, size: float) -> tuple[Column, Column]:
         return ((c % cells_per_row(size)) + 0.5) * size - 180.0, (F.floor(c / cells_per_row(size)) + 0.5) * size - 90.0
 
-    named = places.select(C(key).alias("_id"), "lon", "lat",
-                          *[cell(s).alias(f"_c{i}") for i, s in enumerate(levels)])
+    spots = Ordered(places.select(C(key).alias("_id"), "lon", "lat"), ["lon", "lat"], ["_id"]).running_total(F.lit(1), "_k").result()
+    named = cut(spots.where(C("_k") <= top).select("_id", "lon", "lat", *[cell(s).alias(f"_c{i}") for i, s in enumerate(levels)]))
     side = lambda df, tag: df.select(*[C(c).alias(c + tag) for c in df.columns])
     survivors = None
     for i, size in enumerate(levels):
@@ -198,7 +201,7 @@ def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float,
         down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
         floor_km = ladder.withColumn("_cum", F.sum("_m").over(down)).where(C("_cum") >= top).agg(F.max("_step").alias("_floor"))
         kept = with_row(pairs, floor_km).where(C("_floor").isNull() | (C("_km") + reach >= C("_floor")))
-        survivors = kept.select(f"_c{i}a", f"_c{i}b")
+        survivors = cut(kept.select(f"_c{i}a", f"_c{i}b"))
     last = len(levels) - 1
     a, b = side(named, "a"), side(named, "b")
     exact = survivors.join(a, f"_c{last}a").join(b, f"_c{last}b").where(C("_ida") != C("_idb"))

@@ -125,7 +125,7 @@ def _views(t):
 @query("viewport_tiles", "fx_points", f"""
     WITH {_VIEWS}, {_grid_sql(0, 'g')} SELECT event_id, z, x, y, round(distance, 6) AS distance FROM g_n WHERE rk < 24""")
 def _(t):
-    return G.nearest_tiles(G.viewport_tiles(_views(t), 512, 400), "event_id", G.MAX_PREFETCH).select(
+    return G.viewport_tiles(_views(t), "event_id", 512, 400).select(
         "event_id", "z", "x", "y", F.round("distance", 6).alias("distance"))
 
 
