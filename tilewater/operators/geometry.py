@@ -92,7 +92,8 @@ def polygon_rings(rings: DataFrame, feature: str, cell: float = 8.0) -> DataFram
         feature, C("pos").alias("hole_pos"), C("area").alias("hole_area"), C("_p.x").alias("_px"), C("_p.y").alias("_py")) \
         .withColumn("_cx", F.floor(C("_px") / cell).cast("int")).withColumn("_cy", F.floor(C("_py") / cell).cast("int"))
     gridded = explode_cells(outers, "west", "south", "east", "north", cell)
-    owner = holes.join(gridded, [feature, "_cx", "_cy"]).where(point_in_ring(C("pts"), C("_px"), C("_py"))) \
+    boxed = C("_px").between(C("west"), C("east")) & C("_py").between(C("south"), C("north"))
+    owner = holes.join(gridded.hint("merge"), [feature, "_cx", "_cy"]).where(boxed).where(point_in_ring(C("pts"), C("_px"), C("_py"))) \
         .groupBy(feature, "hole_pos").agg(F.min("pos").alias("outer_pos"))
     owned = holes.join(owner, [feature, "hole_pos"], "left").select(
         feature, C("hole_pos").alias("pos"), F.when(C("outer_pos").isNull(), "loose").otherwise("hole").alias("role"), "outer_pos", C("hole_area").alias("area"))
@@ -111,7 +112,7 @@ def lines_meeting(lines: DataFrame, line: str, rings: DataFrame, key: str, cell:
     """Ids of the lines (array<struct<x,y>> `pts`) that meet any polygon; all ids when none does.
 
     A line meets a polygon when a segment crosses an edge or its first vertex lies inside. Segments and edges meet on
-    grid cells; the vertex test counts the edges to its right among those of its own row band.
+    grid cells; the vertex test takes the polygons whose box holds the vertex and counts their edges to its right.
     """
     box = lambda d: d.withColumn("west", F.least("x0", "x1")).withColumn("east", F.greatest("x0", "x1")) \
         .withColumn("south", F.least("y0", "y1")).withColumn("north", F.greatest("y0", "y1"))
@@ -123,11 +124,16 @@ def lines_meeting(lines: DataFrame, line: str, rings: DataFrame, key: str, cell:
     side = lambda px, py, qx, qy, rx, ry: (C(qx) - C(px)) * (C(ry) - C(py)) - (C(qy) - C(py)) * (C(rx) - C(px))
     d1, d2 = side("ex0", "ey0", "ex1", "ey1", "sx0", "sy0"), side("ex0", "ey0", "ex1", "ey1", "sx1", "sy1")
     d3, d4 = side("sx0", "sy0", "sx1", "sy1", "ex0", "ey0"), side("sx0", "sy0", "sx1", "sy1", "ex1", "ey1")
-    crossing = a.join(b, ["_cx", "_cy"]).where((d1 * d2 <= 0) & (d3 * d4 <= 0)).select(line)
-    start = lines.select(line, C("pts")[0]["x"].alias("_px"), C("pts")[0]["y"].alias("_py")).withColumn("_cy", F.floor(C("_py") / cell).cast("int"))
+    crossing = a.join(b.hint("merge"), ["_cx", "_cy"]).where((d1 * d2 <= 0) & (d3 * d4 <= 0)).select(line)
+    start = lines.select(line, C("pts")[0]["x"].alias("_px"), C("pts")[0]["y"].alias("_py")) \
+        .withColumn("_cx", F.floor(C("_px") / cell).cast("int")).withColumn("_cy", F.floor(C("_py") / cell).cast("int"))
+    outline = e.groupBy(key).agg(F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"))
+    around = start.join(explode_cells(outline, "west", "south", "east", "north", cell).hint("merge"), ["_cx", "_cy"]) \
+        .where(C("_px").between(C("west"), C("east")) & C("_py").between(C("south"), C("north"))).select(line, key, "_px", "_py", "_cy")
     bands = e.withColumn("_cy", F.explode(F.sequence(F.floor(C("south") / cell).cast("int"), F.floor(C("north") / cell).cast("int"))))
     over = (C("south") <= C("_py")) & (C("_py") < C("north")) & (_x_at(C("_py")) > C("_px"))
-    within = start.join(bands, "_cy").where(over).groupBy(line, key).agg((F.count("*") % 2 == 1).alias("_in")).where("_in").select(line)
+    within = around.join(bands.hint("merge"), [key, "_cy"]).where(over) \
+        .groupBy(line, key).agg((F.count("*") % 2 == 1).alias("_in")).where("_in").select(line)
     hit = crossing.unionByName(within).distinct()
     found = hit.agg((F.count("*") > 0).alias("_any"))
     flagged = lines.select(line).join(hit.withColumn("_hit", F.lit(True)), line, "left")

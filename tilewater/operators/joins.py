@@ -23,6 +23,18 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+BROADCAST_ROWS = 50_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `df` in a join only if it is known to have at most `rows` rows; otherwise ask for a sort-merge join.
+
+    For sides fanned out with `sequence`: the optimizer's estimate does not see the fan-out and could broadcast
+    something far larger than its threshold. Counting stops as soon as the bound is passed.
+    """
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df.hint("merge")
+
+
 def sample_points(points: DataFrame, cells: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
     """Value of the tile pixel under each point.
 
@@ -53,7 +65,7 @@ def point_regions(points: DataFrame, regions: DataFrame, cell: float = 4.0) -> D
     """Every (point, region) with the point inside the half-open region box."""
     keyed = points.withColumn("_cx", F.floor(C("lon") / cell).cast("int")) \
                   .withColumn("_cy", F.floor(C("lat") / cell).cast("int"))
-    j = keyed.join(explode_cells(regions, "west", "south", "east", "north", cell), ["_cx", "_cy"])
+    j = keyed.join(sized(explode_cells(regions, "west", "south", "east", "north", cell)), ["_cx", "_cy"])
     return j.where(A.bbox_contains(C("west"), C("south"), C("east"), C("north"), C("lon"), C("lat"))).drop("_cx", "_cy")
 
 
@@ -69,7 +81,7 @@ def tile_regions(tiles: DataFrame, regions: DataFrame, cell: float = 4.0) -> Dat
         *tiles.columns, C("_b.west").alias("t_west"), C("_b.south").alias("t_south"),
         C("_b.east").alias("t_east"), C("_b.north").alias("t_north"))
     left = explode_cells(boxed, "t_west", "t_south", "t_east", "t_north", cell)
-    right = explode_cells(regions, "west", "south", "east", "north", cell)
+    right = sized(explode_cells(regions, "west", "south", "east", "north", cell))
     hit = A.bbox_intersects((C("west"), C("south"), C("east"), C("north")),
                             (C("t_west"), C("t_south"), C("t_east"), C("t_north")))
     # A pair meets in every shared cell; keep the meeting in the cell that holds the overlap's south-west corner.
@@ -117,7 +129,7 @@ def nearest_on_axis(df: DataFrame, value: str, axis: DataFrame, idx: str, coord:
     ends = axis.agg(F.min(coord).alias("_min"), F.max(coord).alias("_max"))  # one row
     keyed = with_row(df, ends).withColumn("_v", F.greatest("_min", F.least("_max", C(value)))).withColumn("_k", b(C("_v")))
     inside = (C("_lo").isNull() | (C("_v") > C("_lo"))) & (C("_hi").isNull() | (C("_v") <= C("_hi")))
-    return keyed.join(own, "_k").where(inside).drop("_k", "_v", "_lo", "_hi", "_c", "_min", "_max")
+    return keyed.join(sized(own), "_k").where(inside).drop("_k", "_v", "_lo", "_hi", "_c", "_min", "_max")
 
 
 def sample_with_fallback(points: DataFrame, regions: DataFrame, source_values: DataFrame, cached: DataFrame,

@@ -98,3 +98,20 @@ def _(t):
     ax, ay = k * 53 % 150 + 0.11, k * 29 % 100 + 0.17
     lines = t.read("part").select(k.alias("line_id"), F.array(p(ax, ay), p(k * 53 % 150 + k % 5 + 0.71, k * 29 % 100 + k % 7 - 2.5)).alias("pts"))
     return G.lines_meeting(lines, "line_id", _fill(t), "id")
+
+
+_CMP = "threshold_ft * 0.3048e0 * 10e0"
+
+
+@query("compare_to_polygons", "fx_grid", f"""
+    WITH {_P}, {_E}, {_BOXC}, {_IN}, {_TC}, w AS (SELECT row, col FROM ic UNION SELECT row, col FROM tc),
+    f(threshold_ft) AS (VALUES (30e0), (150e0), (600e0)), g AS (SELECT v, w.row IS NOT NULL AS m FROM fx_grid x LEFT JOIN w ON w.row = x.row AND w.col = x.col)
+    SELECT threshold_ft, count(v) AS valid, count_if(v IS NOT NULL AND m) AS ref, count_if(v <= {_CMP}) AS hand, count_if(v <= {_CMP} AND m) AS tp,
+           round(count_if(v <= {_CMP} AND m) / nullif(count_if(v <= {_CMP} OR (v IS NOT NULL AND m)), 0), 9) AS iou,
+           round((count_if(v <= {_CMP} AND m) / nullif(count_if(v <= {_CMP}), 0)) / (count_if(v IS NOT NULL AND m) / count(v)), 9) AS precision_lift
+    FROM g, f GROUP BY threshold_ft""")
+def _(t):
+    from tilewater.plans.products import compare_to_polygons
+
+    m = compare_to_polygons(t.grid().select("row", "col", "v"), _fill(t), "id", (30, 150, 600))
+    return m.select("threshold_ft", "valid", "ref", "hand", "tp", F.round("iou", 9).alias("iou"), F.round("precision_lift", 9).alias("precision_lift"))
