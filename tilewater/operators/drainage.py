@@ -302,14 +302,17 @@ def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0, max
         for dr, dc in STEPS.values():
             shut &= here[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc]
         me = z[1:-1, 1:-1]
-        return {"_w": np.where(np.isfinite(me), np.where(shut, np.inf, me), np.nan).astype("<f8").tobytes(), "_moved": b"\x01"}
+        return {"_w": np.where(np.isfinite(me), np.where(shut, np.inf, me), np.nan).astype("<f8").tobytes(), "_moved": b"\x02"}
 
     def flood(b: pd.Series) -> dict[str, bytes]:
         """Lower each water level to the best path through this block, from its open cells and the ring around it."""
         ground = np.frombuffer(b[layer], dtype="<f8").reshape(size, size)
         before = np.frombuffer(b["_w"], dtype="<f8").reshape(size, size)
         level = _padded(b, "_w", size, np.nan)
-        rows, cols = np.nonzero(np.isfinite(level))
+        source = np.isfinite(level)
+        if b["_moved"] != b"\x02":
+            source[1:-1, 1:-1] = False  # after the first flood only the ring can bring lower water
+        rows, cols = np.nonzero(source)
         heap = [(level[r, c], r, c) for r, c in zip(rows.tolist(), cols.tolist())]
         heapq.heapify(heap)
         while heap:

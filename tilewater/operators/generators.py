@@ -117,25 +117,27 @@ STAGE_ZOOM = 7
 FAR_KM, NEAR_KM, ZOOM_DELTA, REFINE_DELTA = 250.0, 75.0, 2.25, 0.35
 
 
-def _viewport_array(width: int, height: int, padding: int) -> Column:
-    """Sorted array<struct<distance,y,x,z>> of the tiles a viewport touches. Needs columns z and _w (world pixel).
-
-    A view touches a bounded number of tiles, so the list is built and sorted inside its row: no explode, no shuffle.
-    """
+def _located(views: DataFrame, width: int, height: int) -> DataFrame:
+    """Add z, the viewport's tile range (_x0.._x1, _y0.._y1), its centre in tiles (_cx, _cy) and the tiles per side (_n)."""
     w, h = max(256, width), max(256, height)
     edge = lambda c, off: F.floor((C(f"_w.{c}") + off) / 256.0).cast("int")
-    xs = F.sequence(edge("wx", -w / 2.0) - padding, edge("wx", w / 2.0 - 1.0) + padding)
-    ys = F.sequence(edge("wy", -h / 2.0) - padding, edge("wy", h / 2.0 - 1.0) + padding)
-    n = A.scale_of(C("z")).cast("int")
-    tile = lambda tx, ty: F.struct(F.hypot(tx - C("_w.wx") / 256.0, ty - C("_w.wy") / 256.0).alias("distance"), ty.alias("y"),
-                                   F.pmod(tx, n).alias("x"), C("z").alias("z"))
-    rows = F.filter(ys, lambda ty: (ty >= 0) & (ty < n))
-    return F.array_sort(F.flatten(F.transform(rows, lambda ty: F.transform(xs, lambda tx: tile(tx, ty)))))
+    return views.withColumn("z", F.greatest(F.lit(0), F.floor(C("zoom")).cast("int"))) \
+        .withColumn("_w", G.world_pixel(C("lon"), C("lat"), C("z"))).withColumns({
+            "_x0": edge("wx", -w / 2.0), "_x1": edge("wx", w / 2.0 - 1.0), "_y0": edge("wy", -h / 2.0), "_y1": edge("wy", h / 2.0 - 1.0),
+            "_cx": C("_w.wx") / 256.0, "_cy": C("_w.wy") / 256.0, "_n": A.scale_of(C("z")).cast("int")})
 
 
-def _located(views: DataFrame) -> DataFrame:
-    return views.withColumn("z", F.greatest(F.lit(0), F.floor(C("zoom")).cast("int"))) \
-        .withColumn("_w", G.world_pixel(C("lon"), C("lat"), C("z")))
+def _viewport_array(padding: int) -> Column:
+    """Sorted array<struct<distance,y,x,z,visible>> of the tiles that a located viewport, grown by `padding`, touches.
+
+    A view touches a bounded number of tiles, so the list is built and sorted inside its row: no explode, no shuffle.
+    """
+    xs, ys = F.sequence(C("_x0") - padding, C("_x1") + padding), F.sequence(C("_y0") - padding, C("_y1") + padding)
+    core = lambda tx, ty: (tx >= C("_x0")) & (tx <= C("_x1")) & (ty >= C("_y0")) & (ty <= C("_y1"))
+    tile = lambda tx, ty: F.struct(F.hypot(tx - C("_cx"), ty - C("_cy")).alias("distance"), ty.alias("y"), F.pmod(tx, C("_n")).alias("x"),
+                                   C("z").alias("z"), (core(tx, ty) if padding else F.lit(True)).alias("visible"))
+    rows = F.filter(ys, lambda ty: (ty >= 0) & (ty < C("_n")))
+    return F.array_sort(F.flatten(F.transform(rows, lambda ty: F.transform(xs, lambda tx: tile(tx, ty)))))
 
 
 def _listed(df: DataFrame, key: str, tiles: Column) -> DataFrame:
@@ -144,14 +146,18 @@ def _listed(df: DataFrame, key: str, tiles: Column) -> DataFrame:
 
 def viewport_tiles(views: DataFrame, key: str, width: int, height: int, padding: int = 0, limit: int = MAX_PREFETCH) -> DataFrame:
     """The `limit` nearest tiles a viewport touches in (distance, y, x) order. `views` carries lon, lat, zoom (double)."""
-    return _listed(_located(views), key, F.slice(_viewport_array(width, height, padding), 1, max(1, limit)))
+    return _listed(_located(views, width, height), key, F.slice(_viewport_array(padding), 1, max(1, limit)))
 
 
 def viewport_ring(views: DataFrame, key: str, width: int, height: int, limit: int = MAX_PREFETCH) -> DataFrame:
     """Tiles of the viewport grown by one that are not visible, nearest first."""
-    d = _located(views).withColumn("_seen", F.slice(_viewport_array(width, height, 0), 1, limit * 3)) \
-        .withColumn("_more", F.slice(_viewport_array(width, height, 1), 1, limit * 4))
-    ring = F.filter("_more", lambda t: ~F.exists("_seen", lambda s: (s["x"] == t["x"]) & (s["y"] == t["y"])))
+    count = (C("_x1") - C("_x0") + 1) * (C("_y1") - C("_y0") + 1)
+    # the index range tells visible tiles apart unless a row of tiles wraps onto itself or the visible list was cut
+    plain = (C("_n") >= C("_x1") - C("_x0") + 3) & (count <= limit * 3)
+    d = _located(views, width, height).withColumn("_plain", plain).withColumn("_more", F.slice(_viewport_array(1), 1, limit * 4)) \
+        .withColumn("_seen", F.when(~C("_plain"), F.slice(_viewport_array(0), 1, limit * 3)))
+    listed = lambda t: F.exists("_seen", lambda s: (s["x"] == t["x"]) & (s["y"] == t["y"]))
+    ring = F.when(C("_plain"), F.filter("_more", lambda t: ~t["visible"])).otherwise(F.filter("_more", lambda t: ~listed(t)))
     return _listed(d, key, F.slice(ring, 1, limit))
 
 

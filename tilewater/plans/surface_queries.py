@@ -125,7 +125,7 @@ def _(t):
 
 @query("fill_depressions")
 def _(t):
-    return D.fill_depressions(t.grid().select("row", "col", "v"), BLOCK)
+    return D.fill_depressions(t.grid().select("row", "col", "v"), 128)
 
 
 _HS_FEET = (30, 150, 600)
