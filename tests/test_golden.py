@@ -140,8 +140,8 @@ def test_one_decimal_text_equals_printf(spark):
 
 
 def test_title_case_and_tags(spark):
-    r = one(spark, a=X.coverage_label(F.lit(1), F.lit("ornl-cfim-v0p21-huc6-010700")), b=X.coverage_label(F.lit(3), F.lit("x")), c=X.number_tag(F.lit(5.5)), d=X.number_tag(F.lit(-2.0)))
-    assert tuple(r) == ("Ornl Cfim V0P21 Huc6 010700", "3 regions", "5p5", "m2")
+    r = one(spark, a=X.coverage_label(F.lit(1), F.lit("basin-set-v0p21-huc6-010700")), b=X.coverage_label(F.lit(3), F.lit("x")), c=X.number_tag(F.lit(5.5)), d=X.number_tag(F.lit(-2.0)))
+    assert tuple(r) == ("Basin Set V0P21 Huc6 010700", "3 regions", "5p5", "m2")
 
 
 def test_albers_known_point(spark):

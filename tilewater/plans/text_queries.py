@@ -60,10 +60,10 @@ def _(t):
 
 @query("coverage_label", "fx_archives", """
     WITH g AS (SELECT huc, bytes % 40 AS slot, count(*) AS n FROM fx_archives GROUP BY 1, 2)
-    SELECT huc, slot, CASE WHEN n = 1 THEN 'Ornl V0P21 Huc6 ' || huc ELSE cast(n AS varchar) || ' regions' END AS label FROM g""")
+    SELECT huc, slot, CASE WHEN n = 1 THEN 'Basin V0P21 Huc6 ' || huc ELSE cast(n AS varchar) || ' regions' END AS label FROM g""")
 def _(t):
     g = t.archives().groupBy("huc", (C("bytes") % 40).alias("slot")).agg(F.count("*").alias("n"), F.min("huc").alias("h"))
-    return g.select("huc", "slot", X.coverage_label(C("n"), F.concat(F.lit("ornl-v0p21-huc6-"), "h")).alias("label"))
+    return g.select("huc", "slot", X.coverage_label(C("n"), F.concat(F.lit("basin-v0p21-huc6-"), "h")).alias("label"))
 
 
 _BIG = "bytes * cast(pow(10, pos % 10) AS bigint)"
