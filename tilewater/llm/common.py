@@ -6,11 +6,14 @@ but not a text each keep a result of their own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewater.session import ensure_checkpoint_dir
+
 #: fixed values: the word patterns of the contracts (letters, digits and everything beyond ASCII; anything but blanks)
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,3 +63,12 @@ def joined(df: DataFrame, small: DataFrame, on: str, rows: int, how: str = "inne
 def array_lit(values: Sequence, kind: str) -> Column:
     """Array literal of a bounded Python sequence."""
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written once as a compressed table in the shared folder of `spark.checkpoint.dir` and read again, without its lineage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

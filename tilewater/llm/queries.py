@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewater.llm import benchmark, imatch, licenses, private
+from tilewater.llm import benchmark, imatch, language, licenses, mixing, near, private, quality, suffixes, urls
 from tilewater.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -32,10 +56,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_license_scan": op2_license_scan,
-    "op7_personal_data": op7_personal_data,
-    "op8_fingerprints": op8_fingerprints,
-    "op10_decontamination": op10_decontamination,
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_near_dedup, op6_url_filter, op7_personal_data, op8_fingerprints,
+        op9_quality, op10_decontamination,
+    )
 }
 
 #: fixed values: words of the contracts in the other engine's regular expressions
@@ -60,4 +85,33 @@ SQL: dict[str, str] = {
                cast(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op4_suffix_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b FROM documents),
+             s AS (SELECT doc_id, t, hex(b) AS x, octet_length(b) AS n FROM d),
+             p AS (SELECT doc_id, p0, substr(x, p0 * 2 + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p0 FROM s WHERE n >= 50)),
+             f AS (SELECT g, min(doc_id) AS m FROM p GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+             hit AS (SELECT p.doc_id, p0, lag(p0) OVER (PARTITION BY p.doc_id ORDER BY p0) AS before FROM p JOIN f USING (g) WHERE f.m < p.doc_id),
+             run AS (SELECT doc_id, p0, sum(CASE WHEN before IS NULL OR p0 > before + 50 THEN 1 ELSE 0 END)
+                            OVER (PARTITION BY doc_id ORDER BY p0) AS k FROM hit),
+             span AS (SELECT doc_id, min(p0) AS a, max(p0) + 50 AS z FROM run GROUP BY doc_id, k),
+             gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM span),
+             gone AS (SELECT s.doc_id, sum(z - a) AS removed, count(*) AS spans,
+                             string_agg(substr(x, y * 2 + 1, (a - y) * 2), '' ORDER BY a) || substr(any_value(x), max(z) * 2 + 1) AS rest
+                      FROM gap JOIN s USING (doc_id) GROUP BY s.doc_id)
+        SELECT s.doc_id, cast(n AS bigint) AS n_bytes, cast(coalesce(removed, 0) AS bigint) AS n_removed,
+               cast(coalesce(spans, 0) AS bigint) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+        FROM s LEFT JOIN gone USING (doc_id)""",
+    "op5_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p0 + 1, p0 + 3), ' ') AS g
+                   FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS p0 FROM d WHERE len(w) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+             c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+             e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+             r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+             m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+        SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, root AS component_id, d.doc_id = root AS kept
+        FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
