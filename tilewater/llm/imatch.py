@@ -19,9 +19,9 @@ from tilewater.llm.common import KEY, array_lit, joined, keyed, left_by_key, wor
 from tilewater.session import cut
 
 #: band of document frequency, as shares of the documents
-LOWEST, HIGHEST = 0.0002, 0.05
+LOWEST, HIGHEST = 0.0002, 0.1
 #: one lexicon subset for each share (1 in n) and repetition
-SHARES, REPEATS = (4, 16, 64, 256, 1024), 6
+SHARES, REPEATS = (16, 64, 256, 1024), 6
 SUBSETS = [(share, r) for share in SHARES for r in range(REPEATS)]
 BROADCAST_ROWS = 2_000_000
 
@@ -31,7 +31,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> DataFrame:
-    """term, h (its hash), subsets (bit mask): terms in the band that are in a subset at all."""
+    """term, h (its hash above, a bit for each of its subsets below): terms in the band that are in a subset at all."""
     found = docs.select(F.explode(F.concat(terms(F.coalesce("text", F.lit(""))), F.array(F.lit("")))).alias("term"))
     counted = found.groupBy("term").count()
     n = counted.where("term = ''").select(F.col("count").alias("n"))
@@ -39,7 +39,8 @@ def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -
     mask = F.lit(0)
     for bit, (share, r) in enumerate(SUBSETS):
         mask = mask.bitwiseOR(F.when(F.pmod(F.xxhash64("term", F.lit(share), F.lit(r)), F.lit(share)) == 0, 1 << bit).otherwise(0))
-    return band.select("term", F.xxhash64("term").alias("h"), mask.alias("subsets")).where("subsets <> 0")
+    h = F.shiftleft(F.xxhash64("term"), len(SUBSETS))
+    return band.select("term", mask.alias("subsets"), h.bitwiseOR(mask.cast("long")).alias("h")).where("subsets <> 0").select("term", "h")
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -56,9 +57,8 @@ def following(docs: DataFrame) -> DataFrame:
     return within.select(*KEY, "n_chars", follow["doc_id"].alias("next_id"), follow["text_hash"].alias("next_hash"))
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """Each distinct document with text, next_id, next_hash and `edited`: its last quarter replaced from the next one's start."""
-    order = following(docs)
+def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """Each distinct document with text and `edited`: its last quarter replaced from the start of the next in `order`."""
     take = F.floor(F.col("n_chars") / 4).cast("int")
     want = order.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), take.alias("take"),
                         F.col("next_id").alias("doc_id"), F.col("next_hash").alias("text_hash"))
@@ -66,25 +66,29 @@ def edited(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_hash") == F.col("s_text_hash"))
     starts = sides.join(want, same).select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"),
                                            F.expr("substring(text, 1, take)").alias("start"))
-    starts = starts.dropDuplicates(list(KEY))
-    plan = left_by_key(order, starts)
-    both = sides.join(plan, same).select(*KEY, "text", "n_chars", "next_id", "next_hash", F.concat(
-        F.expr("substring(text, 1, n_chars - floor(n_chars / 4))"), "start").alias("edited"))
-    return both
+    plan = left_by_key(order.select(*KEY, "n_chars"), starts.dropDuplicates(list(KEY)))
+    return sides.join(plan, same).select(*KEY, "text", F.concat(F.expr("substring(text, 1, n_chars - floor(n_chars / 4))"), "start").alias("edited"))
 
 
 def fingerprints(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, text_hash, form, fingerprint of `texts` (doc_id, text_hash, form, text) that have a term of the lexicon `known`."""
-    rows = texts.select(*KEY, "form", F.explode(terms(F.col("text"))).alias("term"))
-    rows = joined(rows, known, "term", BROADCAST_ROWS)
-    own = rows.groupBy(*KEY, "form").agg(F.sort_array(F.collect_set(F.struct("h", "subsets"))).alias("t"))
+    """doc_id, text_hash, form, sha256, fingerprint of `texts` (doc_id, text_hash, form, text), each key given once.
+
+    A text travels as its terms only: one more row, marked by a first character that no term has, carries its hashes along, so that texts are
+    read once and those without a term of the lexicon `known` stay.
+    """
+    note = F.concat(F.lit(" "), F.lpad(F.lower(F.hex(F.xxhash64("text"))), 16, "0"), F.sha2("text", 256))
+    rows = texts.select(*KEY, "form", F.explode(F.concat(F.array(note), terms(F.col("text")))).alias("term"))
+    noted = F.col("term").startswith(" ")
+    rows = joined(rows, known, "term", BROADCAST_ROWS, "left").where(noted | F.col("h").isNotNull())
+    own = rows.groupBy(*KEY, "form").agg(F.sort_array(F.collect_set("h")).alias("t"), F.max(F.when(noted, F.col("term"))).alias("note"))
 
     def mark(bit: Column) -> Column:
-        mine = F.transform(F.filter("t", lambda x: x["subsets"].bitwiseAND(bit) != 0), lambda x: x["h"])
+        mine = F.filter("t", lambda x: x.bitwiseAND(bit) != 0)
         return F.when(F.size(mine) > 0, F.right(F.hex(F.xxhash64(mine)), F.lit(8))).otherwise("")
 
-    bits = array_lit([1 << bit for bit in range(len(SUBSETS))], "int")
-    return own.select(*KEY, "form", F.lower(F.array_join(F.transform(bits, mark), ".")).alias("fingerprint"))
+    marks = F.lower(F.array_join(F.transform(array_lit([1 << bit for bit in range(len(SUBSETS))], "bigint"), mark), "."))
+    whole = F.concat(F.lit("x"), F.substring("note", 2, 16))
+    return own.select(*KEY, "form", F.substring("note", 18, 64).alias("sha256"), F.when(F.size("t") > 0, marks).otherwise(whole).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,19 +109,14 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of `docs`."""
     docs = keyed(docs)
     known = cut(lexicon(docs))
-    pairs = edited(docs)
+    order = following(docs)
     forms = F.explode(F.array(
         F.struct(F.lit("t").alias("form"), F.col("text").alias("text")), F.struct(F.lit("e").alias("form"), F.col("edited").alias("text"))))
-    prints = fingerprints(pairs.select(*KEY, forms.alias("f")).select(*KEY, "f.form", "f.text"), known)
+    prints = fingerprints(edited(docs, order).select(*KEY, forms.alias("f")).select(*KEY, "f.form", "f.text"), known)
+    of = lambda form, column: F.max(F.when(F.col("form") == form, F.col(column)))
     prints = prints.groupBy(*KEY).agg(
-        F.max(F.when(F.col("form") == "t", F.col("fingerprint"))).alias("ft"), F.max(F.when(F.col("form") == "e", F.col("fingerprint"))).alias("fe"))
-    whole = lambda c: F.concat(F.lit("x"), F.lower(F.hex(c)))
-    facts = pairs.select(*KEY, "n_chars", "next_id", "next_hash", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("eh"))
-    facts = facts.dropDuplicates(list(KEY))
-    full = left_by_key(facts, prints).select(
-        *KEY, F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "next_id", "next_hash",
-        F.coalesce("ft", whole(F.col("text_hash"))).alias("fingerprint"), F.coalesce("fe", whole(F.col("eh"))).alias("edited_fingerprint"))
-    full = cut(full)
+        of("t", "fingerprint").alias("fingerprint"), of("e", "fingerprint").alias("edited_fingerprint"), of("e", "sha256").alias("edited_sha256"))
+    full = cut(left_by_key(order.withColumn("n_chars", F.col("n_chars").cast("long")), prints))
     after = full.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_print"))
     out = left_by_key(full, after, ("next_id", "next_hash"))
     out = left_by_key(docs.select(*KEY), out)
