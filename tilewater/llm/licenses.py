@@ -1,7 +1,7 @@
 """License scans by a positional index of rare words.
 
-Templates are short runs of license words. For each, the words with the highest inverse document frequency in the corpus are its
-anchors. Every place of an anchor in a file is looked up in the postings (template, position in it); postings that agree on
+Templates are short runs of license words. For each, the words of its key phrase with the highest inverse document frequency in the
+corpus are its anchors, so no place that could be accepted lacks one. Every place of an anchor in a file is looked up in the postings (template, position in it); postings that agree on
 `place - position` name one candidate start, which is scored by the weight of the template words that stand at
 their relative positions and must hold the template's key phrase in full.
 
@@ -74,7 +74,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, weights: dict[str, int] | None =
     """doc_id, n_words and `found`: label, base, start (words from 0), score of every place of a template, in order of start."""
     weights = weights or word_weights(docs, templates)
     parts = [t.text.split() for t in templates]
-    anchors = [sorted(set(p), key=lambda w: (-weights[w], w))[:ANCHORS] for p in parts]
+    anchors = [sorted(set(t.key.split()), key=lambda w: (-weights[w], w))[:ANCHORS] for t in templates]
     postings = [(w, k, i) for k, p in enumerate(parts) for i, w in enumerate(p) if w in anchors[k]]
     lookup = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).cast("long").alias("k"), F.lit(i).alias("i")) for w, k, i in postings])
     forms = F.array(*[

@@ -67,6 +67,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: fixed values: the patterns of url parts and of normal forms, written out
+_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_HOST = f"translate(regexp_extract(coalesce({{0}}, ''), '{_PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_QUERY = (r"regexp_replace(regexp_replace(regexp_extract({0}, '(?s)^[^?#]*\?([^#]*)', 1), "
+          r"'(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '', 'g')")
+_NORMAL = (
+    f"CASE WHEN contains({{0}}, '://') THEN regexp_replace({_HOST}, '^(www|m)\\.|:(80|443)$', '', 'g') || "
+    f"regexp_replace(regexp_extract({{0}}, '{_PARTS}', 2), '(/index)?(\\.html?)?/*$', '', 'g') || "
+    f"CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END END"
+)
+
+
+def _template_values() -> str:
+    """Label, base, place, word and membership of the key phrase of every template word, as SQL rows."""
+    rows = []
+    for t in licenses.TEMPLATES:
+        said = f" {t.text} "
+        low = len(said[: said.index(f" {t.key} ")].split())
+        high = low + len(t.key.split())
+        rows += [f"('{t.label}', {str(t.base).lower()}, {j}, '{w}', {int(low <= j < high)})" for j, w in enumerate(t.text.split())]
+    return ", ".join(rows)
+
+
+_TEMPLATES = _template_values()
+
 SQL: dict[str, str] = {
     "op10_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format(_LOW)} AS w FROM documents),
@@ -114,4 +139,53 @@ SQL: dict[str, str] = {
              m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
         SELECT d.doc_id, cast(coalesce(n.n, 0) AS bigint) AS n_shingles, root AS component_id, d.doc_id = root AS kept
         FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op6_url_filter": rf"""
+        WITH RECURSIVE u AS (SELECT page_id, url, html, {_HOST.format("url")} AS host, regexp_extract(coalesce(url, ''), '{_PARTS}', 2) AS path,
+                                    {_NORMAL.format("url")} AS node FROM pages),
+             named AS (SELECT url, node, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                              '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM u
+                       UNION SELECT url, node, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                              '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM u),
+             full_links AS (SELECT node AS a, CASE WHEN contains(link, '://') THEN link
+                              WHEN starts_with(link, '//') THEN regexp_extract(url, '^([^:/?#]+)://', 1) || ':' || link
+                              WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^:/?#]+)://', 1) || '://' || regexp_extract(url, '{_PARTS}', 1) || link
+                            END AS target FROM named WHERE link <> ''),
+             e0 AS (SELECT a, {_NORMAL.format("target")} AS b FROM full_links WHERE a IS NOT NULL AND target IS NOT NULL),
+             e AS (SELECT a, b FROM e0 WHERE a <> b AND b IS NOT NULL UNION SELECT b, a FROM e0 WHERE a <> b AND b IS NOT NULL),
+             r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+             m AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+             k AS (SELECT u.*, coalesce(m.root, u.node) AS alias, CASE
+                     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+                   FROM u LEFT JOIN m USING (node)),
+             v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM k),
+             d AS (SELECT alias, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM v
+                   WHERE own IS NOT NULL AND alias IS NOT NULL GROUP BY alias)
+        SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END) AS verdict
+        FROM v LEFT JOIN d USING (alias)""",
+    "op2_license_scan": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format(_LOW)} AS w FROM documents),
+             t(label, base, j, word, in_key) AS (VALUES {_TEMPLATES}),
+             p AS (SELECT doc_id, w[p1] AS word, p1 - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p1 FROM d)
+                   WHERE w[p1] IN (SELECT word FROM t)),
+             f AS (SELECT word, count(DISTINCT doc_id) AS df FROM p GROUP BY word),
+             n AS (SELECT count(*) AS n FROM documents),
+             x AS (SELECT t.*, greatest(1, cast(round(1000 * ln((n.n + 1) / (coalesce(f.df, 0) + 1))) AS bigint)) AS weight
+                   FROM t CROSS JOIN n LEFT JOIN f USING (word)),
+             total AS (SELECT label, base, sum(weight) AS total, sum(in_key) AS keys, count(*) AS words FROM x GROUP BY label, base),
+             got AS (SELECT p.doc_id, x.label, x.base, p.pos - x.j AS start, sum(weight) AS got, sum(in_key) AS keys, count(*) AS words
+                     FROM p JOIN x USING (word) GROUP BY ALL),
+             hit AS (SELECT g.doc_id, g.label, g.base, g.start, cast(g.got AS double) / cast(a.total AS double) AS score
+                     FROM got g JOIN total a ON a.label = g.label AND a.base = g.base AND g.keys = a.keys
+                     WHERE CASE WHEN g.base THEN g.words = a.words ELSE cast(g.got AS double) / cast(a.total AS double) >= 0.8 END),
+             s AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word,
+                          max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+                          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_base, 0) AS bigint) AS n_base, cast(first_word AS bigint) AS first_word,
+               cast(last_word AS bigint) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0e0) AS score
+        FROM d LEFT JOIN s USING (doc_id)""",
 }
