@@ -27,7 +27,7 @@ from tilewater.llm import tokens
 from tilewater.llm.common import keyed, stored
 from tilewater.llm.components import connected
 
-TREES, DEPTH, NODE, SKETCH = 12, 4, 24, 64
+TREES, DEPTH, NODE, SKETCH, STRIPE = 12, 4, 24, 64, 512
 #: ids of rows without one lie from here on
 UNNAMED = 1 << 62
 _SEEDS = tokens.mix(np.arange(1, TREES * DEPTH + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -170,23 +170,62 @@ def links(docs: DataFrame, heads: DataFrame, size: int, num: int, den: int) -> D
         some = _apart(stars.where((F.col("tree") >= low) & (F.col("tree") < high)), found)
         found.append(stored(confirmed(some, texts, size, num, den)))
     labels = stored(connected(_union(found)))
-    # small nodes: every pair that is not connected yet; deepest large ones: what is apart from its pivot against the others
+    # small nodes: every pair that is not connected yet; deepest large ones: what is apart from its pivot against all others
     small = _labelled(_union(every).where(F.col("members") <= NODE).select("node", "tree", "path"), labels, "node", "label")
     several = small.groupBy("tree", "path").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("tree", "path")
     small = small.join(several, ["tree", "path"])
     other = lambda df: df.select("tree", "path", F.col("node").alias("b"), F.col("label").alias("lb"))
     pairs = small.join(other(small), ["tree", "path"]).where("node < b and label <> lb").select("tree", F.col("node").alias("a"), "b")
+    rest = stored(plausible(_ordered(pairs, "a", "b").join(stars, ["a", "b"], "left_anti"), heads, num, den))
     large = _labelled(_labelled(_union(deep).select("node", "tree", "path", "pivot"), labels, "node", "label"), labels, "pivot", "lp")
-    stray = large.where("label <> lp")
-    pairs = pairs.unionByName(stray.join(other(large), ["tree", "path"]).where("node <> b and label <> lb").select("tree", F.col("node").alias("a"), "b"))
-    rest = plausible(_ordered(pairs, "a", "b").join(stars, ["a", "b"], "left_anti"), heads, num, den)
-    rest = stored(rest)
-    if not rest.isEmpty():
-        mentioned = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-        found.append(stored(confirmed(rest, stored(_texts(docs, heads.join(mentioned, "node"))), size, num, den)))
+    large = stored(large.withColumn("stray", F.col("label") != F.col("lp")))
+    strays = large.groupBy("tree", "path").agg(F.count("*").alias("m"), F.count_if("stray").alias("s")).where("s > 0")
+    large = large.join(strays, ["tree", "path"])
+    mentioned = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
+    if not mentioned.isEmpty():
+        texts = stored(_texts(docs, heads.join(mentioned, "node")))
+        found.append(stored(confirmed(rest, texts, size, num, den)))
+        found.append(stored(between_blocks(large.join(texts, "node"), size, num, den)))
     return _union(found)
 
 
+def between_blocks(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """a, b: links of strays with members of other components in the deepest nodes, one for each stray, block and component.
+
+    rows: tree, path, m and s (members and strays of the node), node, label, stray, text. Strays and members are dealt to blocks of about
+    STRIPE; each pair of blocks is one task's product of two incidence matrices, exact on full sets.
+    """
+    count = lambda n: F.ceil(F.col(n) / STRIPE).cast("int")
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), count(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    keep = ["tree", "path", "node", "label", "text"]
+    left = rows.where("stray").select(*keep, F.lit(True).alias("left"), own("s", 1).alias("i"), every("m").alias("j"))
+    right = rows.select(*keep, F.lit(False).alias("left"), own("m", 2).alias("j"), every("s").alias("i"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = sets([(t or "").encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()], size)
+        n = np.array([len(x) for x in found])
+        node, label = np.array(table["node"].to_pylist(), np.int64), np.array(table["label"].to_pylist(), np.int64)
+        side = np.array(table["left"].to_pylist(), bool)
+        x, y = np.flatnonzero(side), np.flatnonzero(~side)
+        _, token = np.unique(np.concatenate(found), return_inverse=True)
+        owner = np.repeat(np.arange(len(found)), n)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        common = np.zeros((len(x), len(y)), np.float32)
+        for low in range(0, int(token[-1]) + 1, 4096):
+            i, j = np.searchsorted(token, (low, low + 4096))
+            hit = np.zeros((len(found), 4096), np.float32)
+            hit[owner[i:j], token[i:j] - low] = 1
+            common += hit[x] @ hit[y].T
+        linked = (den * common >= num * (n[x][:, None] + n[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
+        a, b = np.nonzero(linked)
+        _, first = np.unique(np.column_stack([a, label[y][b]]), axis=0, return_index=True)
+        return pa.table({"a": node[x][a[first]], "b": node[y][b[first]]})
+
+    return left.unionByName(right).groupBy("tree", "path", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """node, text of heads."""
     rows = keyed(docs).withColumn("node", _node())
