@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewater.operators.joins import with_row
-from tilewater.operators.neighborhood import NEIGHBORS, with_neighbors
+from tilewater.operators.neighborhood import NEIGHBORS
 from tilewater.session import cut
 
 C = F.col
@@ -29,14 +29,12 @@ NO_FLOW = 0
 MAX_ROUNDS = 64  # chains of up to 2^64 exits
 
 
-def flow_direction_d8(cells: DataFrame, value: str = "v") -> DataFrame:
-    """Steepest downhill neighbour as a direction code; the lowest code wins ties, 0 where nothing is lower."""
-    n = with_neighbors(cells, value)
-    slopes = {f"_s{code}": (C(value) - C(name)) / dist for name, (_, _, dist, code) in NEIGHBORS.items()}
-    n = n.withColumns(slopes).withColumn("_best", F.greatest(*slopes))
-    steepest = F.coalesce(*[F.when(C(f"_s{code}") == C("_best"), code) for code in sorted(STEPS)])
-    best = F.when(C("_best") > 0, steepest).otherwise(NO_FLOW)
-    return n.select(*cells.columns, F.when(C(value).isNotNull(), best).alias("dir"))
+def flow_direction_d8(cells: DataFrame, value: str = "v", block: int = 256) -> DataFrame:
+    """Steepest downhill neighbour of each valid cell (row, col, value, dir) as a direction code; the lowest code wins ties, 0 where
+    nothing is lower. Absent rows and NULL values are the same: no neighbour. Other columns are not kept."""
+    valid = cells.where(C(value).isNotNull()).select("row", "col", C(value).alias("v"))
+    b = d8_blocks(cut(to_blocks(valid, block, {"v": "real"})), block, "v")
+    return to_cells(b, block, {"v": "real", "dir": "code"}, where="v").withColumnRenamed("v", value)
 
 
 # ---- block layout -----------------------------------------------------------------------------
@@ -293,8 +291,145 @@ def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
     return _add(blocks.join(_by_block(known, size, "drain_v", "far"), ["br", "bc"], "left"), heights, ["hand"])
 
 
-def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0, max_rounds: int = 500) -> DataFrame:
+#: the label of every way out in the graph of basins; other labels are numbers of border cells
+OUT = -1
+_WIDE = 1 << 32
+
+
+def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0) -> DataFrame:
     """Replace `layer` by its depression-free form (see `fill_depressions`)."""
+    return _fill_by_passes(blocks, size, layer) if step == 0 else _fill_sloped(blocks, size, layer, step)
+
+
+def _flooded(b: pd.Series, layer: str, size: int) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float], np.ndarray, np.ndarray]:
+    """One priority flood of a block from its border and its open cells.
+
+    Returns levels, labels (OUT or the number of the border cell the water reaches first), the lowest pass between labels that touch,
+    the padded ground and which cells are open (next to NODATA or to the outside of the grid).
+    """
+    z = _padded(b, layer, size, np.nan)
+    here = np.isfinite(z)
+    shut = np.ones((size, size), dtype=bool)
+    for dr, dc in STEPS.values():
+        shut &= here[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc]
+    is_open = here[1:-1, 1:-1] & ~shut
+    level = z.copy()
+    level[1:-1, 1:-1] = np.where(here[1:-1, 1:-1], np.inf, np.nan)
+    level[[0, -1], :] = level[:, [0, -1]] = np.nan
+    label = np.full(z.shape, -2, dtype=np.int64)
+    seed = is_open.copy()
+    seed[[0, -1], :] |= here[1:-1, 1:-1][[0, -1], :]
+    seed[:, [0, -1]] |= here[1:-1, 1:-1][:, [0, -1]]
+    rows, cols = np.nonzero(seed)
+    edge = (rows == 0) | (rows == size - 1) | (cols == 0) | (cols == size - 1)
+    number = np.where(edge, (rows + int(b["br"]) * size) * _WIDE + cols + int(b["bc"]) * size, OUT)
+    level[rows + 1, cols + 1] = z[rows + 1, cols + 1]
+    label[rows + 1, cols + 1] = number
+    heap = list(zip(z[rows + 1, cols + 1].tolist(), (rows + 1).tolist(), (cols + 1).tolist()))
+    heapq.heapify(heap)
+    ground, w, who = z.tolist(), level.tolist(), label.tolist()
+    passes: dict[tuple[int, int], float] = {}
+    around = list(STEPS.values())
+    while heap:
+        at, r, c = heapq.heappop(heap)
+        me = who[r][c]
+        for dr, dc in around:
+            a, e = r + dr, c + dc
+            other = who[a][e]
+            if other == -2:
+                if w[a][e] == np.inf:
+                    new = ground[a][e] if ground[a][e] > at else at
+                    w[a][e] = new
+                    who[a][e] = me
+                    heapq.heappush(heap, (new, a, e))
+            elif other != me:
+                key, high = (me, other) if me < other else (other, me), at if at > w[a][e] else w[a][e]
+                if high < passes.get(key, np.inf):
+                    passes[key] = high
+    return np.array(w)[1:-1, 1:-1], np.array(who)[1:-1, 1:-1], passes, z, is_open
+
+
+def _fill_by_passes(blocks: DataFrame, size: int, layer: str) -> DataFrame:
+    """Depression filling without rounds over the raster: floods once, solves the graph of basins, raises once.
+
+    Each block is flooded from its border; border cells are the basins of the graph, joined by the lowest passes inside blocks and by
+    steps between neighbouring blocks. What a basin must rise to is its lowest way to OUT, found by contraction (`_lowest_way_out`).
+    """
+    kept = [n for n, t in blocks.dtypes if t == "binary"]
+    ringed = cut(_with_ring(blocks, size, layer))
+
+    def graph(b: pd.Series) -> pd.DataFrame:
+        _, label, passes, z, is_open = _flooded(b, layer, size)
+        a, v, w = [k[0] for k in passes], [k[1] for k in passes], list(passes.values())
+        rows, cols = np.nonzero(is_open & (label != OUT))
+        edge = (rows == 0) | (rows == size - 1) | (cols == 0) | (cols == size - 1)
+        rows, cols = rows[edge], cols[edge]
+        a += [OUT] * len(rows)
+        v += label[rows, cols].tolist()
+        w += z[rows + 1, cols + 1].tolist()
+        for p in b["ring"] if b["ring"] is not None else []:
+            r, c = p["row"] - b["br"] * size, p["col"] - b["bc"] * size
+            for dr, dc in STEPS.values():
+                i, j = r + dr, c + dc
+                if 0 <= i < size and 0 <= j < size and np.isfinite(z[i + 1, j + 1]):
+                    a.append(p["row"] * _WIDE + p["col"])
+                    v.append(int(label[i, j]))
+                    w.append(max(float(z[i + 1, j + 1]), p["value"]))
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(v, dtype="int64"), "w": pd.Series(w, dtype="float64")})
+
+    edges = each_block(ringed.select("br", "bc", layer, "ring"), graph, "a long, b long, w double")
+    rise = _lowest_way_out(edges).select(F.floor(C("node") / _WIDE).cast("int").alias("row"), F.pmod(C("node"), F.lit(_WIDE)).cast("int").alias("col"), "level")
+
+    def raised(b: pd.Series) -> dict[str, bytes]:
+        level, label, _, _, _ = _flooded(b, layer, size)
+        least = np.full(size * size, np.inf)
+        for p in b["rise"] if b["rise"] is not None else []:
+            least[p["slot"]] = p["value"]
+        slot = (label // _WIDE - int(b["br"]) * size) * size + label % _WIDE - int(b["bc"]) * size
+        need = np.where(label == OUT, -np.inf, least[np.where(label >= 0, slot, 0)])
+        out = np.maximum(level, need)
+        return {layer: np.where(np.isfinite(out), out, np.nan).astype("<f8").tobytes()}
+
+    named = ringed.join(_by_block(rise, size, "level", "rise"), ["br", "bc"], "left")
+    return _add(named, raised, [layer]).select("br", "bc", *kept)
+
+
+def _lowest_way_out(edges: DataFrame) -> DataFrame:
+    """node, level: for each node of an undirected graph (a, b, w) the least possible highest weight on a way to OUT.
+
+    Each round every node points along its lowest edge (ties by the ends, so only pairs can point at each other; the smaller end becomes
+    the root), pointers are doubled up to their roots with the highest weight on the way, and roots become the nodes of the next
+    round. A node's level is the highest weight to its root or the root's level, whichever is more; each round at least halves the nodes.
+    """
+    both = edges.where("a <> b").select(C("a").alias("u"), C("b").alias("v"), "w")
+    both = both.unionByName(both.select(C("v").alias("u"), C("u").alias("v"), "w"))
+    live = cut(both.groupBy("u", "v").agg(F.min("w").alias("w")))
+    low = F.lit(float("-inf"))
+    members = cut(live.where(C("u") != OUT).select("u").distinct().select(C("u").alias("node"), C("u").alias("root"), low.alias("level")))
+    while not live.where(C("u") != OUT).isEmpty():
+        order = F.struct("w", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+        best = cut(live.where(C("u") != OUT).groupBy("u").agg(F.min_by(F.struct("v", "w"), order).alias("e")).select("u", C("e.v").alias("p"), C("e.w").alias("c")))
+        back = best.select(C("u").alias("p"), C("p").alias("pp"))
+        head = (C("pp") == C("u")) & (C("u") < C("p"))
+        at = cut(best.join(back, "p", "left").select("u", F.when(head, C("u")).otherwise(C("p")).alias("p"), F.when(head, low).otherwise(C("c")).alias("c")))
+        while True:
+            on = at.select(C("u").alias("p"), C("p").alias("q"), C("c").alias("d"))
+            step = cut(at.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("q"), F.greatest("c", F.coalesce("d", low)).alias("c"), "p"))
+            moved = not step.where("q <> p").isEmpty()
+            at = step.select("u", C("q").alias("p"), "c")
+            if not moved:
+                break
+        to = lambda side: at.select(C("u").alias(side), C("p").alias(f"r{side}"), C("c").alias(f"c{side}"))
+        live = live.join(to("u"), "u", "left").join(to("v"), "v", "left").select(
+            F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), F.greatest("w", F.coalesce("cu", low), F.coalesce("cv", low)).alias("w"))
+        live = cut(live.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
+        members = cut(members.join(at.select(C("u").alias("root"), "p", "c"), "root", "left").select(
+            "node", F.coalesce("p", "root").alias("root"), F.greatest("level", F.coalesce("c", low)).alias("level")))
+    return members.where(C("root") == OUT).select("node", "level")
+
+
+def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataFrame:
+    """As `fill_blocks`, with a slope of `step` a cell on what is filled: floods every block from the ring around it until no level moves."""
     def start(b: pd.Series) -> dict[str, bytes]:
         z = _padded(b, layer, size, np.nan)
         here = np.isfinite(z)
@@ -331,13 +466,13 @@ def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0, max
 
     kept = [n for n in blocks.columns]
     state = cut(_add(_with_ring(blocks, size, layer), start, ["_w", "_moved"]))
-    for _ in range(max_rounds):
+    while True:  # levels only fall and are bounded by the ground, so this ends
         state = cut(_add(_with_ring(state, size, "_w"), flood, ["_w", "_moved"]))
         if state.where(C("_moved") == F.lit(b"\x01")).isEmpty():
-            # levels that stayed infinite belong to cells without any way out
-            return _add(state, lambda b: {layer: np.where(np.isfinite(w := np.frombuffer(b["_w"], dtype="<f8")), w, np.nan).tobytes()}, [layer]) \
-                .select("br", "bc", *[n for n in kept if n not in ("br", "bc")])
-    raise RuntimeError(f"depressions not settled after {max_rounds} rounds")
+            break
+    # levels that stayed infinite belong to cells without any way out
+    settled = _add(state, lambda b: {layer: np.where(np.isfinite(w := np.frombuffer(b["_w"], dtype="<f8")), w, np.nan).tobytes()}, [layer])
+    return settled.select("br", "bc", *[n for n in kept if n not in ("br", "bc")])
 
 
 # ---- the same on cells ------------------------------------------------------------------------
@@ -360,16 +495,15 @@ def drain_mask(stream: str, area: str, threshold: float, value: str) -> Column:
     return (F.coalesce(C(stream), F.lit(False)) | (F.coalesce(C(area), F.lit(0.0)) >= threshold)) & C(value).isNotNull()
 
 
-def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0, max_rounds: int = 500) -> DataFrame:
+def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0) -> DataFrame:
     """Raise every cell (row, col, v) to the lowest level at which water can leave; `step` > 0 leaves a gentle slope on flats.
 
-    Water leaves at the edge of the grid and next to NODATA. A round floods every block from its open cells and from
-    the levels of the ring of cells around it; rounds repeat until no level moves. Levels only fall, so the
-    end state is the exact minimax level. Stops with an error, never with a half-filled raster.
+    Water leaves at the edge of the grid and next to NODATA. Without a slope every block is flooded once and the graph of border cells is
+    solved in a logarithmic number of rounds; a slope needs rounds over the raster until no level moves. Both are exact.
     """
     valid = cells.where("v IS NOT NULL").select("row", "col", "v", C("v").alias("filled"))
     b = cut(to_blocks(valid, block, {"v": "real", "filled": "real"}))
-    return to_cells(fill_blocks(b, block, "filled", step, max_rounds), block, {"v": "real", "filled": "real"}, where="v")
+    return to_cells(fill_blocks(b, block, "filled", step), block, {"v": "real", "filled": "real"}, where="v")
 
 
 # ---- one derivation and its sensitivity ---------------------------------------------------------
