@@ -21,7 +21,7 @@ from tilewater.session import cut
 #: band of document frequency, as shares of the documents
 LOWEST, HIGHEST = 0.0002, 0.1
 #: one lexicon subset for each share (1 in n) and repetition
-SHARES, REPEATS = (16, 64, 256, 1024), 6
+SHARES, REPEATS = (32, 128, 512), 8
 SUBSETS = [(share, r) for share in SHARES for r in range(REPEATS)]
 BROADCAST_ROWS = 2_000_000
 
@@ -58,7 +58,7 @@ def following(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """Each distinct document with text and `edited`: its last quarter replaced from the start of the next in `order`."""
+    """Each document with text and `edited`: its last quarter replaced from the start of the next in `order`; rows may repeat."""
     take = F.floor(F.col("n_chars") / 4).cast("int")
     want = order.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), take.alias("take"),
                         F.col("next_id").alias("doc_id"), F.col("next_hash").alias("text_hash"))
@@ -66,29 +66,39 @@ def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_hash") == F.col("s_text_hash"))
     starts = sides.join(want, same).select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"),
                                            F.expr("substring(text, 1, take)").alias("start"))
-    plan = left_by_key(order.select(*KEY, "n_chars"), starts.dropDuplicates(list(KEY)))
+    plan = left_by_key(order.select(*KEY, "n_chars"), starts)
     return sides.join(plan, same).select(*KEY, "text", F.concat(F.expr("substring(text, 1, n_chars - floor(n_chars / 4))"), "start").alias("edited"))
 
 
-def fingerprints(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, text_hash, form, sha256, fingerprint of `texts` (doc_id, text_hash, form, text), each key given once.
+def fingerprints(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fingerprint, edited_fingerprint, edited_sha256 of `pairs` (doc_id, text_hash, text, edited; repeated rows are one).
 
-    A text travels as its terms only: one more row, marked by a first character that no term has, carries its hashes along, so that texts are
-    read once and those without a term of the lexicon `known` stay.
+    Texts travel as their terms only, those that both have once: one more row, marked by a first character that no term has, carries
+    the hashes along, so that texts are read once and those without a term of the lexicon `known` stay.
     """
-    note = F.concat(F.lit(" "), F.lpad(F.lower(F.hex(F.xxhash64("text"))), 16, "0"), F.sha2("text", 256))
-    rows = texts.select(*KEY, "form", F.explode(F.concat(F.array(note), terms(F.col("text")))).alias("term"))
+    note = F.concat(F.lit(" "), F.lpad(F.lower(F.hex(F.xxhash64("edited"))), 16, "0"), F.sha2("edited", 256))
+    sets = pairs.select(*KEY, note.alias("note"), terms(F.col("text")).alias("a"), terms(F.col("edited")).alias("b"))
+    tag = lambda form, column: F.struct(F.lit(form).alias("form"), column.alias("terms"))
+    forms = F.explode(F.array(tag(0, F.concat(F.array("note"), F.array_intersect("a", "b"))), tag(1, F.array_except("a", "b")), tag(2, F.array_except("b", "a"))))
+    rows = sets.select(*KEY, forms.alias("f")).select(*KEY, "f.form", F.explode("f.terms").alias("term"))
     noted = F.col("term").startswith(" ")
     rows = joined(rows, known, "term", BROADCAST_ROWS, "left").where(noted | F.col("h").isNotNull())
-    own = rows.groupBy(*KEY, "form").agg(F.sort_array(F.collect_set("h")).alias("t"), F.max(F.when(noted, F.col("term"))).alias("note"))
+    of = lambda form: F.collect_set(F.when(F.col("form") == form, F.col("h"))).alias(f"t{form}")
+    own = rows.groupBy(*KEY).agg(of(0), of(1), of(2), F.max(F.when(noted, F.col("term"))).alias("note"))
+    own = own.select(*KEY, "note", F.sort_array(F.concat("t0", "t1")).alias("t"), F.sort_array(F.concat("t0", "t2")).alias("e"))
+    bits = array_lit([1 << bit for bit in range(len(SUBSETS))], "bigint")
 
-    def mark(bit: Column) -> Column:
-        mine = F.filter("t", lambda x: x.bitwiseAND(bit) != 0)
-        return F.when(F.size(mine) > 0, F.right(F.hex(F.xxhash64(mine)), F.lit(8))).otherwise("")
+    def print_of(name: str, text_hash: Column) -> Column:
+        def mark(bit: Column) -> Column:
+            mine = F.filter(name, lambda x: x.bitwiseAND(bit) != 0)
+            return F.when(F.size(mine) > 0, F.right(F.hex(F.xxhash64(mine)), F.lit(6))).otherwise("")
 
-    marks = F.lower(F.array_join(F.transform(array_lit([1 << bit for bit in range(len(SUBSETS))], "bigint"), mark), "."))
-    whole = F.concat(F.lit("x"), F.substring("note", 2, 16))
-    return own.select(*KEY, "form", F.substring("note", 18, 64).alias("sha256"), F.when(F.size("t") > 0, marks).otherwise(whole).alias("fingerprint"))
+        marks = F.lower(F.array_join(F.transform(bits, mark), "."))
+        return F.when(F.size(name) > 0, marks).otherwise(F.concat(F.lit("x"), text_hash))
+
+    return own.select(
+        *KEY, print_of("t", F.lpad(F.lower(F.hex("text_hash")), 16, "0")).alias("fingerprint"),
+        print_of("e", F.substring("note", 2, 16)).alias("edited_fingerprint"), F.substring("note", 18, 64).alias("edited_sha256"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,16 +120,10 @@ def digest(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     known = cut(lexicon(docs))
     order = following(docs)
-    forms = F.explode(F.array(
-        F.struct(F.lit("t").alias("form"), F.col("text").alias("text")), F.struct(F.lit("e").alias("form"), F.col("edited").alias("text"))))
-    prints = fingerprints(edited(docs, order).select(*KEY, forms.alias("f")).select(*KEY, "f.form", "f.text"), known)
-    of = lambda form, column: F.max(F.when(F.col("form") == form, F.col(column)))
-    prints = prints.groupBy(*KEY).agg(
-        of("t", "fingerprint").alias("fingerprint"), of("e", "fingerprint").alias("edited_fingerprint"), of("e", "sha256").alias("edited_sha256"))
+    prints = fingerprints(edited(docs, order), known)
     full = cut(left_by_key(order.withColumn("n_chars", F.col("n_chars").cast("long")), prints))
     after = full.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_print"))
-    out = left_by_key(full, after, ("next_id", "next_hash"))
-    out = left_by_key(docs.select(*KEY), out)
+    out = left_by_key(left_by_key(docs.select(*KEY), full), after, ("next_id", "next_hash"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
