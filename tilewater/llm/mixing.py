@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-The words of each source, documents in a fixed order, are packed into blocks of BLOCK words. Output shards draw multinomial source counts from
+The words of each source, documents in a fixed order, are packed into blocks of BLOCK words (fewer for a source whose target is under
+STEPS blocks, so that its target is met as closely). Output shards draw multinomial source counts from
 what is left of each source's slots, so all shards together give each source its target to half a block. Slot s of a source stands for block
 permutation(s mod blocks), a keyed pseudorandom permutation of the source's block numbers, and slots meet blocks in one join on
 (source, block). Nothing but one row a source and one row a (shard, source) is ever on the driver.
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from tilewater.llm.common import BLANK_WORD, KEY, keyed, left_by_key
 from tilewater.session import cut
 
-BLOCK, SEED = 256, 20
+BLOCK, STEPS, SEED = 256, 50, 20
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: a shard has at least so many blocks, more if there would be more shards than MAX_SHARDS
 SHARD_SLOTS, MAX_SHARDS = 4096, 10_000
@@ -122,23 +123,24 @@ def placed(docs_k: DataFrame, rows: int) -> DataFrame:
 def mix(docs_k: DataFrame, order: list, goal: list[float], block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, place, k, block, epoch, doc_id, text_hash, start, n, at: every piece of a document in every slot that takes it."""
     spark = docs_k.sparkSession
-    blocks = [-(-r["size"] // block) for r in order]
+    lengths = [max(1, min(block, int(t) // STEPS)) for t in goal]
+    blocks = [-(-r["size"] // n) for r, n in zip(order, lengths, strict=True)]
     slots = [min(LIMIT * b, round(t * b / r["size"])) if r["size"] else 0 for r, b, t in zip(order, blocks, goal, strict=True)]
     plan = spark.createDataFrame(draw(slots, shard_slots), "shard long, k int, first long, count long, place long")
     shards = plan.groupBy("shard").agg(F.sum("count").alias("filled"))
-    many = spark.createDataFrame([(k, b) for k, b in enumerate(blocks)], "k int, blocks long")
+    many = spark.createDataFrame([(k, b, n) for k, (b, n) in enumerate(zip(blocks, lengths, strict=True))], "k int, blocks long, length long")
     drawn = plan.join(shards, "shard").join(many, "k").select(
         "shard", "k", "blocks", "first", "place", "filled", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
     slot = drawn.select(
         "shard", "k", _permuted(F.col("place") + F.col("i"), F.col("filled"), F.col("shard")).alias("place"),
         _permuted((F.col("first") + F.col("i")) % F.col("blocks"), F.col("blocks"), F.col("k") + F.lit(1 << 20)).alias("block"),
         F.floor((F.col("first") + F.col("i")) / F.col("blocks")).cast("int").alias("epoch"))
-    end = F.col("begin") + F.col("size")
-    pieces = placed(docs_k, sum(r["rows"] for r in order)).select(
-        *KEY, "k", "begin", end.alias("end"),
-        F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block"))
-    low, high = F.greatest("begin", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
-    pieces = pieces.select(*KEY, "k", "block", (low - F.col("begin")).alias("start"), (high - low).alias("n"), (low - F.col("block") * block).alias("at"))
+    end, length = F.col("begin") + F.col("size"), F.col("length")
+    pieces = placed(docs_k, sum(r["rows"] for r in order)).join(many, "k").select(
+        *KEY, "k", "begin", "length", end.alias("end"),
+        F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((end - 1) / length))).alias("block"))
+    low, high = F.greatest("begin", F.col("block") * length), F.least("end", (F.col("block") + 1) * length)
+    pieces = pieces.select(*KEY, "k", "block", (low - F.col("begin")).alias("start"), (high - low).alias("n"), (low - F.col("block") * length).alias("at"))
     return slot.join(pieces, ["k", "block"])
 
 
