@@ -118,7 +118,7 @@ def first_by_root(archives: DataFrame) -> DataFrame:
 
 def stratified_sample(files: DataFrame, n: int, seed: int = 0, path: str = "path", size: str = "bytes") -> DataFrame:
     """n/3 files of each size class, topped up to n. Each pick is a distributed top-k by seeded hash."""
-    h = F.xxhash64(F.lit(seed), C(path))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), C(path)))
     cls = F.when(C(size) >= 20 * 1024, "large").when(C(size) >= 5 * 1024, "mid").otherwise("small")
     f = files.withColumn("size_class", cls).withColumn("_h", h)
     k = max(1, n // 3)

@@ -100,12 +100,12 @@ def _manifest_regions(t):
     return t.read("customer").select(
         F.floor(k / 8).alias("doc"), k.alias("pos"), lay.alias("layer"), F.when(lay == "hand", "uint16-decimeters").otherwise("elevation-meter-range").alias("encoding"),
         C("c_name").alias("id"), w.cast("double").alias("west"), s.cast("double").alias("south"), east.cast("double").alias("east"),
-        (s + 6.5).cast("double").alias("north"), F.lit("EPSG:5070").alias("crs"), F.concat(F.lit("s3://dem/"), "c_name").alias("url"))
+        (s + 6.5).cast("double").alias("north"), F.lit("EPSG:5070").alias("crs"), F.concat(F.lit("file:///data/"), "c_name").alias("url"))
 
 
 _MR = """mr AS (SELECT cast(floor(c_custkey / 8) AS bigint) AS doc, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN 'elevation' ELSE 'hand' END AS layer, c_name AS id, -125 + (c_custkey % 5) * 11.5e0 AS west,
          24 + (c_custkey % 4) * 5.25e0 AS south, CASE WHEN floor(c_custkey / 8) % 5 = 0 AND c_custkey % 8 = 3 THEN -126 + (c_custkey % 5) * 11.5e0 ELSE -112.5 + (c_custkey % 5) * 11.5e0 END AS east,
-         30.5 + (c_custkey % 4) * 5.25e0 AS north, 'EPSG:5070' AS crs, 's3://dem/' || c_name AS url FROM customer)"""
+         30.5 + (c_custkey % 4) * 5.25e0 AS north, 'EPSG:5070' AS crs, 'file:///data/' || c_name AS url FROM customer)"""
 
 
 @query("build_manifest", "", f"""

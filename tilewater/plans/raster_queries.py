@@ -326,11 +326,11 @@ def _(t):
 
 
 @query("coverage_set_diff", "fx_degree_tiles fx_points", f"""
-    WITH e AS (SELECT DISTINCT {S.i32('floor(lat)')} AS lat, {S.i32('floor(lon)')} AS lon FROM fx_points WHERE lon < -85)
+    WITH e AS (SELECT DISTINCT {S.i32('floor(lat)')} AS lat, {S.i32('floor(lon)')} AS lon FROM fx_points)
     SELECT lat, lon, 'missing' AS side FROM (SELECT lat, lon FROM e EXCEPT SELECT lat, lon FROM fx_degree_tiles)
     UNION ALL SELECT lat, lon, 'extra' FROM (SELECT lat, lon FROM fx_degree_tiles EXCEPT SELECT lat, lon FROM e)""")
 def _(t):
-    e = t.points().where(C("lon") < -85).select(F.floor("lat").cast("int").alias("lat"), F.floor("lon").cast("int").alias("lon")).distinct()
+    e = t.points().select(F.floor("lat").cast("int").alias("lat"), F.floor("lon").cast("int").alias("lon")).distinct()
     return V.coverage_set_diff(e, t.degree_tiles(), ["lat", "lon"])
 
 

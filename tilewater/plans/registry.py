@@ -5,7 +5,6 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +41,6 @@ def query(key: str, views: str = "", sql: str | None = None):
 
 def load() -> dict[str, Query]:
     for name in _MODULES:
-        if not (Path(__file__).parent / f"{name}.py").exists():
-            continue
         importlib.import_module(f"tilewater.plans.{name}")
     return _QUERIES
 

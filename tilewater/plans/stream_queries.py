@@ -21,7 +21,7 @@ class StreamTables(Tables):
 
     def read(self, name: str):
         schema = Tables.read(self, name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.path}/{name}*.parquet")
+        return self.spark.readStream.schema(schema).parquet(f"{self.path}/{name}.parque[t]")  # a pattern that fits this table alone
 
 
 def _stream(t: Tables) -> StreamTables:

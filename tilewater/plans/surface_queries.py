@@ -123,7 +123,17 @@ def _(t):
     return v.where("v IS NOT NULL").select("row", "col", "hand")
 
 
-@query("fill_depressions")
+@query("fill_depressions", "fx_grid", """
+    WITH RECURSIVE z AS (SELECT row, col, v * 1e0 AS v FROM fx_grid WHERE v IS NOT NULL),
+    st(dr, dc) AS (VALUES (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)),
+    n AS (SELECT z.row, z.col, z.v, n.row AS nr, n.col AS nc FROM z, st JOIN z n ON n.row = z.row + dr AND n.col = z.col + dc),
+    l(row, col, w) USING KEY (row, col) AS (
+        SELECT z.row, z.col, z.v FROM z LEFT JOIN n ON n.row = z.row AND n.col = z.col GROUP BY z.row, z.col, z.v HAVING count(nr) < 8
+        UNION
+        SELECT n.row, n.col, min(greatest(n.v, l.w)) FROM l JOIN n ON n.nr = l.row AND n.nc = l.col
+        LEFT JOIN recurring.l AS old ON old.row = n.row AND old.col = n.col
+        GROUP BY n.row, n.col, old.w HAVING old.w IS NULL OR min(greatest(n.v, l.w)) < old.w)
+    SELECT z.row, z.col, z.v, l.w AS filled FROM z JOIN l ON l.row = z.row AND l.col = z.col""")
 def _(t):
     return D.fill_depressions(t.grid().select("row", "col", "v"), 128)
 

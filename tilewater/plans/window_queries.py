@@ -113,7 +113,12 @@ def _(t):
     return W.first_by_root(t.archives())
 
 
-@query("stratified_sample")
+@query("stratified_sample", "fx_archives", """
+    WITH f AS (SELECT path, bytes % 40000 AS bytes, CASE WHEN bytes % 40000 >= 20480 THEN 'large' WHEN bytes % 40000 >= 5120 THEN 'mid' ELSE 'small' END AS size_class,
+                      md5('7:' || path) AS h FROM fx_archives),
+    k AS (SELECT *, row_number() OVER (PARTITION BY size_class ORDER BY h, path) AS rn FROM f),
+    o AS (SELECT *, row_number() OVER (ORDER BY rn > 30, h, path) AS n FROM k)
+    SELECT path, bytes, size_class FROM o WHERE n <= 90""")
 def _(t):
     return W.stratified_sample(t.archives().select("path", (C("bytes") % 40000).alias("bytes")), 90, seed=7)
 

@@ -48,8 +48,9 @@ VIEW_SQL: dict[str, str] = {
                c_custkey AS pos
         FROM customer""",
     "fx_degree_tiles": """
-        SELECT DISTINCT cast(25 + c_custkey % 20 AS integer) AS lat, cast(-80 - (c_custkey * 7) % 31 AS integer) AS lon
-        FROM customer WHERE c_custkey % 5 <> 0""",
+        SELECT DISTINCT cast(25 + c_custkey % 20 AS integer) AS lat, 
+               cast(-80 - ((c_custkey % 20) * 5 + cast(floor(c_custkey / 20) AS bigint) % 23) % 31 AS integer) AS lon
+        FROM customer""",
     "fx_entries": """
         SELECT page_id, url,
                CASE page_id % 6 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/javascript' WHEN 2 THEN 'image/png'
@@ -165,8 +166,10 @@ class Tables:
 
     def degree_tiles(self) -> DataFrame:
         k = F.col("c_custkey")
-        return self.read("customer").where(k % 5 != 0).select(
-            (F.lit(25) + k % 20).cast("int").alias("lat"), (F.lit(-80) - (k * 7) % 31).cast("int").alias("lon"),
+        # 23 of 31 columns in each row of degrees, so that there are holes
+        return self.read("customer").select(
+            (F.lit(25) + k % 20).cast("int").alias("lat"),
+            (F.lit(-80) - ((k % 20) * 5 + F.floor(k / 20) % 23) % 31).cast("int").alias("lon"),
         ).distinct()
 
     def entries(self) -> DataFrame:

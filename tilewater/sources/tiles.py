@@ -205,8 +205,15 @@ def encode_u16(tiles: DataFrame, keep: list[str], compress: bool = False) -> Dat
     return tiles.select(*keep, pack("values").alias("content"))
 
 
+#: files a zoom is written to at most
+SINK_SHARDS = 32
+
+
 def sink_tiles(tiles: DataFrame, path: str, skip_empty: bool = True) -> None:
-    """Append tiles (layer, dataset_version, z, x, y, content, empty) that the target does not hold yet, with their metadata."""
+    """Append tiles (layer, dataset_version, z, x, y, content, empty) that the target does not hold yet, with their metadata.
+
+    Tiles given twice are written once (the smallest content); files are laid out by zoom and a share of its tiles.
+    """
     spark = tiles.sparkSession
     key = ["layer", "dataset_version", "z", "x", "y"]
     status = F.when(C("empty"), "source-nodata").otherwise("ok")
@@ -216,6 +223,9 @@ def sink_tiles(tiles: DataFrame, path: str, skip_empty: bool = True) -> None:
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
         new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    rest = [c for c in new.columns if c not in key]
+    new = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
+    new = new.repartition("layer", "dataset_version", "z", F.pmod(F.xxhash64("x", "y"), F.lit(SINK_SHARDS)))
     new.drop("empty").write.mode("append").partitionBy("layer", "dataset_version", "z").parquet(path)
 
 
