@@ -93,15 +93,13 @@ def mosaic_tiles(tiles: DataFrame, sources: DataFrame, size: int = 256) -> DataF
             for r in pdf.itertuples(index=False):
                 src = np.frombuffer(r.data, dtype="<i2").reshape(r.height, r.width).astype(np.float32)
                 src[src <= -32767] = np.nan
-                done = []
-                for w in r.wanted:
+                for w in r.wanted:  # one patch at a time
                     p = patch(src, (r.left, r.bottom, r.right, r.top), (w["tl"], w["tb"], w["tr"], w["tt"]), size)
                     if p is not None:
                         rr, cc = np.nonzero(np.isfinite(p[2]))
                         zxy = np.broadcast_to([w["z"], w["x"], w["y"], r.priority], (len(rr), 4))
-                        done.append(np.column_stack([zxy, rr + p[0], cc + p[1], p[2][rr, cc]]).astype(np.int32))
-                if done:
-                    yield pd.DataFrame(np.concatenate(done), columns=["z", "x", "y", "priority", "row", "col", "v"])
+                        cells = np.column_stack([zxy, rr + p[0], cc + p[1], p[2][rr, cc]]).astype(np.int32)
+                        yield pd.DataFrame(cells, columns=["z", "x", "y", "priority", "row", "col", "v"])
 
     cells = work.mapInPandas(run, "z int, x int, y int, priority int, row int, col int, v int")
     return mosaic_priority(cells, ["z", "x", "y", "row", "col"]).drop("from_priority")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,17 @@ from tilewater.sources import tiles as T
 C = F.col
 
 
-def tile_arrays(cells: DataFrame, tile: list[str], size: int) -> DataFrame:
-    """Cells (row, col, code) -> one array of size * size codes per tile, NULL where no cell is; bounded by the tile size."""
-    slots = F.collect_list(F.struct((C("row") * size + C("col")).alias("slot"), "code"))
-    found = F.map_from_entries(C("_l"))
-    return cells.groupBy(*tile).agg(slots.alias("_l")).withColumn("_m", found).select(
-        *tile, F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: C("_m")[i]).alias("values"))
+def tile_blobs(cells: DataFrame, tile: list[str], size: int) -> DataFrame:
+    """Cells (row, col, code) -> `content`, size * size little-endian uint16 per tile, 65535 where no cell is; bounded by the tile size."""
+    kinds = dict(cells.dtypes)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.full(size * size, 65535, dtype="<u2")
+        known = pdf["code"].notna().to_numpy()
+        a[(pdf["row"] * size + pdf["col"]).to_numpy()[known]] = pdf["code"].to_numpy()[known].astype("<u2")
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in tile}, "content": [a.tobytes()]})
+
+    return cells.select(*tile, "row", "col", "code").groupBy(*tile).applyInPandas(fill, ", ".join(f"{c} {kinds[c]}" for c in tile) + ", content binary")
 
 
 def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, path: str, layer: str, version: str, size: int = 256) -> None:
@@ -31,7 +38,7 @@ def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, pa
         have = spark.read.parquet(path).where((C("layer") == layer) & (C("dataset_version") == version)).select(*key)
         wanted = wanted.join(have, key, "left_anti")
     cells = mosaic.mosaic_tiles(wanted, sources, size).withColumn("code", V.encode_elevation(C("v"), "v1"))
-    packed = T.encode_u16(tile_arrays(cells, key, size), key)
+    packed = tile_blobs(cells, key, size)
     T.sink_tiles(packed.withColumn("layer", F.lit(layer)).withColumn("dataset_version", F.lit(version)).withColumn("empty", F.lit(False)), path)
 
 
