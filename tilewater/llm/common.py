@@ -43,10 +43,10 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), *more)
 
 
-def left_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Left join on null-safe keys; `right` brings its other columns."""
+def left_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEY, safe: bool = True) -> DataFrame:
+    """Left join on keys, null-safe unless told that they hold no null; `right` brings its other columns."""
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) if safe else F.col(k) == F.col(f"__{k}") for k in keys]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c

@@ -24,6 +24,8 @@ LOWEST, HIGHEST = 0.0002, 0.1
 SHARES, REPEATS = (32, 128, 512), 8
 SUBSETS = [(share, r) for share in SHARES for r in range(REPEATS)]
 BROADCAST_ROWS = 2_000_000
+#: stands for a null id in keys, so that joins and groups share one partitioning; the smallest id there is
+UNNAMED = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -46,8 +48,8 @@ def lexicon(docs: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -
 def following(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_chars, next_id, next_hash for each distinct document: range parts, and one row a part across them."""
     ids = docs.select(*KEY, F.char_length("text").alias("n_chars")).distinct()
-    parted = cut(ids.repartitionByRange(*[F.asc_nulls_first(k) for k in KEY]).withColumn("part", F.spark_partition_id()))
-    order = [F.asc_nulls_first(k) for k in KEY]
+    parted = cut(ids.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    order = [F.asc(k) for k in KEY]
     here = F.struct(*KEY)
     lead = F.lead(here).over(W.partitionBy("part").orderBy(*order))
     firsts = parted.groupBy("part").agg(F.min(here).alias("first"))
@@ -63,10 +65,10 @@ def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     want = order.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), take.alias("take"),
                         F.col("next_id").alias("doc_id"), F.col("next_hash").alias("text_hash"))
     sides = docs.select(*[F.col(k).alias(f"s_{k}") for k in KEY], "text")
-    same = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("text_hash") == F.col("s_text_hash"))
+    same = (F.col("doc_id") == F.col("s_doc_id")) & (F.col("text_hash") == F.col("s_text_hash"))
     starts = sides.join(want, same).select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"),
                                            F.expr("substring(text, 1, take)").alias("start"))
-    plan = left_by_key(order.select(*KEY, "n_chars"), starts)
+    plan = left_by_key(order.select(*KEY, "n_chars"), starts, safe=False)
     return sides.join(plan, same).select(*KEY, "text", F.concat(F.expr("substring(text, 1, n_chars - floor(n_chars / 4))"), "start").alias("edited"))
 
 
@@ -117,15 +119,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of `docs`."""
-    docs = keyed(docs)
+    docs = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(UNNAMED)))
     known = cut(lexicon(docs))
     order = following(docs)
     prints = fingerprints(edited(docs, order), known)
-    full = cut(left_by_key(order.withColumn("n_chars", F.col("n_chars").cast("long")), prints))
+    full = cut(left_by_key(prints, order.withColumn("n_chars", F.col("n_chars").cast("long")), safe=False))
     after = full.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_print"))
-    out = left_by_key(left_by_key(docs.select(*KEY), full), after, ("next_id", "next_hash"))
+    out = left_by_key(left_by_key(docs.select(*KEY), full, safe=False), after, ("next_id", "next_hash"), safe=False)
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(F.col("doc_id") != UNNAMED, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
     )
