@@ -69,10 +69,19 @@ def _carried(df: DataFrame, root: str, i: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{root}/carry/{i - 1}")
 
 
-def run_pan_prediction(requests: DataFrame, session: str, order: list[str]) -> DataFrame:
+def _recent(rows: DataFrame, us: str, ttl_us: int | None) -> DataFrame:
+    """Rows within the time to live of the newest one; all of them without one."""
+    if ttl_us is None:
+        return rows
+    newest = rows.agg(F.max(us).alias("_newest"))
+    return rows.crossJoin(F.broadcast(newest)).where(C(us) > C("_newest") - ttl_us).drop("_newest")  # one row
+
+
+def run_pan_prediction(requests: DataFrame, session: str, order: list[str], ttl_us: int | None = None, root: str | None = None, **trigger) -> DataFrame:
     """Next-tile predictions of every request, from it and its two predecessors in the session.
 
-    Each batch is joined by the last two requests each session had before; they are written for the next batch.
+    Each batch is joined by the last two requests each session had before; they are written for the next batch, unless they are older than
+    `ttl_us` (by the first column of `order`) when it ends. With `root` a later call goes on where this one stopped.
     """
     columns = requests.columns
 
@@ -85,14 +94,18 @@ def run_pan_prediction(requests: DataFrame, session: str, order: list[str]) -> D
         last = both.groupBy(session).agg(F.max(pos).alias("_p"), F.max_by(row, pos).alias("_r"))
         older = both.join(last.select(session, "_p"), session).where(F.struct(*order) < C("_p")) \
             .groupBy(session).agg(F.max_by(row, pos).alias("_r"))
-        last.select("_r.*").unionByName(older.select("_r.*")).write.mode("overwrite").parquet(f"{root}/carry/{i}")
+        _recent(last.select("_r.*").unionByName(older.select("_r.*")), order[0], ttl_us).write.mode("overwrite").parquet(f"{root}/carry/{i}")
 
-    root = drain_batches(requests, "pan", write)
+    root = drain_batches(requests, "pan", write, root=root, **trigger)
     return requests.sparkSession.read.parquet(f"{root}/out").drop("part")
 
 
-def run_rate_log(requests: DataFrame, key: str, us: str, limit: int, window_us: int = 1_000_000) -> DataFrame:
-    """Exact sliding request log; the last window of each batch is carried into the next."""
+def run_rate_log(requests: DataFrame, key: str, us: str, limit: int, window_us: int = 1_000_000, ttl_us: int | None = None, root: str | None = None,
+                 **trigger) -> DataFrame:
+    """Exact sliding request log; the last window of each key is carried into the next batch, unless it is older than `ttl_us`.
+
+    With `root` a later call goes on where this one stopped.
+    """
     def write(df: DataFrame, i: int, root: str) -> None:
         old = _carried(df, root, i)
         both = old.unionByName(df)
@@ -100,20 +113,24 @@ def run_rate_log(requests: DataFrame, key: str, us: str, limit: int, window_us:
         fresh = seen.join(df.select(key, us).distinct(), [key, us], "left_semi")
         fresh.write.mode("overwrite").parquet(f"{root}/out/part={i}")
         newest = both.groupBy(key).agg(F.max(us).alias("_top"))
-        both.join(newest, key).where(C(us) > C("_top") - window_us).drop("_top").write.mode("overwrite").parquet(f"{root}/carry/{i}")
+        last = both.join(newest, key).where(C(us) > C("_top") - window_us).drop("_top")
+        _recent(last, us, ttl_us).write.mode("overwrite").parquet(f"{root}/carry/{i}")
 
-    root = drain_batches(requests, "rate", write)
+    root = drain_batches(requests, "rate", write, root=root, **trigger)
     return requests.sparkSession.read.parquet(f"{root}/out").drop("part")
 
 
-def run_budget_prune(files: DataFrame, max_bytes: int) -> DataFrame:
-    """Eviction plan over the whole inventory after each batch; the last plan is returned. Use a processing-time trigger to space runs."""
+def run_budget_prune(files: DataFrame, max_bytes: int, root: str | None = None, **trigger) -> DataFrame:
+    """Eviction plan over the whole inventory after each batch; the last plan is returned.
+
+    A processing-time trigger spaces the runs. With `root` a later call goes on where this one stopped.
+    """
     def write(df: DataFrame, i: int, root: str) -> None:
         df.write.mode("overwrite").parquet(f"{root}/inventory/part={i}")
         inventory = df.sparkSession.read.schema(df.schema).parquet(*[f"{root}/inventory/part={k}" for k in range(i + 1)])
         W.prune_oldest(inventory, max_bytes).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/plan/part={i}")
 
-    root = drain_batches(files, "prune", write)
+    root = drain_batches(files, "prune", write, root=root, **trigger)
     plans = files.sparkSession.read.parquet(f"{root}/plan").drop("part")
     last = plans.agg(F.max("batch").alias("_b"))
     from tilewater.operators.joins import with_row
