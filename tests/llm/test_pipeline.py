@@ -84,3 +84,12 @@ def test_license_scan_keeps_rows(spark):
     rows = [(None, "MIT license", None, None), (5, "mit LICENSE mit license", None, None), (5, "", None, None), *AWKWARD]
     out = [(r.doc_id, r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.digest(documents(spark, rows, clashing=True)).collect()]
     assert len(out) == len(rows) and (None, 1, 0, 0, "mit") in out and (5, 2, 0, 2, "mit") in out and (5, 0, None, None, "") in out
+
+
+def test_language_stage_keeps_mixed_and_drops_foreign_texts(spark):
+    from tests.llm.fixtures import prose
+
+    rows = [(i, prose(i, 60), "x", "a") for i in range(20)] + [
+        (100, "Это совсем другой язык и другие буквы", None, "a"), (101, "Это язык " + prose(1, 40), None, "a"), (102, "12 34 !!", "x", "a"), (103, None, "x", "a")]
+    kept = {r.doc_id for r in pipeline.language_id(spark, documents(spark, rows), "").collect()}
+    assert kept == {*range(20), 101}
