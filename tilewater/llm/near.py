@@ -166,7 +166,7 @@ def links(docs: DataFrame, heads: DataFrame, size: int, num: int, den: int) -> D
     mentioned = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     texts = stored(_texts(docs, heads.join(mentioned, "node")))
     found: list[DataFrame] = []
-    for low, high in ((0, 1), (1, 4), (4, TREES)):
+    for low, high in ((0, 1), (1, TREES)):
         some = _apart(stars.where((F.col("tree") >= low) & (F.col("tree") < high)), found)
         found.append(stored(confirmed(some, texts, size, num, den)))
     labels = stored(connected(_union(found)))
