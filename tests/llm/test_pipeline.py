@@ -93,3 +93,19 @@ def test_language_stage_keeps_mixed_and_drops_foreign_texts(spark):
         (100, "Это совсем другой язык и другие буквы", None, "a"), (101, "Это язык " + prose(1, 40), None, "a"), (102, "12 34 !!", "x", "a"), (103, None, "x", "a")]
     kept = {r.doc_id for r in pipeline.language_id(spark, documents(spark, rows), "").collect()}
     assert kept == {*range(20), 101}
+
+
+def test_language_stage_keeps_large_alphabets_and_drops_unlearnt_languages(spark):
+    import random
+
+    def tongue(letters, lengths, seed):
+        pool = ["".join(random.Random(seed * 10_000 + i).choices(letters, k=lengths[i % len(lengths)])) for i in range(400)]
+        return lambda i, n: " ".join(random.Random(seed * 10_000 + 1000 + i).choices(pool, k=n))
+
+    one, two = tongue("abcdefghijklmnoprstu", (3, 4, 5, 6, 7, 8), 1), tongue("abcdefghijklmnoprstu", (3, 4, 5, 6, 7, 8), 2)
+    large, thai = tongue([chr(0x4E00 + 5 * i) for i in range(1200)], (1, 2, 2, 3), 3), tongue([chr(0x0E01 + i) for i in range(40)], (3, 5), 4)
+    rows = [(i, one(i, 60), "x", "a") for i in range(40)] + [(100 + i, large(i, 150), "z", "a") for i in range(40)]
+    rows += [(200 + i, large(500 + i, 100), None, "a") for i in range(10)] + [(300 + i, one(500 + i, 50), None, "a") for i in range(10)]
+    rows += [(400 + i, two(i, 60), None, "a") for i in range(10)] + [(500 + i, thai(i, 60), None, "a") for i in range(10)]
+    out = {r.doc_id: r.lang for r in pipeline.language_id(spark, documents(spark, rows), "").collect()}
+    assert out == {r[0]: r[2] or ("z" if r[0] < 300 else "x") for r in rows if r[0] < 400}

@@ -5,6 +5,10 @@ the sample; the language that needs the fewest phrases, times the bits to name o
 small alphabet (frequent letters have symbols of their own, others share hashed ones, anything else is one gap), so many blocks
 of text advance together, one symbol a step. Texts are cut into blocks of BLOCK symbols, whole texts are read.
 
+Whether a text is in a learnt language at all (`fitting`) is told by the same parse: bits a symbol, block by block in the language that fits it
+best, against what text of that language needs that was held back from a model of the other half of the sample; and at least half of
+its letters must be of a learnt alphabet, counted over all labelled rows without a limit, as scripts share hashed symbols.
+
 Bounds: at most LANGUAGES labels (the most frequent), PIECES pieces of PIECE characters of each, and SYMBOLS symbols in all.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or nothing could be learnt; ties go to the smaller label;
@@ -28,6 +32,10 @@ LANGUAGES, PIECES, PIECE, SYMBOLS = 200, 64, 400, 120_000
 BLOCK, LETTERS, ALPHABET = 256, 55, 64
 GAP, PAD = 0, ALPHABET - 1
 CHARS = 1 << 20
+#: a text fits up to so many times the bits of held-out text, and SHORT symbols more; held-out pieces with longer phrases than COPY are copies
+SLACK, SHORT, USUAL, COPY = 1.5, 24, 0.75, 24
+#: least share of a text's letters that are of a learnt alphabet; share of a label's letters that its alphabet may leave out
+LEAST_KNOWN, STRAY = 0.5, 1e-3
 _tables: dict[bytes, np.ndarray] = {}
 
 
@@ -55,9 +63,14 @@ def symbol_table(letters: str) -> np.ndarray:
     return _tables[key]
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points of a text in lower case."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of a text in lower case, runs of gaps taken as one."""
-    s = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = table[_points(text)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP)
     return s[keep]
@@ -140,11 +153,36 @@ def phrases(blocks: np.ndarray, model: Model) -> np.ndarray:
     return count
 
 
-def guess(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Label and score of each text: how much fewer bits the best language needs than the next (or than a phrase a symbol)."""
-    names, scores = ["und"] * len(texts), np.zeros(len(texts))
+def limits(pieces: dict[str, list[str]]) -> np.ndarray:
+    """Bits a symbol up to which a text fits each language (in the order of labels): SLACK times what most held-out pieces need.
+
+    Every other piece is held back from the model that measures it. Copies of learnt text tell nothing; a language without other held-out
+    text has the highest limit of the others, and none at all if no language has one.
+    """
+    half = build({k: p[::2] for k, p in pieces.items()})
+    table, out = symbol_table(half.letters), []
+    for i, label in enumerate(half.labels):
+        rates = []
+        for s in (symbols(t, table) for t in pieces[label][1::2]):
+            if s.any():
+                blocks = np.full((-(-len(s) // BLOCK), BLOCK), PAD, np.uint8)
+                blocks.reshape(-1)[: len(s)] = s
+                n = phrases(blocks, half)[i].sum()
+                rates += [n * half.bits[i] / len(s)] if len(s) < COPY * n else []
+        out.append(SLACK * np.quantile(rates, USUAL) if rates else -1.0)
+    known = np.array(out)
+    return np.where(known > 0, known, known.max() if (known > 0).any() else np.inf)
+
+
+def guess(texts: list[str | None], model: Model, most: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Label, score and fit of each text.
+
+    The score is how much fewer bits the best language needs than the next (or than a phrase a symbol); a text fits if its blocks, each in
+    its best language, need no more than `most` bits a symbol.
+    """
+    names, scores, fit = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     if not model.labels:
-        return names, scores
+        return names, scores, fit
     table = symbol_table(model.letters)
 
     def flush(run: list[tuple[int, np.ndarray]]) -> None:
@@ -155,7 +193,8 @@ def guess(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
             blocks[at : at + k].reshape(-1)[: len(s)] = s
             at += k
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        need = np.add.reduceat(phrases(blocks, model), first, axis=1) * model.bits[:, None]
+        begun = phrases(blocks, model)
+        need = np.add.reduceat(begun, first, axis=1) * model.bits[:, None]
         order = np.argsort(need, axis=0, kind="stable")
         best = np.take_along_axis(need, order[:1], 0)[0]
         if len(model.labels) > 1:
@@ -165,6 +204,10 @@ def guess(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
         for j, (i, _) in enumerate(run):
             names[i] = model.labels[order[0, j]]
             scores[i] = min(1.0, max(0.0, 1 - best[j] / max(second[j], 1e-9)))
+        if most is not None:
+            load = np.add.reduceat((begun * (model.bits / most)[:, None]).min(axis=0), first)
+            for j, (i, s) in enumerate(run):
+                fit[i] = load[j] <= len(s) + SHORT
 
     run, size = [], 0
     for i, t in enumerate(texts):
@@ -178,7 +221,7 @@ def guess(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
             run, size = [], 0
     if run:
         flush(run)
-    return names, scores
+    return names, scores, fit
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
@@ -203,7 +246,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = guess(batch.column("__text").to_pylist(), shared.value)
+            names, scores, _ = guess(batch.column("__text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*keep, "lang_pred", "score"])
@@ -213,6 +256,52 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def alphabet(docs: DataFrame, labels: tuple[str, ...]) -> str:
+    """Letters of the learnt languages, from all rows of docs (text, lang) with one of `labels`, without those rare ones that make up less than STRAY of a label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, n = np.unique(_points(text), return_counts=True)
+                sums.setdefault(lang, Counter()).update(dict(zip(c.tolist(), n.tolist(), strict=True)))
+        rows = [(lang, c, n) for lang, found in sums.items() for c, n in found.items() if chr(c).isalpha()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
+            names=["lang", "c", "n"])
+
+    known = docs.where(F.col("lang").isin(*labels) & F.col("text").isNotNull()).select("lang", "text")
+    counts = known.mapInArrow(run, "lang string, c int, n long").groupBy("lang", "c").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("lang").agg((F.sum("n") * STRAY / F.count("*")).alias("least"))
+    letters = counts.join(F.broadcast(totals), "lang").where("n >= least").select("c").distinct()
+    return "".join(sorted(chr(r.c) for r in letters.collect()))  # bounded: letters of Unicode
+
+
+def fitting(docs: DataFrame, model: Model, most: np.ndarray, letters: str, *keep: str) -> DataFrame:
+    """The `keep` columns of rows whose text fits a learnt language, with lang_pred."""
+    known = np.zeros(0x110000, bool)
+    known[[ord(c) for c in letters]] = True
+    shared = docs.sparkSession.sparkContext.broadcast((model, most, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, most, known = shared.value
+        is_letter = symbol_table(model.letters) != GAP
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            names, _, fit = guess(texts, model, most)
+            for i, t in enumerate(texts):
+                if fit[i]:
+                    c = _points(t)
+                    fit[i] = known[c].sum() >= LEAST_KNOWN * is_letter[c].sum()
+            stay = pa.array(fit)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).filter(stay) for c in keep], pa.array(names, pa.string()).filter(stay)], names=[*keep, "lang_pred"])
+
+    df = docs.select(*keep, F.col("text").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+    return df.mapInArrow(run, f"{schema}, lang_pred string")
+
+
 def held_out():
     """Rows that teach nothing."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
