@@ -78,3 +78,19 @@ def test_mask_rewrites_text_and_keeps_columns(spark):
     assert out[1].text == "é mail [EMAIL] now" and out[1].n_chars == 18
     assert out[2].text is None and out[3].text == "clean" and out[4].text == "[PHONE]"
     assert private.mask(df).where(F.col("row") == "clash").count() == 4
+
+
+def test_context_on_both_sides_and_past_earlier_matches(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3"
+    rows = [
+        (0, "Call 555-123-4567 or 555-123-4568; 555-123-4569 (mobile)"), (1, "call (523) 555-1055 or 523 555 1055"), (2, f"{key} is the password"),
+        (3, "555-123-4567 " + "x" * 41 + " call " + "x" * 41 + " 555-123-4568"), (4, "DE89370400440532013000 BIC COBADEFFXXX"),
+        (5, "GB82WEST12345698765432 2024-01-01"), (6, "IT12 GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947"), (7, "DE89370400440532013001 BIC"),
+        (8, "😀é 555-123-4567 é😀 phone"), (9, f"Key: {key} x " + "y" * 30 + " no"), (10, ""), (11, None),
+    ]
+    out = {r.doc_id: r.spans for r in private.digest(documents(spark, rows, clashing=True)).collect()}
+    assert out == {
+        0: "phone:5:17,phone:21:33,phone:35:47", 1: "phone:5:19,phone:23:35", 2: "secret:0:32", 3: "", 4: "iban:0:22", 5: "iban:0:22",
+        6: "iban:5:32,iban:33:51", 7: "", 8: "phone:3:15", 9: "", 10: "", 11: ""}
+    masked = {r.doc_id: r.text for r in private.mask(documents(spark, rows)).collect()}
+    assert masked[0] == "Call [PHONE] or [PHONE]; [PHONE] (mobile)" and masked[4] == "[IBAN] BIC COBADEFFXXX"

@@ -21,7 +21,18 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # a run with fewer digits cannot pass
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 INNER_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: fixed values: length of an IBAN by country; codes without a known length may have any
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"(?:%s|(?!%s)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])" % (
+    "|".join(r"(?:%s)[0-9]{2}(?:\x20?[A-Z0-9]){%d}" % (c.replace(" ", "|"), n - 4) for n, c in IBAN_LENGTHS.items()),
+    "|".join(" ".join(IBAN_LENGTHS.values()).split()))
+IBAN_START = r"(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2}\x20?[A-Z0-9])"
+IBAN_REACH = 68
 SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 LOCAL_PHONE = r"(?<![0-9+A-Za-z])(?<!\+[0-9]{1,3}\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
@@ -41,22 +52,38 @@ CONTEXT = {
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double,text:string>>"
 
 
-def _places(text: Column, pattern: str, gate: Column) -> Column:
-    """start, end, text and the text before of every leftmost match that does not overlap an earlier one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,before:string>>").alias("out"))
+def _places(text: Column, pattern: str, gate: Column, ahead: int = REACH) -> Column:
+    """start, end, text, REACH code points before and `ahead` after of every leftmost match that does not overlap an earlier one."""
+    kind = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    last = F.struct(F.left(F.element_at(between, -1), F.lit(ahead)).alias("head"), F.array().cast("array<string>").alias("out"))
+
+    def back(acc: Column, x: Column) -> Column:
+        head = F.left(F.concat(F.left(x["gap"], F.lit(ahead)), F.left(x["hit"], F.lit(ahead)), acc["head"]), F.lit(ahead))
+        return F.struct(head.alias("head"), F.array_append(acc["out"], acc["head"]).alias("out"))
+
+    after = F.reverse(F.aggregate(F.reverse(pairs), last, back, lambda acc: acc["out"]))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.char_length(x["gap"])
-        b = a + F.char_length(x["hit"])
-        one = F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("text"), F.right(x["gap"], F.lit(REACH)).alias("before"))
-        return F.struct(b.alias("at"), F.array_append(acc["out"], one).alias("out"))
+        a = acc["at"] + F.char_length(x["p"]["gap"])
+        b = a + F.char_length(x["p"]["hit"])
+        before = F.right(F.concat(acc["tail"], F.right(x["p"]["gap"], F.lit(REACH))), F.lit(REACH))
+        one = F.struct(a.alias("start"), b.alias("end"), x["p"]["hit"].alias("text"), before.alias("before"), x["after"].alias("after"))
+        tail = F.right(F.concat(before, F.right(x["p"]["hit"], F.lit(REACH))), F.lit(REACH))
+        return F.struct(b.alias("at"), tail.alias("tail"), F.array_append(acc["out"], one).alias("out"))
 
-    return F.when(gate & F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
-    )
+    both = F.zip_with(pairs, after, lambda p, rest: F.struct(p.alias("p"), rest.alias("after")))
+    return F.when(gate & F.rlike(text, F.lit(pattern)), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+
+
+def _ibans(text: Column, gate: Column) -> Column:
+    """Places of what has the form of an IBAN, tried at every start, as long as its country says."""
+    full = lambda x: F.regexp_extract(F.concat(x["text"], x["after"]), f"^{IBAN}", 0)
+    named = F.transform(_places(text, IBAN_START, gate, IBAN_REACH), lambda x: x.withField("text", full(x)))
+    return F.transform(F.filter(named, lambda x: x["text"] != ""), lambda x: x.withField("end", x["start"] + F.char_length(x["text"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -87,8 +114,8 @@ def _digits(text: Column) -> Column:
 
 
 def _scored(places: Column, kind: str, valid, base: float) -> Column:
-    """Places that pass `valid`, as spans with a score: `base`, more if a context word stands just before."""
-    near = lambda x: F.lower(x["before"]).rlike(CONTEXT[kind])
+    """Places that pass `valid`, as spans with a score: `base`, more if a context word stands near it, before or after."""
+    near = lambda x: F.lower(F.concat(x["before"], F.lit("\n"), F.left(x["after"], F.lit(REACH)))).rlike(CONTEXT[kind])
     return F.transform(
         F.filter(places, valid),
         lambda x: F.struct(
@@ -116,7 +143,7 @@ def spans(docs: DataFrame, *keep: str) -> DataFrame:
         _places(text, CARD, digit).alias("p_card"),
         _places(text, PHONE, digit & F.contains(text, F.lit("+"))).alias("p_phone"),
         _places(text, INNER_CARD, digit).alias("p_inner"),
-        _places(text, IBAN, digit).alias("p_iban"),
+        _ibans(text, digit).alias("p_iban"),
         _places(text, SECRET, digit).alias("p_secret"),
         _places(text, LOCAL_PHONE, digit).alias("p_local"),
     )
