@@ -145,6 +145,33 @@ def test_mosaic_order_and_gaps(spark):
     assert len({(c.row, c.col) for c in cells}) == len(cells)
 
 
+def test_mosaic_of_several_sources_of_a_square(spark):
+    """The query against one pass over all embeddings in plain Python: sources of a square fill what earlier ones leave out."""
+    from tilewater.functions import addressing as A
+    from tilewater.plans import file_queries, registry
+    from tilewater.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.1")
+    got = {(r.z, r.x, r.y, r.row, r.col): r.v for r in registry.load()["mosaic_tiles"].run(t).collect()}
+    z = F.lit(9)
+    tiles = t.points().select(z.alias("z"), A.tile_x(F.col("lon"), z).alias("x"), A.tile_y(F.col("lat"), z).alias("y")).distinct()
+    tiles = [(r.z, r.x, r.y, (r.b.left, r.b.bottom, r.b.right, r.b.top)) for r in tiles.withColumn("b", A.tile_bounds(F.col("x"), F.col("y"), F.col("z"))).collect()]
+    h, want, used = T.HALF_PIXEL_DEG, {}, set()
+    rasters = [(25 + r.vec_id % 20, -110 + r.vec_id // 20 % 40, r) for r in file_queries._rasters(t).collect()]
+    assert len(rasters) > 800
+    for lat, lon, r in sorted(rasters, key=lambda s: (s[0] * 1000 + s[1], s[2].vec_id)):
+        src = np.array([np.nan if v is None else v for v in r["values"]], np.float32).reshape(8, 8)
+        for z9, x, y, b in tiles:
+            if lat <= b[3] - 1e-12 and lat + 1 >= b[1] + 1e-12 and lon <= b[2] - 1e-12 and lon + 1 >= b[0] + 1e-12:
+                p = M.patch(src, (lon - h, lat - h, lon + 1 + h, lat + 1 + h), b, 8)
+                for i, j in zip(*np.nonzero(np.isfinite(p[2]))) if p else ():
+                    key = (z9, x, y, int(i) + p[0], int(j) + p[1])
+                    if key not in want:
+                        want[key] = int(p[2][i, j])
+                        used.add(r.vec_id)
+    assert got == want and max(used) >= 800
+
+
 def _split(spark, folder, rows, schema, parts):
     """Write the rows as several parquet files, oldest first."""
     step = -(-len(rows) // parts)

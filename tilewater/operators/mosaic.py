@@ -72,21 +72,21 @@ def patch(src: np.ndarray, sb, tb, size: int) -> tuple[int, int, np.ndarray] | N
     return r0, c0, part
 
 
-def mosaic_tiles(tiles: DataFrame, sources: DataFrame, size: int = 256) -> DataFrame:
+def mosaic_tiles(tiles: DataFrame, sources: DataFrame, size: int = 256, order: str | None = None) -> DataFrame:
     """Cells (z, x, y, row, col, v) of every requested tile that some source covers.
 
     `sources`: lat, lon (south-west degree corner), left, bottom, right, top, height, width, data (little-endian int16 bytes).
     A tile is not assembled in one call: each source meets the list of tiles over its own degree square (bounded by
     geometry), so a raster is moved and decoded once however many tiles it feeds. The patches meet per cell, first
-    source in (lat, lon) order first, which keeps a low-zoom tile over thousands of sources distributed.
+    source in (lat, lon, `order`) order first, `order` being a whole number that ranks sources of one square; this keeps a low-zoom tile over thousands of sources distributed.
     Tiles without any valid cell give no rows.
     """
-    pairs = tile_source_overlap(tiles.select("z", "x", "y").distinct(), sources.select("lat", "lon"))
+    pairs = tile_source_overlap(tiles.select("z", "x", "y").distinct(), sources.select("lat", "lon").distinct())
     t = A.tile_bounds(C("x"), C("y"), C("z"))
     wanted = pairs.withColumn("_t", t).groupBy("lat", "lon").agg(F.collect_list(F.struct(
         "z", "x", "y", C("_t.left").alias("tl"), C("_t.bottom").alias("tb"), C("_t.right").alias("tr"), C("_t.top").alias("tt"))).alias("wanted"))
     work = sources.join(wanted, ["lat", "lon"]).select(
-        (C("lat") * 1000 + C("lon")).alias("priority"), "left", "bottom", "right", "top", "height", "width", "data", "wanted")
+        (C("lat") * 1000 + C("lon")).alias("square"), (C(order).cast("long") if order else F.lit(0).cast("long")).alias("rank"), "left", "bottom", "right", "top", "height", "width", "data", "wanted")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -97,9 +97,10 @@ def mosaic_tiles(tiles: DataFrame, sources: DataFrame, size: int = 256) -> DataF
                     p = patch(src, (r.left, r.bottom, r.right, r.top), (w["tl"], w["tb"], w["tr"], w["tt"]), size)
                     if p is not None:
                         rr, cc = np.nonzero(np.isfinite(p[2]))
-                        zxy = np.broadcast_to([w["z"], w["x"], w["y"], r.priority], (len(rr), 4))
+                        zxy = np.broadcast_to([w["z"], w["x"], w["y"], r.square], (len(rr), 4))
                         cells = np.column_stack([zxy, rr + p[0], cc + p[1], p[2][rr, cc]]).astype(np.int32)
-                        yield pd.DataFrame(cells, columns=["z", "x", "y", "priority", "row", "col", "v"])
+                        yield pd.DataFrame(cells, columns=["z", "x", "y", "square", "row", "col", "v"]).assign(rank=r.rank)
 
-    cells = work.mapInPandas(run, "z int, x int, y int, priority int, row int, col int, v int")
+    cells = work.mapInPandas(run, "z int, x int, y int, square int, row int, col int, v int, rank long")
+    cells = cells.withColumn("priority", F.struct("square", "rank"))
     return mosaic_priority(cells, ["z", "x", "y", "row", "col"]).drop("from_priority")

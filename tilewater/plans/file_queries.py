@@ -178,9 +178,9 @@ def _(t):
     k = C("vec_id")
     lat, lon = (F.lit(25) + k % 20).cast("int"), (F.lit(-110) + F.floor(k / 20) % 40).cast("int")
     h = T.HALF_PIXEL_DEG
-    src = _rasters(t).groupBy(lat.alias("lat"), lon.alias("lon")).agg(F.min_by(F.struct("height", "width", "values"), "vec_id").alias("r")).select(
-        "lat", "lon", (C("lon") - h).alias("left"), (C("lat") - h).alias("bottom"), (C("lon") + 1 + h).alias("right"), (C("lat") + 1 + h).alias("top"), "r.height", "r.width",
-        T.pack_i16(C("r.values")).alias("data"))
+    src = _rasters(t).withColumns({"lat": lat, "lon": lon}).select(
+        "vec_id", "lat", "lon", (C("lon") - h).alias("left"), (C("lat") - h).alias("bottom"), (C("lon") + 1 + h).alias("right"), (C("lat") + 1 + h).alias("top"), "height", "width",
+        T.pack_i16(C("values")).alias("data"))
     z = F.lit(9)
     tiles = t.points().select(z.alias("z"), A.tile_x(C("lon"), z).alias("x"), A.tile_y(C("lat"), z).alias("y"))
-    return mosaic_tiles(tiles, src, size=8)
+    return mosaic_tiles(tiles, src, size=8, order="vec_id")
