@@ -198,3 +198,25 @@ def test_normal_forms(spark):
             (None, None), ("mailto:x", None)]
     got = spark.createDataFrame(rows, "url string, want string").select("want", urls.normal(F.col("url")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
+
+
+def test_links_of_all_forms(spark):
+    can, ref = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    page = "https://s.net/a/b/c?x=1"
+    named = {
+        "page.html": "s.net/a/b/page", "../x": "s.net/a/x", "./y?q=2#f": "s.net/a/b/y?q=2", "?id=1": "s.net/a/b/c?id=1", "../../../z": "s.net/z",
+        "/login?next=https://x.org/": "s.net/login?next=https://x.org/", "r?to=http://x.org/": "s.net/a/b/r?to=http://x.org/", "//t.net/u/../v": "t.net/v",
+        "http://T.net/w/./": "t.net/w", "mailto:a@b.cd": None, "#top": None, "..": "s.net/a", "/p": "s.net/p",
+    }
+    forms = list(named)
+    rows = [(i, page, (can if i % 2 else ref) % k) for i, k in enumerate(forms)] + [
+        (90, "https://two.net/", can % "/one" + ref % "/three" + can % "/two" + ref % "https://four.net/"), (91, "https://bare.net", can % "x"), (92, "none", can % "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = lambda i: {r.b for r in urls.links(df.where(F.col("page_id") == i)).collect()}
+    got = df.where("page_id < 90").select("page_id", urls.normal(urls.absolute(
+        F.regexp_extract("html", '(?:href="|url=)([^">]+)', 1), F.col("url"))).alias("b")).collect()
+    assert {forms[r.page_id]: r.b for r in got} == named
+    assert one(90) == {"two.net/one", "two.net/two", "two.net/three", "four.net"} and one(91) == {"bare.net/x"} and one(92) == set()
+    blocked = spark.createDataFrame([(1, "https://m.net/d/p", can % "../q"), (2, "https://m.net/q", can % "http://shop.com/de/1"),
+                                     (3, "http://shop.com/de/1", None)], df.schema)
+    assert {r.verdict for r in urls.judge(blocked).collect()} == {"block"}

@@ -5,6 +5,9 @@ Rules (host, path) judge the urls they fit. Urls that answer for one another sha
 to other nodes, and the connected components of those edges are the aliases. A page without a rule of its own is blocked if an
 alias is blocked by a rule and none is explicitly allowed.
 
+Links are resolved against the page's url: full ones (with a scheme), on its scheme, on its host, relative to its path, and queries alone; dot
+segments go. All canonical links and refreshes of a page count. A link without a target of its own (a fragment, `mailto:` and the like) has none.
+
 Defined results: null urls and those without `://` have empty host and path, fit no rule, have no aliases and are allowed; rows are kept
 one to one; null html has no links.
 """
@@ -31,6 +34,7 @@ ALIAS_PATH = r"(/index)?(\.html?)?/*$"
 TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
@@ -51,17 +55,43 @@ def normal(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def undotted(path: Column) -> Column:
+    """A path that starts with a slash, without its `.` and `..` segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.array_append(acc, x))
+
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")).cast("array<string>"), step)
+    joined = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") | (F.size(kept) == 1), "/").otherwise(""))
+    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), joined).otherwise(path)
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """A link as a full url: as it is, on the page's scheme, or on its host; null if it is none of these."""
+    """A link as a full url, resolved against the page's url; null if it names no page (a fragment, another scheme)."""
     scheme, host = F.regexp_extract(url, r"^([^:/?#]+)://", 1), F.regexp_extract(url, PARTS, 1)
-    return (F.when(F.contains(link, F.lit("://")), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link)))
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    base = F.concat(scheme, F.lit("://"), host)
+    here = F.regexp_extract(url, PARTS, 2)
+    folder = F.when(F.contains(here, F.lit("/")), F.regexp_extract(here, r"(?s)^(.*/)", 1)).otherwise("/")
+    full = F.when(F.rlike(link, F.lit(SCHEME)), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+    cut = r"(?s)^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$"
+    tidy = F.concat(F.regexp_extract(full, cut, 1), undotted(F.regexp_extract(full, cut, 2)), F.regexp_extract(full, cut, 3))
+    return (F.when(full.isNotNull(), tidy)
+            .when(link.startswith("/"), F.concat(base, undotted(path), rest))
+            .when(F.rlike(link, F.lit(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)")), F.lit(None).cast("string"))
+            .when(link.startswith("?"), F.concat(base, here, link))
+            .otherwise(F.concat(base, undotted(F.concat(folder, path)), rest)))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """a, b: normal forms of a page and of what its canonical link or refresh names."""
+    """a, b: normal forms of a page and of what its canonical links and refreshes name."""
     html, url = F.col("html"), F.col("url")
-    named = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
+    tags = lambda tag, target: F.transform(
+        F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, target, 1))
+    named = F.concat(tags(CANONICAL, HREF), tags(REFRESH, TARGET))
     some = pages.where(F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh")))
     found = some.select(normal(url).alias("a"), "url", F.explode(named).alias("link")).where("link <> ''")
     return found.select("a", normal(absolute(F.col("link"), url)).alias("b")).where("a is not null and b is not null and a <> b").distinct()
