@@ -78,6 +78,21 @@ def corpus() -> list[tuple]:
     return rows + [r for r in AWKWARD if r[0] is not None and r[0] != 6]
 
 
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
+
+
+def vectors(n: int = 700, width: int = 16) -> list[tuple]:
+    """vec_id, embedding, label: clusters, ties, repeated rows, null labels, and rows that are dropped."""
+    import random
+
+    r = random.Random(5)
+    centres = [[r.gauss(0, 0.3) for _ in range(width)] for _ in range(40)]
+    rows = [(i, [c + r.gauss(0, 0.02) for c in centres[i % 40]], [None, 1, 2, 3][i % 4]) for i in range(n)]
+    rows += [(1000 + i, [0.25] * width, 7) for i in range(60)] + [(5, rows[5][1], 1), (5, rows[5][1], 1)]
+    bad = [None, [None] * width, [float("nan")] + [0.0] * (width - 1), [float("inf")] * width]
+    return rows + [(2000 + i, b, i) for i, b in enumerate(bad)]
+
+
 def write_tables(spark, folder: str, rows: bool = True) -> str:
     from pyspark.sql import types as T
 
@@ -88,6 +103,7 @@ def write_tables(spark, folder: str, rows: bool = True) -> str:
         f"{folder}/benchmark.parquet")
     spark.createDataFrame(PAGES if rows else [], T.StructType([
         T.StructField("page_id", long), T.StructField("url", string), T.StructField("html", string)])).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(vectors() if rows else [], VECTORS).write.parquet(f"{folder}/embeddings.parquet")
     labels = [(r[0], r[0] % 2, 0) for r in corpus() if r[0] >= 100] + [(10, None, None), (999, 1, 0), (None, 1, 0)]
     spark.createDataFrame(labels if rows else [], T.StructType([
         T.StructField("doc_id", long), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])).write.parquet(

@@ -32,12 +32,17 @@ def test_given_tables_match_sql(spark, key):
     assert not message, message
 
 
-@pytest.mark.parametrize("key", sorted(queries.QUERIES))
+@pytest.mark.parametrize("key", sorted(set(queries.QUERIES) - {"op11_vector_codes", "op12_ranked_search"}))
 def test_one_row_a_document_and_none_for_empty_tables(spark, small, empty, key):
     name = "pages" if "url" in key else "documents"
     assert queries.QUERIES[key](spark, small).count() == spark.read.parquet(f"{small}/{name}.parquet").count()
     assert queries.QUERIES[key](spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("key", ["op11_vector_codes", "op12_ranked_search"])
+def test_none_for_empty_tables(spark, empty, key):
+    assert queries.QUERIES[key](spark, empty).count() == 0
+
+
 def test_pipeline_over_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0

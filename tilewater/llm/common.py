@@ -72,3 +72,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstored(df: DataFrame) -> None:
+    """Remove the table of a frame that `stored` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

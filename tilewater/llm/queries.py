@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewater.llm import benchmark, imatch, language, licenses, mixing, near, private, quality, suffixes, urls
+from tilewater.llm import benchmark, imatch, language, licenses, mixing, near, private, quality, ranked, rules, suffixes, urls, vectors
+from tilewater.llm import twins
 from tilewater.llm.common import table
 
 
@@ -55,11 +56,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_license_scan, op3_mixing, op4_suffix_dedup, op5_near_dedup, op6_url_filter, op7_personal_data, op8_fingerprints,
-        op9_quality, op10_decontamination,
+        op9_quality, op10_decontamination, op11_vector_codes, op12_ranked_search, op13_quality_rules,
     )
 }
 
@@ -188,4 +201,5 @@ SQL: dict[str, str] = {
                cast(last_word AS bigint) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
                coalesce(score, 0e0) AS score
         FROM d LEFT JOIN s USING (doc_id)""",
+    **twins.SQL,
 }
