@@ -199,3 +199,81 @@ def test_stratified_sample(spark):
     assert len(a) == 30 and a == b
     few = f.limit(10)
     assert W.stratified_sample(few, 30).count() == 10
+
+
+def _levels_by_heap(z, ring):
+    """Lowest way of each cell from the border of a block or an open cell, by a heap; and of each label to each other, over all pairs."""
+    import heapq
+
+    n = z.shape[0]
+    pad = np.full((n + 2, n + 2), np.nan)
+    pad[1:-1, 1:-1] = z
+    for p in ring or []:
+        pad[p["row"] + 1, p["col"] + 1] = p["value"]
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    level = np.full((n, n), np.nan)
+    heap = [(z[i, j], i, j) for i in range(n) for j in range(n) if np.isfinite(z[i, j]) and (
+        i in (0, n - 1) or j in (0, n - 1) or any(np.isnan(pad[i + 1 + a, j + 1 + b]) for a, b in around))]
+    heapq.heapify(heap)
+    while heap:
+        w, i, j = heapq.heappop(heap)
+        if not np.isnan(level[i, j]):
+            continue
+        level[i, j] = w
+        for a, b in around:
+            r, c = i + a, j + b
+            if 0 <= r < n and 0 <= c < n and np.isfinite(z[r, c]) and np.isnan(level[r, c]):
+                heapq.heappush(heap, (max(w, z[r, c]), r, c))
+    return level
+
+
+def _ways(edges):
+    """Lowest way between any two ends of edges."""
+    names = sorted({x for e in edges for x in e[:2]})
+    at = {x: i for i, x in enumerate(names)}
+    m = np.full((len(names),) * 2, np.inf)
+    for a, b, w in edges:
+        m[at[a], at[b]] = m[at[b], at[a]] = min(m[at[a], at[b]], w)
+    for k in range(len(names)):
+        m = np.minimum(m, np.maximum(m[:, k:k + 1], m[k:k + 1, :]))
+    np.fill_diagonal(m, 0)
+    return names, m.tolist()
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_flood_of_a_block(seed):
+    import pandas as pd
+
+    r = np.random.default_rng(seed)
+    n = int(r.integers(3, 20))
+    z = r.integers(0, 6 if seed % 2 else 300, (n, n)).astype(float)
+    if seed % 3:
+        z[r.random((n, n)) < 0.12] = np.nan
+    outside = [(i, j) for i in range(-1, n + 1) for j in range(-1, n + 1) if i in (-1, n) or j in (-1, n)]
+    ring = [{"row": i, "col": j, "value": float(r.integers(0, 6))} for i, j in outside if r.random() < 0.9] if seed % 4 else None
+    level, label, (u, v, w), _, is_open = D._flooded(pd.Series({"br": 0, "bc": 0, "v": z.tobytes(), "ring": ring}), "v", n)
+    assert np.array_equal(level, _levels_by_heap(z, ring), equal_nan=True)
+    flat = label.ravel()
+    assert ((flat == D._NONE) == np.isnan(z).ravel()).all()
+    border = np.zeros((n, n), dtype=bool)
+    border[[0, -1], :] = border[:, [0, -1]] = True
+    mine = np.flatnonzero(border.ravel() & np.isfinite(z).ravel())
+    assert (flat[mine] == mine).all() and (flat[is_open.ravel() & ~border.ravel()] == D._OPEN).all()
+    # what passes keep between labels is what steps between all cells keep
+    steps = [(int(flat[i * n + j]), int(flat[a * n + b]), max(z[i, j], z[a, b])) for i in range(n) for j in range(n) for a, b in
+             ((i, j + 1), (i + 1, j), (i + 1, j + 1), (i + 1, j - 1)) if a < n and 0 <= b < n and np.isfinite(z[i, j]) and np.isfinite(z[a, b])]
+    steps = [(a, b, w) for a, b, w in steps if a != b]
+    kept = list(zip(u.tolist(), v.tolist(), w.tolist()))
+    assert _ways(kept) == _ways(steps)
+    spanning = list(zip(*(x.tolist() for x in D._spanning(u, v, w))))
+    assert _ways(spanning) == _ways(steps) and len(spanning) < max(1, len(_ways(steps)[0]))
+
+
+@pytest.mark.parametrize("region", [1, 2, 16])
+def test_regions_are_contracted_alike(spark, monkeypatch, region):
+    monkeypatch.setattr(D, "REGION", region)
+    v = np.random.default_rng(3).integers(0, 30, (40, 33)).astype(float)
+    v[7:9, 5:20] = np.nan
+    want = _fill_brute(v)
+    got = D.fill_depressions(_frame(spark, v), 5).collect()
+    assert all(r.filled == want[r.row, r.col] for r in got) and len(got) == int(np.isfinite(v).sum())

@@ -4,7 +4,7 @@ A raster is cut into square blocks and each block travels as one row with its la
 arrays instead of one row per cell. Inside a block the flow is followed with NumPy. Between blocks only border cells
 matter: each exit cell points to the exit its water takes next, and that small graph is contracted by pointer doubling
 with joins, log2(longest chain) rounds. Drainage therefore crosses any number of blocks without an overlap
-guess, and no join over all cells is ever repeated. Every round is checkpointed, so lost executors repeat one round.
+guess, and no join over all cells is ever repeated. Every round is written to the checkpoint folder, so lost executors repeat one round.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewater.operators.joins import with_row
 from tilewater.operators.neighborhood import NEIGHBORS
-from tilewater.session import cut
+from tilewater.session import written
 
 C = F.col
 
@@ -27,13 +28,14 @@ STEPS = {code: (dr, dc) for dr, dc, _, code in NEIGHBORS.values()}
 DISTANCE = {code: dist for _, _, dist, code in NEIGHBORS.values()}
 NO_FLOW = 0
 MAX_ROUNDS = 64  # chains of up to 2^64 exits
+GATHERED = 1 << 20  # cells a task holds before it sends them on as pieces of blocks
 
 
 def flow_direction_d8(cells: DataFrame, value: str = "v", block: int = 256) -> DataFrame:
     """Steepest downhill neighbour of each valid cell (row, col, value, dir) as a direction code; the lowest code wins ties, 0 where
     nothing is lower. Absent rows and NULL values are the same: no neighbour. Other columns are not kept."""
     valid = cells.where(C(value).isNotNull()).select("row", "col", C(value).alias("v"))
-    b = d8_blocks(cut(to_blocks(valid, block, {"v": "real"})), block, "v")
+    b = d8_blocks(written(to_blocks(valid, block, {"v": "real"})), block, "v")
     return to_cells(b, block, {"v": "real", "dir": "code"}, where="v").withColumnRenamed("v", value)
 
 
@@ -44,22 +46,49 @@ KINDS = {"real": ("<f8", np.nan, "double"), "code": ("<i2", -1, "int"), "flag":
 
 
 def to_blocks(cells: DataFrame, size: int, layers: dict[str, str]) -> DataFrame:
-    """Cells -> one row per block (br, bc) with each layer (name -> kind) as bytes, row by row."""
+    """Cells -> one row per block (br, bc) with each layer (name -> kind) as bytes, row by row.
+
+    Tasks gather up to `GATHERED` cells into pieces of blocks before the shuffle, so what moves is bytes and not one row a cell.
+    """
     blank = {"code": F.lit(-1), "flag": F.lit(False)}
     cols = [C(n).cast(KINDS[k][2]) if k == "real" else F.coalesce(C(n).cast(KINDS[k][2]), blank[k]) for n, k in layers.items()]
-    keyed = cells.select(F.floor(C("row") / size).cast("int").alias("br"), F.floor(C("col") / size).cast("int").alias("bc"),
-                         (F.pmod(C("row"), F.lit(size)) * size + F.pmod(C("col"), F.lit(size))).cast("int").alias("slot"),
-                         *[c.alias(n) for c, n in zip(cols, layers)])
+
+    def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        row, col = (t.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        br, bc = row // size, col // size
+        order = np.lexsort((bc, br))
+        br, bc = br[order], bc[order]
+        at = np.flatnonzero(np.concatenate([[True], (br[1:] != br[:-1]) | (bc[1:] != bc[:-1])]))
+        slot = (row[order] - br * size) * size + col[order] - bc * size
+        data = {"slots": slot.astype("<i4"), **{n: t.column(n).to_numpy()[order].astype(KINDS[k][0]) for n, k in layers.items()}}
+        ends = np.append(at[1:], len(br))
+        cut_up = [pa.array([v[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for v in data.values()]
+        return pa.RecordBatch.from_arrays([pa.array(br[at].astype(np.int32)), pa.array(bc[at].astype(np.int32)), *cut_up], names=["br", "bc", *data])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield flushed(held)
+                held, n = [], 0
+        if n:
+            yield flushed(held)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         out = {"br": [pdf["br"].iloc[0]], "bc": [pdf["bc"].iloc[0]]}
+        slots = np.frombuffer(b"".join(pdf["slots"]), dtype="<i4")
         for n, k in layers.items():
             a = np.full(size * size, KINDS[k][1], dtype=KINDS[k][0])
-            a[pdf["slot"].to_numpy()] = pdf[n].to_numpy()
+            a[slots] = np.frombuffer(b"".join(pdf[n]), dtype=KINDS[k][0])
             out[n] = [a.tobytes()]
         return pd.DataFrame(out)
 
-    return keyed.groupBy("br", "bc").applyInPandas(pack, "br int, bc int, " + ", ".join(f"{n} binary" for n in layers))
+    shape = "br int, bc int, " + ", ".join(f"{n} binary" for n in layers)
+    pieces = cells.select("row", "col", *[c.alias(n) for c, n in zip(cols, layers)]).mapInArrow(gather, "br int, bc int, slots binary, " + ", ".join(f"{n} binary" for n in layers))
+    return pieces.groupBy("br", "bc").applyInPandas(pack, shape)
 
 
 def each_block(blocks: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
@@ -74,14 +103,17 @@ def each_block(blocks: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], schem
 
 def to_cells(blocks: DataFrame, size: int, layers: dict[str, str], where: str) -> DataFrame:
     """Block layers -> cells; only cells whose `where` layer (kind real) is present."""
-    def unpack(b: pd.Series) -> pd.DataFrame:
-        data = {n: np.frombuffer(b[n], dtype=KINDS[k][0]) for n, k in layers.items()}
-        at = np.flatnonzero(np.isfinite(data[where]))
-        return pd.DataFrame({"row": at // size + b["br"] * size, "col": at % size + b["bc"] * size, **{n: a[at] for n, a in data.items()}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                data = {n: np.frombuffer(b[n], dtype=KINDS[k][0]) for n, k in layers.items()}
+                at = np.flatnonzero(np.isfinite(data[where]))
+                cols = [pa.array((x + o * size).astype(np.int32)) for x, o in zip(np.divmod(at, size), (b["br"], b["bc"]))]
+                kinds = {"real": lambda v: pa.array(v, mask=np.isnan(v)), "code": lambda v: pa.array(v.astype(np.int32)), "flag": pa.array}
+                yield pa.RecordBatch.from_arrays(cols + [kinds[k](data[n][at]) for n, k in layers.items()], names=["row", "col", *layers])
 
-    schema = "row int, col int, " + ", ".join(f"{n} {KINDS[k][2]}" for n, k in layers.items())
-    c = each_block(blocks.select("br", "bc", *layers), unpack, schema)
-    return c.withColumns({n: F.when(~F.isnan(n), C(n)) for n, k in layers.items() if k == "real"})
+    return blocks.select("br", "bc", *layers).mapInArrow(run, "row int, col int, " + ", ".join(f"{n} {KINDS[k][2]}" for n, k in layers.items()))
 
 
 def _add(blocks: DataFrame, fn: Callable[[pd.Series], dict[str, bytes]], new: list[str]) -> DataFrame:
@@ -195,7 +227,7 @@ def _exit_links(border: DataFrame, own: list[str], taken: list[str]) -> DataFram
     """
     real = lambda c: F.when(C(c) >= 0, C(c)).alias(c)
     entry = border.select(C("row").alias("to_row"), C("col").alias("to_col"), real("nrow"), real("ncol"), *taken)
-    return cut(border.where("leaves").select("row", "col", "to_row", "to_col", *own).join(entry, ["to_row", "to_col"], "left"))
+    return written(border.where("leaves").select("row", "col", "to_row", "to_col", *own).join(entry, ["to_row", "to_col"], "left"))
 
 
 def _contract(exits: DataFrame, carry: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -205,7 +237,7 @@ def _contract(exits: DataFrame, carry: Callable[[DataFrame, DataFrame], DataFram
             return exits
         names = [c for c in exits.columns if c not in ("row", "col", "to_row", "to_col")]
         hop = exits.select(C("row").alias("nrow"), C("col").alias("ncol"), *[C(c).alias(f"hop_{c}") for c in names])
-        exits = cut(carry(exits, hop))
+        exits = written(carry(exits, hop))
     raise RuntimeError("flow directions form a cycle between blocks")
 
 
@@ -232,7 +264,7 @@ def area_blocks(blocks: DataFrame, size: int, cell_area: float) -> DataFrame:
         end = g.ends(np.zeros(size * size, dtype=bool))
         return g.border_rows(end, g.leaves[end], "area", g.accumulate(np.full(size * size, cell_area)))
 
-    border = cut(each_block(blocks.select("br", "bc", "dir"), leaving, _BORDER + "area double"))
+    border = written(each_block(blocks.select("br", "bc", "dir"), leaving, _BORDER + "area double"))
 
     def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
         add = e.where("nrow IS NOT NULL").groupBy(C("nrow").alias("row"), C("ncol").alias("col")).agg(F.sum("area").alias("_in"))
@@ -269,7 +301,7 @@ def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
         rows["leaves"] &= ~np.frombuffer(b["drain"], dtype="|b1")[g.border]
         return rows
 
-    border = cut(each_block(blocks.select("br", "bc", "v", "dir", "drain"), leaving, _BORDER + "drain_v double")
+    border = written(each_block(blocks.select("br", "bc", "v", "dir", "drain"), leaving, _BORDER + "drain_v double")
                  .withColumn("drain_v", F.when(~F.isnan("drain_v"), C("drain_v"))))
 
     def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
@@ -294,6 +326,9 @@ def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
 #: the label of every way out in the graph of basins; other labels are numbers of border cells
 OUT = -1
 _WIDE = 1 << 32
+#: labels inside a block besides slots of border cells
+_OPEN, _NONE = -1, -2
+REGION = 16  # blocks on a side of what one task contracts
 
 
 def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0) -> DataFrame:
@@ -301,99 +336,220 @@ def fill_blocks(blocks: DataFrame, size: int, layer: str, step: float = 0.0) ->
     return _fill_by_passes(blocks, size, layer) if step == 0 else _fill_sloped(blocks, size, layer, step)
 
 
-def _flooded(b: pd.Series, layer: str, size: int) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int], float], np.ndarray, np.ndarray]:
-    """One priority flood of a block from its border and its open cells.
+def _firsts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def _lowest_pairs(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges in both directions, sorted by their ends, the lowest of each pair of ends."""
+    key = np.concatenate([u * n + v, v * n + u])
+    order = np.argsort(key, kind="stable")
+    key, both = key[order], np.concatenate([w, w])[order]
+    at = _firsts(key)
+    u, v = np.divmod(key[at], n)
+    return u, v, np.minimum.reduceat(both, at) if len(at) else both
+
+
+def _hops(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers followed to their ends, with the highest weight on the way; of two that point at each other the smaller becomes an end."""
+    me = np.arange(len(p))
+    head = (p[p] == me) & (me < p)
+    p[head], c[head] = me[head], -np.inf
+    while True:
+        q = p[p]
+        if np.array_equal(p, q):
+            return p, c
+        c, p = np.maximum(c, c[p]), q
+
+
+def _contracted(u: np.ndarray, v: np.ndarray, w: np.ndarray, stay: np.ndarray):
+    """Every node of an undirected graph (u, v, w) that may not `stay` goes along its lowest edge, together with all that came to it, until each
+    has met a node that stays.
 
-    Returns levels, labels (OUT or the number of the border cell the water reaches first), the lowest pass between labels that touch,
-    the padded ground and which cells are open (next to NODATA or to the outside of the grid).
+    Returns that node, the highest weight on the way, and the lowest edges left between nodes that stay. Ties go to the smaller end,
+    so only pairs can point at each other; each round at least halves the nodes that move.
+    """
+    n = len(stay)
+    root, level = np.arange(n), np.full(n, -np.inf)
+    while True:
+        u, v, w = _lowest_pairs(u, v, w, n)
+        at = _firsts(u)
+        if len(at):
+            sizes = np.diff(np.concatenate([at, [len(u)]]))
+            low = np.flatnonzero(w == np.repeat(np.minimum.reduceat(w, at), sizes))
+            pick = low[_firsts(u[low])]
+            pick = pick[~stay[u[pick]]]
+        if not len(at) or not len(pick):
+            once = u < v
+            return root, level, u[once], v[once], w[once]
+        p, c = np.arange(n), np.full(n, -np.inf)
+        p[u[pick]], c[u[pick]] = v[pick], w[pick]
+        p, c = _hops(p, c)
+        level, root = np.maximum(level, c[root]), p[root]
+        u, v = p[u], p[v]
+        apart = u < v
+        u, v, w = u[apart], v[apart], w[apart]
+
+
+def _flooded(b: pd.Series, layer: str, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """What water from the border and the open cells of a block does to it, in NumPy passes over the whole block.
+
+    Returns levels, labels (slot of the border cell that water of a cell reaches first, _OPEN for a way out, _NONE without ground), the
+    lowest passes between labels (label, label, level), the padded ground and which cells are open (next to NODATA or to the outside of the
+    grid). Each cell first points to the neighbour behind its lowest step; the basins that this makes are contracted as a graph.
     """
     z = _padded(b, layer, size, np.nan)
     here = np.isfinite(z)
     shut = np.ones((size, size), dtype=bool)
     for dr, dc in STEPS.values():
         shut &= here[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc]
+    ground = z[1:-1, 1:-1]
     is_open = here[1:-1, 1:-1] & ~shut
-    level = z.copy()
-    level[1:-1, 1:-1] = np.where(here[1:-1, 1:-1], np.inf, np.nan)
-    level[[0, -1], :] = level[:, [0, -1]] = np.nan
-    label = np.full(z.shape, -2, dtype=np.int64)
-    seed = is_open.copy()
-    seed[[0, -1], :] |= here[1:-1, 1:-1][[0, -1], :]
-    seed[:, [0, -1]] |= here[1:-1, 1:-1][:, [0, -1]]
-    rows, cols = np.nonzero(seed)
-    edge = (rows == 0) | (rows == size - 1) | (cols == 0) | (cols == size - 1)
-    number = np.where(edge, (rows + int(b["br"]) * size) * _WIDE + cols + int(b["bc"]) * size, OUT)
-    level[rows + 1, cols + 1] = z[rows + 1, cols + 1]
-    label[rows + 1, cols + 1] = number
-    heap = list(zip(z[rows + 1, cols + 1].tolist(), (rows + 1).tolist(), (cols + 1).tolist()))
-    heapq.heapify(heap)
-    ground, w, who = z.tolist(), level.tolist(), label.tolist()
-    passes: dict[tuple[int, int], float] = {}
-    around = list(STEPS.values())
-    while heap:
-        at, r, c = heapq.heappop(heap)
-        me = who[r][c]
-        for dr, dc in around:
-            a, e = r + dr, c + dc
-            other = who[a][e]
-            if other == -2:
-                if w[a][e] == np.inf:
-                    new = ground[a][e] if ground[a][e] > at else at
-                    w[a][e] = new
-                    who[a][e] = me
-                    heapq.heappush(heap, (new, a, e))
-            elif other != me:
-                key, high = (me, other) if me < other else (other, me), at if at > w[a][e] else w[a][e]
-                if high < passes.get(key, np.inf):
-                    passes[key] = high
-    return np.array(w)[1:-1, 1:-1], np.array(who)[1:-1, 1:-1], passes, z, is_open
+    edge = np.zeros((size, size), dtype=bool)
+    edge[[0, -1], :] = edge[:, [0, -1]] = True
+    stay = (edge | is_open | ~here[1:-1, 1:-1]).ravel()
+    inner = np.full((size + 2, size + 2), np.inf)
+    inner[1:-1, 1:-1] = np.where(here[1:-1, 1:-1], ground, np.inf)
+    own, slot = inner[1:-1, 1:-1], np.arange(size * size).reshape(size, size)
+    best, to = np.full((size, size), np.inf), slot.copy()
+    for dr, dc in sorted(STEPS.values()):
+        cost = np.maximum(own, inner[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc])
+        lower = cost < best
+        best, to = np.where(lower, cost, best), np.where(lower, slot + dr * size + dc, to)
+    p, c = to.ravel(), best.ravel()
+    p[stay], c[stay] = np.flatnonzero(stay), -np.inf
+    basin, level = _hops(p, c)
+    ends = []
+    for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        a = (slice(0, size - dr), slice(max(0, -dc), size - max(0, dc)))
+        e = (slice(dr, size), slice(max(0, dc), size - max(0, -dc)))
+        x, y, high = basin[slot[a].ravel()], basin[slot[e].ravel()], np.maximum(own[a], own[e]).ravel()
+        some = (x != y) & np.isfinite(high)
+        ends.append((x[some], y[some], high[some]))
+    names, number = np.unique(basin, return_inverse=True)
+    u, v, w = (np.concatenate(part) for part in zip(*ends))
+    place = np.zeros(size * size, dtype=np.int64)
+    place[names] = np.arange(len(names))
+    root, further, u, v, w = _contracted(place[u], place[v], w, stay[names])
+    end = names[root][number.ravel()]
+    level = np.maximum(np.maximum(level, further[number.ravel()]), ground.ravel())
+    label = np.where(edge.ravel()[end], end, np.where(is_open.ravel()[end], _OPEN, _NONE))
+    label, level = np.where(here[1:-1, 1:-1].ravel(), label, _NONE), np.where(label == _NONE, np.nan, level)
+    a, e = label[names[u]], label[names[v]]
+    some = a != e
+    return level.reshape(size, size), label.reshape(size, size), (a[some], e[some], w[some]), z, is_open
+
+
+def _spanning(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a lowest spanning forest: they keep the lowest way between any two nodes."""
+    if not len(u):
+        return u, v, w
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n, a, e = len(names), *np.split(ends.astype(np.int64), 2)
+    order = np.lexsort((np.maximum(a, e), np.minimum(a, e), w))
+    a, e, kept, rank = a[order], e[order], np.zeros(len(order), dtype=bool), np.arange(len(order))
+    while len(rank):
+        pick = np.full(n, len(order))
+        np.minimum.at(pick, a, rank)
+        np.minimum.at(pick, e, rank)
+        who = np.flatnonzero(pick < len(order))
+        at = np.searchsorted(rank, pick[who])
+        kept[pick[who]] = True
+        p = np.arange(n)
+        p[who] = a[at] + e[at] - who
+        p, _ = _hops(p, np.zeros(n))
+        a, e = p[a], p[e]
+        apart = a != e
+        a, e, rank = a[apart], e[apart], rank[apart]
+    chosen = order[kept]
+    return u[chosen], v[chosen], w[chosen]
 
 
 def _fill_by_passes(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     """Depression filling without rounds over the raster: floods once, solves the graph of basins, raises once.
 
-    Each block is flooded from its border; border cells are the basins of the graph, joined by the lowest passes inside blocks and by
-    steps between neighbouring blocks. What a basin must rise to is its lowest way to OUT, found by contraction (`_lowest_way_out`).
+    Each block is flooded from its border; border cells are the basins of the graph, joined by the lowest passes inside blocks (a spanning
+    forest of them) and by steps between neighbouring blocks. What a basin must rise to is its lowest way to OUT, found by contraction
+    (`_lowest_way_out`). Levels and labels of the flood travel with the block, so it is not done again.
     """
     kept = [n for n, t in blocks.dtypes if t == "binary"]
-    ringed = cut(_with_ring(blocks, size, layer))
+
+    def flood(b: pd.Series) -> dict[str, bytes]:
+        level, label, (u, v, w), z, is_open = _flooded(b, layer, size)
+        row, col = int(b["br"]) * size, int(b["bc"]) * size
+        name = lambda at: np.where(at >= 0, (at // size + row) * _WIDE + at % size + col, OUT)
+        own = np.flatnonzero((is_open & (label != _OPEN)).ravel())  # open cells of the border
+        u, v, w = _spanning(*(np.concatenate(x) for x in ((u, np.full(len(own), _OPEN)), (v, label.ravel()[own]), (w, z[1:-1, 1:-1].ravel()[own]))))
+        parts = [(name(u), name(v), w)]
+        ring = b["ring"] if b["ring"] is not None else []
+        rows, cols, high = (np.array([p[k] for p in ring]) for k in ("row", "col", "value"))
+        for dr, dc in STEPS.values() if len(ring) else ():
+            i, j = rows - row + dr, cols - col + dc
+            # the block with the smaller cell tells of a step between two blocks
+            some = (i >= 0) & (i < size) & (j >= 0) & (j < size) & ((i + row) * _WIDE + j + col < rows.astype(np.int64) * _WIDE + cols)
+            i, j, r, c, h = i[some], j[some], rows[some].astype(np.int64), cols[some], high[some]
+            other = z[i + 1, j + 1]
+            there = np.isfinite(other)
+            parts.append((r[there] * _WIDE + c[there], name(label[i, j][there]), np.maximum(other, h)[there]))
+        u, v, w = (np.concatenate(x) for x in zip(*parts))
+        edges = np.concatenate([u.astype("<i8").view("<f8"), v.astype("<i8").view("<f8"), w.astype("<f8")])
+        return {"_level": level.astype("<f8").tobytes(), "_label": label.astype("<i4").tobytes(), "_edges": edges.tobytes()}
 
     def graph(b: pd.Series) -> pd.DataFrame:
-        _, label, passes, z, is_open = _flooded(b, layer, size)
-        a, v, w = [k[0] for k in passes], [k[1] for k in passes], list(passes.values())
-        rows, cols = np.nonzero(is_open & (label != OUT))
-        edge = (rows == 0) | (rows == size - 1) | (cols == 0) | (cols == size - 1)
-        rows, cols = rows[edge], cols[edge]
-        a += [OUT] * len(rows)
-        v += label[rows, cols].tolist()
-        w += z[rows + 1, cols + 1].tolist()
-        for p in b["ring"] if b["ring"] is not None else []:
-            r, c = p["row"] - b["br"] * size, p["col"] - b["bc"] * size
-            for dr, dc in STEPS.values():
-                i, j = r + dr, c + dc
-                if 0 <= i < size and 0 <= j < size and np.isfinite(z[i + 1, j + 1]):
-                    a.append(p["row"] * _WIDE + p["col"])
-                    v.append(int(label[i, j]))
-                    w.append(max(float(z[i + 1, j + 1]), p["value"]))
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(v, dtype="int64"), "w": pd.Series(w, dtype="float64")})
+        u, v, w = np.frombuffer(b["_edges"], dtype="<f8").reshape(3, -1)
+        return pd.DataFrame({"a": u.view("<i8"), "b": v.view("<i8"), "w": w})
 
-    edges = each_block(ringed.select("br", "bc", layer, "ring"), graph, "a long, b long, w double")
-    rise = _lowest_way_out(edges).select(F.floor(C("node") / _WIDE).cast("int").alias("row"), F.pmod(C("node"), F.lit(_WIDE)).cast("int").alias("col"), "level")
+    flooded = written(_add(_with_ring(blocks, size, layer), flood, ["_level", "_label", "_edges"]))
+    edges = each_block(flooded.select("br", "bc", "_edges"), graph, "a long, b long, w double")
+    rise = _lowest_way_out_by_regions(edges, REGION * size).select(F.floor(C("node") / _WIDE).cast("int").alias("row"), F.pmod(C("node"), F.lit(_WIDE)).cast("int").alias("col"), "level")
 
     def raised(b: pd.Series) -> dict[str, bytes]:
-        level, label, _, _, _ = _flooded(b, layer, size)
-        least = np.full(size * size, np.inf)
+        level, label = np.frombuffer(b["_level"], dtype="<f8"), np.frombuffer(b["_label"], dtype="<i4")
+        least = np.full(size * size + 2, np.inf)
         for p in b["rise"] if b["rise"] is not None else []:
             least[p["slot"]] = p["value"]
-        slot = (label // _WIDE - int(b["br"]) * size) * size + label % _WIDE - int(b["bc"]) * size
-        need = np.where(label == OUT, -np.inf, least[np.where(label >= 0, slot, 0)])
-        out = np.maximum(level, need)
+        least[_OPEN] = -np.inf
+        out = np.maximum(level, least[label])
         return {layer: np.where(np.isfinite(out), out, np.nan).astype("<f8").tobytes()}
 
-    named = ringed.join(_by_block(rise, size, "level", "rise"), ["br", "bc"], "left")
+    named = flooded.drop("_edges").join(_by_block(rise, size, "level", "rise"), ["br", "bc"], "left")
     return _add(named, raised, [layer]).select("br", "bc", *kept)
 
 
+def _lowest_way_out_by_regions(edges: DataFrame, span: int) -> DataFrame:
+    """As `_lowest_way_out`; border cells inside a region of `span` x `span` cells are contracted first, one task a region, so that only cells
+    with a neighbour in another region are left for the rounds. A region holds at most `REGION` ** 2 spanning forests and the steps between its blocks."""
+    place = lambda n: F.struct(F.floor(C(n) / _WIDE / span).cast("int").alias("i"), F.floor(F.pmod(C(n), F.lit(_WIDE)) / span).cast("int").alias("j"))
+    named = edges.where("a <> b").withColumn("_a", F.when(C("a") != OUT, place("a"))).withColumn("_b", F.when(C("b") != OUT, place("b")))
+    named = written(named.withColumns({"_a": F.coalesce("_a", "_b"), "_b": F.coalesce("_b", "_a")}))
+    inner, outer = named.where("_a = _b"), named.where("_a <> _b")
+    mark = lambda n: outer.select(C(f"_{n}").alias("region"), C(n).alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("w")).distinct()
+    rows = inner.select(C("_a").alias("region"), "a", "b", "w").unionByName(mark("a")).unionByName(mark("b"))
+
+    def contract(t: pa.Table) -> pa.Table:
+        a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "w"))
+        edge = ~np.isnan(w)
+        names, ends = np.unique(np.concatenate([a, b[edge].astype(np.int64)]), return_inverse=True)
+        stay = names == OUT
+        stay[ends[:len(a)][~edge]] = True
+        root, level, u, v, w = _contracted(ends[:len(a)][edge].astype(np.int64), ends[len(a):].astype(np.int64), w[edge], stay)
+        u, v, w = _spanning(u, v, w)
+        met = stay[root] & (names != OUT)
+        none = lambda n, kind: pa.nulls(n, kind)
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(names[u]), none(met.sum(), pa.int64())]), "b": pa.concat_arrays([pa.array(names[v]), none(met.sum(), pa.int64())]),
+            "w": pa.concat_arrays([pa.array(w), pa.array(level[met])]), "node": pa.concat_arrays([none(len(u), pa.int64()), pa.array(names[met])]),
+            "root": pa.concat_arrays([none(len(u), pa.int64()), pa.array(names[root][met])])})
+
+    found = written(rows.groupBy("region").applyInArrow(contract, "a long, b long, w double, node long, root long"))
+    far = _lowest_way_out(found.where("node IS NULL").select("a", "b", "w").unionByName(outer.select("a", "b", "w")))
+    near = found.where("node IS NOT NULL").select("node", "root", C("w").alias("way"))
+    done = near.where(C("root") == OUT).select("node", C("way").alias("level"))
+    on = near.where(C("root") != OUT).join(far.select(C("node").alias("root"), "level"), "root")
+    return done.unionByName(on.select("node", F.greatest("way", "level").alias("level")))
+
+
 def _lowest_way_out(edges: DataFrame) -> DataFrame:
     """node, level: for each node of an undirected graph (a, b, w) the least possible highest weight on a way to OUT.
 
@@ -403,18 +559,18 @@ def _lowest_way_out(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a <> b").select(C("a").alias("u"), C("b").alias("v"), "w")
     both = both.unionByName(both.select(C("v").alias("u"), C("u").alias("v"), "w"))
-    live = cut(both.groupBy("u", "v").agg(F.min("w").alias("w")))
+    live = written(both.groupBy("u", "v").agg(F.min("w").alias("w")))
     low = F.lit(float("-inf"))
-    members = cut(live.where(C("u") != OUT).select("u").distinct().select(C("u").alias("node"), C("u").alias("root"), low.alias("level")))
+    members = written(live.where(C("u") != OUT).select("u").distinct().select(C("u").alias("node"), C("u").alias("root"), low.alias("level")))
     while not live.where(C("u") != OUT).isEmpty():
         order = F.struct("w", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-        best = cut(live.where(C("u") != OUT).groupBy("u").agg(F.min_by(F.struct("v", "w"), order).alias("e")).select("u", C("e.v").alias("p"), C("e.w").alias("c")))
+        best = written(live.where(C("u") != OUT).groupBy("u").agg(F.min_by(F.struct("v", "w"), order).alias("e")).select("u", C("e.v").alias("p"), C("e.w").alias("c")))
         back = best.select(C("u").alias("p"), C("p").alias("pp"))
         head = (C("pp") == C("u")) & (C("u") < C("p"))
-        at = cut(best.join(back, "p", "left").select("u", F.when(head, C("u")).otherwise(C("p")).alias("p"), F.when(head, low).otherwise(C("c")).alias("c")))
+        at = written(best.join(back, "p", "left").select("u", F.when(head, C("u")).otherwise(C("p")).alias("p"), F.when(head, low).otherwise(C("c")).alias("c")))
         while True:
             on = at.select(C("u").alias("p"), C("p").alias("q"), C("c").alias("d"))
-            step = cut(at.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("q"), F.greatest("c", F.coalesce("d", low)).alias("c"), "p"))
+            step = written(at.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("q"), F.greatest("c", F.coalesce("d", low)).alias("c"), "p"))
             moved = not step.where("q <> p").isEmpty()
             at = step.select("u", C("q").alias("p"), "c")
             if not moved:
@@ -422,8 +578,8 @@ def _lowest_way_out(edges: DataFrame) -> DataFrame:
         to = lambda side: at.select(C("u").alias(side), C("p").alias(f"r{side}"), C("c").alias(f"c{side}"))
         live = live.join(to("u"), "u", "left").join(to("v"), "v", "left").select(
             F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), F.greatest("w", F.coalesce("cu", low), F.coalesce("cv", low)).alias("w"))
-        live = cut(live.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
-        members = cut(members.join(at.select(C("u").alias("root"), "p", "c"), "root", "left").select(
+        live = written(live.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
+        members = written(members.join(at.select(C("u").alias("root"), "p", "c"), "root", "left").select(
             "node", F.coalesce("p", "root").alias("root"), F.greatest("level", F.coalesce("c", low)).alias("level")))
     return members.where(C("root") == OUT).select("node", "level")
 
@@ -465,9 +621,9 @@ def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataF
         return {"_w": after.astype("<f8").tobytes(), "_moved": b"\x01" if (after < before).any() else b"\x00"}
 
     kept = [n for n in blocks.columns]
-    state = cut(_add(_with_ring(blocks, size, layer), start, ["_w", "_moved"]))
+    state = written(_add(_with_ring(blocks, size, layer), start, ["_w", "_moved"]))
     while True:  # levels only fall and are bounded by the ground, so this ends
-        state = cut(_add(_with_ring(state, size, "_w"), flood, ["_w", "_moved"]))
+        state = written(_add(_with_ring(state, size, "_w"), flood, ["_w", "_moved"]))
         if state.where(C("_moved") == F.lit(b"\x01")).isEmpty():
             break
     # levels that stayed infinite belong to cells without any way out
@@ -479,14 +635,14 @@ def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataF
 
 def upstream_area(cells: DataFrame, cell_area: float = 1.0, block: int = 256) -> DataFrame:
     """Accumulated area per cell (own cell included). `cells`: row, col, dir."""
-    b = cut(to_blocks(cells.where("dir IS NOT NULL"), block, {"dir": "code"}))
+    b = written(to_blocks(cells.where("dir IS NOT NULL"), block, {"dir": "code"}))
     return to_cells(area_blocks(b, block, cell_area), block, {"area": "real"}, where="area")
 
 
 def hand(cells: DataFrame, block: int = 256) -> DataFrame:
     """Height above the first drainage cell downstream. `cells`: row, col, v, dir, drain. NULL without drainage or below it."""
     valid = cells.where("v IS NOT NULL AND dir IS NOT NULL")
-    b = cut(to_blocks(valid, block, {"v": "real", "dir": "code", "drain": "flag"}))
+    b = written(to_blocks(valid, block, {"v": "real", "dir": "code", "drain": "flag"}))
     return to_cells(hand_blocks(b, block), block, {"v": "real", "hand": "real"}, where="v").select("row", "col", "hand")
 
 
@@ -502,7 +658,7 @@ def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0) -> D
     solved in a logarithmic number of rounds; a slope needs rounds over the raster until no level moves. Both are exact.
     """
     valid = cells.where("v IS NOT NULL").select("row", "col", "v", C("v").alias("filled"))
-    b = cut(to_blocks(valid, block, {"v": "real", "filled": "real"}))
+    b = written(to_blocks(valid, block, {"v": "real", "filled": "real"}))
     return to_cells(fill_blocks(b, block, "filled", step), block, {"v": "real", "filled": "real"}, where="v")
 
 
@@ -517,17 +673,17 @@ def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area:
     keep = list(keep or [])
     routed = F.when(C("stream_mask"), C("v") - burn).otherwise(C("v"))
     valid = cells.where("v IS NOT NULL").select("row", "col", "v", "stream_mask", routed.alias("z"), *keep)
-    b = cut(to_blocks(valid, block, {"v": "real", "z": "real", "stream_mask": "flag", **{k: "flag" for k in keep}}))
+    b = written(to_blocks(valid, block, {"v": "real", "z": "real", "stream_mask": "flag", **{k: "flag" for k in keep}}))
     if fill_step is not None:
-        b = fill_blocks(b, block, "z", fill_step)
-    b = cut(d8_blocks(b, block, "z").drop("z"))
+        b = written(fill_blocks(b, block, "z", fill_step))
+    b = written(d8_blocks(b, block, "z").drop("z"))
     b = area_blocks(b, block, cell_area)
 
     def mask(p: pd.Series) -> dict[str, bytes]:
         big = np.nan_to_num(np.frombuffer(p["area"], dtype="<f8")) >= threshold
         return {"drain": (np.frombuffer(p["stream_mask"], dtype="|b1") | big).tobytes()}
 
-    return hand_blocks(cut(_add(b, mask, ["drain"])), block)
+    return hand_blocks(written(_add(b, mask, ["drain"])), block)
 
 
 def hand_variant(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None) -> DataFrame:
@@ -546,7 +702,7 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
     coded = lambda c: F.nullif(encode_hand(C(c)), F.lit(NODATA_U16))
     base, out = None, None
     for burn, threshold in variants:
-        b = cut(drainage_blocks(cells, burn, threshold, cell_area, block, fill_step, [reference]))
+        b = written(drainage_blocks(cells, burn, threshold, cell_area, block, fill_step, [reference]))
         base = b.select("br", "bc", C("hand").alias("base_hand")) if base is None else base
         # the first variant is compared block by block, so no cell is joined with another
         both = to_cells(b.join(base, ["br", "bc"]), block, layers, where="v") \

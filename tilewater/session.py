@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Materialise `df` as a table in the checkpoint folder and read it again.
+
+    For loops: a checkpoint drops the lineage but hands the constraints of its plan on, and renamed columns multiply them from round
+    to round until planning takes longer than the work. A table carries neither, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
