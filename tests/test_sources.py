@@ -130,7 +130,7 @@ def test_resize_keeps_constants_and_gaps():
     a[0, 0] = np.nan
     out = M.resize_masked(a, 5, 3)
     assert out.shape == (5, 3) and np.allclose(out, 12.0)
-    assert np.allclose(M.lanczos_weights(8, 8), np.eye(8), atol=1e-12)
+    assert np.allclose(M.resize_weights(0, 8, 8, 8)[2], np.eye(8), atol=1e-12)
     assert np.isnan(M.resize_masked(np.full((4, 4), np.nan), 2, 2)).all()
 
 
@@ -140,7 +140,7 @@ def test_mosaic_order_and_gaps(spark):
     src = spark.createDataFrame([row(33, -87, 100), row(33, -88, 200), row(34, -87, -32768), row(34, -88, 0)],
                                 "lat int, lon int, left double, bottom double, right double, top double, height int, width int, data binary")
     tiles = spark.createDataFrame([(8, 66, 102), (8, 0, 0)], "z int, x int, y int")
-    cells = M.mosaic_tiles(tiles, src, size=16).collect()
+    cells = M.blob_cells(M.mosaic_tiles(tiles, src, size=16), 16).collect()
     assert {c.v for c in cells} == {100, 200} and {(c.x, c.y) for c in cells} == {(66, 102)}
     assert len({(c.row, c.col) for c in cells}) == len(cells)
 
@@ -148,11 +148,11 @@ def test_mosaic_order_and_gaps(spark):
 def test_mosaic_of_several_sources_of_a_square(spark):
     """The query against one pass over all embeddings in plain Python: sources of a square fill what earlier ones leave out."""
     from tilewater.functions import addressing as A
-    from tilewater.plans import file_queries, registry
+    from tilewater.plans import file_queries
     from tilewater.sources.tables import Tables
 
     t = Tables(spark, "/root/testdata/sf0.1")
-    got = {(r.z, r.x, r.y, r.row, r.col): r.v for r in registry.load()["mosaic_tiles"].run(t).collect()}
+    got = {(r.z, r.x, r.y, r.row, r.col): r.v for r in M.blob_cells(file_queries._mosaic(t), 8).collect()}
     z = F.lit(9)
     tiles = t.points().select(z.alias("z"), A.tile_x(F.col("lon"), z).alias("x"), A.tile_y(F.col("lat"), z).alias("y")).distinct()
     tiles = [(r.z, r.x, r.y, (r.b.left, r.b.bottom, r.b.right, r.b.top)) for r in tiles.withColumn("b", A.tile_bounds(F.col("x"), F.col("y"), F.col("z"))).collect()]
@@ -200,3 +200,64 @@ def test_late_rows_are_dropped(spark, folder):
     s = _split(spark, folder / "late", rows, "us long, lon double, lat double", 7).withColumn("at", F.timestamp_micros("us"))
     got = O.run_append(O.viewport_counts(s, 7), "late").collect()
     assert sum(r.events for r in got) == 5  # the repeated first hour came too late, the last hour is still open
+
+
+@pytest.mark.parametrize("height, width", [(7, 50), (40, 33), (90, 120)])
+def test_resize_against_whole_weight_matrices(height, width):
+    r = np.random.default_rng(height)
+    v = r.integers(0, 500, (40, 33)).astype(np.float32)
+    for holes in (False, True):
+        if holes:
+            v[r.random(v.shape) < 0.2] = np.nan
+
+        def weights(src, dst):
+            scale = src / dst
+            t = (np.arange(src)[None, :] + 0.5 - (np.arange(dst) + 0.5)[:, None] * scale) / max(scale, 1.0)
+            w = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
+            return w / w.sum(axis=1, keepdims=True)
+
+        ky, kx, mask = weights(40, height), weights(33, width), np.isfinite(v)
+        want = (ky @ np.nan_to_num(v) @ kx.T) / (ky @ mask @ kx.T)
+        got = M.resize_masked(v, height, width)
+        assert got.shape == (height, width) and np.allclose(got, want, rtol=1e-5, atol=1e-3)
+
+
+def test_patches_merge_in_order_whatever_their_batches(spark):
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for tile in range(5):
+        canvas = np.full((8, 8), M.NODATA)
+        parts = []
+        for rank in range(30):
+            r0, c0 = r.integers(0, 6, 2)
+            h, w = r.integers(1, 9 - r0), r.integers(1, 9 - c0)
+            v = np.where(r.random((h, w)) < 0.3, M.NODATA, r.integers(-500, 9000, (h, w)))
+            parts.append((5, tile, 1, int(rank // 7), rank, int(r0), int(c0), int(h), int(w), bytearray(v.astype("<i2").tobytes())))
+            under = canvas[r0:r0 + h, c0:c0 + w]
+            under[under == M.NODATA] = v[under == M.NODATA]
+        want[tile] = canvas
+        rows += parts
+    whole = np.full((8, 8), 7)
+    rows += [(5, 9, 1, 0, 1, 0, 0, 8, 8, bytearray(whole.astype("<i2").tobytes())), (5, 9, 1, 0, 2, 0, 0, 8, 8, bytearray((whole * 2).astype("<i2").tobytes()))]
+    want[9] = whole
+    df = spark.createDataFrame(rows, "z int, x int, y int, square int, rank long, r0 int, c0 int, h int, w int, data binary").repartition(6)
+    got = {t.x: np.frombuffer(t.data, dtype="<i2").reshape(8, 8) for t in M.merged(df, 8).collect()}
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+
+
+def test_pixels_come_from_tile_rows(spark):
+    from tilewater.operators import joins as J
+
+    data = (np.arange(64) - 20).astype("<i2")
+    data[5] = -32768
+    tiles = spark.createDataFrame([(3, 1, 2, bytearray(data.tobytes())), (4, 0, 0, b"")], "z int, x int, y int, data binary")
+    points = spark.createDataFrame([(i, -134.9 + 5.6 * (i % 8), 66.0 - 3.0 * (i // 8)) for i in range(64)] + [(99, 100.0, 0.0)], "id int, lon double, lat double")
+    out = J.sample_points(points, tiles, 3, 8)
+    for p in out.collect():
+        hit = (p.x, p.y) == (1, 2)
+        want = int(data[p.row * 8 + p.col]) if hit else None
+        assert p.tile_found == hit and p.v == (None if want == -32768 else want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    codes = spark.createDataFrame([(3, 1, 2, bytearray(np.full(64, 40000, "<u2").tobytes()))], "z int, x int, y int, data binary")
+    assert {p.v for p in J.sample_points(points, codes, 3, 8, nodata=65535).collect()} == {40000, None}

@@ -23,23 +23,29 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def sample_points(points: DataFrame, cells: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
-    """Value of the tile pixel under each point.
+def sample_points(points: DataFrame, tiles: DataFrame, zoom: int, tile_px: int = 256, nodata: int = -32768) -> DataFrame:
+    """Value of the tile pixel under each point. `tiles`: z, x, y (once each), data (tile_px * tile_px little-endian 16-bit values).
 
-    Adds x, y, row, col, `v` (NULL when the pixel is NODATA or the tile is absent) and `tile_found`.
-    One equi-join on the cell address answers the hits; presence of the whole tile is read from the distinct tile list,
-    because a NODATA pixel and an absent tile mean different things.
+    Adds x, y, row, col, `v` (NULL when the pixel is `nodata` or the tile is absent) and `tile_found`. One equi-join on the tile address;
+    the two bytes of the pixel are cut out of the row that the join finds, so a raster is neither taken apart nor aggregated.
     """
     p = A.tile_pixel(C("lon"), C("lat"), F.lit(zoom))
     step = A.TILE_SIZE // tile_px
     located = points.withColumn("_p", p).select(
-        *points.columns, C("_p.x").alias("x"), C("_p.y").alias("y"),
+        *points.columns, F.lit(zoom).cast("int").alias("z"), C("_p.x").alias("x"), C("_p.y").alias("y"),
         F.floor(C("_p.py") / step).cast("int").alias("row"), F.floor(C("_p.px") / step).cast("int").alias("col"),
     )
-    at_zoom = cells.where(C("z") == zoom)
-    tiles = at_zoom.groupBy("x", "y").agg(F.lit(True).alias("tile_found"))
-    hit = located.join(at_zoom.select("x", "y", "row", "col", "v"), ["x", "y", "row", "col"], "left")
-    return hit.join(tiles, ["x", "y"], "left").withColumn("tile_found", F.coalesce("tile_found", F.lit(False)))
+    rasters = tiles.where(C("z") == zoom).select(C("z").cast("int").alias("z"), "x", "y", C("data").alias("_data"))
+    hit = located.join(rasters, ["z", "x", "y"], "left")
+    code = pixel_at(C("_data"), C("row") * tile_px + C("col"), signed=nodata < 0)
+    return hit.select(*points.columns, "x", "y", "row", "col", F.nullif(code, F.lit(nodata)).alias("v"), C("_data").isNotNull().alias("tile_found"))
+
+
+def pixel_at(data: Column, at: Column, signed: bool) -> Column:
+    """Little-endian 16-bit value number `at` of a binary column; NULL beyond its end."""
+    pair = F.hex(F.substring(data, at * 2 + 1, F.lit(2)))
+    code = F.conv(F.concat(F.substring(pair, 3, 2), F.substring(pair, 1, 2)), 16, 10).cast("int")
+    return F.when(code >= 32768, code - 65536).otherwise(code) if signed else code
 
 
 def explode_cells(df: DataFrame, west: str, south: str, east: str, north: str, size: float) -> DataFrame:

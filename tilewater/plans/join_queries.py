@@ -24,7 +24,7 @@ _AT9 = f"""
 
 
 def _sampled(t):
-    return J.sample_points(t.points(), t.tile_cells(), zoom=9, tile_px=8)
+    return J.sample_points(t.points(), t.tile_rows(), zoom=9, tile_px=8)
 
 
 @query("sample_points", "fx_points fx_tile_cells", f"WITH {_AT9} SELECT event_id, x, y, row, col, v, tile_found FROM s9")

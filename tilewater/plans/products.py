@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewater.functions import values as V
 from tilewater.operators import geometry, joins, mosaic, resample, validation
 from tilewater.operators.generators import bbox_tile_cover
 from tilewater.sources import tiles as T
@@ -15,20 +12,8 @@ from tilewater.sources import tiles as T
 C = F.col
 
 
-def tile_blobs(cells: DataFrame, tile: list[str], size: int) -> DataFrame:
-    """Cells (row, col, code) -> `content`, size * size little-endian uint16 per tile, 65535 where no cell is; bounded by the tile size."""
-    kinds = dict(cells.dtypes)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.full(size * size, 65535, dtype="<u2")
-        known = pdf["code"].notna().to_numpy()
-        a[(pdf["row"] * size + pdf["col"]).to_numpy()[known]] = pdf["code"].to_numpy()[known].astype("<u2")
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in tile}, "content": [a.tobytes()]})
-
-    return cells.select(*tile, "row", "col", "code").groupBy(*tile).applyInPandas(fill, ", ".join(f"{c} {kinds[c]}" for c in tile) + ", content binary")
-
-
-def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, path: str, layer: str, version: str, size: int = 256) -> None:
+def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, path: str, layer: str, version: str, size: int = 256,
+                  order: str | None = None) -> None:
     """Cover -> drop tiles the target holds -> mosaic -> encode -> write. Running it again writes only what is missing."""
     key = ["z", "x", "y"]
     wanted = bbox_tile_cover(boxes, zmin, zmax).select(*key).distinct()
@@ -37,8 +22,7 @@ def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, pa
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         have = spark.read.parquet(path).where((C("layer") == layer) & (C("dataset_version") == version)).select(*key)
         wanted = wanted.join(have, key, "left_anti")
-    cells = mosaic.mosaic_tiles(wanted, sources, size).withColumn("code", V.encode_elevation(C("v"), "v1"))
-    packed = tile_blobs(cells, key, size)
+    packed = mosaic.mosaic_tiles(wanted, sources, size, order).select(*key, T.codes_of_heights(C("data")).alias("content"))
     T.sink_tiles(packed.withColumn("layer", F.lit(layer)).withColumn("dataset_version", F.lit(version)).withColumn("empty", F.lit(False)), path)
 
 

@@ -134,6 +134,16 @@ class Tables:
             F.when((k + v) % 13 == 0, None).otherwise(F.floor(e.cast("double") * 2000.0).cast("int")).alias("v"),
         )
 
+    def tile_rows(self) -> DataFrame:
+        """The same tiles as one row each: vec_id, z, x, y, data (8 * 8 little-endian int16)."""
+        from tilewater.sources.tiles import pack_i16
+
+        k = F.col("vec_id")
+        values = F.transform("embedding", lambda e, i: F.when((i + k) % 13 != 0, F.floor(e.cast("double") * 2000.0).cast("int")))
+        return self.read("embeddings").select(
+            "vec_id", F.lit(9).alias("z"), (F.lit(80) + k % 80).cast("int").alias("x"), (F.lit(176) + F.floor(k / 80)).cast("int").alias("y"),
+            pack_i16(values).alias("data"))
+
     def regions(self) -> DataFrame:
         k = F.col("n_nationkey")
         gx, gy = (k % 5) * 11.7, F.floor(k / 5) * 5.1

@@ -40,9 +40,23 @@ def pack_i16(values):
     """array<int> (NULL = NODATA) -> little-endian int16 bytes, the compact form for moving rasters through joins."""
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
-        return pd.Series([np.array([NODATA if c is None or c != c else c for c in a], dtype="<i2").tobytes() for a in v])
+        return pd.Series([np.asarray(a).astype("<i2").tobytes() for a in v])
 
-    return pack(values)
+    return pack(F.transform(values, lambda v: F.coalesce(v, F.lit(NODATA))))
+
+
+def codes_of_heights(data):
+    """Little-endian int16 metres -> little-endian uint16 elevation codes (form v1 of `values.encode_elevation`), 65535 where none is."""
+    @F.pandas_udf("binary")
+    def encode(blobs: pd.Series) -> pd.Series:
+        out = []
+        for b in blobs:
+            v = np.frombuffer(b, dtype="<i2").astype(np.float64)
+            code = np.floor(((v + 500) / 9500.0 * 65534).astype(np.float32))
+            out.append(np.where((v >= -500) & (v <= 9000), code, 65535).astype("<u2").tobytes())
+        return pd.Series(out)
+
+    return encode(data)
 
 
 # ---- compressed elevation tiles -----------------------------------------------------------------
@@ -96,7 +110,7 @@ def compress_dem(tiles: DataFrame, keep: list[str], level: int = 3) -> DataFrame
         for pdf in batches:
             blobs, sizes, good = [], [], []
             for vals in pdf["values"]:
-                raw = np.array([NODATA if v is None or v != v else v for v in vals], dtype="<i2").tobytes()
+                raw = np.asarray(vals).astype("<i2").tobytes()
                 blob = packer.compress(raw)
                 blobs.append(blob)
                 sizes.append(len(raw))
@@ -108,7 +122,8 @@ def compress_dem(tiles: DataFrame, keep: list[str], level: int = 3) -> DataFrame
             out["verified"] = good
             yield out
 
-    return tiles.select(*keep, "values").mapInPandas(run, schema)
+    whole = F.transform("values", lambda v: F.coalesce(v, F.lit(NODATA))).alias("values")
+    return tiles.select(*keep, whole).mapInPandas(run, schema)
 
 
 def compress_summary(compressed: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,10 +214,10 @@ def encode_u16(tiles: DataFrame, keep: list[str], compress: bool = False) -> Dat
     """`values` (array<int>, NULL = NODATA) -> little-endian uint16 `content`, optionally gzip."""
     @F.pandas_udf("binary")
     def pack(values: pd.Series) -> pd.Series:
-        blobs = [np.array([65535 if v is None or v != v else v for v in vals], dtype="<u2").tobytes() for vals in values]
+        blobs = [np.asarray(vals).astype("<u2").tobytes() for vals in values]
         return pd.Series([gzip.compress(b, 1, mtime=0) if compress else b for b in blobs])
 
-    return tiles.select(*keep, pack("values").alias("content"))
+    return tiles.select(*keep, pack(F.transform("values", lambda v: F.coalesce(v, F.lit(65535)))).alias("content"))
 
 
 #: files a zoom is written to at most
