@@ -220,3 +220,51 @@ def test_links_of_all_forms(spark):
     blocked = spark.createDataFrame([(1, "https://m.net/d/p", can % "../q"), (2, "https://m.net/q", can % "http://shop.com/de/1"),
                                      (3, "http://shop.com/de/1", None)], df.schema)
     assert {r.verdict for r in urls.judge(blocked).collect()} == {"block"}
+
+
+def test_shared_ids_lose_no_clean_text(spark):
+    from pyspark.sql import functions as F
+
+    a, b = prose(61, 120), prose(62, 120)
+    df = documents(spark, [(1, a), (5, b), (5, a), (6, b), (7, prose(63, 80)), (None, b), (7, ""), (None, prose(64, 70))])
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near.unique(df).collect())
+    assert kept == sorted([(False, 1, a), (False, 5, b), (False, 7, prose(63, 80)), (False, 7, ""), (True, 0, prose(64, 70))])
+    found = {(r.doc_id, r.n_shingles > 0): r.component_id for r in near.classes(df).collect() if r.doc_id is not None}
+    assert found[1, True] == found[5, True] == found[6, True] == 1 and found[7, True] == found[7, False] == 7
+    assert near.classes(df).where(F.col("kept")).count() == 3 + 1  # 1, both rows of 7, the lone row without an id
+
+
+def test_copies_of_one_text_link_to_it_although_they_are_apart(spark):
+    """A large node: copies of a text with edits of their own, each like the text, hardly two like each other."""
+    words = prose(70, 400, 4000).split()
+    rows = [(0, " ".join(words))]
+    for i in range(1, 70):
+        mine = list(words)
+        for k in range(16):
+            mine[(i * 37 + k * 25) % 400] = f"own{i}x{k}"
+        rows.append((i, " ".join(mine)))
+    out = near.classes(documents(spark, rows), 3, 75, 100).collect()
+    assert {r.component_id for r in out} == {0}
+
+
+@pytest.mark.parametrize("num, at_least", [(80, 0.99), (85, 0.99)])
+def test_recall_of_pairs_at_the_threshold(spark, num, at_least):
+    """Pairs as near to the threshold as edits make them, among common words that keep nodes large."""
+    rows, pairs = [], []
+    for i in range(150):
+        words = ("the same words open every text here " * 3 + prose(2000 + i, 150, 5000)).split()
+        other, k = list(words), 30
+        size = lambda a, b: (len(a & b), len(a | b))
+        grams = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        while k < len(words):
+            nxt = list(other)
+            nxt[k] = f"edit{i}"
+            both, either = size(grams(words), grams(nxt))
+            if 100 * both < num * either:
+                break
+            other, k = nxt, k + 9
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, 2 * i + 1))
+    found = {r.doc_id: r.component_id for r in near.classes(documents(spark, rows), 5, num, 100).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= at_least * len(pairs)
+    assert near.tree_count(80, 100) == 14 and near.tree_count(85, 100) == 10

@@ -46,3 +46,17 @@ def test_none_for_empty_tables(spark, empty, key):
 
 def test_pipeline_over_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_words_are_lower_cased_one_by_one(spark):
+    """A letter whose lower case depends on what follows it: the fingerprints of item and document must agree."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.fixtures import documents
+    from tilewater.llm import benchmark
+
+    item = spark.createDataFrame([(1, "one two three four five six seven eight nine ΟΔΟΣ zz")], "item_id long, text string")
+    rows = [(1, "aa one two three four five six seven eight nine ΟΔΟΣ:α more"), (2, "one two three four five six seven eight nine οδος"), (3, "aa ONE two three four five six seven eight nine ΟΔΟΣ α")]
+    out = {r.doc_id: r.n_hit for r in benchmark.decontaminate(documents(spark, rows), item).collect()}
+    assert out == {1: 10, 2: 0, 3: 10}
+    assert benchmark.clean(documents(spark, rows), item).select(F.col("doc_id")).collect()[0][0] == 2

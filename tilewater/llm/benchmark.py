@@ -33,7 +33,7 @@ def _grams(hashes: str, n: int) -> Column:
 
 
 def _hashed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.transform(words(F.lower("text")), lambda x: F.xxhash64(x)).alias("h"))
+    return df.select(*keys, F.transform(words(ascii_lower(F.col("text"))), lambda x: F.xxhash64(x)).alias("h"))
 
 
 def fingerprints(df: DataFrame, *keys: str) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewater.llm.common import array_lit, words
+from tilewater.llm.common import array_lit, ascii_lower, words
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ _BIAS, _SHIFT = 1 << 10, 1 << 34
 def word_weights(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Inverse document frequency of every template word over all of `docs`, in thousandths and at least 1."""
     vocabulary = sorted({w for t in templates for w in t.text.split()})
-    seen = F.array_intersect(array_lit(vocabulary, "string"), words(F.lower("text")))
+    seen = F.array_intersect(array_lit(vocabulary, "string"), words(ascii_lower(F.col("text"))))
     found = docs.select(F.explode(F.concat(seen, F.array(F.lit("")))).alias("w")).groupBy("w").count()
     df = {r.w: r["count"] for r in found.collect()}  # as many rows as the templates have words, and one for the total
     return {w: max(1, round(1000 * math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)))) for w in vocabulary}
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, weights: dict[str, int] | None =
         for t, p in zip(templates, parts, strict=True)
     ])
     rare = sorted({w for a in anchors for w in a})
-    df = docs.select("doc_id", words(F.lower("text")).alias("w"))
+    df = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
     w = F.col("w")
     df = df.select("doc_id", "w", F.when(F.arrays_overlap(w, array_lit(rare, "string")), w).alias("file"))
     file = F.col("file")

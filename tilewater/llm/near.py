@@ -2,20 +2,24 @@
 
 A document's set is its distinct word shingles; equal sets are one entry. In each of TREES independent trees, entries branch by their
 minwise token under the next hash function of the tree; a node with at most NODE entries is compared exhaustively, a larger one
-compares every entry with a pivot and branches on. Sketches of minwise bytes drop pairs that are far below the threshold; what
-is left is confirmed on full sets. Entries that are linked already, directly or through others, are not compared again, so large
-groups cost a pair an entry, not a pair of each two.
+compares every entry with a pivot and branches on. The pivot is the entry whose sketch agrees most with the sketch that the node's
+entries vote for, byte by byte: among edited copies of one text that is the text itself or the copy nearest to it, in every tree the same.
+Sketches of minwise bytes drop pairs that are far below the threshold; what is left is confirmed on full sets. Entries that are linked
+already, directly or through others, are not compared again, so large groups cost a pair an entry, not a pair of each two.
 
-Recall: two entries of similarity s share a node of depth d with s**d; with s = 0.85, 12 trees miss a pair of depth 2 with 2e-7,
-and an entry that stays unlinked in a deepest node is compared with all others there.
+Recall: two entries of similarity s share a node of depth d in one tree with s**d. The number of trees is the least with which a pair at the
+threshold that branches to the deepest level is missed with at most 1 - RECALL: 14 trees at 0.8, 10 at 0.85; a pair that meets in
+nodes of depth 1 is missed with 2e-10 and 6e-9. An entry that stays unlinked in a deepest node is compared with all others there.
 
 Defined results: sets of null, empty and wordless texts are empty and linked with nothing; fewer words than a shingle has are one shingle;
-rows that share an id are one document (the text with the smallest hash branches for it); rows without an id are linked, but have no
-component_id unless a row with one is reached; rows are kept one to one.
+each distinct set is an entry of its own, also where rows share an id; component_id counts rows that share an id as one document, which joins
+their components, while `unique` keeps a row of each; rows without an id are linked, but have no component_id unless a row with one is
+reached; rows are kept one to one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,21 @@ from tilewater.llm import tokens
 from tilewater.llm.common import keyed, stored
 from tilewater.llm.components import connected
 
-TREES, DEPTH, NODE, SKETCH, STRIPE = 12, 4, 24, 64, 512
-#: ids of rows without one lie from here on
+DEPTH, NODE, SKETCH, STRIPE, RECALL = 4, 24, 64, 512, 0.999
+#: bytes of the sketch that the entries of a large node vote on
+VOTES = 16
+#: nodes of rows without an id, and of further texts of an id, lie from here on
 UNNAMED = 1 << 62
-_SEEDS = tokens.mix(np.arange(1, TREES * DEPTH + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def tree_count(num: int, den: int) -> int:
+    """Trees that find a pair at the threshold, were it to branch to the deepest level, with RECALL."""
+    shared = (num / den) ** DEPTH
+    return 1 if shared >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+
+
+def seeds(count: int) -> np.ndarray:
+    return tokens.mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def sets(run: list[bytes], size: int) -> list[np.ndarray]:
@@ -39,20 +54,22 @@ def sets(run: list[bytes], size: int) -> list[np.ndarray]:
     return [tokens.shingles(words[a:b], size) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def minwise(found: list[np.ndarray]) -> np.ndarray:
+def minwise(found: list[np.ndarray], functions: np.ndarray) -> np.ndarray:
     """Smallest value of each hash function over each set (none may be empty): sets x functions."""
     values = np.concatenate(found)
     first = np.concatenate([[0], np.cumsum([len(s) for s in found])[:-1]])
-    out = np.empty((len(found), len(_SEEDS)), np.uint64)
-    for i, seed in enumerate(_SEEDS):
+    out = np.empty((len(found), len(functions)), np.uint64)
+    for i, seed in enumerate(functions):
         h = (values ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         h = (h ^ (h >> np.uint64(32))) * seed
         out[:, i] = np.minimum.reduceat(h ^ (h >> np.uint64(29)), first)
     return out
 
 
-def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, n, s1, s2 (name of the set), branch (tokens by tree and level), sketch (bytes) of every row."""
+def profiles(docs: DataFrame, size: int, trees: int) -> DataFrame:
+    """doc_id, text_hash, n, s1, s2 (name of the set), branch (32-bit tokens by tree and level), sketch (bytes) of every row."""
+    split = trees * DEPTH
+    functions = seeds(split + SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,16 +77,16 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
                 found = sets(texts, size)
                 n = np.array([len(s) for s in found], np.int64)
                 names = np.zeros((len(found), 2), np.int64)
-                low = np.zeros((len(found), len(_SEEDS)), np.uint64)
+                low = np.zeros((len(found), len(functions)), np.uint64)
                 some = np.flatnonzero(n)
                 for k in some:
                     ends = np.array([len(found[k])])
                     names[k, 0] = tokens.range_hashes(found[k], ends * 0, ends).view(np.int64)[0]
                     names[k, 1] = tokens.range_hashes(tokens.mix(found[k] + np.uint64(1)), ends * 0, ends).view(np.int64)[0]
                 if len(some):
-                    low[some] = minwise([found[k] for k in some])
-                split = TREES * DEPTH
-                branch = pa.FixedSizeListArray.from_arrays(pa.array(low[:, :split].ravel().view(np.int64)), split).cast(pa.list_(pa.int64()))
+                    low[some] = minwise([found[k] for k in some], functions)
+                token = (low[:, :split] >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                branch = pa.FixedSizeListArray.from_arrays(pa.array(token.ravel()), split).cast(pa.list_(pa.int32()))
                 sketch = pa.FixedSizeListArray.from_arrays(pa.array((low[:, split:] >> np.uint64(8)).astype(np.uint8).ravel().view(np.int8)), SKETCH)
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -77,16 +94,16 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
                      sketch.cast(pa.list_(pa.int8()))], names=["doc_id", "text_hash", "n", "s1", "s2", "branch", "sketch"])
 
     return keyed(docs).mapInArrow(
-        run, "doc_id long, text_hash long, n long, s1 long, s2 long, branch array<bigint>, sketch array<tinyint>")
+        run, "doc_id long, text_hash long, n long, s1 long, s2 long, branch array<int>, sketch array<tinyint>")
 
 
 def plausible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, tree) whose sizes allow the similarity and whose sketches agree nearly as often as it says (5 deviations)."""
+    """Pairs (a, b) whose sizes allow the similarity and whose sketches agree nearly as often as it says (5 deviations)."""
     least = int(SKETCH * num / den - 5 * (SKETCH * num / den * (1 - num / den)) ** 0.5)
     side = lambda s: heads.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
-    return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (same >= least)).select("a", "b", "tree")
+    return both.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (same >= least)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -115,7 +132,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "tree").where("a <> b").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
@@ -124,14 +141,6 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _apart(pairs: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Pairs whose ends the links so far do not connect."""
-    if not links:
-        return pairs
-    labels = connected(_union(links))
-    return _labelled(_labelled(pairs, labels, "a", "ra"), labels, "b", "rb").where("ra <> rb").select("a", "b", "tree")
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -139,54 +148,72 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def grow(heads: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Nodes of all trees: members (node, tree, path, pivot) of the small ones, and of the deepest large ones; and of all for the stars."""
-    token = lambda level: F.get("branch", F.col("tree") * DEPTH + level)
-    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree")
-    rows = heads.select("node", "branch", trees).select("node", "tree", token(0).alias("path"))
-    every, deep = [], []
+def centred(large: DataFrame) -> DataFrame:
+    """Members of large nodes (tree, path, node, vote: bytes) with the pivot: who agrees most with what the members vote for."""
+    votes = large.groupBy("tree", "path").agg(*[F.mode(F.get("vote", F.lit(i)), deterministic=True).alias(f"v{i}") for i in range(VOTES)])
+    agree = sum((F.when(F.get("vote", F.lit(i)) == F.col(f"v{i}"), 1).otherwise(0) for i in range(VOTES)), F.lit(0))
+    rank = F.struct(agree, F.xxhash64("node"))
+    pivots = large.join(votes, ["tree", "path"]).groupBy("tree", "path").agg(F.max_by("node", rank).alias("pivot"))
+    return large.join(pivots, ["tree", "path"])
+
+
+def grow(heads: DataFrame, trees: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Nodes of all trees: members (node, tree, path, members, pivot) of the small ones, and of the large ones by level."""
+    rows = heads.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.get("branch", t * DEPTH))).alias("tree", "token"))
+    rows = rows.select("node", "tree", F.col("token").cast("long").alias("path"))
+    small, large = [], []
     for level in range(DEPTH):
         pick = F.min_by("node", F.xxhash64("node", "tree", F.lit(level)))
         nodes = rows.groupBy("tree", "path").agg(F.count("*").alias("members"), pick.alias("pivot")).where("members > 1")
         rows = stored(rows.join(nodes, ["tree", "path"]))
-        every.append(rows)
-        large = rows.where(F.col("members") > NODE)
-        if level == DEPTH - 1 or large.isEmpty():
-            deep.append(large)
+        small.append(rows.where(F.col("members") <= NODE))
+        big = rows.where(F.col("members") > NODE).drop("pivot")
+        if big.isEmpty():
             break
-        rows = large.select("node", "tree", "path").join(heads.select("node", "branch"), "node").select(
-            "node", "tree", F.xxhash64("path", token(level + 1)).alias("path"))
-    return every, deep
+        token = F.get("branch", F.col("tree") * DEPTH + level + 1) if level < DEPTH - 1 else F.lit(0)
+        known = heads.select("node", "branch", F.slice("sketch", 1, VOTES).alias("vote"))
+        big = stored(big.join(known, "node").select("node", "tree", "path", "members", "vote", token.alias("token")))
+        large.append(stored(centred(big).select("node", "tree", "path", "members", "pivot")))
+        rows = big.select("node", "tree", F.xxhash64("path", "token").alias("path"))
+    return small, large
 
 
 def links(docs: DataFrame, heads: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """a, b: confirmed links between heads (node, text_hash, n, branch, sketch), enough of them to connect what is connected."""
-    every, deep = grow(heads)
-    stars = stored(plausible(_ordered(_union(every), "node", "pivot"), heads, num, den))
-    mentioned = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
-    texts = stored(_texts(docs, heads.join(mentioned, "node")))
-    found: list[DataFrame] = []
-    for low, high in ((0, 1), (1, TREES)):
-        some = _apart(stars.where((F.col("tree") >= low) & (F.col("tree") < high)), found)
-        found.append(stored(confirmed(some, texts, size, num, den)))
-    labels = stored(connected(_union(found)))
+    """node, root: components of heads (node, doc_id, text_hash, n, branch, sketch), by links that connect what is connected."""
+    small, large = grow(heads, tree_count(num, den))
+    texts = lambda pairs: stored(_texts(docs, heads.join(
+        pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node")))
+    stars = stored(plausible(_ordered(_union(small + large), "node", "pivot"), heads, num, den))
+    labels = stored(connected(confirmed(stars, texts(stars), size, num, den)))
     # small nodes: every pair that is not connected yet; deepest large ones: what is apart from its pivot against all others
-    small = _labelled(_union(every).where(F.col("members") <= NODE).select("node", "tree", "path"), labels, "node", "label")
-    several = small.groupBy("tree", "path").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("tree", "path")
-    small = small.join(several, ["tree", "path"])
-    other = lambda df: df.select("tree", "path", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = small.join(other(small), ["tree", "path"]).where("node < b and label <> lb").select("tree", F.col("node").alias("a"), "b")
+    own = _labelled(_union(small).select("node", "tree", "path"), labels, "node", "label")
+    several = own.groupBy("tree", "path").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("tree", "path")
+    own = own.join(several, ["tree", "path"])
+    other = own.select("tree", "path", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = own.join(other, ["tree", "path"]).where("node < b and label <> lb").select(F.col("node").alias("a"), "b")
     rest = stored(plausible(_ordered(pairs, "a", "b").join(stars, ["a", "b"], "left_anti"), heads, num, den))
-    large = _labelled(_labelled(_union(deep).select("node", "tree", "path", "pivot"), labels, "node", "label"), labels, "pivot", "lp")
-    large = stored(large.withColumn("stray", F.col("label") != F.col("lp")))
-    strays = large.groupBy("tree", "path").agg(F.count("*").alias("m"), F.count_if("stray").alias("s")).where("s > 0")
-    large = large.join(strays, ["tree", "path"])
-    mentioned = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
-    if not mentioned.isEmpty():
-        texts = stored(_texts(docs, heads.join(mentioned, "node")))
-        found.append(stored(confirmed(rest, texts, size, num, den)))
-        found.append(stored(between_blocks(large.join(texts, "node"), size, num, den)))
-    return _union(found)
+    more = [confirmed(rest, texts(rest), size, num, den)] if not rest.isEmpty() else []
+    if len(large) == DEPTH:
+        deep = _labelled(_labelled(large[-1].select("node", "tree", "path", "pivot"), labels, "node", "label"), labels, "pivot", "lp")
+        deep = stored(deep.withColumn("stray", F.col("label") != F.col("lp")))
+        strays = deep.groupBy("tree", "path").agg(F.count("*").alias("m"), F.count_if("stray").alias("s")).where("s > 0")
+        deep = stored(deep.join(strays, ["tree", "path"]))
+        if not deep.isEmpty():
+            held = stored(_texts(docs, heads.join(deep.select("node").distinct(), "node")))
+            more.append(between_blocks(deep.join(held, "node"), size, num, den))
+    if not more:
+        return labels
+    # later links join the components that the stars left
+    ends = _labelled(_labelled(stored(_union(more)), labels, "a", "ra"), labels, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joined = stored(connected(ends))
+    return _composed(labels, joined)
+
+
+def _composed(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """node, root: components `labels` whose roots `joined` connects further."""
+    on = _labelled(labels.withColumnRenamed("root", "mid"), joined, "mid", "root").select("node", "root")
+    alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "root")
+    return on.unionByName(alone)
 
 
 def between_blocks(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -228,39 +255,54 @@ def between_blocks(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 def _texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """node, text of heads."""
-    rows = keyed(docs).withColumn("node", _node())
-    return rows.join(heads.select("node", "text_hash"), ["node", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))
+    named = heads.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    return keyed(docs).join(named, same).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _node():
-    return F.coalesce("doc_id", F.col("text_hash").bitwiseAND(UNNAMED - 1).bitwiseOR(F.lit(UNNAMED)))
+def _numbered(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """`found` with `node`: the doc_id for the first text of an id, a number from UNNAMED on for further ones and for rows without an id."""
+    ids = keyed(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("l"), F.max("text_hash").alias("h"))
+    several = stored(ids.where("l <> h").select("doc_id", "l"))
+    other = F.xxhash64("doc_id", "text_hash").bitwiseAND(UNNAMED - 1).bitwiseOR(F.lit(UNNAMED))
+    first = F.col("doc_id").isNotNull() & (F.col("l").isNull() | (F.col("l") == F.col("text_hash")))
+    return found.join(several, "doc_id", "left").withColumn("node", F.when(first, F.col("doc_id")).otherwise(other)).drop("l")
 
 
-def classes(docs: DataFrame, size: int = 3, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept of every row: components of links with den * intersection >= num * union."""
-    found = stored(profiles(docs, size).withColumn("node", _node()))
+def groups(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, n, node, root of every row: equal sets share a root, and so do sets that links connect."""
+    found = stored(_numbered(profiles(docs, size, tree_count(num, den)), docs))
     name = ["s1", "s2", "n"]
-    firsts = found.where("n > 0").groupBy(*name).agg(F.min(F.struct("node", "text_hash")).alias("head"))
-    firsts = stored(firsts.select(*name, F.col("head.node").alias("node"), F.col("head.text_hash").alias("text_hash")))
-    one = firsts.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    heads = found.join(one, ["node", "text_hash"]).dropDuplicates(["node"]).select("node", "text_hash", "n", "branch", "sketch")
-    heads = stored(heads)
-    roots = connected(links(docs, heads, size, num, den))
+    firsts = stored(found.where("n > 0").groupBy(*name).agg(F.min("node").alias("head")))
+    heads = found.join(firsts.select(F.col("head").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    heads = stored(heads.select("node", "doc_id", "text_hash", "n", "branch", "sketch"))
+    roots = links(docs, heads, size, num, den)
     own = found.select("doc_id", "text_hash", *name, F.col("node").alias("self"))
-    out = _labelled(own.join(firsts.select(*name, "node"), name, "left").withColumn("node", F.coalesce("node", "self")), roots, "node", "root")
-    # rows that share an id may have sets of their own: the smallest root of any of them joins them
-    shared = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h")
-    merged = connected(shared.select(F.col("l").alias("a"), F.col("h").alias("b")))
-    out = _labelled(out, merged, "root", "joined")
-    component = F.when(F.col("joined") < UNNAMED, F.col("joined"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.when(F.col("joined") < UNNAMED, F.col("doc_id") == F.col("joined")), F.col("self") == F.col("joined"), F.lit(False)).alias("kept"))
+    out = own.join(firsts.withColumnRenamed("head", "node"), name, "left").withColumn("node", F.coalesce("node", "self"))
+    return _labelled(out, roots, "node", "root").select("doc_id", "text_hash", "n", F.col("self").alias("node"), "root")
+
+
+def classes(docs: DataFrame, size: int = 3, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row: components of links with den * intersection >= num * union."""
+    out = stored(groups(docs, size, num, den))
+    # rows that share an id may lie in several groups: the smallest root of any of them joins those
+    shared = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("doc_id", "l")
+    shared = stored(shared)
+    if not shared.isEmpty():
+        pairs = out.join(shared, "doc_id").where("l <> root").select(F.col("l").alias("a"), F.col("root").alias("b"))
+        out = _labelled(out.withColumnRenamed("root", "was"), connected(pairs), "was", "root")
+    component = F.when(F.col("root") < UNNAMED, F.col("root"))
+    kept = F.coalesce(F.when(F.col("root") < UNNAMED, F.col("doc_id") == F.col("root")), F.col("node") == F.col("root"), F.lit(False))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def unique(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with all columns and one row of each group of near-duplicates: the one with the smallest id."""
-    kept = classes(docs, size, num, den).where("kept").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash"))).agg(
-        F.min("text_hash").alias("__t")).select(F.col("doc_id").alias("__d"), "__t")
+    """`docs` with all columns and one row of each group of near-duplicates: of the smallest id (null last), then the smallest hash.
+
+    A text of a shared id that is unlike the others of that id is a group of its own.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))).alias("x")
+    kept = groups(docs, size, num, den).groupBy("root").agg(first).select(F.col("x.d").alias("__d"), F.col("x.t").alias("__t"))
     row = docs.select(F.col("doc_id").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"), F.struct(*docs.columns).alias("__row"))
     same = row["__d"].eqNullSafe(kept["__d"]) & (row["__t"] == kept["__t"])
     return row.join(kept, same, "left_semi").dropDuplicates(["__d", "__t"]).select("__row.*")
