@@ -94,3 +94,61 @@ def test_context_on_both_sides_and_past_earlier_matches(spark):
         6: "iban:5:32,iban:33:51", 7: "", 8: "phone:3:15", 9: "", 10: "", 11: ""}
     masked = {r.doc_id: r.text for r in private.mask(documents(spark, rows)).collect()}
     assert masked[0] == "Call [PHONE] or [PHONE]; [PHONE] (mobile)" and masked[4] == "[IBAN] BIC COBADEFFXXX"
+
+
+def test_very_many_matches_in_one_text(spark):
+    """100,000 addresses and numbers in one text take seconds, places and mask as in plain Python."""
+    import time
+
+    words, at, want = [], 0, []
+    for i in range(50_000):
+        for kind, text in (("email", f"a{i}@b.io"), ("ip", f"10.{i % 256}.{i // 256 % 256}.7")):
+            want.append((at, kind, at + len(text)))
+            words.append(text)
+            at += len(text) + 1
+    text = " ".join(words)
+    df = documents(spark, [(1, text), (2, "x@y.org " * 3)])
+    began = time.time()
+    out = {r.doc_id: r for r in private.digest(df).collect()}
+    took = time.time() - began
+    assert (out[1].n_email, out[1].n_ip) == (50_000, 50_000)
+    assert out[1].spans == ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+    masked = {r.doc_id: r.text for r in private.mask(df).collect()}
+    assert masked[1] == " ".join(["[EMAIL] [IP]"] * 50_000) and masked[2] == "[EMAIL] " * 3
+    assert took < 60
+
+
+def test_mask_of_long_texts_by_pieces(spark):
+    """Spans before, across and behind the cuts, code points beyond the basic plane."""
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(12):
+        parts = []
+        for _ in range(r.randint(1, 60)):
+            parts.append("\U0001F600 word " * r.randint(0, 300))
+            parts.append(f"m{r.randint(0, 9)}@host{r.randint(0, 99)}.org ")
+        rows.append((i, "".join(parts)))
+    rows.append((90, "y " * (private.PIECE * private.CUT) + "a@b.org"))
+    import re
+
+    for row in private.mask(documents(spark, rows)).collect():
+        assert row.text == re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", dict(rows)[row.doc_id])
+
+
+def test_added_spans_apart_from_base_ones(spark):
+    """Overlaps found in two passes are those found by looking at all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    span = lambda kind: (a := r.randint(0, 300), 2, a + r.randint(1, 12), kind, 0.8, "t")
+    rows = [(i, [span("card") for _ in range(r.randint(0, 20))], [span("card") for _ in range(r.randint(0, 40))]) for i in range(40)]
+    rows.append((99, [span("card") for _ in range(300)], [span("card") for _ in range(700)]))
+    df = spark.createDataFrame(rows, f"id int, base {private._SPAN}, more {private._SPAN}")
+    for got in df.select("id", private._apart(F.col("base"), F.col("more")).alias("free")).collect():
+        base, more = next(x[1:] for x in rows if x[0] == got.id)
+        want = [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        assert sorted(map(tuple, got.free)) == sorted(want)

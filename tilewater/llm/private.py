@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Matches and the text between them come from the same pattern (`regexp_extract_all` and `split`), so their places are running sums
-of lengths; everything stays in the row. Patterns use possessive repeats and look-behinds that change no match but keep long runs linear.
+of lengths; everything stays in the row. Running sums are made in blocks of `BLOCK` matches and texts are cut into `PIECE` code points before
+parts of them are taken, so the cost of a text with very many matches stays near its length. Patterns use possessive repeats and look-behinds
+that change no match but keep long runs linear.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive, sorted by start and kind; rows are kept
 one to one, whatever their ids. Base spans (email, ip, card, phone) always stay; the method adds cards inside longer digit
@@ -52,31 +54,58 @@ CONTEXT = {
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double,text:string>>"
 
 
+#: matches a running sum takes in one go; code points of a piece of text, and pieces of a larger cut
+BLOCK, PIECE, CUT = 256, 1024, 64
+
+
+def _running(items: Column, start: Column, move, emit, kind: str) -> Column:
+    """Array of emit(state, item) over `items`, the state going from `start` by move(state, item).
+
+    An array grows by copying, so items are taken in blocks: each block grows an array of its own, and those are joined at the end.
+    """
+    fresh = lambda state: F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(move(acc["state"], x).alias("state"), F.array_append(acc["out"], emit(acc["state"], x)).alias("out"))
+
+    def whole(v: Column) -> Column:
+        def many(acc: Column, k: Column) -> Column:
+            block = F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), fresh(acc["state"]), one)
+            grown = lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))
+            return F.get(F.transform(F.array(block), grown), F.lit(0))
+
+        places = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / BLOCK).cast("int"), F.lit(1)) - 1)
+        outer = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(places, outer, many, lambda acc: acc["out"]))
+
+    return F.get(F.transform(F.array(items), whole), F.lit(0))  # what stands in a lambda's variable is worked out once
+
+
 def _places(text: Column, pattern: str, gate: Column, ahead: int = REACH) -> Column:
     """start, end, text, REACH code points before and `ahead` after of every leftmost match that does not overlap an earlier one."""
-    kind = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
+    kind = "struct<start:int,end:int,text:string,before:string,after:string>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    last = F.struct(F.left(F.element_at(between, -1), F.lit(ahead)).alias("head"), F.array().cast("array<string>").alias("out"))
 
-    def back(acc: Column, x: Column) -> Column:
-        head = F.left(F.concat(F.left(x["gap"], F.lit(ahead)), F.left(x["hit"], F.lit(ahead)), acc["head"]), F.lit(ahead))
-        return F.struct(head.alias("head"), F.array_append(acc["out"], acc["head"]).alias("out"))
+    def back(head: Column, x: Column) -> Column:
+        return F.left(F.concat(F.left(x["gap"], F.lit(ahead)), F.left(x["hit"], F.lit(ahead)), head), F.lit(ahead))
+
+    after = F.reverse(_running(F.reverse(pairs), F.left(F.element_at(between, -1), F.lit(ahead)), back, lambda head, x: head, "string"))
+    both = F.zip_with(pairs, after, lambda p, rest: F.struct(p.alias("p"), rest.alias("after")))
+    before = lambda state, x: F.right(F.concat(state["tail"], F.right(x["p"]["gap"], F.lit(REACH))), F.lit(REACH))
 
-    after = F.reverse(F.aggregate(F.reverse(pairs), last, back, lambda acc: acc["out"]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
+    def move(state: Column, x: Column) -> Column:
+        at = state["at"] + F.char_length(x["p"]["gap"]) + F.char_length(x["p"]["hit"])
+        return F.struct(at.alias("at"), F.right(F.concat(before(state, x), F.right(x["p"]["hit"], F.lit(REACH))), F.lit(REACH)).alias("tail"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.char_length(x["p"]["gap"])
-        b = a + F.char_length(x["p"]["hit"])
-        before = F.right(F.concat(acc["tail"], F.right(x["p"]["gap"], F.lit(REACH))), F.lit(REACH))
-        one = F.struct(a.alias("start"), b.alias("end"), x["p"]["hit"].alias("text"), before.alias("before"), x["after"].alias("after"))
-        tail = F.right(F.concat(before, F.right(x["p"]["hit"], F.lit(REACH))), F.lit(REACH))
-        return F.struct(b.alias("at"), tail.alias("tail"), F.array_append(acc["out"], one).alias("out"))
+    def emit(state: Column, x: Column) -> Column:
+        at = state["at"] + F.char_length(x["p"]["gap"])
+        return F.struct(at.alias("start"), (at + F.char_length(x["p"]["hit"])).alias("end"), x["p"]["hit"].alias("text"),
+                        before(state, x).alias("before"), x["after"].alias("after"))
 
-    both = F.zip_with(pairs, after, lambda p, rest: F.struct(p.alias("p"), rest.alias("after")))
-    return F.when(gate & F.rlike(text, F.lit(pattern)), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    return F.when(gate & F.rlike(text, F.lit(pattern)), _running(both, start, move, emit, kind)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _ibans(text: Column, gate: Column) -> Column:
@@ -161,12 +190,29 @@ def spans(docs: DataFrame, *keep: str) -> DataFrame:
         _scored(F.col("p_secret"), "secret", lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"), BARE),
         _scored(F.col("p_local"), "phone", lambda x: F.lit(True), BARE),
     )
-    df = df.select(*keep, "text", F.array_sort(base).alias("base"), more.alias("more"))
-    apart = lambda x: ~F.exists(
-        "base", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])
-    )
-    added = F.filter("more", lambda x: (x["score"] >= ACCEPT) & apart(x))
-    return df.select(*keep, "text", "base", F.array_sort(added).alias("added"))
+    df = df.select(*keep, "text", F.sort_array(base).alias("base"), F.filter(more, lambda x: x["score"] >= ACCEPT).alias("more"))
+    added = F.concat(*[_apart(_of("base", k), _of("more", k)) if k in KINDS[:4] else _of("more", k) for k in KINDS])
+    return df.select(*keep, "text", "base", F.sort_array(added).alias("added"))
+
+
+def _of(spans: str, kind: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"] == kind)
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """The spans of `more` that overlap none of `base`: in one pass from the left and one from the right over both."""
+    shape = _SPAN[len("array<"):-1]
+    tagged = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("s"), F.lit(own).alias("own"), x.alias("x")))
+    every = F.sort_array(F.concat(tagged(base, 0), tagged(more, 1)))
+    right = _running(
+        every, F.lit(0), lambda end, t: F.when(t["own"] == 0, F.greatest(end, t["x"]["end"])).otherwise(end),
+        lambda end, t: F.struct(t["own"].alias("own"), t["x"].alias("x"), (t["x"]["start"] < end).alias("hit")), f"struct<own:int,x:{shape},hit:boolean>")
+    left = _running(
+        F.reverse(right), F.lit((1 << 31) - 1), lambda start, t: F.when(t["own"] == 0, F.least(start, t["x"]["start"])).otherwise(start),
+        lambda start, t: F.struct(t["own"].alias("own"), t["x"].alias("x"), (t["hit"] | (t["x"]["end"] > start)).alias("hit")),
+        f"struct<own:int,x:{shape},hit:boolean>")
+    free = F.transform(F.filter(left, lambda t: (t["own"] == 1) & ~t["hit"]), lambda t: t["x"])
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), free).otherwise(more)
 
 
 def listed(found: Column) -> Column:
@@ -175,25 +221,39 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, one), ",")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """`text` with each span replaced by its kind in brackets; spans that overlap an earlier one widen it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def pieces(text: Column) -> Column:
+    """`text` in pieces of PIECE code points (the last ones shorter or empty), cut twice so that no cut starts far from a beginning."""
+    wide = PIECE * CUT
+    large = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(text) / wide).cast("int"), F.lit(1)) - 1),
+                        lambda k: F.substring(text, k * wide + 1, F.lit(wide)))
+    return F.flatten(F.transform(large, lambda b: F.transform(F.sequence(F.lit(0), F.lit(CUT - 1)), lambda j: F.substring(b, j * PIECE + 1, F.lit(PIECE)))))
+
+
+def _part(cut: str, a: Column, b: Column) -> Column:
+    """Code points a to b of a text from its pieces."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    return F.when(a >= b, "").when(i == j, F.substring(F.get(cut, i), a % PIECE + 1, b - a)).otherwise(F.concat(
+        F.substring(F.get(cut, i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(cut, i + 2, F.greatest(j - i - 1, F.lit(0))), ""),
+        F.coalesce(F.substring(F.get(cut, j), F.lit(1), b % PIECE), F.lit(""))))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        piece = F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+def redacted(text: Column, cut: str, found: Column) -> Column:
+    """`text` (its pieces in the column `cut`) with each span replaced by its kind in brackets; spans that overlap an earlier one widen it."""
+    def piece(at: Column, x: Column) -> Column:
+        return F.when(x["start"] >= at, F.concat(_part(cut, at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
 
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(text)
+    masked = _running(found, F.lit(0), lambda at, x: F.greatest(at, x["end"]), piece, "string")
+    last = F.array_max(F.transform(found, lambda x: x["end"]))
+    return F.when(F.size(found) > 0, F.concat(F.array_join(masked, ""), _part(cut, last, F.char_length(text)))).otherwise(text)
 
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with all its columns, the text redacted (null stays null) and n_chars, if it is there, counted anew."""
     names = docs.columns
     found = spans(docs.select(F.struct(*names).alias("row"), "text"), "row")
-    text = redacted(F.col("text"), F.array_sort(F.concat("base", "added")))
-    found = found.select("row", F.when(F.col("row.text").isNotNull(), text).alias("text"))
+    found = found.select("row", "text", F.sort_array(F.concat("base", "added")).alias("found"))
+    found = found.select("row", "text", "found", F.when(F.size("found") > 0, pieces(F.col("text"))).alias("cut"))
+    found = found.select("row", F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), "cut", F.col("found"))).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text").cast("long"), F.col("row")["n_chars"] if "n_chars" in names else F.lit(None))}
     return found.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
@@ -205,7 +265,7 @@ def counts(found: Column, kind: str) -> Column:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans: the contract's columns."""
     df = spans(docs, "doc_id")
-    everything = F.array_sort(reduce(F.concat, [F.col("base"), F.col("added")]))
+    everything = F.sort_array(reduce(F.concat, [F.col("base"), F.col("added")]))
     return df.select(
         "doc_id", *[counts(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(everything).alias("spans"),
