@@ -1,5 +1,7 @@
 """Streams that stop after a batch and go on later give what one run gives."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tilewater.streaming import operators as O
@@ -40,5 +42,27 @@ def test_carried_rows_expire(spark, tmp_path):
 
 def test_plan_goes_on_after_a_stop(spark, tmp_path):
     files = lambda s: s.select(F.col("us").alias("mtime"), F.col("event_id").cast("string").alias("path"), (F.col("event_id") * 10).alias("bytes"))
-    parts, whole = _twice(spark, str(tmp_path), lambda s, root: O.run_budget_prune(files(s), 30_000, root=root))
+    parts, whole = _twice(spark, str(tmp_path), lambda s, root: O.run_budget_prune(files(s), 30_000, 2_000_000, root=root))
     assert parts == whole and len(parts) == 120
+
+
+def test_plan_of_many_batches(spark, tmp_path):
+    """Late, repeated and incomplete rows; a batch carries the buckets within the budget only."""
+    rnd, schema, rows = random.Random(8), "mtime long, path string, bytes long", []
+    for i in range(6):
+        part = [(rnd.randrange(i * 50, i * 50 + 90), f"f{i}-{k}", rnd.randrange(0, 40)) for k in range(80)]
+        part += [(3, f"late{i}", 5), (None, f"n{i}", 1), (i * 50, None, 2), (i * 50 + 70, f"w{i}", None), (i * 50 + 40, "twin", 9)]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows += [(290, "twin", 9)]
+    spark.createDataFrame(rows[-1:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = O.run_budget_prune(stream, 2_000, 10, root=f"{tmp_path}/root").collect()
+    key = lambda r: (-1 if r[0] is None else r[0], r[1] or "")
+    want = [(*r, sum(q[2] or 0 for q in rows if key(q) >= key(r)) > 2_000) for r in rows]
+    order = lambda r: (key(r), -1 if r[2] is None else r[2])
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert {r.evict for r in got} == {True, False}
+    carried = [spark.read.parquet(f"{tmp_path}/root/carry/{i}").count() for i in range(7)]
+    assert max(carried[2:]) < 14 and spark.read.parquet(f"{tmp_path}/root/inventory").select("_bucket").distinct().count() > 25
+    assert spark.read.parquet(f"{tmp_path}/root/aside").count() > 0

@@ -104,4 +104,4 @@ def _(t):
     SELECT mtime, path, bytes, sum(bytes) OVER () - (sum(bytes) OVER (ORDER BY mtime, path) - bytes) > 300000000 AS evict FROM fl""")
 def _(t):
     f = _stream(t).archives().select((C("pos") * 7919 % 300).alias("mtime"), "path", "bytes")
-    return O.run_budget_prune(f, 300_000_000)
+    return O.run_budget_prune(f, 300_000_000, 20)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
 from tilewater.operators import windows as W
+from tilewater.operators.joins import with_row
+from tilewater.operators.ordered import Ordered
 from tilewater.streaming.sinks import drain_append, drain_batches
 
 C = F.col
@@ -120,22 +122,59 @@ def run_rate_log(requests: DataFrame, key: str, us: str, limit: int, window_us:
     return requests.sparkSession.read.parquet(f"{root}/out").drop("part")
 
 
-def run_budget_prune(files: DataFrame, max_bytes: int, root: str | None = None, **trigger) -> DataFrame:
-    """Eviction plan over the whole inventory after each batch; the last plan is returned.
+_NO_TIME = -(1 << 62)  # age bucket of rows without a time: older than all others
 
-    A processing-time trigger spaces the runs. With `root` a later call goes on where this one stopped.
+
+def run_budget_prune(files: DataFrame, max_bytes: int, width: float = 3600, root: str | None = None, **trigger) -> DataFrame:
+    """Eviction plan over the whole inventory (mtime, path, bytes and other columns) after the last batch: oldest files go until the rest fits.
+
+    Files only arrive, so a file that is out stays out and the plan is one edge in (mtime, path) order. The state is that edge and the bytes
+    per age bucket of `width` units of mtime, without the buckets behind the edge. A batch writes its own rows by bucket, adds up its
+    totals and reads again only the bucket in which the edge lies; rows that arrive behind the edge are put aside at once. So its cost is its own
+    rows, one bucket and a total per bucket within the budget, however long the stream has run.
+
+    Rows equal in (mtime, path) stay or go together. Rows without mtime are the oldest, without path the oldest of their time; without bytes
+    they weigh nothing. A processing-time trigger spaces the runs. With `root` a later call goes on where this one stopped.
     """
+    if max_bytes < 0:
+        raise ValueError("max_bytes must not be negative")
+    age, weight = F.struct("mtime", "path"), F.coalesce("bytes", F.lit(0)).cast("long")
+    bucket = F.coalesce(F.floor(C("mtime") / width).cast("long"), F.lit(_NO_TIME))
+    columns = files.columns
+    edge_type = files.select(age.alias("_edge")).schema
+
+    def read(root: str, path: str, schema) -> DataFrame:
+        return files.sparkSession.read.schema(schema).parquet(f"{root}/{path}")
+
     def write(df: DataFrame, i: int, root: str) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/inventory/part={i}")
-        inventory = df.sparkSession.read.schema(df.schema).parquet(*[f"{root}/inventory/part={k}" for k in range(i + 1)])
-        W.prune_oldest(inventory, max_bytes).withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/plan/part={i}")
+        spark = df.sparkSession
+        before = read(root, f"edge/part={i - 1}", edge_type) if i else spark.range(1).select(F.lit(None).cast(edge_type[0].dataType).alias("_edge"))
+        arrived = with_row(df, before).withColumn("_out", F.coalesce(age <= C("_edge"), F.lit(False)))
+        arrived.where("_out").select(*columns).write.mode("overwrite").parquet(f"{root}/aside/part={i}")
+        fresh = arrived.where("NOT _out").select(*columns, bucket.alias("_bucket"), F.lit(i).alias("_part"))
+        fresh.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("_bucket", "_part").parquet(f"{root}/inventory")
+        added = fresh.groupBy("_bucket").agg(F.sum(weight).alias("_bytes"))
+        totals = _carried(added, root, i).unionByName(added).groupBy("_bucket").agg(F.sum("_bytes").alias("_bytes"))
+        newest = Ordered(totals.withColumn("_rank", -C("_bucket")), [], ["_rank"]).running_total("_bytes", "_upto").result()
+        over = newest.where(C("_upto") > max_bytes).agg(F.max_by(F.struct("_bucket", (C("_upto") - C("_bytes")).alias("_newer")), "_bucket").alias("_b"))
+        at = over.first()["_b"]  # one row: the bucket of the edge and the bytes newer than it
+        edge = before
+        if at is not None:
+            newest = newest.where(C("_bucket") >= at["_bucket"])
+            own = read(root, f"inventory/_bucket={at['_bucket']}", df.schema)
+            keys = own.groupBy("mtime", "path").agg(F.sum(weight).alias("_bytes"))
+            inside = Ordered(keys, [], ["mtime", "path"]).running_total("_bytes", "_upto").result()
+            whole = inside.agg(F.sum("_bytes").alias("_whole"))
+            left = C("_whole") - (C("_upto") - C("_bytes")) + at["_newer"]
+            edge = with_row(inside, whole).where(left > max_bytes).agg(F.max(age).alias("_edge"))
+        newest.select("_bucket", "_bytes").write.mode("overwrite").parquet(f"{root}/carry/{i}")
+        edge.write.mode("overwrite").parquet(f"{root}/edge/part={i}")
 
     root = drain_batches(files, "prune", write, root=root, **trigger)
-    plans = files.sparkSession.read.parquet(f"{root}/plan").drop("part")
-    last = plans.agg(F.max("batch").alias("_b"))
-    from tilewater.operators.joins import with_row
-
-    return with_row(plans, last).where(C("batch") == C("_b")).drop("_b", "batch")
+    last = read(root, "edge", files.select(age.alias("_edge"), F.lit(0).cast("long").alias("part")).schema).agg(F.max_by("_edge", "part").alias("_edge"))
+    rows = read(root, "inventory", files.schema).select(*columns).unionByName(read(root, "aside", files.schema).select(*columns))
+    return with_row(rows, last).withColumn("evict", F.coalesce(age <= C("_edge"), F.lit(False))).drop("_edge")
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
