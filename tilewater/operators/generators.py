@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
 from tilewater.functions import geodesy as G
+from tilewater.operators.ordered import Ordered
 
 C = F.col
 
@@ -186,31 +187,27 @@ def cells_from_tile(tiles: DataFrame, values: str, width: int) -> DataFrame:
 
 
 def line_sample_points(lines: DataFrame, key: str, points: str, spacing: float) -> DataFrame:
-    """Evenly spaced points along polylines given as array<struct<x,y>>; at least the two ends.
+    """Evenly spaced points along polylines given as array<struct<x,y>>; at least the two ends. `key` names one line each.
 
-    Vertices stay in their row: cumulative lengths are built with one fold, each sample finds its segment in
-    the row's own array, so the join with other lines never happens.
+    Segments become rows, lengths run along a line by `Ordered`, and a segment makes the samples between its start and its end itself, so the
+    work is linear in vertices and samples and one long line is spread over many tasks. Lines without length have no samples.
     """
-    zipped = F.zip_with(
+    ends = F.zip_with(
         F.slice(C(points), 1, F.size(points) - 1), F.slice(C(points), 2, F.size(points) - 1),
-        lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"),
-                              F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len")))
-    with_len = lines.withColumn("_s", zipped).withColumn(
-        "_cum", F.aggregate(
-            "_s", F.array(F.lit(0.0)),
-            lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["len"]))))
-    total = F.element_at("_cum", -1)
-    count = F.greatest(F.lit(2), F.floor(C("_total") / spacing).cast("int") + 1)
-    spread = with_len.withColumn("_total", total).where(C("_total") > 0).withColumn("_n", count) \
-        .withColumn("k", F.explode(F.sequence(F.lit(0), C("_n") - 1))) \
-        .withColumn("d", C("_total") * C("k") / (C("_n") - 1))
-    # the segment is the last one that starts at or before d
-    seg = F.least(F.size(F.filter("_cum", lambda c: c <= C("d"))), F.size("_s"))
-    found = spread.withColumn("_i", seg).withColumn("_g", F.element_at("_s", C("_i"))).withColumn(
-        "_f", F.when(C("_g.len") > 0, (C("d") - F.element_at("_cum", C("_i"))) / C("_g.len")).otherwise(0.0))
-    return found.select(
-        key, "k", (C("_g.x0") + (C("_g.x1") - C("_g.x0")) * C("_f")).alias("x"),
-        (C("_g.y0") + (C("_g.y1") - C("_g.y0")) * C("_f")).alias("y"))
+        lambda a, b: F.struct(a["x"].alias("_x0"), a["y"].alias("_y0"), b["x"].alias("_x1"), b["y"].alias("_y1")))
+    segments = lines.where(F.size(points) >= 2).select(key, F.posexplode(ends).alias("_i", "_s")).select(
+        key, "_i", "_s.*", F.hypot(C("_s._x1") - C("_s._x0"), C("_s._y1") - C("_s._y0")).alias("_len")).where("_len > 0")
+    run = Ordered(segments, [key], ["_i"]).running_total("_len", "_hi").previous(["_hi"], "_before").result()
+    whole = run.groupBy(key).agg(F.max_by("_hi", "_i").alias("_total"), F.max("_i").alias("_last")) \
+        .withColumn("_n", F.greatest(F.lit(2), F.floor(C("_total") / spacing).cast("int") + 1))
+    at = lambda k: C("_total") * k / (C("_n") - 1)
+    # sample numbers around the segment's share; the distance itself then decides, by the same expression in both neighbours
+    first = F.greatest(F.lit(0), F.floor(C("_lo") / C("_total") * (C("_n") - 1)).cast("int") - 1)
+    last = F.when(C("_i") == C("_last"), C("_n") - 1).otherwise(F.least(C("_n") - 1, F.ceil(C("_hi") / C("_total") * (C("_n") - 1)).cast("int") + 1))
+    owned = (C("_d") >= C("_lo")) & ((C("_d") < C("_hi")) | (C("_i") == C("_last")))
+    samples = run.withColumn("_lo", F.coalesce("_before._hi", F.lit(0.0))).join(whole, key).withColumn("k", F.explode(F.sequence(first, last))) \
+        .withColumn("_d", at(C("k"))).where(owned).withColumn("_f", (C("_d") - C("_lo")) / C("_len"))
+    return samples.select(key, "k", (C("_x0") + (C("_x1") - C("_x0")) * C("_f")).alias("x"), (C("_y0") + (C("_y1") - C("_y0")) * C("_f")).alias("y"))
 
 
 # The job stages of a region build, in order.

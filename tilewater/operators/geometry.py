@@ -27,27 +27,55 @@ def _x_at(y: Column) -> Column:
     return C("x0") + (y - C("y0")) * (C("x1") - C("x0")) / (C("y1") - C("y0"))
 
 
-def polygon_cells(rings: DataFrame, key: str, all_touched: bool = False) -> DataFrame:
-    """Cells (key, row, col) whose centre lies in the polygon (even-odd, so holes work); `all_touched` adds every cell an edge meets."""
-    e = edges(rings.select(key, "pts"))
+def outlines(rings: DataFrame) -> DataFrame:
+    """Rings that bound an area: at least four points, the first one repeated at the end."""
+    return rings.where(F.size("pts") >= 4)
+
+
+def polygon_spans(rings: DataFrame, key: str, all_touched: bool = False) -> DataFrame:
+    """Runs of cells (key, row, c0, c1) whose centres lie in the polygon, over all its rings (even-odd, so holes and islands work).
+
+    `all_touched` adds every cell an edge meets; then runs may overlap (see `apart`). Rings of fewer than four points are left out.
+    """
+    e = edges(outlines(rings).select(key, "pts"))
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     # centre of row r is r + 0.5; an edge owns the centres in [low, high)
     first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
     crossed = e.withColumn("_f", first).withColumn("_l", last).where("_f <= _l") \
         .withColumn("row", F.explode(F.sequence("_f", "_l"))).select(key, "row", _x_at(C("row") + 0.5).alias("x"))
     w = Window.partitionBy(key, "row").orderBy("x")  # the crossings of one row of one outline
-    spans = crossed.withColumn("_n", F.row_number().over(w)).withColumn("_to", F.lead("x").over(w)).where("_n % 2 = 1 AND _to IS NOT NULL")
-    c0, c1 = F.ceil(C("x") - 0.5).cast("int"), (F.ceil(C("_to") - 0.5) - 1).cast("int")
-    inner = spans.withColumn("_c0", c0).withColumn("_c1", c1).where("_c0 <= _c1") \
-        .select(key, "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
+    pairs = crossed.withColumn("_n", F.row_number().over(w)).withColumn("_to", F.lead("x").over(w)).where("_n % 2 = 1 AND _to IS NOT NULL")
+    inner = pairs.select(key, "row", F.ceil(C("x") - 0.5).cast("int").alias("c0"), (F.ceil(C("_to") - 0.5) - 1).cast("int").alias("c1")).where("c0 <= c1")
     if not all_touched:
-        return inner.distinct()
+        return inner
     rows = e.withColumn("row", F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))))
     flat = C("y0") == C("y1")
     ya, yb = F.greatest(low, C("row").cast("double")), F.least(high, C("row") + 1.0)
     xa, xb = F.when(flat, C("x0")).otherwise(_x_at(ya)), F.when(flat, C("x1")).otherwise(_x_at(yb))
-    outline = rows.select(key, "row", F.explode(F.sequence(F.floor(F.least(xa, xb)).cast("int"), F.floor(F.greatest(xa, xb)).cast("int"))).alias("col"))
-    return inner.unionByName(outline).distinct()
+    touched = rows.select(key, "row", F.floor(F.least(xa, xb)).cast("int").alias("c0"), F.floor(F.greatest(xa, xb)).cast("int").alias("c1"))
+    return inner.unionByName(touched)
+
+
+def apart(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs (keys, c0, c1) cut back to what no earlier run of the same keys holds, so that no cell is told twice."""
+    before = Window.partitionBy(*keys).orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(C("c0"), F.max("c1").over(before) + 1)  # greatest passes over the NULL of the first run
+    return spans.select(*keys, start.alias("c0"), "c1").where("c0 <= c1")
+
+
+def _cells(spans: DataFrame, keys: list[str]) -> DataFrame:
+    return spans.select(*keys, F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def polygon_cells(rings: DataFrame, key: str, all_touched: bool = False) -> DataFrame:
+    """Cells (key, row, col) of `polygon_spans`, each once. Runs are parted before they become cells, so cells are never shuffled."""
+    spans = polygon_spans(rings, key, all_touched)
+    return _cells(apart(spans, [key, "row"]) if all_touched else spans, [key, "row"])
+
+
+def covered_cells(rings: DataFrame, key: str, all_touched: bool = False) -> DataFrame:
+    """Cells (row, col) of any polygon, each once."""
+    return _cells(apart(polygon_spans(rings, key, all_touched), ["row"]), ["row"])
 
 
 def signed_area(points: Column) -> Column:
@@ -93,7 +121,7 @@ def polygon_rings(rings: DataFrame, feature: str, cell: float = 8.0) -> DataFram
         .withColumn("_cx", F.floor(C("_px") / cell).cast("int")).withColumn("_cy", F.floor(C("_py") / cell).cast("int"))
     gridded = explode_cells(outers, "west", "south", "east", "north", cell)
     boxed = C("_px").between(C("west"), C("east")) & C("_py").between(C("south"), C("north"))
-    owner = holes.join(gridded.hint("merge"), [feature, "_cx", "_cy"]).where(boxed).where(point_in_ring(C("pts"), C("_px"), C("_py"))) \
+    owner = holes.join(gridded, [feature, "_cx", "_cy"]).where(boxed).where(point_in_ring(C("pts"), C("_px"), C("_py"))) \
         .groupBy(feature, "hole_pos").agg(F.min("pos").alias("outer_pos"))
     owned = holes.join(owner, [feature, "hole_pos"], "left").select(
         feature, C("hole_pos").alias("pos"), F.when(C("outer_pos").isNull(), "loose").otherwise("hole").alias("role"), "outer_pos", C("hole_area").alias("area"))
@@ -102,8 +130,7 @@ def polygon_rings(rings: DataFrame, feature: str, cell: float = 8.0) -> DataFram
 
 def clip_to_polygon(cells: DataFrame, rings: DataFrame, key: str) -> DataFrame:
     """Cells the polygons touch, re-based so that the used extent starts at (0, 0)."""
-    inside = polygon_cells(rings, key, all_touched=True).select("row", "col").distinct()
-    kept = cells.join(inside, ["row", "col"], "left_semi")
+    kept = cells.join(covered_cells(rings, key, all_touched=True), ["row", "col"], "left_semi")
     origin = kept.agg(F.min("row").alias("_r0"), F.min("col").alias("_c0"))
     return with_row(kept, origin).withColumn("row", C("row") - C("_r0")).withColumn("col", C("col") - C("_c0")).drop("_r0", "_c0")
 
@@ -116,7 +143,7 @@ def lines_meeting(lines: DataFrame, line: str, rings: DataFrame, key: str, cell:
     """
     box = lambda d: d.withColumn("west", F.least("x0", "x1")).withColumn("east", F.greatest("x0", "x1")) \
         .withColumn("south", F.least("y0", "y1")).withColumn("north", F.greatest("y0", "y1"))
-    e = box(edges(rings.select(key, "pts")))
+    e = box(edges(outlines(rings).select(key, "pts")))
     s = box(edges(lines.select(line, "pts")))
     ren = lambda d, p: d.select(*[C(c).alias(p + c) if c in ("x0", "y0", "x1", "y1") else C(c) for c in d.columns]).drop("west", "east", "south", "north")
     a = ren(explode_cells(s, "west", "south", "east", "north", cell), "s")
@@ -124,15 +151,15 @@ def lines_meeting(lines: DataFrame, line: str, rings: DataFrame, key: str, cell:
     side = lambda px, py, qx, qy, rx, ry: (C(qx) - C(px)) * (C(ry) - C(py)) - (C(qy) - C(py)) * (C(rx) - C(px))
     d1, d2 = side("ex0", "ey0", "ex1", "ey1", "sx0", "sy0"), side("ex0", "ey0", "ex1", "ey1", "sx1", "sy1")
     d3, d4 = side("sx0", "sy0", "sx1", "sy1", "ex0", "ey0"), side("sx0", "sy0", "sx1", "sy1", "ex1", "ey1")
-    crossing = a.join(b.hint("merge"), ["_cx", "_cy"]).where((d1 * d2 <= 0) & (d3 * d4 <= 0)).select(line)
+    crossing = a.join(b, ["_cx", "_cy"]).where((d1 * d2 <= 0) & (d3 * d4 <= 0)).select(line)
     start = lines.select(line, C("pts")[0]["x"].alias("_px"), C("pts")[0]["y"].alias("_py")) \
         .withColumn("_cx", F.floor(C("_px") / cell).cast("int")).withColumn("_cy", F.floor(C("_py") / cell).cast("int"))
     outline = e.groupBy(key).agg(F.min("west").alias("west"), F.max("east").alias("east"), F.min("south").alias("south"), F.max("north").alias("north"))
-    around = start.join(explode_cells(outline, "west", "south", "east", "north", cell).hint("merge"), ["_cx", "_cy"]) \
+    around = start.join(explode_cells(outline, "west", "south", "east", "north", cell), ["_cx", "_cy"]) \
         .where(C("_px").between(C("west"), C("east")) & C("_py").between(C("south"), C("north"))).select(line, key, "_px", "_py", "_cy")
     bands = e.withColumn("_cy", F.explode(F.sequence(F.floor(C("south") / cell).cast("int"), F.floor(C("north") / cell).cast("int"))))
     over = (C("south") <= C("_py")) & (C("_py") < C("north")) & (_x_at(C("_py")) > C("_px"))
-    within = around.join(bands.hint("merge"), [key, "_cy"]).where(over) \
+    within = around.join(bands, [key, "_cy"]).where(over) \
         .groupBy(line, key).agg((F.count("*") % 2 == 1).alias("_in")).where("_in").select(line)
     hit = crossing.unionByName(within).distinct()
     found = hit.agg((F.count("*") > 0).alias("_any"))

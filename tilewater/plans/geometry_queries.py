@@ -34,14 +34,11 @@ def _rings(t):
     return t.read("customer").select(k.alias("id"), F.explode(all_rings).alias("r")).select("id", "r.pos", "r.pts")
 
 
-def _fill(t):
-    return _rings(t).where("pos IN (0, 1)")
-
-
 _P = ("p AS (SELECT c_custkey AS id, (c_custkey * 37 % 140) + 5.3e0 AS cx, (c_custkey * 91 % 90) + 5.2e0 AS cy, (c_custkey % 4) + 2.37e0 AS r FROM customer)")
 _E = """k(i, ux, uy, vx, vy) AS (VALUES (0, -1e0, -0.8e0, -0.5e0, 1e0), (1, -0.5e0, 1e0, 1e0, 0.7e0), (2, 1e0, 0.7e0, 0.9e0, -1e0), (3, 0.9e0, -1e0, -1e0, -0.8e0)),
-    e AS (SELECT id, cx + r * ux * s AS x0, cy + r * uy * s AS y0, cx + r * vx * s AS x1, cy + r * vy * s AS y1 FROM p, k, (VALUES (1e0), (0.4e0)) q(s) WHERE s = 1e0 OR id % 3 = 0)"""
-_BOXC = """bx AS (SELECT id, row, cast(unnest(range(cast(floor(cx - r) AS bigint) - 1, cast(ceil(cx + r) AS bigint) + 1)) AS integer) AS col
+    e AS (SELECT id, cx + r * (ux * s + dx) AS x0, cy + r * (uy * s) AS y0, cx + r * (vx * s + dx) AS x1, cy + r * (vy * s) AS y1
+          FROM p, k, (VALUES (1e0, 0e0, 1), (0.4e0, 0e0, 3), (0.3e0, 3e0, 5), (0.1e0, 3e0, 6), (0.1e0, 9e0, 4)) q(s, dx, every) WHERE id % every = 0)"""
+_BOXC = """bx AS (SELECT id, row, cast(unnest(range(cast(floor(cx - r) AS bigint) - 1, cast(ceil(cx + 9.2e0 * r) AS bigint) + 1)) AS integer) AS col
         FROM (SELECT *, cast(unnest(range(cast(floor(cy - r) AS bigint) - 1, cast(ceil(cy + r) AS bigint) + 1)) AS integer) AS row FROM p))"""
 _IN = """ic AS (SELECT b.id, row, col FROM bx b JOIN e ON e.id = b.id AND ((y0 <= row + 0.5e0 AND row + 0.5e0 < y1) OR (y1 <= row + 0.5e0 AND row + 0.5e0 < y0))
            AND x0 + (row + 0.5e0 - y0) * (x1 - x0) / (y1 - y0) > col + 0.5e0 GROUP BY b.id, row, col HAVING count(*) % 2 = 1)"""
@@ -52,12 +49,12 @@ _TC = """tc AS (SELECT DISTINCT b.id, row, col FROM bx b JOIN e ON e.id = b.id
 
 @query("polygon_cells", "", f"WITH {_P}, {_E}, {_BOXC}, {_IN} SELECT id, row, col FROM ic")
 def _(t):
-    return G.polygon_cells(_fill(t), "id")
+    return G.polygon_cells(_rings(t), "id")
 
 
 @query("polygon_cells_touched", "", f"WITH {_P}, {_E}, {_BOXC}, {_IN}, {_TC} SELECT id, row, col FROM ic UNION SELECT id, row, col FROM tc")
 def _(t):
-    return G.polygon_cells(_fill(t), "id", all_touched=True)
+    return G.polygon_cells(_rings(t), "id", all_touched=True)
 
 
 _AREA = "(-0.5e0 * abs(sh) * r * r * sc * sc)"
@@ -79,7 +76,7 @@ def _(t):
     w AS (SELECT DISTINCT row, col FROM u), kept AS (SELECT g.* FROM fx_grid g JOIN w ON w.row = g.row AND w.col = g.col)
     SELECT row - (SELECT min(row) FROM kept) AS row, col - (SELECT min(col) FROM kept) AS col, v FROM kept""")
 def _(t):
-    return G.clip_to_polygon(t.grid().select("row", "col", "v"), _fill(t), "id").select("row", "col", "v")
+    return G.clip_to_polygon(t.grid().select("row", "col", "v"), _rings(t), "id").select("row", "col", "v")
 
 
 _LN = """l AS (SELECT p_partkey AS line_id, p_partkey * 53 % 150 + 0.11e0 AS ax, p_partkey * 29 % 100 + 0.17e0 AS ay, p_partkey * 53 % 150 + p_partkey % 5 + 0.71e0 AS bx_, p_partkey * 29 % 100 + p_partkey % 7 - 2.5e0 AS by_ FROM part)"""
@@ -97,7 +94,7 @@ def _(t):
     p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ax, ay = k * 53 % 150 + 0.11, k * 29 % 100 + 0.17
     lines = t.read("part").select(k.alias("line_id"), F.array(p(ax, ay), p(k * 53 % 150 + k % 5 + 0.71, k * 29 % 100 + k % 7 - 2.5)).alias("pts"))
-    return G.lines_meeting(lines, "line_id", _fill(t), "id")
+    return G.lines_meeting(lines, "line_id", _rings(t), "id")
 
 
 _CMP = "threshold_ft * 0.3048e0 * 10e0"
@@ -113,5 +110,5 @@ _CMP = "threshold_ft * 0.3048e0 * 10e0"
 def _(t):
     from tilewater.plans.products import compare_to_polygons
 
-    m = compare_to_polygons(t.grid().select("row", "col", "v"), _fill(t), "id", (30, 150, 600))
+    m = compare_to_polygons(t.grid().select("row", "col", "v"), _rings(t), "id", (30, 150, 600))
     return m.select("threshold_ft", "valid", "ref", "hand", "tp", F.round("iou", 9).alias("iou"), F.round("precision_lift", 9).alias("precision_lift"))

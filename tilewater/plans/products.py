@@ -41,7 +41,7 @@ def render_regions(pixels: DataFrame, regions: DataFrame, source_cells: DataFram
 
 def compare_to_polygons(cells: DataFrame, rings: DataFrame, key: str, feet, all_touched: bool = True) -> DataFrame:
     """Rasterise reference polygons on the grid of `cells` (row, col, v) and score every threshold against them."""
-    mask = geometry.polygon_cells(rings, key, all_touched).select("row", "col").distinct().withColumn("_m", F.lit(True))
+    mask = geometry.covered_cells(rings, key, all_touched).withColumn("_m", F.lit(True))
     marked = cells.join(mask, ["row", "col"], "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
     counts = validation.confusion_counts(marked, "v", C("_m"), feet)
     return validation.random_baseline(validation.confusion_metrics(counts))
