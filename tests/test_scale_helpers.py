@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewater.operators import drainage as D
+from tilewater.operators import generators as GN
 from tilewater.operators import geometry as GE
 from tilewater.operators import joins as J
 from tilewater.operators import windows as W
@@ -277,3 +278,62 @@ def test_regions_are_contracted_alike(spark, monkeypatch, region):
     want = _fill_brute(v)
     got = D.fill_depressions(_frame(spark, v), 5).collect()
     assert all(r.filled == want[r.row, r.col] for r in got) and len(got) == int(np.isfinite(v).sum())
+
+
+def test_crowded_regions_on_finer_cells(spark):
+    """Small regions in one square, some large ones, many with one common corner; answers by comparing all with all."""
+    rnd = np.random.default_rng(5)
+    w, s = rnd.uniform(0, 3.9, 6000), rnd.uniform(0, 3.9, 6000)
+    small = np.stack([w, s, w + rnd.uniform(0.001, 0.05, 6000), s + rnd.uniform(0.001, 0.05, 6000)], 1)
+    corner = np.tile([1.0, 1.0, 1.2, 1.3], (400, 1))
+    large = np.array([[-20.0, -20.0, 20.0, 20.0], [0.0, 0.0, 4.0, 4.0], [-9.0, -3.0, 2.5, 1.5], [3.0, 3.0, 2.0, 5.0]])
+    b = np.concatenate([small, corner, large])
+    regions = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(b)], "id int, west double, south double, east double, north double")
+    p = np.concatenate([rnd.uniform(-1, 5, (700, 2)), [[1.0, 1.0], [4.0, 0.0], [0.0, 0.0]]])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "k int, lon double, lat double")
+    x, y = p[:, :1], p[:, 1:]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero((b[:, 0] <= x) & (x < b[:, 2]) & (b[:, 1] <= y) & (y < b[:, 3])))}
+    got = [(r.k, r.id) for r in J.point_regions(points, regions, bound=50, depth=4).select("k", "id").collect()]
+    flat = {(r.k, r.id) for r in J.point_regions(points, regions, depth=0).select("k", "id").collect()}
+    assert len(got) == len(set(got)) and set(got) == flat == want
+    assert len(J.region_grid(regions, 4.0, 50, 4)) > 2
+    tiles = spark.createDataFrame([(z, x, y) for z in (0, 5, 9, 10) for x, y in ([(0, 0)] if z == 0 else [((1 << z) // 2 + k % 3, (1 << z) // 2 - 1 - k // 3) for k in range(9)])], "z int, x int, y int")
+    pairs = lambda **k: sorted(map(tuple, J.tile_regions(tiles, regions, **k).select("z", "x", "y", "id").collect()))
+    fine = pairs(bound=50, depth=4)
+    assert fine == pairs(depth=0) and len(fine) > 6400
+
+
+def test_samples_of_long_lines(spark):
+    """Against one walk per line; a repeated vertex, a line without length, one of a single point, and one of 30,000 vertices."""
+    rnd = random.Random(3)
+    lines = {1: [(0.0, 0.0), (3.0, 4.0), (3.0, 4.0), (3.0, 10.0)], 2: [(1.0, 1.0), (1.0, 1.0)], 3: [(5.0, 5.0)], 4: [(0.0, 0.0), (0.1, 0.0)], 5: []}
+    lines[6] = [(i * 0.01, rnd.random()) for i in range(30_000)]
+    df = spark.createDataFrame(list(lines.items()), "line int, pts array<struct<x:double,y:double>>")
+    got = {(r.line, r.k): (r.x, r.y) for r in GN.line_sample_points(df, "line", "pts", 1.3).collect()}
+    seen = 0
+    for key, pts in lines.items():
+        p = np.array(pts).reshape(-1, 2)
+        run = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))]) if len(p) > 1 else np.zeros(1)
+        if run[-1] == 0:
+            continue
+        n = max(2, int(run[-1] // 1.3) + 1)
+        d = np.linspace(0, run[-1], n)
+        seen += n
+        for k in range(n):
+            assert got[key, k] == pytest.approx((np.interp(d[k], run, p[:, 0]), np.interp(d[k], run, p[:, 1])), abs=1e-6)
+    assert len(got) == seen
+
+
+def test_polygons_of_many_rings(spark):
+    """All rings count (hole, island, far part), short ones do not, and no cell is told twice."""
+    sq = lambda a, b: [(a, a), (a, b), (b, b), (b, a), (a, a)]
+    rows = [(1, sq(0.0, 10.0)), (1, sq(2.0, 8.0)), (1, sq(4.0, 6.0)), (1, [(20.0, 20.0), (20.0, 24.0), (24.0, 20.0)]), (2, sq(5.0, 12.0))]
+    d = spark.createDataFrame(rows, "id int, pts array<struct<x:double,y:double>>")
+    inside = {(1, r, c) for r in range(10) for c in range(10) if not (2 <= r < 8 and 2 <= c < 8) or (4 <= r < 6 and 4 <= c < 6)}
+    inside |= {(2, r, c) for r in range(5, 12) for c in range(5, 12)}
+    got = [tuple(r) for r in GE.polygon_cells(d, "id").select("id", "row", "col").collect()]
+    assert len(got) == len(inside) and set(got) == inside
+    touched = [tuple(r) for r in GE.polygon_cells(d, "id", all_touched=True).select("id", "row", "col").collect()]
+    assert len(touched) == len(set(touched)) and set(touched) >= inside
+    both = [tuple(r) for r in GE.covered_cells(d, "id").select("row", "col").collect()]
+    assert len(both) == len(set(both)) and set(both) == {(r, c) for _, r, c in inside}

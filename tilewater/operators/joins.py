@@ -55,12 +55,53 @@ def explode_cells(df: DataFrame, west: str, south: str, east: str, north: str, s
              .withColumn("_cy", F.explode(F.sequence(f(south), f(north))))
 
 
-def point_regions(points: DataFrame, regions: DataFrame, cell: float = 4.0) -> DataFrame:
-    """Every (point, region) with the point inside the half-open region box."""
-    keyed = points.withColumn("_cx", F.floor(C("lon") / cell).cast("int")) \
-                  .withColumn("_cy", F.floor(C("lat") / cell).cast("int"))
-    j = keyed.join(explode_cells(regions, "west", "south", "east", "north", cell), ["_cx", "_cy"])
-    return j.where(A.bbox_contains(C("west"), C("south"), C("east"), C("north"), C("lon"), C("lat"))).drop("_cx", "_cy")
+def _child_cells(df: DataFrame, west: str, south: str, east: str, north: str, size: float) -> DataFrame:
+    """The cells of `size` that the box touches inside each (_cx, _cy) of four times that size."""
+    span = lambda low, high, at: (F.greatest(F.floor(C(low) / size).cast("int"), C(at) * 4), F.least(F.floor(C(high) / size).cast("int"), C(at) * 4 + 3))
+    (x0, x1), (y0, y1) = span(west, east, "_cx"), span(south, north, "_cy")
+    return df.where((x0 <= x1) & (y0 <= y1)).withColumn("_nx", F.explode(F.sequence(x0, x1))).withColumn("_ny", F.explode(F.sequence(y0, y1))) \
+        .drop("_cx", "_cy").withColumnsRenamed({"_nx": "_cx", "_ny": "_cy"})
+
+
+def region_grid(regions: DataFrame, cell: float, bound: int, depth: int) -> list[tuple[float, DataFrame, DataFrame | None]]:
+    """Regions on a grid that is finer where they crowd: (cell size, regions by cell, cells split further) per level.
+
+    A cell crossed by the edges of more than `bound` regions is split into 4 x 4; regions that cover it whole stay with it, the others go on to
+    the parts they touch. So at any place a region is in exactly one cell of one level, and a level costs what crowds there. Boxes with NULLs or
+    their sides exchanged hold nothing. `depth` ends the splitting where many corners fall on one spot; it bounds the levels, not the result.
+    """
+    box, at, out, size = ("west", "south", "east", "north"), ["_cx", "_cy"], [], cell
+    here = explode_cells(regions.where("west <= east AND south <= north"), *box, size)
+    for level in range(depth + 1):
+        covers = (C("west") <= C("_cx") * size) & (C("east") >= (C("_cx") + 1) * size) & (C("south") <= C("_cy") * size) & (C("north") >= (C("_cy") + 1) * size)
+        crowded = None
+        if level < depth:
+            crowded = cut(here.where(~covers).groupBy(*at).agg(F.count("*").alias("_n")).where(C("_n") > bound).select(*at))
+        if crowded is None or crowded.isEmpty():
+            return [*out, (size, here, None)]
+        marked = here.join(crowded.withColumn("_split", F.lit(True)), at, "left")
+        out.append((size, marked.where(C("_split").isNull() | covers).drop("_split"), crowded))
+        here = _child_cells(marked.where(C("_split") & ~covers).drop("_split"), *box, size / 4)
+        size /= 4
+    return out
+
+
+# Regions whose edges may cross one grid cell, and the most often a cell is split.
+CROWD, DEPTH = 256, 6
+
+
+def point_regions(points: DataFrame, regions: DataFrame, cell: float = 4.0, bound: int = CROWD, depth: int = DEPTH) -> DataFrame:
+    """Every (point, region) with the point inside the half-open region box. Dense regions are met on finer cells (`region_grid`)."""
+    grid = region_grid(regions, cell, bound, depth)
+    placed = None
+    for i, (_, here, _) in enumerate(grid):
+        level = here.withColumn("_lv", F.lit(i))
+        placed = level if placed is None else placed.unionByName(level)
+    own = F.array(*[F.struct(F.lit(i).alias("_lv"), F.floor(C("lon") / size).cast("int").alias("_cx"), F.floor(C("lat") / size).cast("int").alias("_cy"))
+                    for i, (size, _, _) in enumerate(grid)])
+    keyed = points.select("*", F.explode(own).alias("_own")).select(*points.columns, "_own.*")
+    j = keyed.join(placed, ["_lv", "_cx", "_cy"])
+    return j.where(A.bbox_contains(C("west"), C("south"), C("east"), C("north"), C("lon"), C("lat"))).drop("_lv", "_cx", "_cy")
 
 
 def first_region(points: DataFrame, regions: DataFrame, key: str, cell: float = 4.0) -> DataFrame:
@@ -69,19 +110,21 @@ def first_region(points: DataFrame, regions: DataFrame, key: str, cell: float =
         F.min_by("id", "priority").alias("region"), F.min("priority").alias("priority"))
 
 
-def tile_regions(tiles: DataFrame, regions: DataFrame, cell: float = 4.0) -> DataFrame:
-    """Every (tile, region) whose open boxes intersect. Tiles carry z, x, y; one row per pair."""
-    boxed = tiles.withColumn("_b", A.tile_bbox_lonlat(C("x"), C("y"), C("z"))).select(
-        *tiles.columns, C("_b.west").alias("t_west"), C("_b.south").alias("t_south"),
-        C("_b.east").alias("t_east"), C("_b.north").alias("t_north"))
-    left = explode_cells(boxed, "t_west", "t_south", "t_east", "t_north", cell)
-    right = explode_cells(regions, "west", "south", "east", "north", cell)
-    hit = A.bbox_intersects((C("west"), C("south"), C("east"), C("north")),
-                            (C("t_west"), C("t_south"), C("t_east"), C("t_north")))
-    # A pair meets in every shared cell; keep the meeting in the cell that holds the overlap's south-west corner.
-    home = (C("_cx") == F.floor(F.greatest("west", "t_west") / cell)) & \
-           (C("_cy") == F.floor(F.greatest("south", "t_south") / cell))
-    return left.join(right, ["_cx", "_cy"]).where(hit & home).drop("_cx", "_cy")
+def tile_regions(tiles: DataFrame, regions: DataFrame, cell: float = 4.0, bound: int = CROWD, depth: int = DEPTH) -> DataFrame:
+    """Every (tile, region) whose open boxes intersect. Tiles carry z, x, y; one row per pair. A tile follows `region_grid` down only where it is split."""
+    box = ("t_west", "t_south", "t_east", "t_north")
+    here = explode_cells(tiles.withColumn("_b", A.tile_bbox_lonlat(C("x"), C("y"), C("z"))).select(
+        *tiles.columns, *[C(f"_b.{b[2:]}").alias(b) for b in box]), *box, cell)
+    hit = A.bbox_intersects((C("west"), C("south"), C("east"), C("north")), tuple(C(b) for b in box))
+    found = None
+    for size, placed, crowded in region_grid(regions, cell, bound, depth):
+        # A pair meets in every shared cell; keep the meeting in the cell that holds the overlap's south-west corner.
+        home = (C("_cx") == F.floor(F.greatest("west", "t_west") / size)) & (C("_cy") == F.floor(F.greatest("south", "t_south") / size))
+        met = here.join(placed, ["_cx", "_cy"]).where(hit & home).drop("_cx", "_cy")
+        found = met if found is None else found.unionByName(met)
+        if crowded is not None:
+            here = _child_cells(here.join(crowded, ["_cx", "_cy"]), *box, size / 4)
+    return found
 
 
 # Fixed value: how much overlap, in degrees, a source must have with a tile to count.
