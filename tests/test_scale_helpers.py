@@ -4,6 +4,7 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,28 @@ def test_far_pairs_exact(spark):
     assert [r.km for r in got] == pytest.approx([-w[0] for w in want], abs=2e-6)
 
 
+def test_far_pairs_of_dense_towns(spark):
+    """Two towns of 100,000 places within five kilometres each: 10^10 pairs, answered from those near the far corners."""
+    rnd = np.random.default_rng(6)
+    a, b = rnd.uniform(0, 0.05, (100_000, 2)) + [-100.0, 30.0], rnd.uniform(0, 0.05, (100_000, 2)) + [-80.0, 41.0]
+
+    def km(p, q):
+        p, q = np.radians(p)[:, None, :], np.radians(q)[None, :, :]
+        h = np.sin((q - p)[..., 1] / 2) ** 2 + np.cos(p[..., 1]) * np.cos(q[..., 1]) * np.sin((q - p)[..., 0] / 2) ** 2
+        return 2 * 6371.0088 * np.arcsin(np.sqrt(h))
+
+    corners = lambda t: np.array([[x, y] for x in (t[:, 0].min(), t[:, 0].max()) for y in (t[:, 1].min(), t[:, 1].max())])
+    reach_a, reach_b = km(a, corners(b)).max(1), km(b, corners(a)).max(1)
+    far_a, far_b = a[np.argsort(-reach_a)[:2000]], b[np.argsort(-reach_b)[:2000]]
+    want = np.sort(km(far_a, far_b).ravel())[::-1][:20]
+    # who is not among the 2,000 cannot reach the answer
+    assert max(np.sort(reach_a)[-2001], np.sort(reach_b)[-2001]) + 0.01 < want[-1]
+    pts = spark.createDataFrame(pd.DataFrame(np.concatenate([a, b]), columns=["lon", "lat"]).reset_index(names="id"))
+    got = J.far_pairs(pts, 40).collect()
+    assert [r.km for r in got[::2]] == pytest.approx(list(want), abs=2e-6)
+    assert [(r.from_id, r.to_id) for r in got[::2]] == [(r.to_id, r.from_id) for r in got[1::2]]
+
+
 def _terrain(h, w, seed):
     rnd = np.random.default_rng(seed)
     v = rnd.integers(0, 60, (h, w)).astype(float)

@@ -7,7 +7,7 @@ splits hot cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
@@ -210,50 +210,60 @@ def raster_pair(a: DataFrame, b: DataFrame, keys: list[str], value: str = "v") -
     return a.select(*keys, C(value).alias("a")).join(b.select(*keys, C(value).alias("b")), keys, "full")
 
 
-def far_pairs(places: DataFrame, top: int, key: str = "id", levels: tuple[float, ...] = (15.0, 3.0, 0.5, 0.05)) -> DataFrame:
+# Degrees of the first grid and of the finest one (about a metre, where rounding of distances begins to count).
+FIRST_CELL, LAST_CELL = 15.0, 5e-6
+
+
+def far_pairs(places: DataFrame, top: int, key: str = "id", pairs_per_place: int = 8) -> DataFrame:
     """The `top` most distant ordered pairs of places (key, lon, lat), without forming all pairs.
 
     Places are counted per grid cell. For two cells the distance of any two members lies within centre distance
     plus or minus both cell radii, so the cell pairs that surely hold `top` pairs give a floor and every cell pair whose
-    ceiling is under that floor is dropped. Survivors are split into finer cells; only the last survivors are
-    matched place by place. Of places at one and the same spot only the first `top` keys can appear in the answer, so
-    copies beyond that are left out first. Exact: nothing is dropped that could reach the answer.
+    ceiling is under that floor is dropped. Survivors are split into 8 x 8 finer cells, and places outside of them leave, until the pairs of
+    places in surviving cells are at most `pairs_per_place` times the places (or a million); only those are compared. So dense towns
+    are split further and thin tables stop early. Of places at one and the same spot only the first `top` keys can appear in the
+    answer, so copies beyond that are left out first. Exact: nothing is dropped that could reach the answer. Places without a
+    coordinate are in no pair.
     """
-    cells_per_row = lambda size: int(360 // size) + 2
-
     def cell(size: float) -> Column:
-        row = F.floor((C("lat") + 90.0) / size).cast("bigint")
-        return row * cells_per_row(size) + F.floor((C("lon") + 180.0) / size).cast("bigint")
-
-    def center(c: Column, size: float) -> tuple[Column, Column]:
-        return ((c % cells_per_row(size)) + 0.5) * size - 180.0, (F.floor(c / cells_per_row(size)) + 0.5) * size - 90.0
+        return F.struct(F.floor((C("lat") + 90.0) / size).alias("r"), F.floor((C("lon") + 180.0) / size).alias("c"))
 
-    spots = Ordered(places.select(C(key).alias("_id"), "lon", "lat"), ["lon", "lat"], ["_id"]).running_total(F.lit(1), "_k").result()
-    named = cut(spots.where(C("_k") <= top).select("_id", "lon", "lat", *[cell(s).alias(f"_c{i}") for i, s in enumerate(levels)]))
     side = lambda df, tag: df.select(*[C(c).alias(c + tag) for c in df.columns])
-    survivors = None
-    for i, size in enumerate(levels):
-        counts = named.groupBy(*[f"_c{k}" for k in range(max(0, i - 1), i + 1)]).agg(F.count("*").alias("_n"))
+    whole = places.select(C(key).alias("_id"), "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    named = cut(Ordered(whole, ["lon", "lat"], ["_id"]).running_total(F.lit(1), "_k").result().where(C("_k") <= top).select("_id", "lon", "lat"))
+    enough = max(1_000_000, pairs_per_place * named.count())
+    size, survivors = FIRST_CELL, None
+    while True:
+        # eight is a power of two, so a cell lies in the one whose numbers are its own shifted by three bits, exactly
+        up = F.struct(F.shiftright("_c.r", 3).alias("r"), F.shiftright("_c.c", 3).alias("c"))
+        counts = named.groupBy(cell(size).alias("_c")).agg(F.count("*").alias("_n")).withColumn("_up", up)
         if survivors is None:
             # the first grid has a fixed number of cells, whatever the table size
-            n_cells = cells_per_row(size) * (int(180 // size) + 1)
-            left = side(counts, "a").withColumn("_c0b", F.explode(F.sequence(F.lit(0), F.lit(n_cells)).cast("array<bigint>")))
-            pairs = left.join(side(counts, "b"), "_c0b")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n // size) + 1)).cast("array<bigint>"))
+            pairs = side(counts, "a").withColumn("_r", every(180)).withColumn("_l", every(360)) \
+                .withColumn("_cb", F.struct(C("_r").alias("r"), C("_l").alias("c"))).join(side(counts, "b"), "_cb")
         else:
-            pairs = survivors.join(side(counts, "a"), f"_c{i - 1}a").join(side(counts, "b"), f"_c{i - 1}b")
-        (lon_a, lat_a), (lon_b, lat_b) = center(C(f"_c{i}a"), size), center(C(f"_c{i}b"), size)
-        reach = 2.0 * 0.7072 * size * 111.2  # both cell radii in km, rounded up
+            pairs = survivors.join(side(counts, "a"), "_upa").join(side(counts, "b"), "_upb")
+        center = lambda c: ((C(f"{c}.c") + 0.5) * size - 180.0, (C(f"{c}.r") + 0.5) * size - 90.0)
+        (lon_a, lat_a), (lon_b, lat_b) = center("_ca"), center("_cb")
+        reach = 2.0 * 0.7072 * size * 111.2 + 0.001  # both cell radii in km, rounded up, and a metre for rounding
+        step = min(1.0, reach / 8)
         pairs = pairs.withColumn("_km", haversine_km_atan(lon_a, lat_a, lon_b, lat_b)) \
-            .withColumn("_m", F.when(C(f"_c{i}a") == C(f"_c{i}b"), C("_na") * (C("_na") - 1)).otherwise(C("_na") * C("_nb")))
-        # floor: the largest distance step that `top` pairs surely reach; steps of 1 km keep the ladder short
-        ladder = pairs.where("_m > 0").groupBy(F.floor(C("_km") - reach).alias("_step")).agg(F.sum("_m").alias("_m"))
-        down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, 0)
-        floor_km = ladder.withColumn("_cum", F.sum("_m").over(down)).where(C("_cum") >= top).agg(F.max("_step").alias("_floor"))
-        kept = with_row(pairs, floor_km).where(C("_floor").isNull() | (C("_km") + reach >= C("_floor")))
-        survivors = cut(kept.select(f"_c{i}a", f"_c{i}b"))
-    last = len(levels) - 1
+            .withColumn("_m", F.when(C("_ca") == C("_cb"), C("_na") * (C("_na") - 1)).otherwise(C("_na") * C("_nb"))).where("_m > 0")
+        pairs = cut(pairs.select("_ca", "_cb", "_km", "_m"))
+        # floor: the largest distance step that `top` pairs surely reach; the steps keep the ladder short
+        ladder = pairs.groupBy(F.floor((C("_km") - reach) / step).alias("_step")).agg(F.sum("_m").alias("_m"))
+        down = Ordered(ladder.withColumn("_rank", -C("_step")), [], ["_rank"]).running_total("_m", "_upto").result()
+        floor_km = down.where(C("_upto") >= top).agg((F.max("_step") * step).alias("_floor"))
+        kept = cut(with_row(pairs, floor_km).where(C("_floor").isNull() | (C("_km") + reach >= C("_floor"))).select("_ca", "_cb", "_m"))
+        left = kept.agg(F.sum("_m").alias("_m")).first()["_m"] or 0
+        inside = kept.select(C("_ca").alias("_c")).distinct()  # pairs come in both orders, so one side names all cells
+        named = cut(named.withColumn("_c", cell(size)).join(inside, "_c", "left_semi"))
+        if left <= enough or size / 8 < LAST_CELL:
+            break
+        survivors, named, size = kept.select(C("_ca").alias("_upa"), C("_cb").alias("_upb")), named.drop("_c"), size / 8
     a, b = side(named, "a"), side(named, "b")
-    exact = survivors.join(a, f"_c{last}a").join(b, f"_c{last}b").where(C("_ida") != C("_idb"))
+    exact = kept.join(a, "_ca").join(b, "_cb").where(C("_ida") != C("_idb"))
     km = haversine_km_atan(C("lona"), C("lata"), C("lonb"), C("latb"))
     return exact.select(C("_ida").alias("from_id"), C("_idb").alias("to_id"), km.alias("km")) \
         .orderBy(F.desc("km"), "from_id", "to_id").limit(top)
