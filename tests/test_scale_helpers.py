@@ -1,5 +1,6 @@
 """Distributed helpers against brute force on small fixtures, with hot keys and many partitions."""
 
+import functools
 import random
 import statistics
 
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tilewater.operators import basins as B
 from tilewater.operators import drainage as D
 from tilewater.operators import generators as GN
 from tilewater.operators import geometry as GE
@@ -360,3 +362,24 @@ def test_polygons_of_many_rings(spark):
     assert len(touched) == len(set(touched)) and set(touched) >= inside
     both = [tuple(r) for r in GE.covered_cells(d, "id").select("row", "col").collect()]
     assert len(both) == len(set(both)) and set(both) == {(r, c) for _, r, c in inside}
+
+
+@pytest.mark.parametrize("fill", [None, 0.0])
+def test_basins_together_as_one_by_one(spark, fill):
+    """Basins of several sizes at overlapping and negative places, one without a name; each as if it were alone."""
+    parts, alone = [], {}
+    variants, feet = [(3.0, 6.0), (3.0, 20.0), (1.0, 6.0)], (10, 60, 150)
+    for name, (h, w, row, col) in {"a": (9, 11, 0, 0), "b": (17, 6, 4, -7), None: (3, 4, -30, 2)}.items():
+        v = _terrain(h, w, h)
+        f = _frame(spark, v, stream_mask=v > 50, ref=v < 20).withColumn("row", F.col("row") + row).withColumn("col", F.col("col") + col)
+        parts.append(f.withColumn("basin", F.lit(name).cast("string")))
+        alone[name] = B.hand_sensitivity(f, variants, feet, "ref", 1.0, 64, fill)
+    columns = alone["a"].columns
+    got = B.hand_sensitivity(functools.reduce(lambda x, y: x.unionByName(y), parts), variants, feet, "ref", 1.0, 4, fill, basin="basin")
+    rows = {(r.basin, *[r[c] for c in columns]) for r in got.collect()}
+    assert rows == {(n, *r) for n, d in alone.items() for r in d.select(*columns).collect()} and len(rows) == 27
+
+
+def test_no_basins(spark):
+    none = spark.createDataFrame([], "basin string, row int, col int, v double, stream_mask boolean, ref boolean")
+    assert B.hand_sensitivity(none, [(1.0, 2.0)], (10,), "ref", basin="basin").count() == 0

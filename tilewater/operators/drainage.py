@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewater.operators.joins import with_row
 from tilewater.operators.neighborhood import NEIGHBORS
 from tilewater.session import written
 
@@ -662,7 +661,7 @@ def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0) -> D
     return to_cells(fill_blocks(b, block, "filled", step), block, {"v": "real", "filled": "real"}, where="v")
 
 
-# ---- one derivation and its sensitivity ---------------------------------------------------------
+# ---- one derivation (many and their sensitivity: `basins`) ---------------------------------------------------------
 
 def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None,
                     keep: list[str] | None = None) -> DataFrame:
@@ -690,27 +689,3 @@ def hand_variant(cells: DataFrame, burn: float, threshold: float, cell_area: flo
     """One derivation as cells (row, col, v, dir, area, drain, hand); valid terrain only."""
     b = drainage_blocks(cells, burn, threshold, cell_area, block, fill_step)
     return to_cells(b, block, {"v": "real", "dir": "code", "area": "real", "drain": "flag", "hand": "real"}, where="v")
-
-
-def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet, reference: str, cell_area: float = 1.0,
-                     block: int = 256, fill_step: float | None = None) -> DataFrame:
-    """Coverage, confusion metrics and overlap with the first variant for each (burn, area threshold)."""
-    from tilewater.functions.values import NODATA_U16, encode_hand
-    from tilewater.operators.validation import confusion_counts, confusion_metrics, mask_jaccard
-
-    layers = {"v": "real", "drain": "flag", "hand": "real", "base_hand": "real", reference: "flag"}
-    coded = lambda c: F.nullif(encode_hand(C(c)), F.lit(NODATA_U16))
-    base, out = None, None
-    for burn, threshold in variants:
-        b = written(drainage_blocks(cells, burn, threshold, cell_area, block, fill_step, [reference]))
-        base = b.select("br", "bc", C("hand").alias("base_hand")) if base is None else base
-        # the first variant is compared block by block, so no cell is joined with another
-        both = to_cells(b.join(base, ["br", "bc"]), block, layers, where="v") \
-            .select("drain", C(reference), coded("hand").alias("code"), coded("base_hand").alias("base_code"))
-        counts = confusion_metrics(confusion_counts(both, "code", C(reference), feet))
-        overlap = mask_jaccard(both, "code", "base_code", feet).select("threshold_ft", "jaccard")
-        drains = both.agg(F.count_if("drain").alias("drain_cells"))
-        part = with_row(counts.join(overlap, "threshold_ft"), drains) \
-            .withColumn("burn_m", F.lit(float(burn))).withColumn("min_area", F.lit(float(threshold)))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -35,12 +35,12 @@ def confusion_counts(cells: DataFrame, hand: str, reference: Column, feet) -> Da
     return _per_threshold(counts, feet, {"valid": "valid", "ref": "ref", "hand": "low_{i}", "tp": "low_{i}_ref"})
 
 
-def confusion_metrics(counts: DataFrame) -> DataFrame:
-    """Confusion cells, IoU, precision, recall, coverages; NULL on zero denominators."""
+def confusion_metrics(counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Confusion cells, IoU, precision, recall, coverages; NULL on zero denominators. The columns `keep` pass through."""
     tp, fp = C("tp"), C("hand") - C("tp")
     fn, valid = C("ref") - C("tp"), C("valid")
     return counts.select(
-        "threshold_ft", "valid", "ref", "hand", "tp", fp.alias("fp"), fn.alias("fn"), (valid - tp - fp - fn).alias("tn"),
+        *(keep or []), "threshold_ft", "valid", "ref", "hand", "tp", fp.alias("fp"), fn.alias("fn"), (valid - tp - fp - fn).alias("tn"),
         ratio(tp, tp + fp + fn).alias("iou"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
         ratio(C("hand") * 100.0, valid).alias("hand_pct"), ratio(C("ref") * 100.0, valid).alias("ref_pct"),
         ratio(tp * 100.0, C("ref")).alias("overlap_pct_of_ref"), ratio(tp * 100.0, C("hand")).alias("overlap_pct_of_hand"))

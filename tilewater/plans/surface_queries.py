@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
+from tilewater.operators import basins as B
 from tilewater.operators import drainage as D
 from tilewater.operators import resample as Z
 from tilewater.operators.generators import tile_pixel_centers
@@ -72,9 +73,9 @@ def _(t):
     return Z.banded_blocks(t.grid().select("row", "col", "v"), 30, 5).select("row", "col", "v", "band", "interior")
 
 
-def _d8_sql(burn: str, tag: str = "") -> str:
+def _d8_sql(burn: str, tag: str = "", grid: str = "fx_grid") -> str:
     return f"""
-    z{tag} AS (SELECT row, col, CASE WHEN stream_mask THEN v - {burn} ELSE v * 1e0 END AS v, v * 1e0 AS e, stream_mask, ref_mask FROM fx_grid WHERE v IS NOT NULL),
+    z{tag} AS (SELECT row, col, CASE WHEN stream_mask THEN v - {burn} ELSE v * 1e0 END AS v, v * 1e0 AS e, stream_mask, ref_mask FROM {grid} WHERE v IS NOT NULL),
     st{tag}(dr, dc, dist, code) AS (VALUES (0, 1, 1e0, 1), (1, 1, sqrt(2e0), 2), (1, 0, 1e0, 4), (1, -1, sqrt(2e0), 8), (0, -1, 1e0, 16), (-1, -1, sqrt(2e0), 32), (-1, 0, 1e0, 64), (-1, 1, sqrt(2e0), 128)),
     op{tag} AS (SELECT z.row, z.col, dr, dc, code, row_number() OVER (PARTITION BY z.row, z.col ORDER BY (z.v - n.v) / dist DESC, code) AS k
            FROM z{tag} z, st{tag} st JOIN z{tag} n ON n.row = z.row + dr AND n.col = z.col + dc WHERE n.v < z.v),
@@ -159,5 +160,30 @@ def _variant_sql(i: int, burn: str, thr: int, src: str) -> str:
     SELECT burn_m, min_area, threshold_ft, valid, hand, tp, ref, drain_cells, jaccard, round(tp / nullif(hand + ref - tp, 0), 9) AS iou FROM u""")
 def _(t):
     g = t.grid().select("row", "col", C("v").cast("double").alias("v"), "stream_mask", "ref_mask")
-    r = D.hand_sensitivity(g, [(40.0, 12.0), (40.0, 30.0), (5.0, 12.0)], _HS_FEET, "ref_mask", 1.0, BLOCK)
+    r = B.hand_sensitivity(g, [(40.0, 12.0), (40.0, 30.0), (5.0, 12.0)], _HS_FEET, "ref_mask", 1.0, BLOCK)
     return _round(r.select("burn_m", "min_area", "threshold_ft", "valid", "hand", "tp", "ref", "drain_cells", "jaccard", "iou"))
+
+
+def _basin_variant_sql(i: int, burn: str, thr: int, src: str) -> str:
+    """As `_variant_sql`, by basin: in the twin the basins stand ten columns apart, so that none touches another."""
+    lim = "threshold_ft * 0.3048e0 * 10e0"
+    return f"""
+    co{i} AS (SELECT h.row, h.col, cast(floor(h.col / 60) AS integer) AS basin, CASE WHEN hand IS NOT NULL THEN least(65534, round_even(hand * 10, 0)) END AS code, d.drain, z.ref_mask
+              FROM hh{i} h JOIN z{src} z ON z.row = h.row AND z.col = h.col JOIN dr{i} d ON d.row = h.row AND d.col = h.col),
+    re{i} AS (SELECT a.basin, {burn} AS burn_m, {thr}e0 AS min_area, threshold_ft, count(a.code) AS valid, count_if(a.code <= {lim}) AS hand, count_if(a.code <= {lim} AND a.ref_mask) AS tp,
+              count_if(a.code IS NOT NULL AND a.ref_mask) AS ref, count_if(a.drain) AS drain_cells,
+              round(count_if(a.code <= {lim} AND b.code <= {lim}) / nullif(count_if(coalesce(a.code <= {lim}, false) OR coalesce(b.code <= {lim}, false)), 0), 9) AS jaccard
+              FROM co{i} a JOIN co0 b ON b.row = a.row AND b.col = a.col, f GROUP BY a.basin, threshold_ft)"""
+
+
+@query("basin_sensitivity", "fx_grid", f"""
+    WITH RECURSIVE f(threshold_ft) AS (VALUES (30e0), (150e0), (600e0)), gb AS (SELECT row, cast(col + floor(col / 50) * 10 AS integer) AS col, v, stream_mask, ref_mask FROM fx_grid),
+    {_d8_sql('40e0', 'a', 'gb')}, {_flow_sql('a')}, {_d8_sql('5e0', 'b', 'gb')}, {_flow_sql('b')},
+    {_hand_sql(12, '0', 'a')}, {_hand_sql(30, '1', 'a')}, {_hand_sql(12, '2', 'b')},
+    {_basin_variant_sql(0, '40e0', 12, 'a')}, {_basin_variant_sql(1, '40e0', 30, 'a')}, {_basin_variant_sql(2, '5e0', 12, 'b')},
+    u AS (SELECT * FROM re0 UNION ALL SELECT * FROM re1 UNION ALL SELECT * FROM re2)
+    SELECT basin, burn_m, min_area, threshold_ft, valid, hand, tp, ref, drain_cells, jaccard, round(tp / nullif(hand + ref - tp, 0), 9) AS iou FROM u""")
+def _(t):
+    g = t.grid().select(F.floor(C("col") / 50).cast("int").alias("basin"), "row", "col", C("v").cast("double").alias("v"), "stream_mask", "ref_mask")
+    r = B.hand_sensitivity(g, [(40.0, 12.0), (40.0, 30.0), (5.0, 12.0)], _HS_FEET, "ref_mask", 1.0, BLOCK, basin="basin")
+    return _round(r.select("basin", "burn_m", "min_area", "threshold_ft", "valid", "hand", "tp", "ref", "drain_cells", "jaccard", "iou"))
