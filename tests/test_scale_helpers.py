@@ -13,6 +13,7 @@ from tilewater.operators import basins as B
 from tilewater.operators import drainage as D
 from tilewater.operators import generators as GN
 from tilewater.operators import geometry as GE
+from tilewater.operators import grids as GR
 from tilewater.operators import joins as J
 from tilewater.operators import windows as W
 from tilewater.operators.ordered import Ordered
@@ -383,3 +384,25 @@ def test_basins_together_as_one_by_one(spark, fill):
 def test_no_basins(spark):
     none = spark.createDataFrame([], "basin string, row int, col int, v double, stream_mask boolean, ref boolean")
     assert B.hand_sensitivity(none, [(1.0, 2.0)], (10,), "ref", basin="basin").count() == 0
+
+
+def test_grids_that_differ_are_not_paired(spark):
+    shape = "raster int, height int, width int, a double, b double, c double, d double, e double, f double, crs string"
+    row = lambda i, h=2, c=0.0, a=1.0, crs="x": (i, h, 2, a, 0.0, c, 0.0, -1.0, 0.0, crs)
+    left = spark.createDataFrame([row(1), row(2), row(3), row(4), row(5), row(8, crs=None)], shape)
+    right = spark.createDataFrame([row(1, c=1e-9), row(2, h=3, c=0.1), row(3, crs=None), row(4, a=1.0001), row(6), row(8, crs=None)], shape)
+    cells = spark.createDataFrame([(i, 0, 0, i) for i in (1, 2, 3, 4, 5, 7)], "raster int, row int, col int, v int")
+    got = {(r.raster, r.row, r.a, r.b, r.grid_error) for r in GR.checked_pair(cells, cells.where("raster < 4"), left, right, "raster").collect()}
+    assert got == {(1, 0, 1, 1, None), (2, None, None, None, "shape,transform"), (3, None, None, None, "crs"), (4, None, None, None, "transform"),
+                   (5, None, None, None, "not in right"), (6, None, None, None, "not in left"), (7, None, None, None, "no grid")}
+
+
+def test_positions_on_a_turned_grid(spark):
+    grid = (2.0, 0.5, 10.0, -0.3, -3.0, 7.0)
+    cells = spark.range(12).select(F.floor(F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), F.col("id").cast("double").alias("v"))
+    back = GR.resample_onto(cells.select("row", "col", F.col("v").alias("own")), grid, cells, grid)
+    assert all(r.v == r.own for r in back.collect())
+    blend = GR.resample_onto(cells.select("row", "col", F.col("v").alias("own")), grid, cells, grid, bilinear=True).collect()
+    assert len(blend) == 12 and all(r.v == pytest.approx(r.own) for r in blend)
+    with pytest.raises(ValueError):
+        GR.position((1.0, 2.0, 0.0, 2.0, 4.0, 0.0), F.lit(0), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
+from tilewater.operators import grids as GR
 from tilewater.operators import joins as J
 from tilewater.operators import raster_stats as R
 from tilewater.operators import resample as Z
@@ -141,6 +142,58 @@ def _(t):
     return Z.pair_nearest(g.select("row", "col", "v"), g.select("row", "col", C("cand").alias("b")), 0.75).select("row", "col", C("v").alias("a"), "b")
 
 
+@query("raster_pair_checked", "fx_grid", """
+    WITH g AS (SELECT *, cast(floor(row / 5) AS integer) AS raster FROM fx_grid),
+    s AS (SELECT raster, max(row) - min(row) + 1 AS height, CASE WHEN raster % 7 = 0 THEN 'transform' END AS t, CASE WHEN raster % 6 = 5 THEN 'shape' END AS h,
+                 CASE WHEN raster % 4 = 1 THEN 'crs' END AS c FROM g GROUP BY raster),
+    e AS (SELECT raster, CASE WHEN raster % 11 = 3 THEN 'not in right' ELSE nullif(concat_ws(',', h, t, c), '') END AS grid_error FROM s)
+    SELECT raster, row, col, v AS a, cand AS b, NULL AS grid_error FROM g JOIN e USING (raster) WHERE grid_error IS NULL
+    UNION ALL SELECT raster, NULL, NULL, NULL, NULL, grid_error FROM e WHERE grid_error IS NOT NULL""")
+def _(t):
+    r = C("raster")
+    g = t.grid().withColumn("raster", F.floor(C("row") / 5).cast("int"))
+    left = g.groupBy("raster").agg((F.max("row") - F.min("row") + 1).alias("height"), F.lit(150).alias("width"), F.lit(10.0).alias("a"), F.lit(0.0).alias("b"),
+                                   (F.min("raster") * 7.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-10.0).alias("e"), F.lit(300.0).alias("f"), F.lit("EPSG:5070").alias("crs"))
+    right = left.where(r % 11 != 3).withColumns({
+        "width": F.when(r % 6 == 5, C("width") + 1).otherwise(C("width")), "c": C("c") + F.when(r % 7 == 0, 0.5).otherwise(1e-6),
+        "crs": F.when(r % 4 != 1, C("crs"))})
+    cells = lambda v: g.select("raster", "row", "col", C(v).alias("v"))
+    return GR.checked_pair(cells("v"), cells("cand"), left, right, "raster").select("raster", "row", "col", "a", "b", "grid_error")
+
+
+# a turned source in Mercator metres under a target in degrees
+_SOURCE, _TARGET = (43000.0, 1500.0, -13905000.0, 800.0, -40000.0, 6310000.0), (0.21, 0.0, -125.0, 0.0, -0.17, 49.0)
+_CENTRE = """
+    p AS (SELECT row, col, cand AS b, (-125e0 + (col + 0.5e0) * 0.21e0) * 20037508.342789244e0 / 180e0 AS x,
+                 ln(tan((49e0 - (row + 0.5e0) * 0.17e0 + 90e0) * pi() / 360e0)) / pi() * 20037508.342789244e0 AS y FROM fx_grid WHERE row < 200),
+    q AS (SELECT row, col, b, ((y - 6310000e0) * 43000e0 - (x + 13905000e0) * 800e0) / (43000e0 * -40000e0 - 1500e0 * 800e0) AS sr,
+                 ((x + 13905000e0) * -40000e0 - (y - 6310000e0) * 1500e0) / (43000e0 * -40000e0 - 1500e0 * 800e0) AS sc FROM p)"""
+
+
+def _onto(t, bilinear):
+    def mercator(x, y):
+        m = A.lonlat_to_mercator(x, y)
+        return m["mx"], m["my"]
+
+    g = t.grid()
+    return GR.resample_onto(g.where("row < 200").select("row", "col", C("cand").alias("b")), _TARGET, g.select("row", "col", "v"), _SOURCE, mercator, bilinear)
+
+
+@query("raster_pair_projected", "fx_grid", f"""
+    WITH {_CENTRE} SELECT q.row, q.col, g.v AS a, b FROM q LEFT JOIN fx_grid g ON g.row = floor(sr) AND g.col = floor(sc)""")
+def _(t):
+    return _onto(t, False).select("row", "col", C("v").alias("a"), "b")
+
+
+@query("raster_pair_bilinear", "fx_grid", f"""
+    WITH {_CENTRE}, k AS (SELECT row, col, b, floor(sr - 0.5e0) AS r0, floor(sc - 0.5e0) AS c0, sr - 0.5e0 - floor(sr - 0.5e0) AS fy, sc - 0.5e0 - floor(sc - 0.5e0) AS fx FROM q),
+    w AS (SELECT k.row, k.col, b, g.v, (CASE WHEN dx = 1 THEN fx ELSE 1e0 - fx END) * (CASE WHEN dy = 1 THEN fy ELSE 1e0 - fy END) AS w
+          FROM k CROSS JOIN (VALUES (0), (1)) i(dx) CROSS JOIN (VALUES (0), (1)) j(dy) LEFT JOIN fx_grid g ON g.row = r0 + dy AND g.col = c0 + dx)
+    SELECT row, col, any_value(b) AS b, round(sum(v * w) / sum(w) FILTER (v IS NOT NULL), 5) AS a FROM w GROUP BY row, col""")
+def _(t):
+    return _onto(t, True).select("row", "col", F.round("v", 5).alias("a"), "b")
+
+
 _PT = "SELECT event_id, (event_id * 7919 % 9000) / 1e2 + 0.004e0 AS gy, (event_id * 104729 % 14000) / 1e2 + 0.003e0 AS gx FROM events"
 
 
