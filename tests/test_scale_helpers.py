@@ -15,6 +15,7 @@ from tilewater.operators import generators as GN
 from tilewater.operators import geometry as GE
 from tilewater.operators import grids as GR
 from tilewater.operators import joins as J
+from tilewater.operators import resample as RS
 from tilewater.operators import windows as W
 from tilewater.operators.ordered import Ordered
 from tilewater.operators.quantiles import quantiles
@@ -406,3 +407,30 @@ def test_positions_on_a_turned_grid(spark):
     assert len(blend) == 12 and all(r.v == pytest.approx(r.own) for r in blend)
     with pytest.raises(ValueError):
         GR.position((1.0, 2.0, 0.0, 2.0, 4.0, 0.0), F.lit(0), F.lit(0))
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_neighbours_do_not_depend_on_blocks(spark, block):
+    """Slopes and flags of cells with holes and gaps, against plain loops."""
+    v = _terrain(11, 13, 5)
+    rows = {(r, c): None if np.isnan(v[r, c]) else float(v[r, c]) for r in range(11) for c in range(13) if (r * 7 + c) % 10}
+    cells = spark.createDataFrame([(r, c, x) for (r, c), x in rows.items()], "row int, col int, v double")
+    got = {(r.row, r.col): r for r in RS.surface_gradient(cells, 2.8, block).collect()}
+    assert set(got) == set(rows)
+    for (r, c), own in rows.items():
+        left, right, up, down = (rows.get(p, own) for p in ((r, c - 1), (r, c + 1), (r - 1, c), (r + 1, c)))
+        dx, dy = (None if None in p else p[0] - p[1] for p in ((left, right), (up, down)))
+        gx, gy = dx or 0.0, dy or 0.0
+        run = (gx * gx + gy * gy) ** 0.5
+        assert (got[r, c].fx, got[r, c].fy) == pytest.approx((0.72, 0.36) if run < 0.0001 else (gx / run, gy / run))
+        if dx is None or dy is None:
+            assert got[r, c].ny is None and got[r, c].nx is None
+        else:
+            length = (dx * dx + dy * dy + 2.8 ** 2) ** 0.5
+            assert (got[r, c].nx, got[r, c].ny, got[r, c].nz) == pytest.approx((dx / length, 2.8 / length, dy / length))
+    flags = J.neighbor_any(cells, {"high": F.col("v") > 50, "void": F.col("v").isNull()}, block).collect()
+    around = lambda r, c: [rows[r + i, c + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (r + i, c + j) in rows]
+    assert len(flags) == len(rows)
+    for f in flags:
+        near = around(f.row, f.col)
+        assert f.high == any(x is not None and x > 50 for x in near) and f.void == (None in near)

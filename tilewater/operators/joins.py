@@ -7,13 +7,16 @@ splits hot cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewater.functions import addressing as A
 from tilewater.functions.geodesy import haversine_km_atan
+from tilewater.operators import drainage as D
 from tilewater.operators.ordered import Ordered
-from tilewater.session import cut
+from tilewater.session import cut, written
 
 C = F.col
 
@@ -300,21 +303,27 @@ def select_flowlines(lines: DataFrame, min_order: int) -> DataFrame:
         .withColumn("label", F.coalesce("name", "ftype", F.lit("Mapped drainage")))
 
 
-def neighbor_any(cells: DataFrame, masks: dict[str, Column]) -> DataFrame:
-    """For each mask: is it set in any of the 8 neighbours? Outside the grid counts as not set.
+def neighbor_any(cells: DataFrame, masks: dict[str, Column], block: int = 256) -> DataFrame:
+    """For each mask: is it set in any of the 8 neighbours? Outside the grid counts as not set. (row, col) is unique.
 
-    Only cells with some mask set are fanned out, and the flags of all masks travel in one shuffle.
+    All masks travel as bits of one layer in blocks, which send only their border cells to each other; no cell is fanned out.
     """
-    d = F.sequence(F.lit(-1), F.lit(1))
-    flags = cells.select("row", "col", *[F.coalesce(m, F.lit(False)).alias(n) for n, m in masks.items()])
-    some = None
-    for n in masks:
-        some = C(n) if some is None else some | C(n)
-    halo = flags.where(some).withColumn("_dr", F.explode(d)).withColumn("_dc", F.explode(d)).where("_dr <> 0 OR _dc <> 0") \
-        .groupBy((C("row") + C("_dr")).alias("row"), (C("col") + C("_dc")).alias("col")) \
-        .agg(*[F.bool_or(n).alias(n) for n in masks])
-    j = cells.join(halo, ["row", "col"], "left")
-    return j.withColumns({n: F.coalesce(n, F.lit(False)) for n in masks})
+    bits = F.lit(0)
+    for i, m in enumerate(masks.values()):
+        bits = bits + F.when(m, 1 << i).otherwise(0)
+    names = list(masks)
+
+    def near(b: pd.Series) -> dict[str, bytes]:
+        z = np.nan_to_num(D._padded(b, "_bits", block, 0.0)).astype(np.int64)
+        found = np.zeros((block, block), dtype=np.int64)
+        for dr, dc in D.STEPS.values():
+            found |= z[1 + dr:block + 1 + dr, 1 + dc:block + 1 + dc]
+        return {n: ((found >> i) & 1).astype(bool).tobytes() for i, n in enumerate(names)}
+
+    packed = D.to_blocks(cells.select("row", "col", bits.cast("double").alias("_bits")), block, {"_bits": "real"})
+    flagged = D._add(D._with_ring(written(packed), block, "_bits"), near, names)
+    found = D.to_cells(flagged, block, {"_bits": "real", **{n: "flag" for n in names}}, where="_bits").drop("_bits")
+    return cells.join(found, ["row", "col"])
 
 
 def tile_edge_alignment(cells: DataFrame, last_col: int, tolerance: int = 5) -> DataFrame:

@@ -1,43 +1,9 @@
-"""The eight neighbours of every raster cell with two sorts instead of a nine-fold shuffle."""
+"""The eight neighbours of a raster cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-C = F.col
-
 #: neighbour -> (row step, column step, distance, direction code)
 NEIGHBORS = {
     "n_e": (0, 1, 1.0, 1), "n_se": (1, 1, 2.0 ** 0.5, 2), "n_s": (1, 0, 1.0, 4), "n_sw": (1, -1, 2.0 ** 0.5, 8),
     "n_w": (0, -1, 1.0, 16), "n_nw": (-1, -1, 2.0 ** 0.5, 32), "n_n": (-1, 0, 1.0, 64), "n_ne": (-1, 1, 2.0 ** 0.5, 128),
 }
-
-
-def with_neighbors(cells: DataFrame, value: str, keys: list[str] | None = None, sides: bool = False) -> DataFrame:
-    """Add n_e .. n_ne: the neighbours' values, NULL for NODATA and outside the grid.
-
-    `sides` also adds has_w, has_e, has_n, has_s: is there a cell at all on that side?
-    The grid must be dense (NODATA as NULL values, not as missing rows). Left and right come from a window along the
-    row; the same three values of the rows above and below come from a window along the column. A window
-    group is one raster row or column, so its size is bounded by the raster's width or height.
-    """
-    keys = list(keys or [])
-    along_row = Window.partitionBy(*keys, "row").orderBy("col")
-    along_col = Window.partitionBy(*keys, "col").orderBy("row")
-
-    def step(fn, index: str, by: int, what: str, w) -> Column:
-        return F.when(fn(index).over(w) == C(index) + by, fn(what).over(w))
-
-    out = cells.withColumns({"n_w": step(F.lag, "col", -1, value, along_row), "n_e": step(F.lead, "col", 1, value, along_row)})
-    extra = {}
-    if sides:
-        out = out.withColumns({"has_w": F.coalesce(F.lag("col").over(along_row) == C("col") - 1, F.lit(False)),
-                               "has_e": F.coalesce(F.lead("col").over(along_row) == C("col") + 1, F.lit(False))})
-        extra = {"has_n": F.coalesce(F.lag("row").over(along_col) == C("row") - 1, F.lit(False)),
-                 "has_s": F.coalesce(F.lead("row").over(along_col) == C("row") + 1, F.lit(False))}
-    vertical = {}
-    for tag, fn, by in (("n", F.lag, -1), ("s", F.lead, 1)):
-        for name, source in ((f"n_{tag}w", "n_w"), (f"n_{tag}", value), (f"n_{tag}e", "n_e")):
-            vertical[name] = step(fn, "row", by, source, along_col)
-    return out.withColumns({**vertical, **extra})

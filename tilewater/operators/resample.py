@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewater.operators.neighborhood import with_neighbors
+from tilewater.operators import drainage as D
+from tilewater.session import written
 
 C = F.col
 
@@ -79,22 +82,33 @@ def relief_height(elevation: Column, low: Column, span: Column, exaggeration: fl
     return (t - 0.42) * 0.58 * exaggeration
 
 
-def surface_gradient(cells: DataFrame, flat: float) -> DataFrame:
-    """Unit normal (nx, ny, nz) and downhill direction (fx, fy) from the four neighbours.
+_VOID = float(np.finfo(np.float64).max)  # stands for NODATA inside blocks, where NaN is a cell that does not exist
 
-    A side outside the grid takes the cell's own height; a NODATA side adds nothing to the downhill direction.
+
+def surface_gradient(cells: DataFrame, flat: float, block: int = 256) -> DataFrame:
+    """Unit normal (nx, ny, nz) and downhill direction (fx, fy) from the four neighbours, for every cell (row, col, v).
+
+    A side outside the grid takes the cell's own height; a NODATA side (NULL or NaN) adds nothing to the downhill direction and leaves no normal.
+    Cells travel as blocks, which send only their border cells to each other.
     """
-    n = with_neighbors(cells.select("row", "col", "v"), "v", sides=True)
-    side = lambda d: F.when(C(f"has_{d}"), C(f"n_{d}")).otherwise(C("v"))
-    j = n.select("row", "col", side("w").alias("l"), side("e").alias("r"), side("n").alias("u"), side("s").alias("d"))
-    j = j.withColumn("_gx", F.coalesce(C("l") - C("r"), F.lit(0.0))).withColumn("_gy", F.coalesce(C("u") - C("d"), F.lit(0.0))) \
-        .withColumn("_len3", F.sqrt((C("l") - C("r")) ** 2 + F.lit(flat) ** 2 + (C("u") - C("d")) ** 2)) \
-        .withColumn("_len2", F.sqrt(C("_gx") ** 2 + C("_gy") ** 2))
-    still = C("_len2") < 0.0001
-    return j.select("row", "col", ((C("l") - C("r")) / C("_len3")).alias("nx"), (F.lit(flat) / C("_len3")).alias("ny"),
-                    ((C("u") - C("d")) / C("_len3")).alias("nz"),
-                    F.when(still, 0.72).otherwise(C("_gx") / C("_len2")).alias("fx"),
-                    F.when(still, 0.36).otherwise(C("_gy") / C("_len2")).alias("fy"))
+    height = C("v").cast("double")
+    coded = cells.select("row", "col", F.when(height.isNull() | F.isnan(height), _VOID).otherwise(height).alias("v"))
+    new = ["nx", "ny", "nz", "fx", "fy"]
+
+    def slopes(b: pd.Series) -> dict[str, bytes]:
+        z = D._padded(b, "v", block, np.nan)
+        known = np.where(z == _VOID, np.nan, z)
+        part = lambda a, dr, dc: a[1 + dr:block + 1 + dr, 1 + dc:block + 1 + dc]
+        side = lambda dr, dc: np.where(np.isnan(part(z, dr, dc)), part(known, 0, 0), part(known, dr, dc))
+        dx, dy = side(0, -1) - side(0, 1), side(-1, 0) - side(1, 0)
+        gx, gy = np.nan_to_num(dx), np.nan_to_num(dy)
+        length, run = np.sqrt(dx ** 2 + flat ** 2 + dy ** 2), np.sqrt(gx ** 2 + gy ** 2)
+        still = run < 0.0001
+        down = lambda g, rest: np.where(still, rest, g / np.where(still, 1.0, run))
+        return {n: a.astype("<f8").tobytes() for n, a in zip(new, (dx / length, flat / length, dy / length, down(gx, 0.72), down(gy, 0.36)))}
+
+    b = D._with_ring(written(D.to_blocks(coded, block, {"v": "real"})), block, "v")
+    return D.to_cells(D._add(b, slopes, new), block, {"v": "real", **{n: "real" for n in new}}, where="v").drop("v")
 
 
 def banded_blocks(cells: DataFrame, band_rows: int, overlap: int) -> DataFrame:
