@@ -40,7 +40,14 @@ def test_hgt_folder(spark, folder):
     a = np.arange(9, dtype=">i2").reshape(3, 3).copy()
     a[0, 0] = -32768
     (folder / "N33W080.hgt.gz").write_bytes(gzip.compress(a.tobytes()))
-    r = T.read_hgt(spark, str(folder), side=3).first()
+    (folder / "N34W080.hgt.gz").write_bytes(b"broken")
+    got = {r.name: r for r in T.read_hgt(spark, str(folder), side=3).collect()}
+    assert np.frombuffer(got["N33W080"].data, "<i2").tolist() == [-32768, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert (got["N33W080"].ok, got["N34W080"].ok, got["N34W080"].data) == (True, False, None)
+    cells = T.raster_cells(T.read_hgt(spark, str(folder), side=3), ["name"], 3).collect()
+    assert len(cells) == 9 and {(r.row, r.col, r.v) for r in cells} >= {(0, 0, None), (0, 1, 1), (2, 2, 8)}
+    assert T.raster_cells(T.read_hgt(spark, str(folder), side=3), ["name"], 3, nodata=False).count() == 8
+    r = T.read_hgt(spark, str(folder), side=3, as_bytes=False).where("ok").first()
     assert r["values"][:3] == [None, 1, 2] and r.left == pytest.approx(-80 - 1 / 7200) and r.top == pytest.approx(34 + 1 / 7200)
 
 
@@ -52,9 +59,13 @@ def test_tile_dir_prefers_raw(spark, folder):
     (d / "176.u16.gz").write_bytes(gzip.compress(other.tobytes()))
     (d / "177.u16.gz").write_bytes(gzip.compress(other.tobytes()))
     (d / "178.u16").write_bytes(b"short")
+    (d / "179.u16.gz").write_bytes(gzip.compress(other.tobytes())[:-9])
+    (d / "180.u16").write_bytes(b"\xff" * 8)
     (d / "notes.txt").write_text("x")
     got = {r.y: (r.variant, r["values"]) for r in T.read_tile_dir(spark, str(folder), size=4).collect()}
-    assert got == {176: ("u16", [0, 1, 2, 3]), 177: ("u16.gz", [9, 9, 9, None]), 178: ("u16", None)}
+    assert got == {176: ("u16", [0, 1, 2, 3]), 177: ("u16.gz", [9, 9, 9, None]), 178: ("u16", None), 179: ("u16.gz", None), 180: ("u16", [None] * 4)}
+    status = {r.y: r.status for r in T.read_tile_dir(spark, str(folder), size=4).collect()}
+    assert status == {176: "ok", 177: "ok", 178: "corrupt", 179: "corrupt", 180: "ok"}
 
 
 def test_batch_bytes(spark):
@@ -86,6 +97,23 @@ def test_sink_skips_existing(spark, folder):
     assert sorted((x.y, x.data_status) for x in r.collect()) == [(1, "ok"), (2, "source-nodata")]
 
 
+def test_sink_reads_only_the_folders_named(spark, folder):
+    """Another version and another zoom are not listed for the comparison, and tiles of them are not taken for held."""
+    make = lambda v, z: spark.range(40).select(F.lit("hand").alias("layer"), F.lit(v).alias("dataset_version"), F.lit(z).alias("z"), F.col("id").cast("int").alias("x"),
+                                               F.lit(1).alias("y"), F.lit(b"ab").alias("content"), F.lit(False).alias("empty"))
+    path = str(folder / "out")
+    assert T.held_tiles(spark, path) is None
+    T.sink_tiles(make("v1", 9).unionByName(make("v1", 10)), path)
+    within = (F.col("layer") == "hand") & (F.col("dataset_version") == "v2") & (F.col("z") == 9)
+    T.sink_tiles(make("v2", 9), path, within=within)
+    T.sink_tiles(make("v2", 9), path, within=within)
+    assert T.held_tiles(spark, path).count() == 120 and T.held_tiles(spark, path, within).count() == 40
+    plan = T.held_tiles(spark, path, within)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(layer" in plan and "content" not in plan
+    files = [p for p in (folder / "out").rglob("*.parquet")]
+    assert len(files) == 3  # forty small tiles of a zoom are one file
+
+
 def test_archives_on_disk(spark, folder):
     with zipfile.ZipFile(folder / "010700.zip", "w") as z:
         z.writestr("010700/010700.tif", b"elev")

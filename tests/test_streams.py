@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tilewater.operators import windows as W
 from tilewater.streaming import operators as O
 
 
@@ -66,3 +67,41 @@ def test_plan_of_many_batches(spark, tmp_path):
     carried = [spark.read.parquet(f"{tmp_path}/root/carry/{i}").count() for i in range(7)]
     assert max(carried[2:]) < 14 and spark.read.parquet(f"{tmp_path}/root/inventory").select("_bucket").distinct().count() > 25
     assert spark.read.parquet(f"{tmp_path}/root/aside").count() > 0
+
+
+def _chain(rows, ttl):
+    """What a cache of `ttl` lets through, by its definition: key -> times of the entries."""
+    kept = {}
+    for key, us, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        mine = kept.setdefault(key, [])
+        if not mine or us - mine[-1] > ttl:
+            mine.append(us)
+    return kept
+
+
+def test_ttl_dedupe_is_what_a_cache_does(spark):
+    """A busy key whose gaps never reach the time to live, a sparse one, ties, null keys and rows without a time."""
+    rnd = random.Random(5)
+    rows = [("busy", i * 7 + rnd.randrange(7), i) for i in range(900)] + [("sparse", i * 1000, i) for i in range(20)]
+    rows += [(None, rnd.randrange(3000), i) for i in range(200)] + [("edge", 0, 1), ("edge", 100, 2), ("edge", 101, 3), ("edge", 101, 0), ("edge", 202, 4)]
+    rows += [("busy", None, -1), (None, None, -2)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, us long, id long").repartition(5)
+    got = W.ttl_first(df, ["k"], "us", 100, ["id"]).collect()
+    want = {(k, us, min(i for q, t, i in rows if (q, t) == (k, us))) for k, times in _chain(rows, 100).items() for us in times}
+    assert {tuple(r) for r in got} == want | {("busy", None, -1), (None, None, -2)} and len(got) == len(want) + 2
+    assert sorted(r.us for r in got if r.k == "edge") == [0, 101, 202]
+    assert W.ttl_first(df.limit(0), ["k"], "us", 100, ["id"]).isEmpty()
+
+
+def test_ttl_dedupe_goes_on_after_a_stop(spark, tmp_path):
+    run = lambda s, root: O.run_ttl_dedupe(s.select("user_id", "us", "event_id"), ["user_id"], "us", 5_000_000, ["event_id"], root=root)
+    parts, whole = _twice(spark, str(tmp_path), run)
+    assert parts == whole and 5 < len(parts) < 120
+    assert sorted(r.us for r in parts if r.user_id == 0) == _chain([(0, i * 400_000, i) for i in range(0, 120, 5)], 5_000_000)[0]
+
+
+def test_ttl_entries_are_forgotten(spark, tmp_path):
+    run = lambda s, root: O.run_ttl_dedupe(s.select(F.col("event_id").alias("k"), "us"), ["k"], "us", 1_000_000, ["k"], late_us=0, root=root)
+    _twice(spark, str(tmp_path), run)
+    assert spark.read.parquet(f"{tmp_path}/fresh/carry/0").count() < 6

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -58,17 +60,13 @@ def _(t):
     SELECT vec_id, row, col, v, round(vec_id % 50 - 1 / 7200e0, 9) AS bottom, round(-60 - vec_id % 40 + 1 + 1 / 7200e0, 9) AS east FROM fx_tile_cells""")
 def _(t):
     @F.pandas_udf("binary")
-    def as_hgt(values: pd.Series) -> pd.Series:
-        import gzip
-
-        import numpy as np
-
-        return pd.Series([gzip.compress(np.array([-32768 if v is None or v != v else v for v in a], dtype=">i2").tobytes()) for a in values])
+    def as_hgt(values: pd.Series) -> pd.Series:  # big-endian copies of little-endian rasters
+        return pd.Series([gzip.compress(np.frombuffer(b, dtype="<i2").astype(">i2").tobytes()) for b in values])
 
     k = C("vec_id")
-    files = _rasters(t).select("vec_id", (k % 50).cast("int").alias("lat"), (F.lit(-60) - k % 40).cast("int").alias("lon"), as_hgt("values").alias("content"))
+    files = _rasters(t).select("vec_id", (k % 50).cast("int").alias("lat"), (F.lit(-60) - k % 40).cast("int").alias("lon"), as_hgt(T.pack_i16(C("values"))).alias("content"))
     d = T.decode_hgt(files, ["vec_id"], side=8)
-    return _cells(d, ["vec_id", "bottom", "right"]).select("vec_id", "row", "col", "v", F.round("bottom", 9).alias("bottom"), F.round("right", 9).alias("east"))
+    return T.raster_cells(d, ["vec_id", "bottom", "right"], 8).select("vec_id", "row", "col", "v", F.round("bottom", 9).alias("bottom"), F.round("right", 9).alias("east"))
 
 
 _U16 = "cast(65535 AS integer)"
@@ -93,6 +91,22 @@ def _(t):
     return _cells(T.decode_u16(files.join(best, "path"), ["z", "x", "y", "variant"], size=64), ["z", "x", "y", "variant"])
 
 
+@query("scan_tile_dir_status", "", """
+    SELECT CASE WHEN vec_id % 5 = 1 THEN 'u16.gz' ELSE 'u16' END AS variant, CASE WHEN vec_id % 5 IN (1, 2) THEN 'corrupt' ELSE 'ok' END AS status, count(*) AS tiles,
+           cast(count(*) FILTER (vec_id % 5 = 3) AS bigint) AS blank FROM embeddings GROUP BY ALL""")
+def _(t):
+    # of five tiles one is broken gzip, one cut short and one whole but without data
+    k = C("vec_id")
+    values = F.when(k % 5 == 3, F.transform("values", lambda v: F.lit(None).cast("int"))).otherwise(C("values"))
+    enc = T.encode_u16(_u16(t).withColumn("values", values), ["vec_id"])
+    body = F.when(k % 5 == 1, F.lit("no gzip").cast("binary")).when(k % 5 == 2, F.substring("content", 1, 100)).otherwise(C("content"))
+    name = F.concat(F.lit("/tiles/9/"), k.cast("string"), F.lit("/1.u16"), F.when(k % 5 == 1, ".gz").otherwise(""))
+    files = enc.select(name.alias("path"), body.alias("content"))
+    d = T.decode_u16(files.join(T.best_variants(files.select("path")), "path"), ["variant"], size=64)
+    blank = F.coalesce(F.forall("values", lambda v: v.isNull()), F.lit(False))
+    return d.groupBy("variant", "status").agg(F.count("*").alias("tiles"), F.count_if(blank).alias("blank"))
+
+
 @query("pack_tile_batch", "", """
     SELECT cast(floor(vec_id / 20) AS bigint) AS batch, cast(count(*) AS integer) AS tiles, cast(7 + count(*) * (9 + 128) AS integer) AS bytes FROM embeddings GROUP BY 1""")
 def _(t):

@@ -17,13 +17,13 @@ def build_pyramid(boxes: DataFrame, sources: DataFrame, zmin: int, zmax: int, pa
     """Cover -> drop tiles the target holds -> mosaic -> encode -> write. Running it again writes only what is missing."""
     key = ["z", "x", "y"]
     wanted = bbox_tile_cover(boxes, zmin, zmax).select(*key).distinct()
-    spark = wanted.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        have = spark.read.parquet(path).where((C("layer") == layer) & (C("dataset_version") == version)).select(*key)
-        wanted = wanted.join(have, key, "left_anti")
+    within = (C("layer") == layer) & (C("dataset_version") == version) & C("z").between(zmin, zmax)
+    held = T.held_tiles(wanted.sparkSession, path, within)
+    if held is not None:
+        wanted = wanted.join(held.select(*key), key, "left_anti")
     packed = mosaic.mosaic_tiles(wanted, sources, size, order).select(*key, T.codes_of_heights(C("data")).alias("content"))
-    T.sink_tiles(packed.withColumn("layer", F.lit(layer)).withColumn("dataset_version", F.lit(version)).withColumn("empty", F.lit(False)), path)
+    named = packed.withColumns({"layer": F.lit(layer), "dataset_version": F.lit(version), "empty": F.lit(False)})
+    T.sink_tiles(named, path, within=within)
 
 
 def render_regions(pixels: DataFrame, regions: DataFrame, source_cells: DataFrame) -> DataFrame:

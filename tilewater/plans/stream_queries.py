@@ -81,13 +81,30 @@ def _(t):
     r = _stream(t).read("events").select(
         "event_id", "user_id", W.micros("ts").alias("us"), (F.lit(10) + C("user_id") % 3).cast("int").alias("z"),
         (F.lit(400) + e * 7 % 5).cast("int").alias("x"), (F.lit(300) + e % 4).cast("int").alias("y"))
-    return O.run_pan_prediction(r, "user_id", ["us", "event_id"]).select("event_id", "z", "next_x", "next_y")
+    return O.run_pan_prediction(r, "user_id", ["us", "event_id"], ttl_us=86_400_000_000).select("event_id", "z", "next_x", "next_y")
 
 
-@query("stream_ttl_dedupe")
+@query("stream_ttl_dedupe", "", """
+    WITH RECURSIVE o AS (SELECT user_id, event_type, epoch_us(ts) AS us, min(event_id) AS event_id FROM events GROUP BY ALL),
+    n AS (SELECT user_id, event_type, us, min(us) OVER (PARTITION BY user_id, event_type ORDER BY us RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM o),
+    k AS (SELECT user_id, event_type, min(us) AS us FROM o GROUP BY ALL
+          UNION ALL SELECT n.user_id, n.event_type, n.next_us FROM k JOIN n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.us = k.us WHERE n.next_us IS NOT NULL)
+    SELECT event_id, user_id, event_type FROM k JOIN o USING (user_id, event_type, us)""")
 def _(t):
-    e = _timed(t).select("event_id", "at", "user_id", "event_type")
-    return drain_append(O.ttl_dedupe(e, ["user_id", "event_type"], "1 hour"), "dedupe").select("event_id", "user_id", "event_type")
+    e = _stream(t).read("events").select("event_id", "user_id", "event_type", W.micros("ts").alias("us"))
+    return O.run_ttl_dedupe(e, ["user_id", "event_type"], "us", 3_600_000_000, ["event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("stream_ttl_dedupe_busy", "", """
+    WITH RECURSIVE o AS (SELECT event_type, epoch_us(ts) AS us, min(event_id) AS event_id FROM events GROUP BY ALL),
+    n AS (SELECT event_type, us, min(us) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 21600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us FROM o),
+    k AS (SELECT event_type, min(us) AS us FROM o GROUP BY ALL
+          UNION ALL SELECT n.event_type, n.next_us FROM k JOIN n ON n.event_type = k.event_type AND n.us = k.us WHERE n.next_us IS NOT NULL)
+    SELECT event_id, event_type FROM k JOIN o USING (event_type, us)""")
+def _(t):
+    # few keys with long bursts: the chains are followed by doubling
+    e = _stream(t).read("events").select("event_id", "event_type", W.micros("ts").alias("us"))
+    return O.run_ttl_dedupe(e, ["event_type"], "us", 21_600_000_000, ["event_id"]).select("event_id", "event_type")
 
 
 @query("stream_progress_state", "", """

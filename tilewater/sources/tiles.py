@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,35 @@ def pack_i16(values):
     return pack(F.transform(values, lambda v: F.coalesce(v, F.lit(NODATA))))
 
 
+def unpack_i16(data):
+    """Little-endian int16 bytes -> array<int>, NODATA NULL; NULL for NULL."""
+    @F.pandas_udf("array<int>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else np.frombuffer(b, dtype="<i2").astype(np.int32) for b in blobs])
+
+    return F.transform(unpack(data), lambda v: F.when(v != NODATA, v))
+
+
+def raster_cells(rasters: DataFrame, keys: list[str], width: int, nodata: bool = True) -> DataFrame:
+    """Cells (keys, row, col, v) of rasters kept as little-endian int16 bytes in `data`; NODATA is NULL, or left out without `nodata`.
+
+    A raster becomes columns at once; a batch in flight holds the cells of one raster.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blob = batch.column("data")[i].as_py()
+                v = np.frombuffer(blob or b"", dtype="<i2").astype(np.int32)
+                at = np.arange(len(v)) if nodata else np.flatnonzero(v != NODATA)
+                same = [pa.array([batch.column(k)[i].as_py()], batch.column(k).type).take(pa.array(np.zeros(len(at), np.int64))) for k in keys]
+                cells = [(at // width).astype(np.int32), (at % width).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*same, *map(pa.array, cells), pa.array(v[at], mask=v[at] == NODATA)], names=[*keys, "row", "col", "v"])
+
+    types = dict(rasters.dtypes)
+    schema = "".join(f"`{k}` {types[k]}, " for k in keys) + "row int, col int, v int"
+    return rasters.select(*keys, "data").mapInArrow(run, schema)
+
+
 def codes_of_heights(data):
     """Little-endian int16 metres -> little-endian uint16 elevation codes (form v1 of `values.encode_elevation`), 65535 where none is."""
     @F.pandas_udf("binary")
@@ -134,32 +164,38 @@ def compress_summary(compressed: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- big-endian height files ----------------------------------------------------------------------
 
-def decode_hgt(files: DataFrame, keep: list[str], side: int = 3601) -> DataFrame:
-    """gzip big-endian int16 `content` of a degree tile at integer (lat, lon) -> values and half-pixel aligned bounds."""
-    @F.pandas_udf("array<int>")
+def decode_hgt(files: DataFrame, keep: list[str], side: int = 3601, as_bytes: bool = True) -> DataFrame:
+    """gzip big-endian int16 `content` of a degree tile at integer (lat, lon) -> raster, half-pixel aligned bounds and `ok`.
+
+    The raster stays little-endian int16 bytes (`data`, the old sentinel folded in), as joins and blocks want it; without `as_bytes` it is
+    an array (`values`, NODATA NULL), which for a whole degree tile is 13 million elements. Broken gzip or a wrong length gives NULL and `ok` = false.
+    """
+    @F.pandas_udf("binary")
     def unpack(content: pd.Series) -> pd.Series:
         out = []
         for blob in content:
             try:
                 raw = gzip.decompress(blob)
-                out.append(np.frombuffer(raw, dtype=">i2").astype(np.int32) if len(raw) == side * side * 2 else None)
+                v = np.frombuffer(raw, dtype=">i2") if len(raw) == side * side * 2 else None
             except (OSError, EOFError, TypeError, zlib.error):
-                out.append(None)
+                v = None
+            out.append(None if v is None else np.where(v == NODATA_OLD, NODATA, v).astype("<i2").tobytes())
         return pd.Series(out)
 
     h = HALF_PIXEL_DEG
-    return files.select(
+    d = files.select(
         *keep, (C("lon") - h).alias("left"), (C("lat") - h).alias("bottom"), (C("lon") + 1 + h).alias("right"), (C("lat") + 1 + h).alias("top"),
-        F.transform(unpack("content"), lambda x: F.when(~x.isin(NODATA, NODATA_OLD), x)).alias("values"))
+        unpack("content").alias("data")).withColumn("ok", C("data").isNotNull())
+    return d if as_bytes else d.withColumn("values", unpack_i16("data")).drop("data")
 
 
-def read_hgt(spark: SparkSession, folder: str, side: int = 3601) -> DataFrame:
+def read_hgt(spark: SparkSession, folder: str, side: int = 3601, as_bytes: bool = True) -> DataFrame:
     from tilewater.functions.addressing import parse_degree_tile_id
 
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.hgt.gz").load(folder)
     name = F.regexp_extract("path", r"([^/.]+)\.hgt\.gz$", 1)
     f = f.select(name.alias("name"), "content").withColumn("_p", parse_degree_tile_id(C("name"))).select("name", "_p.lat", "_p.lon", "content")
-    return decode_hgt(f, ["name"], side)
+    return decode_hgt(f, ["name"], side, as_bytes)
 
 
 # ---- web tiles ------------------------------------------------------------------------------------
@@ -182,11 +218,19 @@ def best_variants(files: DataFrame, path: str = "path") -> DataFrame:
     return tile_address(files, path).groupBy("z", "x", "y").agg(F.min_by(F.struct(path, "variant"), "rank").alias("_b")).select("z", "x", "y", "_b.*")
 
 
+#: what became of a stored tile: read, broken (codec error or wrong length), or in a codec that the workers lack
+TILE_OK, TILE_CORRUPT, TILE_NO_CODEC = "ok", "corrupt", "no-codec"
+
+
 def decode_u16(tiles: DataFrame, keep: list[str], size: int = 65536) -> DataFrame:
-    """`content` + `variant` -> `values` (array<int>, NODATA NULL); NULL values when the length is wrong."""
-    @F.pandas_udf("array<int>")
-    def unpack(content: pd.Series, variant: pd.Series) -> pd.Series:
-        out = []
+    """`content` + `variant` -> `values` (array<int>, NODATA NULL) and `status`.
+
+    A tile that cannot be read has NULL values and a status that says why, so it is never taken for a tile of NODATA, whose values are an
+    array of NULLs.
+    """
+    @F.pandas_udf("status string, codes array<int>")
+    def unpack(content: pd.Series, variant: pd.Series) -> pd.DataFrame:
+        status, codes = [], []
         for blob, v in zip(content, variant):
             try:
                 if v == "u16.gz":
@@ -195,16 +239,23 @@ def decode_u16(tiles: DataFrame, keep: list[str], size: int = 65536) -> DataFram
                     import brotli  # optional codec
 
                     blob = brotli.decompress(blob)
-                out.append(np.frombuffer(blob, dtype="<u2").astype(np.int32) if len(blob) == size * 2 else None)
-            except (OSError, EOFError, ImportError, TypeError, zlib.error):
-                out.append(None)
-        return pd.Series(out)
+                found = np.frombuffer(blob, dtype="<u2").astype(np.int32) if len(blob) == size * 2 else None
+                status.append(TILE_CORRUPT if found is None else TILE_OK)
+            except ImportError:
+                found = None
+                status.append(TILE_NO_CODEC)
+            except (OSError, EOFError, TypeError, zlib.error):
+                found = None
+                status.append(TILE_CORRUPT)
+            codes.append(found)
+        return pd.DataFrame({"status": status, "codes": codes})
 
-    return tiles.select(*keep, F.transform(unpack("content", "variant"), lambda x: F.when(x != 65535, x)).alias("values"))
+    d = tiles.select(*keep, unpack("content", "variant").alias("_d"))
+    return d.select(*keep, F.transform("_d.codes", lambda x: F.when(x != 65535, x)).alias("values"), C("_d.status").alias("status"))
 
 
 def read_tile_dir(spark: SparkSession, folder: str, size: int = 65536) -> DataFrame:
-    """`{z}/{x}/{y}.u16[.gz|.br]` tree -> one row per tile."""
+    """`{z}/{x}/{y}.u16[.gz|.br]` tree -> one row per tile with its values and status (see `decode_u16`)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     best = best_variants(files.select("path"))
     return decode_u16(files.select("path", "content").join(best, "path"), ["z", "x", "y", "variant"], size)
@@ -220,28 +271,37 @@ def encode_u16(tiles: DataFrame, keep: list[str], compress: bool = False) -> Dat
     return tiles.select(*keep, pack(F.transform("values", lambda v: F.coalesce(v, F.lit(65535)))).alias("content"))
 
 
-#: files a zoom is written to at most
-SINK_SHARDS = 32
+def held_tiles(spark: SparkSession, path: str, within=None) -> DataFrame | None:
+    """Keys of the tiles that the target holds, or None before the first write.
+
+    `within` is a condition on layer, dataset_version and z, the folders of the target: only those that it names are listed and read, and of
+    them the two key columns.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    held = spark.read.parquet(path)
+    return (held if within is None else held.where(within)).select("layer", "dataset_version", "z", "x", "y")
 
 
-def sink_tiles(tiles: DataFrame, path: str, skip_empty: bool = True) -> None:
+def sink_tiles(tiles: DataFrame, path: str, skip_empty: bool = True, within=None) -> None:
     """Append tiles (layer, dataset_version, z, x, y, content, empty) that the target does not hold yet, with their metadata.
 
-    Tiles given twice are written once (the smallest content); files are laid out by zoom and a share of its tiles.
+    Tiles given twice are written once (the smallest content). `within` (see `held_tiles`) must cover all `tiles`; a run over some zooms of a
+    version then looks at no others. Files follow bytes: rows are rebalanced by layer, version and zoom, so adaptive execution cuts a big zoom and joins
+    small ones at spark.sql.adaptive.advisoryPartitionSizeInBytes, however many tiles there are.
     """
-    spark = tiles.sparkSession
     key = ["layer", "dataset_version", "z", "x", "y"]
     status = F.when(C("empty"), "source-nodata").otherwise("ok")
     new = tiles.withColumn("data_status", status).withColumn("raw_bytes", F.length("content")).withColumn("encoding", F.lit("identity"))
     if skip_empty:
         new = new.where(~C("empty"))
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-        new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    held = held_tiles(tiles.sparkSession, path, within)
+    if held is not None:
+        new = new.join(held, key, "left_anti")
     rest = [c for c in new.columns if c not in key]
     new = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
-    new = new.repartition("layer", "dataset_version", "z", F.pmod(F.xxhash64("x", "y"), F.lit(SINK_SHARDS)))
-    new.drop("empty").write.mode("append").partitionBy("layer", "dataset_version", "z").parquet(path)
+    new.drop("empty").hint("rebalance", "layer", "dataset_version", "z").write.mode("append").partitionBy("layer", "dataset_version", "z").parquet(path)
 
 
 # ---- tile batches ---------------------------------------------------------------------------------

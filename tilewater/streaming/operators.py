@@ -38,11 +38,6 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", delay: str =
         .select(key, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events")
 
 
-def ttl_dedupe(events: DataFrame, keys: list[str], ttl: str) -> DataFrame:
-    """Drop repeats of a key inside the time to live."""
-    return events.withWatermark("at", ttl).dropDuplicatesWithinWatermark(keys)
-
-
 def request_rate(events: DataFrame, key: str, width: str = "1 second", slide: str = "100 milliseconds", delay: str = "10 seconds") -> DataFrame:
     """Requests per key in overlapping windows; pre-aggregated before the shuffle, so a busy client costs one row per task and window."""
     return events.withWatermark("at", delay).groupBy(F.window("at", width, slide).alias("w"), key).agg(F.count("*").alias("requests")) \
@@ -122,6 +117,32 @@ def run_rate_log(requests: DataFrame, key: str, us: str, limit: int, window_us:
     return requests.sparkSession.read.parquet(f"{root}/out").drop("part")
 
 
+def run_ttl_dedupe(events: DataFrame, keys: list[str], us: str, ttl_us: int, order: list[str], late_us: int | None = None, root: str | None = None,
+                   **trigger) -> DataFrame:
+    """Drop repeats of a key inside the time to live of the last event kept, by event time (`windows.ttl_first` on each batch).
+
+    The last kept time of each key is carried; rows of a later batch at or before its end are repeats. An entry is forgotten when it
+    ended more than `late_us` (one time to live if not given) before the newest event, so rows later than that may be kept again. With `root` a later call
+    goes on where this one stopped.
+    """
+    columns, key = events.columns, F.to_json(F.struct(*keys))
+    keep_us = ttl_us + (ttl_us if late_us is None else late_us) + 1
+
+    def write(df: DataFrame, i: int, root: str) -> None:
+        rows = df.select(*columns, key.alias("_k"))
+        old = _carried(rows.select("_k", C(us).cast("long").alias("_last")), root, i)
+        fresh = rows.join(old, "_k", "left").where(C("_last").isNull() | C(us).isNull() | (C(us) > C("_last") + ttl_us))
+        path = f"{root}/out/part={i}"
+        W.ttl_first(fresh.select(*columns), keys, us, ttl_us, order).write.mode("overwrite").parquet(path)
+        kept = df.sparkSession.read.schema(df.schema).parquet(path).where(C(us).isNotNull()).select(key.alias("_k"), C(us).cast("long").alias("_last"))
+        last = old.unionByName(kept).groupBy("_k").agg(F.max("_last").alias("_last"))
+        newest = df.select(C(us).cast("long").alias("_last")).unionByName(old.select("_last")).agg((F.max("_last") - keep_us).alias("_edge"))
+        with_row(last, newest).where(C("_last") > C("_edge")).drop("_edge").write.mode("overwrite").parquet(f"{root}/carry/{i}")
+
+    root = drain_batches(events, "dedupe", write, root=root, **trigger)
+    return events.sparkSession.read.schema(events.schema).parquet(f"{root}/out").select(*columns)
+
+
 _NO_TIME = -(1 << 62)  # age bucket of rows without a time: older than all others
 
 
