@@ -84,6 +84,7 @@ def test_permutation_is_one(size):
     v = np.arange(size)
     out = mixing.permuted(v, np.full(size, size), np.full(size, 5))
     assert sorted(out) == list(range(size))
+    assert (mixing.permuted(out, np.full(size, size), np.full(size, 5), back=True) == v).all()
     if size > 16:
         assert (out != v).any() and (mixing.permuted(v, np.full(size, size), np.full(size, 6)) != out).any()
 
@@ -95,6 +96,36 @@ def test_draws_use_up_every_slot():
         assert sum(c for _, c in mine) == n and all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:], strict=False))
 
 
+def test_draws_of_a_task_are_those_of_all(spark):
+    slots = [300, 0, 7, 4000, 1, 2693]
+    whole = mixing.draw(slots, shard_slots=64)
+    assert [r for a in range(0, 110, 10) for r in mixing.draw(slots, 64, low=a, high=a + 10)] == whole
+    assert sorted(tuple(r) for r in mixing.drawn(spark, slots, 64).collect()) == sorted(whole)
+    filled = {}
+    for shard, _, _, count, place in whole:
+        assert place == filled.get(shard, 0)
+        filled[shard] = place + count
+    assert [filled[i] for i in range(len(filled))] == [64] * 109 + [25]
+    huge = mixing.draw([40_000_000_000, 3, 25_000_000_000], low=9_000_000, high=9_000_002)
+    assert {r[0] for r in huge} == {9_000_000, 9_000_001} and sum(r[3] for r in huge) == 2 * mixing.SHARD_SLOTS
+    share = [sum(c for s, k, _, c, _ in whole if k == 3 and s < 55), sum(c for s, k, _, c, _ in whole if k == 3 and s >= 55)]
+    assert min(share) > 1800  # both halves hold about half of a source
+
+
+@pytest.mark.parametrize("size", [1, 2, 255, 256, 257, 700, 5000])
+def test_slots_hold_the_target_to_the_word(size):
+    for words in {0, 1, size // 3, size - 1, size, size + 1, 2 * size + size // 2, 3 * size}:
+        blocks, slots, last = mixing.quota(size, words, 4)
+        s = np.arange(slots)
+        block = mixing.permuted(s % blocks, np.full(slots, blocks), np.full(slots, 4 + mixing.BLOCK_KEY))
+        length = np.where(block == blocks - 1, size - (blocks - 1) * mixing.BLOCK, mixing.BLOCK)
+        if slots:
+            assert 0 < last <= length[-1]
+            length[-1] = last
+        assert length.sum() == words
+    assert mixing.quota(0, 0.0, 1) == (0, 0, 0)
+
+
 def test_mixture_and_its_digest_agree(spark):
     docs = documents(spark, [(i, prose(i, 5 + 40 * (i % 9)), None, "abcd"[i % 4]) for i in range(120)] + [(500, None, None, None), (501, "one", None, None)])
     rows = mixing.digest(docs).collect()
@@ -104,7 +135,7 @@ def test_mixture_and_its_digest_agree(spark):
     for r in rows:
         assert 0 <= r.taken <= 3 * r.size
         by.setdefault((source[r.doc_id], r.target), []).append(r.taken)
-    assert len(by) == 5 and all(abs(t - sum(got)) <= 0.03 * t for (_, t), got in by.items())
+    assert len(by) == 5 and all(abs(t - sum(got)) <= 0.5 for (_, t), got in by.items())
     blocks = mixing.mixture(docs).collect()
     assert sum(b.n_words for b in blocks) == sum(r.taken for r in rows)
     assert all(len(b.text.split(" ")) == b.n_words <= mixing.BLOCK for b in blocks)

@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-The words of each source, documents in a fixed order, are packed into blocks of BLOCK words (fewer for a source whose target is under
-STEPS blocks, so that its target is met as closely). Output shards draw multinomial source counts from
-what is left of each source's slots, so all shards together give each source its target to half a block. Slot s of a source stands for block
-permutation(s mod blocks), a keyed pseudorandom permutation of the source's block numbers, and slots meet blocks in one join on
-(source, block). Nothing but one row a source and one row a (shard, source) is ever on the driver.
+The words of each source, documents in a fixed order, are packed into blocks of BLOCK words. A source takes as many slots as its target has
+blocks, and its last slot is cut short, so that the words taken are its target to the word. Slot s of a source stands for block
+permutation(s mod blocks), a keyed pseudorandom permutation of the source's block numbers, and slots meet blocks in one join on (source, block).
+
+Output shards of SHARD_SLOTS slots draw multinomial source counts from what is left of each source's slots. The range of shards is halved
+again and again: the left half draws its counts, the right half keeps the rest, with a generator seeded by the range. So a task finds the counts of its
+own shards in a logarithmic number of draws, without any other, and the driver holds one row a source and nothing of the shards.
 
 Defined results: null texts and texts without words have size 0 and are taken 0 times; a null source is a source, the last one; rows
 are kept one to one; repeated rows are separate documents of equal size; reruns give equal rows for equal input.
@@ -12,9 +14,11 @@ are kept one to one; repeated rows are separate documents of equal size; reruns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -22,12 +26,15 @@ from pyspark.sql import Window as W
 from tilewater.llm.common import BLANK_WORD, KEY, keyed, left_by_key
 from tilewater.session import cut
 
-BLOCK, STEPS, SEED = 256, 50, 20
+BLOCK, SEED = 256, 20
 WEIGHTS, LIMIT = (5, 2, 1), 3
-#: a shard has at least so many blocks, more if there would be more shards than MAX_SHARDS
-SHARD_SLOTS, MAX_SHARDS = 4096, 10_000
+SHARD_SLOTS = 4096
+#: shards whose counts are in memory at once
+SHARDS_AT_ONCE = 64
 #: documents to one stretch of the running sum
 STRETCH = 20_000
+#: keys of the block permutations start here, those of places in shards at 0
+BLOCK_KEY = 1 << 20
 BLANK_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -51,40 +58,95 @@ def targets(sizes: list[int], weights=WEIGHTS, limit: int = LIMIT) -> list[float
     return out
 
 
-def draw(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int, int]]:
-    """shard, source, first slot of the source, count, place in the shard: multinomial draws that use up every source's slots."""
-    rng, left, used = np.random.default_rng(seed), np.array(slots, np.int64), np.zeros(len(slots), np.int64)
-    size = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
-    out, shard = [], 0
-    while left.sum():
-        want, got = min(size, int(left.sum())), np.zeros(len(slots), np.int64)
-        while want:
-            room = left - got
-            more = np.minimum(rng.multinomial(want, room / room.sum()), room)
-            got += more
-            want -= int(more.sum())
-        at = 0
-        for k in np.flatnonzero(got):
-            out.append((shard, int(k), int(used[k]), int(got[k]), at))
-            at += int(got[k])
-        used += got
-        left -= got
-        shard += 1
+def _some(rng: np.random.Generator, left: np.ndarray, want: int) -> np.ndarray:
+    """`want` slots by multinomial draws in proportion to what is left, none beyond it."""
+    got = np.zeros(len(left), np.int64)
+    while want:
+        room = left - got
+        more = np.minimum(rng.multinomial(want, room / room.sum()), room)
+        got += more
+        want -= int(more.sum())
+    return got
+
+
+def draw(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED, low: int = 0, high: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """shard, source, first slot of the source, count, place in the shard for the shards from `low` to before `high` (all of them).
+
+    The counts of all shards together use up every source's slots; those of a shard do not depend on `low` and `high`.
+    """
+    total = sum(slots)
+    shards = -(-total // shard_slots)
+    high = shards if high is None else high
+    out: list[tuple[int, int, int, int, int]] = []
+
+    def halve(a: int, b: int, ks: np.ndarray, left: np.ndarray, used: np.ndarray) -> None:
+        if a >= high or b <= low:
+            return
+        some = left > 0
+        ks, left, used = ks[some], left[some], used[some]
+        if b - a == 1:
+            places = np.cumsum(left) - left
+            out.extend((a, int(k), int(u), int(n), int(p)) for k, u, n, p in zip(ks, used, left, places, strict=True))
+            return
+        mid = (a + b) // 2
+        mine = _some(np.random.default_rng([seed, a, b]), left, min(mid * shard_slots, total) - a * shard_slots)
+        halve(a, mid, ks, mine, used)
+        halve(mid, b, ks, left - mine, used + mine)
+
+    if shards:
+        halve(0, shards, np.arange(len(slots)), np.array(slots, np.int64), np.zeros(len(slots), np.int64))
     return out
 
 
-def permuted(value: np.ndarray, size: np.ndarray, key: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """value's place under a keyed permutation of range(size): Feistel rounds, walked on until the place is inside."""
+def drawn(spark: SparkSession, slots: list[int], shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """`draw` for all shards as rows, each task for its own."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            for i in range(0, len(ids), SHARDS_AT_ONCE):
+                part = ids[i : i + SHARDS_AT_ONCE]  # consecutive: they come from a range
+                yield pd.DataFrame(draw(slots, shard_slots, SEED, int(part[0]), int(part[-1]) + 1), columns=["shard", "k", "first", "count", "place"])
+
+    return spark.range(-(-sum(slots) // shard_slots)).mapInPandas(run, "shard long, k int, first long, count long, place long")
+
+
+def quota(size: int, target: float, k: int, block: int = BLOCK) -> tuple[int, int, int]:
+    """blocks of the source, slots it takes, and words of the last slot, so that all slots hold the target (to the word, at most LIMIT times the size)."""
+    if not size:
+        return 0, 0, 0
+    words, blocks = min(int(target + 0.5), LIMIT * size), -(-size // block)
+    short = size - (blocks - 1) * block  # words of the last block
+    one = lambda x: np.array([x], np.int64)
+    turn = int(permuted(one(blocks - 1), one(blocks), one(k + BLOCK_KEY), back=True)[0])  # the slot of an epoch in which it stands
+    epochs, rest = divmod(words, size)
+    if not rest:
+        return blocks, epochs * blocks, short if turn == blocks - 1 else block
+    n = -(-rest // block)
+    if n > turn:
+        n = -(-(rest + block - short) // block)
+    before = (n - 1) * block - (block - short if n - 1 > turn else 0)
+    return blocks, epochs * blocks + n, rest - before
+
+
+def permuted(value: np.ndarray, size: np.ndarray, key: np.ndarray, seed: int = SEED, back: bool = False) -> np.ndarray:
+    """value's place under a keyed permutation of range(size), or `back`: Feistel rounds, walked on until the place is inside."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(2, size)) / 2)).astype(np.uint64)
     low = (np.uint64(1) << half) - np.uint64(1)
+
+    def mixed(x: np.ndarray, r: int, k: np.ndarray) -> np.ndarray:
+        f = (x + np.uint64(r * 0x9E3779B9 + seed)) * np.uint64(0xFF51AFD7ED558CCD) + k * np.uint64(0xC4CEB9FE1A85EC53)
+        f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return f ^ (f >> np.uint64(31))
+
     out, todo = value.astype(np.uint64), np.ones(len(value), bool)
     while todo.any():
         h, m, k, x = half[todo], low[todo], key[todo].astype(np.uint64), out[todo]
         a, b = x >> h, x & m
         for r in range(4):
-            f = (b + np.uint64(r * 0x9E3779B9 + seed)) * np.uint64(0xFF51AFD7ED558CCD) + k * np.uint64(0xC4CEB9FE1A85EC53)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            a, b = b, (a ^ (f >> np.uint64(31))) & m
+            if back:
+                a, b = (b ^ mixed(a, 3 - r, k)) & m, a
+            else:
+                a, b = b, (a ^ mixed(b, r, k)) & m
         out[todo] = (a << h) | b
         todo[todo] = out[todo] >= size[todo].astype(np.uint64)
     return out.astype(np.int64)
@@ -123,25 +185,25 @@ def placed(docs_k: DataFrame, rows: int) -> DataFrame:
 def mix(docs_k: DataFrame, order: list, goal: list[float], block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """shard, place, k, block, epoch, doc_id, text_hash, start, n, at: every piece of a document in every slot that takes it."""
     spark = docs_k.sparkSession
-    lengths = [max(1, min(block, int(t) // STEPS)) for t in goal]
-    blocks = [-(-r["size"] // n) for r, n in zip(order, lengths, strict=True)]
-    slots = [min(LIMIT * b, round(t * b / r["size"])) if r["size"] else 0 for r, b, t in zip(order, blocks, goal, strict=True)]
-    plan = spark.createDataFrame(draw(slots, shard_slots), "shard long, k int, first long, count long, place long")
-    shards = plan.groupBy("shard").agg(F.sum("count").alias("filled"))
-    many = spark.createDataFrame([(k, b, n) for k, (b, n) in enumerate(zip(blocks, lengths, strict=True))], "k int, blocks long, length long")
-    drawn = plan.join(shards, "shard").join(many, "k").select(
-        "shard", "k", "blocks", "first", "place", "filled", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
-    slot = drawn.select(
+    quotas = [quota(r["size"], t, k, block) for k, (r, t) in enumerate(zip(order, goal, strict=True))]
+    slots = [q[1] for q in quotas]
+    plan = drawn(spark, slots, shard_slots)
+    many = spark.createDataFrame([(k, b, n - 1, w) for k, (b, n, w) in enumerate(quotas)], "k int, blocks long, last long, last_words long")
+    filled = F.least(F.lit(shard_slots).cast("long"), F.lit(sum(slots)) - F.col("shard") * shard_slots)
+    each = plan.join(many, "k").select(
+        "shard", "k", "blocks", "first", "place", filled.alias("filled"), "last", "last_words",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
+    s = F.col("first") + F.col("i")
+    slot = each.select(
         "shard", "k", _permuted(F.col("place") + F.col("i"), F.col("filled"), F.col("shard")).alias("place"),
-        _permuted((F.col("first") + F.col("i")) % F.col("blocks"), F.col("blocks"), F.col("k") + F.lit(1 << 20)).alias("block"),
-        F.floor((F.col("first") + F.col("i")) / F.col("blocks")).cast("int").alias("epoch"))
-    end, length = F.col("begin") + F.col("size"), F.col("length")
-    pieces = placed(docs_k, sum(r["rows"] for r in order)).join(many, "k").select(
-        *KEY, "k", "begin", "length", end.alias("end"),
-        F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((end - 1) / length))).alias("block"))
-    low, high = F.greatest("begin", F.col("block") * length), F.least("end", (F.col("block") + 1) * length)
-    pieces = pieces.select(*KEY, "k", "block", (low - F.col("begin")).alias("start"), (high - low).alias("n"), (low - F.col("block") * length).alias("at"))
-    return slot.join(pieces, ["k", "block"])
+        _permuted(s % F.col("blocks"), F.col("blocks"), F.col("k") + F.lit(BLOCK_KEY)).alias("block"),
+        F.floor(s / F.col("blocks")).cast("int").alias("epoch"), F.when(s == F.col("last"), F.col("last_words")).otherwise(block).alias("room"))
+    end = F.col("begin") + F.col("size")
+    pieces = placed(docs_k, sum(r["rows"] for r in order)).select(
+        *KEY, "k", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block"))
+    low, high = F.greatest("begin", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    pieces = pieces.select(*KEY, "k", "block", (low - F.col("begin")).alias("start"), (high - low).alias("n"), (low - F.col("block") * block).alias("at"))
+    return slot.join(pieces, ["k", "block"]).where("at < room").withColumn("n", F.least("n", F.col("room") - F.col("at"))).drop("room")
 
 
 def texts(docs: DataFrame, mixed: DataFrame, names: list) -> DataFrame:
@@ -178,4 +240,4 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce((F.col("all") / F.col("copies")).cast("long"), F.lit(0)).alias("taken"))
 
 
-__all__ = ["BLANK_WORD", "digest", "draw", "measured", "mix", "mixture", "permuted", "targets", "texts"]
+__all__ = ["BLANK_WORD", "digest", "draw", "drawn", "measured", "mix", "mixture", "permuted", "quota", "targets", "texts"]
