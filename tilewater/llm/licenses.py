@@ -1,6 +1,6 @@
 """License scans by a positional index of rare words.
 
-Templates are short runs of license words. For each, the words of its key phrase with the highest inverse document frequency in the
+Templates are names of licenses, opening lines of notices and whole paragraphs of licence texts, cut where names and years stand. For each, the words of its key phrase with the highest inverse document frequency in the
 corpus are its anchors, so no place that could be accepted lacks one. Every place of an anchor in a file is looked up in the postings (template, position in it); postings that agree on
 `place - position` name one candidate start, which is scored by the weight of the template words that stand at
 their relative positions and must hold the template's key phrase in full.
@@ -50,6 +50,61 @@ TEMPLATES = (
     Template("mit-release", "released under the mit license", "the mit license"),
     Template("mpl-notice", "subject to the terms of the mozilla public license", "mozilla public license"),
     Template("unlicense-notice", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("apache-2.0-header",
+             "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy "
+             "of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under "
+             "the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the "
+             "specific language governing permissions and limitations under the license",
+             "you may not use this file except in compliance with the license"),
+    Template("bsd-binary-clause",
+             "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+             "documentation and or other materials provided with the distribution",
+             "redistributions in binary form must reproduce"),
+    Template("bsd-source-clause",
+             "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+             "redistributions of source code must retain"),
+    Template("bsd-warranty",
+             "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the "
+             "implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+             "by the copyright holders and contributors as is"),
+    Template("gpl-header",
+             "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+             "software foundation either version 3 of the license or at your option any later version",
+             "under the terms of the gnu general public license as published by the free software foundation"),
+    Template("gpl-warranty",
+             "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+             "fitness for a particular purpose see the gnu general public license for more details",
+             "in the hope that it will be useful but without any warranty"),
+    Template("isc-grant",
+             "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+             "copyright notice and this permission notice appear in all copies",
+             "with or without fee is hereby granted"),
+    Template("mit-condition",
+             "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+             "shall be included in all copies or substantial portions"),
+    Template("mit-grant",
+             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+             "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+             "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+             "to deal in the software without restriction"),
+    Template("mit-warranty",
+             "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+             "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+             "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings "
+             "in the software",
+             "the software is provided as is without warranty of any kind"),
+    Template("mpl-2.0-header",
+             "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can "
+             "obtain one at https mozilla org mpl 2 0",
+             "if a copy of the mpl was not distributed with this file"),
+    Template("unlicense-grant",
+             "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any "
+             "purpose commercial or non commercial and by any means",
+             "anyone is free to copy modify publish use compile sell"),
+    Template("zlib-grant",
+             "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+             "subject to the following restrictions",
+             "permission is granted to anyone to use this software for any purpose"),
 )
 ANCHORS, ACCEPT = 3, 0.8
 _BIAS, _SHIFT = 1 << 10, 1 << 34
