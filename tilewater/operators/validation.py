@@ -154,9 +154,9 @@ def diff_attribution(pairs: DataFrame, a: str, b: str, boundary: Column, height:
     near = neighbor_any(pairs, {"near_nodata": ~valid, "near_drain": drain})
     # distance to the nearest inner band border; borders are band_rows, 2*band_rows, ... below height
     last = (height - 1) // band_rows * band_rows
-    rem = F.pmod(C("row"), F.lit(band_rows))
-    below = F.when(C("row") >= band_rows, rem)
-    above = F.when(C("row") < last, band_rows - rem)
+    border = lambda n: F.greatest(F.lit(band_rows), F.least(n, F.lit(last)))
+    at = F.floor(C("row") / band_rows) * band_rows
+    below, above = F.abs(C("row") - border(at)), F.abs(C("row") - border(at + band_rows))
     at_band = F.coalesce(F.least(below, above) <= edge, F.lit(False)) if last > 0 and edge > 0 else F.lit(False)
     over = near.where(valid & (F.abs(C(a) - C(b)) > limit_dm)).withColumn("at_band", at_band).withColumn("at_edge", boundary)
     tests = ("near_nodata", "near_drain", "at_band", "at_edge")
