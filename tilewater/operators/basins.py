@@ -70,7 +70,7 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
         layers = [n for n, t in blocks.dtypes if t == "binary"]
         return blocks.withColumn("_shift", F.explode(shifts)).select("br", (C("bc") + C("_shift") * wide).cast("int").alias("bc"), *layers)
 
-    def burned(b: pd.Series) -> dict[str, bytes]:
+    def burned(b: dict) -> dict[str, bytes]:
         v = np.frombuffer(b["v"], dtype="<f8")
         return {"z": np.where(np.frombuffer(b["stream_mask"], dtype="|b1"), v - burns[b["bc"] // wide], v).tobytes()}
 
@@ -79,7 +79,7 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
         b = written(D.fill_blocks(b, block, "z", fill_step))
     b = written(D.area_blocks(written(D.d8_blocks(b, block, "z").drop("z")), block, cell_area))
 
-    def drained(b: pd.Series) -> dict[str, bytes]:
+    def drained(b: dict) -> dict[str, bytes]:
         big = np.nan_to_num(np.frombuffer(b["area"], dtype="<f8")) >= variants[b["bc"] // wide][1]
         return {"drain": (np.frombuffer(b["stream_mask"], dtype="|b1") | big).tobytes()}
 
@@ -88,7 +88,7 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
     shifts = F.get(F.array(*[F.array(*[F.lit(s) for s in u]) for u in users]), F.floor(C("bc") / wide).cast("int"))
     b = written(D.hand_blocks(written(D._add(side_by_side(b, shifts), drained, ["drain"])), block))
 
-    def tally(b: pd.Series) -> pd.DataFrame:
+    def tally(b: dict) -> pd.DataFrame:
         here = np.isfinite(np.frombuffer(b["v"], dtype="<f8"))
         hand, base = np.frombuffer(b["hand"], dtype="<f8"), np.frombuffer(b["base_hand"], dtype="<f8")
         known, ref = np.isfinite(_codes(hand)), np.frombuffer(b[reference], dtype="|b1")
@@ -101,7 +101,7 @@ def hand_sensitivity(cells: DataFrame, variants: list[tuple[float, float]], feet
 
     sums = ["valid", "ref", "hand", "tp", "both", "either", "drain_cells"]
     base = b.where(C("bc") < wide).select("br", C("bc").alias("_base"), C("hand").alias("base_hand"))
-    paired = b.select("br", "bc", "v", reference, "drain", "hand", (C("bc") % wide).alias("_base")).join(base, ["br", "_base"])
+    paired = b.select("br", "bc", "v", reference, "drain", "hand", (C("bc") % wide).alias("_base")).join(base.hint("merge"), ["br", "_base"])
     counts = D.each_block(paired.drop("_base"), tally, "br int, bc int, threshold_ft double, " + ", ".join(f"{n} long" for n in sums))
     owner = shelf.select(key, F.explode(F.sequence("start", C("start") + C("high") - 1)).alias("br"))
     total = counts.join(owner, "br").groupBy(key, F.floor(C("bc") / wide).cast("int").alias("_variant"), "threshold_ft").agg(*[F.sum(n).alias(n) for n in sums]) \

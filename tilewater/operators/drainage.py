@@ -5,6 +5,7 @@ arrays instead of one row per cell. Inside a block the flow is followed with Num
 matter: each exit cell points to the exit its water takes next, and that small graph is contracted by pointer doubling
 with joins, log2(longest chain) rounds. Drainage therefore crosses any number of blocks without an overlap
 guess, and no join over all cells is ever repeated. Every round is written to the checkpoint folder, so lost executors repeat one round.
+Joins of blocks and border cells are merged: their tables pack so well that Spark would take them for small and send them through the driver.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ STEPS = {code: (dr, dc) for dr, dc, _, code in NEIGHBORS.values()}
 DISTANCE = {code: dist for _, _, dist, code in NEIGHBORS.values()}
 NO_FLOW = 0
 MAX_ROUNDS = 64  # chains of up to 2^64 exits
-GATHERED = 1 << 20  # cells a task holds before it sends them on as pieces of blocks
+GATHERED = 1 << 18  # cells a task holds before it sends them on as pieces of blocks
 
 
 def flow_direction_d8(cells: DataFrame, value: str = "v", block: int = 256) -> DataFrame:
     """Steepest downhill neighbour of each valid cell (row, col, value, dir) as a direction code; the lowest code wins ties, 0 where
     nothing is lower. Absent rows and NULL values are the same: no neighbour. Other columns are not kept."""
     valid = cells.where(C(value).isNotNull()).select("row", "col", C(value).alias("v"))
-    b = d8_blocks(written(to_blocks(valid, block, {"v": "real"})), block, "v")
+    b = written(d8_blocks(written(to_blocks(valid, block, {"v": "real"})), block, "v"))  # so that a task runs one Python at a time
     return to_cells(b, block, {"v": "real", "dir": "code"}, where="v").withColumnRenamed("v", value)
 
 
@@ -76,28 +77,49 @@ def to_blocks(cells: DataFrame, size: int, layers: dict[str, str]) -> DataFrame:
         if n:
             yield flushed(held)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"br": [pdf["br"].iloc[0]], "bc": [pdf["bc"].iloc[0]]}
-        slots = np.frombuffer(b"".join(pdf["slots"]), dtype="<i4")
+    def pack(t: pa.Table) -> pa.Table:
+        slots = np.frombuffer(b"".join(t.column("slots").to_pylist()), dtype="<i4")
+        out = {"br": t.column("br").slice(0, 1), "bc": t.column("bc").slice(0, 1)}
         for n, k in layers.items():
             a = np.full(size * size, KINDS[k][1], dtype=KINDS[k][0])
-            a[slots] = np.frombuffer(b"".join(pdf[n]), dtype=KINDS[k][0])
-            out[n] = [a.tobytes()]
-        return pd.DataFrame(out)
+            a[slots] = np.frombuffer(b"".join(t.column(n).to_pylist()), dtype=KINDS[k][0])
+            out[n] = pa.array([a.tobytes()], pa.binary())
+        return pa.table(out)
 
     shape = "br int, bc int, " + ", ".join(f"{n} binary" for n in layers)
     pieces = cells.select("row", "col", *[c.alias(n) for c, n in zip(cols, layers)]).mapInArrow(gather, "br int, bc int, slots binary, " + ", ".join(f"{n} binary" for n in layers))
-    return pieces.groupBy("br", "bc").applyInPandas(pack, shape)
+    return pieces.groupBy("br", "bc").applyInArrow(pack, shape)
 
 
-def each_block(blocks: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply `fn` to one block row at a time, without a shuffle. Spark bounds an Arrow batch by bytes, so a task holds few blocks."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for i in range(len(pdf)):
-                yield fn(pdf.iloc[i])
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
-    return blocks.mapInPandas(run, schema)
+
+def _block(batch: pa.RecordBatch, i: int) -> dict:
+    """Row `i` of a batch of blocks: layers as bytes, a list of structs as one array a field, None for NULL."""
+    b = {}
+    for n, column in zip(batch.schema.names, batch.columns):
+        v = column[i]
+        if not v.is_valid:
+            b[n] = None
+        elif pa.types.is_list(column.type):
+            fields = {f.name: a.to_numpy(zero_copy_only=False) for f, a in zip(column.type.value_type, v.values.flatten())}
+            b[n] = {k: a.astype(np.int64) if a.dtype.kind == "i" else a for k, a in fields.items()}  # cell numbers are multiplied
+        else:
+            b[n] = v.as_py()
+    return b
+
+
+def each_block(blocks: DataFrame, fn: Callable[[dict], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply `fn` to one block row (see `_block`) at a time, without a shuffle. Spark bounds an Arrow batch by bytes; of its blocks one at a time is taken out."""
+    kinds = {n: _ARROW[t] for n, t in (c.split() for c in schema.split(","))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = fn(_block(batch, i))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(found[n], type=t) for n, t in kinds.items()], names=[*kinds])
+
+    return blocks.mapInArrow(run, schema)
 
 
 def to_cells(blocks: DataFrame, size: int, layers: dict[str, str], where: str) -> DataFrame:
@@ -115,11 +137,11 @@ def to_cells(blocks: DataFrame, size: int, layers: dict[str, str], where: str) -
     return blocks.select("br", "bc", *layers).mapInArrow(run, "row int, col int, " + ", ".join(f"{n} {KINDS[k][2]}" for n, k in layers.items()))
 
 
-def _add(blocks: DataFrame, fn: Callable[[pd.Series], dict[str, bytes]], new: list[str]) -> DataFrame:
+def _add(blocks: DataFrame, fn: Callable[[dict], dict[str, bytes]], new: list[str]) -> DataFrame:
     """Blocks with the layers `new` computed by `fn`, replacing layers of the same name; list columns are used up."""
     kept = [n for n, t in blocks.dtypes if t == "binary" and n not in new]
 
-    def run(b: pd.Series) -> pd.DataFrame:
+    def run(b: dict) -> pd.DataFrame:
         return pd.DataFrame({"br": [b["br"]], "bc": [b["bc"]], **{n: [b[n]] for n in kept}, **{n: [v] for n, v in fn(b).items()}})
 
     return each_block(blocks, run, "br int, bc int, " + ", ".join(f"{n} binary" for n in [*kept, *new]))
@@ -138,7 +160,7 @@ def _with_ring(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     edge[[0, -1], :] = edge[:, [0, -1]] = True
     edge = np.flatnonzero(edge)
 
-    def border(b: pd.Series) -> pd.DataFrame:
+    def border(b: dict) -> pd.DataFrame:
         v = np.frombuffer(b[layer], dtype="<f8")
         at = edge[np.isfinite(v[edge])]
         return pd.DataFrame({"row": at // size + b["br"] * size, "col": at % size + b["bc"] * size, "value": v[at]})
@@ -149,16 +171,15 @@ def _with_ring(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     outside = cells.withColumn("br", F.explode(near("row"))).withColumn("bc", F.explode(near("col"))) \
         .where((C("br") != F.floor(C("row") / size)) | (C("bc") != F.floor(C("col") / size)))
     ring = outside.groupBy("br", "bc").agg(F.collect_list(F.struct("row", "col", "value")).alias("ring"))
-    return blocks.join(ring, ["br", "bc"], "left")
+    return blocks.join(ring.hint("merge"), ["br", "bc"], "left")
 
 
-def _padded(b: pd.Series, layer: str, size: int, fill: float) -> np.ndarray:
+def _padded(b: dict, layer: str, size: int, fill: float) -> np.ndarray:
     """Block layer with a frame of one cell, ring values filled in."""
     out = np.full((size + 2, size + 2), fill)
     out[1:-1, 1:-1] = np.frombuffer(b[layer], dtype="<f8").reshape(size, size)
     if b["ring"] is not None:
-        for p in b["ring"]:
-            out[p["row"] - b["br"] * size + 1, p["col"] - b["bc"] * size + 1] = p["value"]
+        out[b["ring"]["row"] - b["br"] * size + 1, b["ring"]["col"] - b["bc"] * size + 1] = b["ring"]["value"]
     return out
 
 
@@ -167,7 +188,7 @@ def _padded(b: pd.Series, layer: str, size: int, fill: float) -> np.ndarray:
 class _Flow:
     """Flow graph of one block: local index of the next cell, -1 where the path leaves the block or ends."""
 
-    def __init__(self, b: pd.Series, size: int) -> None:
+    def __init__(self, b: dict, size: int) -> None:
         code = np.frombuffer(b["dir"], dtype="<i2").astype(np.int64)
         self.here = code >= 0
         table = np.zeros((129, 2), dtype=np.int64)
@@ -226,7 +247,7 @@ def _exit_links(border: DataFrame, own: list[str], taken: list[str]) -> DataFram
     """
     real = lambda c: F.when(C(c) >= 0, C(c)).alias(c)
     entry = border.select(C("row").alias("to_row"), C("col").alias("to_col"), real("nrow"), real("ncol"), *taken)
-    return written(border.where("leaves").select("row", "col", "to_row", "to_col", *own).join(entry, ["to_row", "to_col"], "left"))
+    return written(border.where("leaves").select("row", "col", "to_row", "to_col", *own).join(entry.hint("merge"), ["to_row", "to_col"], "left"))
 
 
 def _contract(exits: DataFrame, carry: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
@@ -242,7 +263,7 @@ def _contract(exits: DataFrame, carry: Callable[[DataFrame, DataFrame], DataFram
 
 def d8_blocks(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     """Add the layer `dir`; same rule as `flow_direction_d8`."""
-    def run(b: pd.Series) -> dict[str, bytes]:
+    def run(b: dict) -> dict[str, bytes]:
         z = _padded(b, layer, size, np.nan)
         me = z[1:-1, 1:-1]
         best, code = np.zeros(me.shape), np.where(np.isfinite(me), NO_FLOW, -1)
@@ -256,9 +277,9 @@ def d8_blocks(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     return _add(_with_ring(blocks, size, layer), run, ["dir"])
 
 
-def area_blocks(blocks: DataFrame, size: int, cell_area: float) -> DataFrame:
-    """Add the layer `area`: accumulated area, own cell included."""
-    def leaving(b: pd.Series) -> pd.DataFrame:
+def area_blocks(blocks: DataFrame, size: int, cell_area: float, threshold: float | None = None) -> DataFrame:
+    """Add the layer `area`: accumulated area, own cell included. With `threshold` also `drain`: cells of the layer stream_mask or with that much area."""
+    def leaving(b: dict) -> pd.DataFrame:
         g = _Flow(b, size)
         end = g.ends(np.zeros(size * size, dtype=bool))
         return g.border_rows(end, g.leaves[end], "area", g.accumulate(np.full(size * size, cell_area)))
@@ -267,33 +288,35 @@ def area_blocks(blocks: DataFrame, size: int, cell_area: float) -> DataFrame:
 
     def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
         add = e.where("nrow IS NOT NULL").groupBy(C("nrow").alias("row"), C("ncol").alias("col")).agg(F.sum("area").alias("_in"))
-        return e.join(add, ["row", "col"], "left").join(hop.select("nrow", "ncol", "hop_nrow", "hop_ncol"), ["nrow", "ncol"], "left").select(
+        return e.join(add.hint("merge"), ["row", "col"], "left").join(hop.select("nrow", "ncol", "hop_nrow", "hop_ncol").hint("merge"), ["nrow", "ncol"], "left").select(
             "row", "col", "to_row", "to_col", C("hop_nrow").alias("nrow"), C("hop_ncol").alias("ncol"), (C("area") + F.coalesce("_in", F.lit(0.0))).alias("area"))
 
     exits = _contract(_exit_links(border, ["area"], []), carry)
     inflow = exits.groupBy(C("to_row").alias("row"), C("to_col").alias("col")).agg(F.sum("area").alias("area"))
 
-    def totals(b: pd.Series) -> dict[str, bytes]:
+    def totals(b: dict) -> dict[str, bytes]:
         w = np.full(size * size, cell_area)
         if b["inflow"] is not None:
-            for p in b["inflow"]:
-                w[p["slot"]] += p["value"]
+            np.add.at(w, b["inflow"]["slot"], b["inflow"]["value"])
         g = _Flow(b, size)
-        return {"area": np.where(g.here, g.accumulate(w), np.nan).astype("<f8").tobytes()}
+        area = np.where(g.here, g.accumulate(w), np.nan).astype("<f8")
+        if threshold is None:
+            return {"area": area.tobytes()}
+        return {"area": area.tobytes(), "drain": (np.frombuffer(b["stream_mask"], dtype="|b1") | (np.nan_to_num(area) >= threshold)).tobytes()}
 
-    return _add(blocks.join(_by_block(inflow, size, "area", "inflow"), ["br", "bc"], "left"), totals, ["area"])
+    return _add(blocks.join(_by_block(inflow, size, "area", "inflow").hint("merge"), ["br", "bc"], "left"), totals, ["area"] if threshold is None else ["area", "drain"])
 
 
 def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
     """Add the layer `hand` from the layers v, dir, drain: height above the first drainage cell downstream, NaN without
     one or below it."""
-    def local(b: pd.Series):
+    def local(b: dict):
         g = _Flow(b, size)
         drain, v = np.frombuffer(b["drain"], dtype="|b1"), np.frombuffer(b["v"], dtype="<f8")
         end = g.ends(drain)
         return g, v, end, np.where(drain[end], v[end], np.nan), g.leaves[end] & ~drain[end]
 
-    def leaving(b: pd.Series) -> pd.DataFrame:
+    def leaving(b: dict) -> pd.DataFrame:
         g, _, end, found, onward = local(b)
         rows = g.border_rows(end, onward, "drain_v", found)
         # an exit that is itself drainage keeps its water
@@ -304,22 +327,21 @@ def hand_blocks(blocks: DataFrame, size: int) -> DataFrame:
                  .withColumn("drain_v", F.when(~F.isnan("drain_v"), C("drain_v"))))
 
     def carry(e: DataFrame, hop: DataFrame) -> DataFrame:
-        return e.join(hop, ["nrow", "ncol"], "left").select(
+        return e.join(hop.hint("merge"), ["nrow", "ncol"], "left").select(
             "row", "col", C("hop_nrow").alias("nrow"), C("hop_ncol").alias("ncol"), F.coalesce("drain_v", "hop_drain_v").alias("drain_v"))
 
     exits = _contract(_exit_links(border, [], ["drain_v"]).drop("to_row", "to_col"), carry)
 
-    def heights(b: pd.Series) -> dict[str, bytes]:
+    def heights(b: dict) -> dict[str, bytes]:
         g, v, end, found, onward = local(b)
         far = np.full(size * size, np.nan)
         if b["far"] is not None:
-            for p in b["far"]:
-                far[p["slot"]] = p["value"]
+            far[b["far"]["slot"]] = b["far"]["value"]
         h = v - np.where(onward, far[end], found)
         return {"hand": np.where(g.here & (h >= 0), h, np.nan).astype("<f8").tobytes()}
 
     known = exits.where("drain_v IS NOT NULL")
-    return _add(blocks.join(_by_block(known, size, "drain_v", "far"), ["br", "bc"], "left"), heights, ["hand"])
+    return _add(blocks.join(_by_block(known, size, "drain_v", "far").hint("merge"), ["br", "bc"], "left"), heights, ["hand"])
 
 
 #: the label of every way out in the graph of basins; other labels are numbers of border cells
@@ -391,7 +413,7 @@ def _contracted(u: np.ndarray, v: np.ndarray, w: np.ndarray, stay: np.ndarray):
         u, v, w = u[apart], v[apart], w[apart]
 
 
-def _flooded(b: pd.Series, layer: str, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+def _flooded(b: dict, layer: str, size: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """What water from the border and the open cells of a block does to it, in NumPy passes over the whole block.
 
     Returns levels, labels (slot of the border cell that water of a cell reaches first, _OPEN for a way out, _NONE without ground), the
@@ -474,16 +496,15 @@ def _fill_by_passes(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     """
     kept = [n for n, t in blocks.dtypes if t == "binary"]
 
-    def flood(b: pd.Series) -> dict[str, bytes]:
+    def flood(b: dict) -> dict[str, bytes]:
         level, label, (u, v, w), z, is_open = _flooded(b, layer, size)
         row, col = int(b["br"]) * size, int(b["bc"]) * size
         name = lambda at: np.where(at >= 0, (at // size + row) * _WIDE + at % size + col, OUT)
         own = np.flatnonzero((is_open & (label != _OPEN)).ravel())  # open cells of the border
         u, v, w = _spanning(*(np.concatenate(x) for x in ((u, np.full(len(own), _OPEN)), (v, label.ravel()[own]), (w, z[1:-1, 1:-1].ravel()[own]))))
         parts = [(name(u), name(v), w)]
-        ring = b["ring"] if b["ring"] is not None else []
-        rows, cols, high = (np.array([p[k] for p in ring]) for k in ("row", "col", "value"))
-        for dr, dc in STEPS.values() if len(ring) else ():
+        rows, cols, high = b["ring"].values() if b["ring"] is not None else (np.zeros(0, np.int64),) * 3
+        for dr, dc in STEPS.values() if len(rows) else ():
             i, j = rows - row + dr, cols - col + dc
             # the block with the smaller cell tells of a step between two blocks
             some = (i >= 0) & (i < size) & (j >= 0) & (j < size) & ((i + row) * _WIDE + j + col < rows.astype(np.int64) * _WIDE + cols)
@@ -495,7 +516,7 @@ def _fill_by_passes(blocks: DataFrame, size: int, layer: str) -> DataFrame:
         edges = np.concatenate([u.astype("<i8").view("<f8"), v.astype("<i8").view("<f8"), w.astype("<f8")])
         return {"_level": level.astype("<f8").tobytes(), "_label": label.astype("<i4").tobytes(), "_edges": edges.tobytes()}
 
-    def graph(b: pd.Series) -> pd.DataFrame:
+    def graph(b: dict) -> pd.DataFrame:
         u, v, w = np.frombuffer(b["_edges"], dtype="<f8").reshape(3, -1)
         return pd.DataFrame({"a": u.view("<i8"), "b": v.view("<i8"), "w": w})
 
@@ -503,16 +524,16 @@ def _fill_by_passes(blocks: DataFrame, size: int, layer: str) -> DataFrame:
     edges = each_block(flooded.select("br", "bc", "_edges"), graph, "a long, b long, w double")
     rise = _lowest_way_out_by_regions(edges, REGION * size).select(F.floor(C("node") / _WIDE).cast("int").alias("row"), F.pmod(C("node"), F.lit(_WIDE)).cast("int").alias("col"), "level")
 
-    def raised(b: pd.Series) -> dict[str, bytes]:
+    def raised(b: dict) -> dict[str, bytes]:
         level, label = np.frombuffer(b["_level"], dtype="<f8"), np.frombuffer(b["_label"], dtype="<i4")
         least = np.full(size * size + 2, np.inf)
-        for p in b["rise"] if b["rise"] is not None else []:
-            least[p["slot"]] = p["value"]
+        if b["rise"] is not None:
+            least[b["rise"]["slot"]] = b["rise"]["value"]
         least[_OPEN] = -np.inf
         out = np.maximum(level, least[label])
         return {layer: np.where(np.isfinite(out), out, np.nan).astype("<f8").tobytes()}
 
-    named = flooded.drop("_edges").join(_by_block(rise, size, "level", "rise"), ["br", "bc"], "left")
+    named = flooded.drop("_edges").join(_by_block(rise, size, "level", "rise").hint("merge"), ["br", "bc"], "left")
     return _add(named, raised, [layer]).select("br", "bc", *kept)
 
 
@@ -585,7 +606,7 @@ def _lowest_way_out(edges: DataFrame) -> DataFrame:
 
 def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataFrame:
     """As `fill_blocks`, with a slope of `step` a cell on what is filled: floods every block from the ring around it until no level moves."""
-    def start(b: pd.Series) -> dict[str, bytes]:
+    def start(b: dict) -> dict[str, bytes]:
         z = _padded(b, layer, size, np.nan)
         here = np.isfinite(z)
         shut = np.ones((size, size), dtype=bool)
@@ -594,7 +615,7 @@ def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataF
         me = z[1:-1, 1:-1]
         return {"_w": np.where(np.isfinite(me), np.where(shut, np.inf, me), np.nan).astype("<f8").tobytes(), "_moved": b"\x02"}
 
-    def flood(b: pd.Series) -> dict[str, bytes]:
+    def flood(b: dict) -> dict[str, bytes]:
         """Lower each water level to the best path through this block, from its open cells and the ring around it."""
         ground = np.frombuffer(b[layer], dtype="<f8").reshape(size, size)
         before = np.frombuffer(b["_w"], dtype="<f8").reshape(size, size)
@@ -632,17 +653,24 @@ def _fill_sloped(blocks: DataFrame, size: int, layer: str, step: float) -> DataF
 
 # ---- the same on cells ------------------------------------------------------------------------
 
+def upstream_area_of_heights(cells: DataFrame, value: str = "v", cell_area: float = 1.0, block: int = 256) -> DataFrame:
+    """As `upstream_area` of `flow_direction_d8`, without taking the blocks apart in between. `cells`: row, col, value."""
+    valid = cells.where(C(value).isNotNull()).select("row", "col", C(value).alias("v"))
+    b = written(d8_blocks(written(to_blocks(valid, block, {"v": "real"})), block, "v").drop("v"))
+    return to_cells(written(area_blocks(b, block, cell_area)), block, {"area": "real"}, where="area")
+
+
 def upstream_area(cells: DataFrame, cell_area: float = 1.0, block: int = 256) -> DataFrame:
     """Accumulated area per cell (own cell included). `cells`: row, col, dir."""
     b = written(to_blocks(cells.where("dir IS NOT NULL"), block, {"dir": "code"}))
-    return to_cells(area_blocks(b, block, cell_area), block, {"area": "real"}, where="area")
+    return to_cells(written(area_blocks(b, block, cell_area)), block, {"area": "real"}, where="area")
 
 
 def hand(cells: DataFrame, block: int = 256) -> DataFrame:
     """Height above the first drainage cell downstream. `cells`: row, col, v, dir, drain. NULL without drainage or below it."""
     valid = cells.where("v IS NOT NULL AND dir IS NOT NULL")
     b = written(to_blocks(valid, block, {"v": "real", "dir": "code", "drain": "flag"}))
-    return to_cells(hand_blocks(b, block), block, {"v": "real", "hand": "real"}, where="v").select("row", "col", "hand")
+    return to_cells(written(hand_blocks(b, block)), block, {"v": "real", "hand": "real"}, where="v").select("row", "col", "hand")
 
 
 def drain_mask(stream: str, area: str, threshold: float, value: str) -> Column:
@@ -658,16 +686,16 @@ def fill_depressions(cells: DataFrame, block: int = 256, step: float = 0.0) -> D
     """
     valid = cells.where("v IS NOT NULL").select("row", "col", "v", C("v").alias("filled"))
     b = written(to_blocks(valid, block, {"v": "real", "filled": "real"}))
-    return to_cells(fill_blocks(b, block, "filled", step), block, {"v": "real", "filled": "real"}, where="v")
+    return to_cells(written(fill_blocks(b, block, "filled", step)), block, {"v": "real", "filled": "real"}, where="v")
 
 
 # ---- one derivation (many and their sensitivity: `basins`) ---------------------------------------------------------
 
-def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None,
-                    keep: list[str] | None = None) -> DataFrame:
-    """Burn, optionally fill, route, accumulate, mask, measure, all in block layout.
+def drained_blocks(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None = None,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Burn, optionally fill, route, accumulate, mask, all in block layout.
 
-    `cells`: row, col, v, stream_mask and the boolean columns `keep`. Layers: v, dir, area, drain, hand, keep...
+    `cells`: row, col, v, stream_mask and the boolean columns `keep`. Layers: v, dir, area, drain, keep...
     """
     keep = list(keep or [])
     routed = F.when(C("stream_mask"), C("v") - burn).otherwise(C("v"))
@@ -676,16 +704,16 @@ def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area:
     if fill_step is not None:
         b = written(fill_blocks(b, block, "z", fill_step))
     b = written(d8_blocks(b, block, "z").drop("z"))
-    b = area_blocks(b, block, cell_area)
+    return area_blocks(b, block, cell_area, threshold)
 
-    def mask(p: pd.Series) -> dict[str, bytes]:
-        big = np.nan_to_num(np.frombuffer(p["area"], dtype="<f8")) >= threshold
-        return {"drain": (np.frombuffer(p["stream_mask"], dtype="|b1") | big).tobytes()}
 
-    return hand_blocks(written(_add(b, mask, ["drain"])), block)
+def drainage_blocks(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None,
+                    keep: list[str] | None = None) -> DataFrame:
+    """As `drained_blocks`, and measured: the layer `hand` is added."""
+    return hand_blocks(written(drained_blocks(cells, burn, threshold, cell_area, block, fill_step, keep)), block)
 
 
 def hand_variant(cells: DataFrame, burn: float, threshold: float, cell_area: float, block: int, fill_step: float | None) -> DataFrame:
     """One derivation as cells (row, col, v, dir, area, drain, hand); valid terrain only."""
     b = drainage_blocks(cells, burn, threshold, cell_area, block, fill_step)
-    return to_cells(b, block, {"v": "real", "dir": "code", "area": "real", "drain": "flag", "hand": "real"}, where="v")
+    return to_cells(written(b), block, {"v": "real", "dir": "code", "area": "real", "drain": "flag", "hand": "real"}, where="v")

@@ -95,7 +95,7 @@ def surface_gradient(cells: DataFrame, flat: float, block: int = 256) -> DataFra
     coded = cells.select("row", "col", F.when(height.isNull() | F.isnan(height), _VOID).otherwise(height).alias("v"))
     new = ["nx", "ny", "nz", "fx", "fy"]
 
-    def slopes(b: pd.Series) -> dict[str, bytes]:
+    def slopes(b: dict) -> dict[str, bytes]:
         z = D._padded(b, "v", block, np.nan)
         known = np.where(z == _VOID, np.nan, z)
         part = lambda a, dr, dc: a[1 + dr:block + 1 + dr, 1 + dc:block + 1 + dc]

@@ -12,6 +12,7 @@ from tilewater.operators.generators import tile_pixel_centers
 from tilewater.plans import sqltext as S
 from tilewater.plans.raster_queries import _round
 from tilewater.plans.registry import query
+from tilewater.session import written
 
 C = F.col
 BLOCK = 64
@@ -107,15 +108,15 @@ def _(t):
 
 @query("upstream_area", "fx_grid", f"WITH RECURSIVE {_d8_sql('40e0')}, {_flow_sql()} SELECT row, col, area FROM ar")
 def _(t):
-    return D.upstream_area(D.flow_direction_d8(_burned(t)), 1.0, BLOCK)
+    return D.upstream_area_of_heights(_burned(t), "v", 1.0, BLOCK)
 
 
 @query("drain_mask", "fx_grid", f"""
     WITH RECURSIVE {_d8_sql('40e0')}, {_flow_sql()} SELECT z.row, z.col, stream_mask OR area >= 12 AS drain FROM z JOIN ar ON ar.row = z.row AND ar.col = z.col""")
 def _(t):
-    area = D.upstream_area(D.flow_direction_d8(_burned(t)), 1.0, BLOCK)
-    g = t.grid().where("v IS NOT NULL").join(area, ["row", "col"], "left")
-    return g.select("row", "col", D.drain_mask("stream_mask", "area", 12.0, "v").alias("drain"))
+    # in block layout: a join of cells would be broadcast, as Spark takes the packed blocks for a small table
+    b = D.drained_blocks(t.grid().select("row", "col", C("v").cast("double").alias("v"), "stream_mask"), 40.0, 12.0, 1.0, BLOCK)
+    return D.to_cells(written(b), BLOCK, {"v": "real", "drain": "flag"}, where="v").select("row", "col", "drain")
 
 
 @query("hand", "fx_grid", f"WITH RECURSIVE {_d8_sql('40e0')}, {_flow_sql()}, {_hand_sql(12)} SELECT row, col, hand FROM hh")
