@@ -18,6 +18,7 @@ from tilewater.plans import sqltext as S
 from tilewater.plans.products import build_pyramid, render_regions
 from tilewater.plans.raster_queries import _round
 from tilewater.plans.registry import query
+from tilewater.session import spread, written
 from tilewater.sources import tiles as T
 from tilewater.streaming.sinks import shared_folder
 
@@ -48,7 +49,7 @@ def _(t):
     SELECT vec_id, row, col, v, cast(-100 + vec_id % 30 AS double) AS lon_left FROM fx_tile_cells""")
 def _(t):
     k = C("vec_id")
-    blobs = T.compress_dem(_rasters(t), ["vec_id"])
+    blobs = written(T.compress_dem(_rasters(t), ["vec_id"]).select("vec_id", "content"))  # packed and unpacked by one Python a task
     edge = F.struct((F.lit(-100.0) + k % 30).alias("left"), F.lit(30.0).alias("bottom"), (F.lit(-99.0) + k % 30).alias("right"), F.lit(31.0).alias("top"))
     new = F.to_json(F.struct(F.array(F.lit(8), F.lit(8)).alias("shape"), edge.alias("bounds")))
     old = F.to_json(F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), edge.alias("bounds")))
@@ -124,7 +125,7 @@ def _packed(t, fmt="FMT2"):
     SELECT cast(floor(vec_id / 20) AS bigint) AS batch, cast(vec_id % 20 AS integer) AS pos, cast(9 AS integer) AS z, cast(vec_id * 7 % 512 AS integer) AS x,
            cast(vec_id % 300 AS integer) AS y, row, col, v + 4000 AS v FROM fx_tile_cells""")
 def _(t):
-    u = T.unpack_tile_batch(_packed(t, "FMB1"), "batch", tile_bytes=128).withColumn("variant", F.lit("u16"))
+    u = written(T.unpack_tile_batch(written(_packed(t, "FMB1")), "batch", tile_bytes=128)).withColumn("variant", F.lit("u16"))  # one Python a task
     keys = ["batch", "pos", "z", "x", "y"]
     return _cells(T.decode_u16(u, keys, size=64), keys)
 
@@ -161,7 +162,8 @@ def _zips(t):
                 blobs.append(buf.getvalue())
             yield pd.DataFrame({"huc": pdf["huc"], "path": pdf["path"], "content": blobs})
 
-    return t.archives().select("huc", "path", "pos").mapInPandas(run, "huc string, path string, content binary")
+    # an archive is much work for few bytes
+    return spread(t.archives().select("huc", "path", "pos"), "pos").mapInPandas(run, "huc string, path string, content binary")
 
 
 _MEM = """m AS (SELECT huc, path, pos, CASE WHEN pos % 5 = 4 THEN '' ELSE huc || '/' END AS folder, pos % 11 <> 10 AS good, pos % 4 <> 3 AS paired FROM fx_archives)"""
