@@ -33,7 +33,8 @@ def _rasters(t):
 
 
 def _cells(df, keys):
-    return df.select(*keys, F.posexplode("values").alias("_k", "v")).select(
+    # outer, as Spark would else test `values` for rows first and decode each tile twice
+    return df.select(*keys, F.posexplode_outer("values").alias("_k", "v")).where("_k IS NOT NULL").select(
         *keys, F.floor(C("_k") / 8).cast("int").alias("row"), (C("_k") % 8).cast("int").alias("col"), "v")
 
 
