@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.labels:
         return docs.limit(0)
     letters = language.alphabet(docs, model.labels)
-    kept = language.fitting(docs.select(F.struct(*names).alias("row"), "text"), model, language.limits(pieces), letters, "row")
+    kept = language.fitting(docs, model, language.limits(pieces), letters)
     return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in names])
 
 

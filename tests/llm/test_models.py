@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import AWKWARD, corpus, documents, edit, prose
-from tilewater.llm import imatch, language, mixing, near, quality, suffixes, urls
+from tilewater.llm import imatch, language, mixing, near, quality, suffixes, tokens, urls
 from tilewater.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -299,3 +299,25 @@ def test_recall_of_pairs_at_the_threshold(spark, num, at_least):
     found = {r.doc_id: r.component_id for r in near.classes(documents(spark, rows), 5, num, 100).collect()}
     assert sum(found[a] == found[b] for a, b in pairs) >= at_least * len(pairs)
     assert near.tree_count(80, 100) == 14 and near.tree_count(85, 100) == 10
+
+
+def test_portions_hold_all_rows_and_few_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 900, None, "é" * 40, "", "b" * 5000, "c", "d" * 300, None] * 50
+    batch = pa.RecordBatch.from_pylist([{"i": i, "row": {"text": t}} for i, t in enumerate(texts)]).slice(3)
+    got = [(p.column("i").to_pylist(), t.to_pylist()) for p, t in tokens.portions(batch, batch.column("row").field("text"), 1000)]
+    assert [i for p, _ in got for i in p] == list(range(3, len(texts)))
+    assert [t for _, p in got for t in p] == texts[3:]
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 1000 for _, p in got)
+
+
+def test_a_text_goes_to_python_once_in_language_id(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"the river runs to the sea and the town {i}", "en", "web", 40) for i in range(40)],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    df = corpus_pipeline.language_id(spark, docs, "")
+    stage = [x for x in df._jdf.queryExecution().analyzed().toString().split("\n") if "MapInArrow" in x][0]
+    assert "__text" not in stage and "text" not in stage.split("[", 1)[1].split("]")[0]
+    assert df.count() == 40

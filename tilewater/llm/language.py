@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tilewater.llm import tokens
 
 LANGUAGES, PIECES, PIECE, SYMBOLS = 200, 64, 400, 120_000
 BLOCK, LETTERS, ALPHABET = 256, 55, 64
@@ -261,8 +264,8 @@ def alphabet(docs: DataFrame, labels: tuple[str, ...]) -> str:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch, column in (x for b in batches for x in tokens.portions(b, b.column(1))):
+            for lang, text in zip(batch.column(0).to_pylist(), column.to_pylist(), strict=True):
                 c, n = np.unique(_points(text), return_counts=True)
                 sums.setdefault(lang, Counter()).update(dict(zip(c.tolist(), n.tolist(), strict=True)))
         rows = [(lang, c, n) for lang, found in sums.items() for c, n in found.items() if chr(c).isalpha()]
@@ -277,8 +280,8 @@ def alphabet(docs: DataFrame, labels: tuple[str, ...]) -> str:
     return "".join(sorted(chr(r.c) for r in letters.collect()))  # bounded: letters of Unicode
 
 
-def fitting(docs: DataFrame, model: Model, most: np.ndarray, letters: str, *keep: str) -> DataFrame:
-    """The `keep` columns of rows whose text fits a learnt language, with lang_pred."""
+def fitting(docs: DataFrame, model: Model, most: np.ndarray, letters: str) -> DataFrame:
+    """`row` (a struct with all columns) of rows of docs whose text fits a learnt language, with lang_pred. A text goes to Python once, in its row."""
     known = np.zeros(0x110000, bool)
     known[[ord(c) for c in letters]] = True
     shared = docs.sparkSession.sparkContext.broadcast((model, most, known))
@@ -286,8 +289,8 @@ def fitting(docs: DataFrame, model: Model, most: np.ndarray, letters: str, *keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, most, known = shared.value
         is_letter = symbol_table(model.letters) != GAP
-        for batch in batches:
-            texts = batch.column("__text").to_pylist()
+        for batch, column in (x for b in batches for x in tokens.portions(b, b.column(0).field("text"))):
+            texts = column.to_pylist()
             names, _, fit = guess(texts, model, most)
             for i, t in enumerate(texts):
                 if fit[i]:
@@ -295,11 +298,10 @@ def fitting(docs: DataFrame, model: Model, most: np.ndarray, letters: str, *keep
                     fit[i] = known[c].sum() >= LEAST_KNOWN * is_letter[c].sum()
             stay = pa.array(fit)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).filter(stay) for c in keep], pa.array(names, pa.string()).filter(stay)], names=[*keep, "lang_pred"])
+                [batch.column(0).filter(stay), pa.array(names, pa.string()).filter(stay)], names=["row", "lang_pred"])
 
-    df = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(run, f"{schema}, lang_pred string")
+    df = docs.select(F.struct(*docs.columns).alias("row"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("lang_pred", StringType())]))
 
 
 def held_out():

@@ -32,6 +32,8 @@ from tilewater.llm.common import keyed, stored
 from tilewater.llm.components import connected
 
 DEPTH, NODE, SKETCH, STRIPE, RECALL = 4, 24, 64, 512, 0.999
+#: bytes of text that a task takes in hand at a time
+PORTION = 1 << 19
 #: bytes of the sketch that the entries of a large node vote on
 VOTES = 16
 #: nodes of rows without an id, and of further texts of an id, lie from here on
@@ -73,8 +75,8 @@ def profiles(docs: DataFrame, size: int, trees: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in tokens.chunks(batch.column("text").to_pylist()):
-                found = sets(texts, size)
+            for part, column in tokens.portions(batch, batch.column("text"), PORTION):
+                found = sets([(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()], size)
                 n = np.array([len(s) for s in found], np.int64)
                 names = np.zeros((len(found), 2), np.int64)
                 low = np.zeros((len(found), len(functions)), np.uint64)
@@ -88,7 +90,6 @@ def profiles(docs: DataFrame, size: int, trees: int) -> DataFrame:
                 token = (low[:, :split] >> np.uint64(16)).astype(np.uint32).view(np.int32)
                 branch = pa.FixedSizeListArray.from_arrays(pa.array(token.ravel()), split).cast(pa.list_(pa.int32()))
                 sketch = pa.FixedSizeListArray.from_arrays(pa.array((low[:, split:] >> np.uint64(8)).astype(np.uint8).ravel().view(np.int8)), SKETCH)
-                part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]), branch,
                      sketch.cast(pa.list_(pa.int8()))], names=["doc_id", "text_hash", "n", "s1", "s2", "branch", "sketch"])
@@ -119,13 +120,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
                 known[node] = sets([(text or "").encode("utf-8", "surrogatepass")], size)[0]
             return known[node]
 
-        for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")], strict=True):
-                x, y = of(a, ta), of(b, tb)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch, _ in tokens.portions(whole, whole.column("ta"), PORTION):
+                keep = []
+                for a, b, ta, tb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")], strict=True):
+                    x, y = of(a, ta), of(b, tb)
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(den * common >= num * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: texts are handled in chunks of about so many bytes; one longer text is a chunk of its own
 CHUNK = 1 << 21
@@ -41,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + 4096)
+        size = 1 << int(n).bit_length()
         up = np.full(size, _BASE, np.uint64)
         down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -92,6 +94,16 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, l
         yield first, run
 
 
+def portions(batch: pa.RecordBatch, texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """`batch` and its `texts` in slices of about `limit` bytes of text, so that what a task makes of them does not grow with Spark's batches."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at), texts.slice(at, end - at)
+        at = end
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of n words; of the whole sequence if it is shorter, nothing if there is none."""
     if not len(words):
