@@ -105,3 +105,21 @@ def test_ttl_entries_are_forgotten(spark, tmp_path):
     run = lambda s, root: O.run_ttl_dedupe(s.select(F.col("event_id").alias("k"), "us"), ["k"], "us", 1_000_000, ["k"], late_us=0, root=root)
     _twice(spark, str(tmp_path), run)
     assert spark.read.parquet(f"{tmp_path}/fresh/carry/0").count() < 6
+
+
+def test_rounds_of_the_chain_get_smaller(spark, monkeypatch):
+    """Doubling keeps the jumps that longer ones end at; it was all events a round."""
+    rnd = random.Random(8)
+    rows = [(k, us, i) for i, (k, us) in enumerate((k, us) for k in "ab" for us in rnd.sample(range(20_000), 2500))]
+    df, sizes, plain = spark.createDataFrame(rows, "k string, us long, id long"), [], W.written
+
+    def counted(d):
+        out = plain(d)
+        if "_to" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(W, "written", counted)
+    got = W.ttl_first(df, ["k"], "us", 100, ["id"]).collect()
+    assert sorted((r.k, r.us) for r in got) == sorted((k, us) for k, own in _chain(rows, 100).items() for us in own)
+    assert sizes[5] < len(rows) / 4 and sum(sizes) < 3 * len(rows), sizes

@@ -52,6 +52,18 @@ class Ordered:
         self.df = self.df.withColumn(out, F.coalesce(near.over(self._local), F.col("_far"))).drop("_far")
         return self
 
+    def nearest(self, value: Column, out: str, after: bool = False) -> "Ordered":
+        """Add `out`: `value` of the closest row before (or after) this one within the key that has one."""
+        along = [F.col(c).desc() if after else F.col(c) for c in self.order]
+        part = F.col(_PART).desc() if after else F.col(_PART)
+        local = Window.partitionBy(*self.keys, _PART).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+        across = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        key = F.when(value.isNotNull(), F.struct(*self.order))
+        edges = self.df.groupBy(*self.keys, _PART).agg((F.min_by(value, key) if after else F.max_by(value, key)).alias("_edge"))
+        self._attach(edges.select(*self.keys, _PART, F.last("_edge", ignorenulls=True).over(across).alias("_far")))
+        self.df = self.df.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(local), F.col("_far"))).drop("_far")
+        return self
+
     def previous(self, columns: list[str], out: str) -> "Ordered":
         """Add `out`: struct of `columns` of the row before this one within the key."""
         return self._neighbour(columns, out, last=True)

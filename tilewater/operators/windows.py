@@ -67,45 +67,42 @@ def ttl_first(events: DataFrame, keys: list[str], us: str, ttl_us: int, order: l
 
     A hit does not renew the entry. Of events equal in key and time the smallest by `order` stands for all; events without a time are kept, null
     keys are equal to each other. An event more than `ttl_us` after the one before it is kept whatever went before, so a key falls apart into
-    bursts; bursts no longer than `ttl_us` are settled by their first event. In longer ones each event points to its successor (the first
-    event beyond its time to live, found by a running count), and the chain from the first event is followed by pointer doubling: rounds grow with the
-    logarithm of the burst's length in `ttl_us`, and no burst is ever in one task.
+    bursts. Events and the ends of their times to live are laid
+    out in one order, in which an end sees the events on either side of it, and so its event's successor. The chain from the first event of a
+    burst is followed by pointer doubling: rounds grow with the logarithm of the burst's length in `ttl_us`, and no burst is ever in one task.
     """
     if ttl_us < 0:
         raise ValueError("ttl_us must not be negative")
     columns, times = events.columns, F.to_json(F.struct(*keys))
     timed = events.where(C(us).isNotNull()).withColumns({"_k": times, "_us": C(us).cast("long")})
-    once = timed.groupBy("_k", "_us").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
-    fresh = F.coalesce(C("_us") - C("_p._us") > ttl_us, F.lit(True))
-    cuts = Ordered(once, ["_k"], ["_us"]).previous(["_us"], "_p").result().withColumn("_first", fresh)
-    marked = cut(Ordered(cuts.drop("_p"), ["_k"], ["_us"]).running_total(F.when(C("_first"), 1).otherwise(0), "_burst").result())
-    span = marked.groupBy("_k", "_burst").agg((F.max("_us") - F.min("_us")).alias("_span"))
-    long_ones = marked.join(span.where(C("_span") > ttl_us), ["_k", "_burst"], "left_semi").select("_k", "_burst", "_us")
-    kept = marked.where("_first").select("_k", "_us").unionByName(_chained(long_ones, ttl_us))
-    out = marked.join(kept, ["_k", "_us"], "left_semi").select("_row.*")
+    once = written(timed.groupBy("_k", "_us").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_row")))
+    own = once.select("_k", C("_us").alias("_at"), F.lit(0).alias("_end"))
+    ends = once.select("_k", (C("_us") + ttl_us).alias("_at"), F.lit(1).alias("_end"))
+    event = F.when(C("_end") == 0, C("_at"))
+    laid = written(Ordered(own.unionByName(ends), ["_k"], ["_at", "_end"]).nearest(event, "_before").nearest(event, "_after", after=True).result())
+    firsts = laid.where((C("_end") == 0) & F.coalesce(C("_at") - C("_before") > ttl_us, F.lit(True))).select("_k", C("_at").alias("_us"))
+    jumps = laid.where((C("_end") == 1) & (C("_after") - C("_before") <= ttl_us)).select("_k", (C("_at") - ttl_us).alias("_us"), C("_after").alias("_to"))
+    out = once.join(_chained(firsts, jumps), ["_k", "_us"], "left_semi").select("_row.*")
     return out.unionByName(events.where(C(us).isNull()))
 
 
-def _chained(times: DataFrame, ttl_us: int) -> DataFrame:
-    """`times` (_k, _burst, _us, all different) -> those on the chain from the first of each burst, without that one."""
-    burst = ["_k", "_burst"]
-    own = times.select(*burst, C("_us").alias("_at"), F.lit(0).alias("_probe"), "_us")
-    ends = times.select(*burst, (C("_us") + ttl_us).alias("_at"), F.lit(1).alias("_probe"), "_us")
-    upto = Ordered(own.unionByName(ends), burst, ["_at", "_probe"]).running_total(1 - C("_probe"), "_n").result()
-    at = upto.groupBy(*burst, "_us").agg(F.max(F.when(C("_probe") == 0, C("_n"))).alias("_n"), (F.max(F.when(C("_probe") == 1, C("_n"))) + 1).alias("_to"))
-    nodes = written(at)
-    jumps, chain = nodes.select(*burst, "_n", "_to"), nodes.where("_n = 1").select(*burst, "_n")
-    seen = chain.count()
-    while seen:
-        ahead = chain.join(jumps, [*burst, "_n"]).select(*burst, C("_to").alias("_n")).join(nodes, [*burst, "_n"], "left_semi")
-        chain = written(chain.unionByName(ahead))
-        now = chain.count()
-        if now == seen:
-            break
-        seen = now
-        second = jumps.select(*burst, C("_n").alias("_to"), C("_to").alias("_next"))
-        jumps = written(jumps.join(second, [*burst, "_to"]).select(*burst, "_n", C("_next").alias("_to")))
-    return nodes.join(chain.where("_n > 1"), [*burst, "_n"], "left_semi").select("_k", "_us")
+def _chained(firsts: DataFrame, jumps: DataFrame) -> DataFrame:
+    """_k, _us of all that the `jumps` (_k, _us, _to) reach from `firsts` (_k, _us), itself included; no two firsts reach the same.
+
+    A round of doubling keeps the jumps from where jumps of that length end, which are the fewer the longer they are where neighbours come to have a
+    successor in common; between events at even distances they never do, and each round has all of them.
+    """
+    levels = []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        second = jumps.select("_k", C("_us").alias("_to"), C("_to").alias("_next"))
+        twice = written(jumps.join(second, ["_k", "_to"]).select("_k", "_us", C("_next").alias("_to")))
+        starts = twice.select("_k", C("_to").alias("_us")).unionByName(firsts).distinct()
+        jumps = written(twice.join(starts, ["_k", "_us"], "left_semi"))
+    chain = firsts
+    for jumps in reversed(levels):
+        chain = chain.join(jumps, ["_k", "_us"], "left").select("_k", F.explode(F.array_compact(F.array("_us", "_to"))).alias("_us"))
+    return chain
 
 
 def prune_oldest(files: DataFrame, max_bytes: int, order: tuple[str, str] = ("mtime", "path"), size: str = "bytes") -> DataFrame:
