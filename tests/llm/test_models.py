@@ -321,3 +321,24 @@ def test_a_text_goes_to_python_once_in_language_id(spark):
     stage = [x for x in df._jdf.queryExecution().analyzed().toString().split("\n") if "MapInArrow" in x][0]
     assert "__text" not in stage and "text" not in stage.split("[", 1)[1].split("]")[0]
     assert df.count() == 40
+
+
+def test_rounds_of_components_are_of_few_tasks(spark):
+    from tilewater.llm.components import connected
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = [(i, i + 1) for i in range(100, 130)] + [(7, i) for i in range(200, 300)] + [(2, 1), (1, 2), (3, 3), (None, 4), (50, 7)]
+        spark.sparkContext.setJobGroup("components", "")
+        found = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        status = spark.sparkContext.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.root for r in found} == {i: 100 for i in range(100, 131)} | {i: 7 for i in (7, 50, *range(200, 300))} | {1: 1, 2: 1}
+    assert len(found) == 31 + 102 + 2
+    assert sum(s.numCompletedTasks for s in stages if s) < 2000

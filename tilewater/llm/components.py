@@ -1,11 +1,11 @@
-"""Connected components of an edge table by alternating large and small stars, one checkpoint a round."""
+"""Connected components of an edge table by alternating large and small stars, one table a round."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewater.session import cut
+from tilewater.llm.common import stored, unstored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,19 +18,20 @@ def connected(edges: DataFrame) -> DataFrame:
     """node, root for every end of `edges` (a, b, of one orderable type): root is the smallest node that is reachable.
 
     Nulls, loops and repeated edges are ignored. Each star is a minimum (combined before the shuffle) and a join on the node, which
-    AQE splits where a node has many edges; no list of neighbours is ever gathered. Rounds go on until nothing changes.
+    AQE splits where a node has many edges; no list of neighbours is ever gathered. Rounds go on until nothing changes. A round reads
+    its edges from a table, whose files share tasks, and has no union, which would double the tasks of its stages; the round before is removed.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(e)
     while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = e.join(least, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        # the row of the minimum itself keeps its node linked to it
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        last, e = e, stored(small.distinct())
+        unstored(last)
         after = _state(e)
         if after == before:
             break
